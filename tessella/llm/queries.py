@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import quality_rules
+from tessella.llm import decontaminate, quality_rules
 
 QUERIES, ORACLES = {}, {}
 
@@ -26,3 +26,8 @@ def register(name: str, sql: str | None = None):
 @register("op1_quality_rules", quality_rules.oracle())
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules_query(table(spark, sf_dir, "documents"))
+
+
+@register("op7_decontaminate", decontaminate.ORACLE)
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
