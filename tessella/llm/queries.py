@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontaminate, quality_rules
+from tessella.llm import decontaminate, line_dedup, quality_rules, simhash
 
 QUERIES, ORACLES = {}, {}
 
@@ -31,3 +31,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_decontaminate", decontaminate.ORACLE)
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op9_line_dedup", line_dedup.ORACLE)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup_query(table(spark, sf_dir, "documents"))
+
+
+@register("op4_simhash")
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
