@@ -84,7 +84,7 @@ def planes(fps: np.ndarray) -> np.ndarray:
     pad = -len(fps) % 64
     padded = np.concatenate([fps, np.zeros(pad, np.uint64)])
     bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(bits.T.reshape(64, -1), axis=1, bitorder="little").view(np.uint64)
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
 def near_pairs(queries: np.ndarray, members: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
