@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontaminate, line_dedup, quality_rules, simhash
+from tessella.llm import decontaminate, line_dedup, quality_rules, simhash, suffix_dedup
 
 QUERIES, ORACLES = {}, {}
 
@@ -41,3 +41,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_simhash")
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op10_suffix_dedup")
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup_query(table(spark, sf_dir, "documents"))
