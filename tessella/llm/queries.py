@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontaminate, line_dedup, quality_rules, simhash, suffix_dedup
+from tessella.llm import chat, decontaminate, line_dedup, packing, quality_rules, simhash, suffix_dedup
 
 QUERIES, ORACLES = {}, {}
 
@@ -46,3 +46,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_suffix_dedup")
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup_query(table(spark, sf_dir, "documents"))
+
+
+@register("op2_packing")
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@register("op8_chat_rotation", chat.ORACLE)
+def op8_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
