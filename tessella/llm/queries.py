@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import chat, decontaminate, line_dedup, packing, quality_rules, simhash, suffix_dedup
+from tessella.llm import chat, decontaminate, line_dedup, lm_score, packing, pairwise_quality, quality_rules, simhash, suffix_dedup
 
 QUERIES, ORACLES = {}, {}
 
@@ -56,3 +56,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_chat_rotation", chat.ORACLE)
 def op8_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+@register("op3_pairwise_quality")
+def op3_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairwise_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op6_lm_score")
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_score_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
