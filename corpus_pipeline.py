@@ -1,7 +1,8 @@
 """Cleaning a corpus: five stages from raw documents to packed batches.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and is
-written as Parquet before the next one reads it.
+written as Parquet before the next one reads it. All but the last return the columns of
+``documents``.
 """
 
 from __future__ import annotations
@@ -9,20 +10,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import quality_rules
+from tessella.llm import decontaminate, line_dedup, packing, quality_rules, simhash
 from tessella.plans.materialize import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the quality rules reject."""
+    """Drop the documents that the quality rules reject."""
     return quality_rules.keep_good(docs.select(*COLUMNS))
 
 
-STAGES = [("quality rules", quality_stage)]
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop lines that several documents share from all but one; every document stays.
 
-#: No SQL: near-duplicate components and optimal packing are iterative.
+    n_chars becomes the length of what is left.
+    """
+    out = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least id of each group of near duplicates."""
+    return simhash.keep_first(docs.select(*COLUMNS), shingle=5)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop contaminated documents."""
+    return decontaminate.keep_clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lay the documents out in padded batches: doc_id, chunk, n_tokens, bucket, batch, slot."""
+    return packing.pack(docs.select(*COLUMNS))
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("simhash near-dedup", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+#: No SQL: near-duplicate components and optimal buckets are iterative; the tests compare
+#: the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import chat, decontaminate, line_dedup, lm_score, packing, pairwise_quality, quality_rules, simhash, suffix_dedup
+from tessella.llm import chat, decontaminate, html_labels, line_dedup, lm_score, packing, pairwise_quality, quality_rules, simhash, suffix_dedup
 
 QUERIES, ORACLES = {}, {}
 
@@ -66,3 +66,8 @@ def op3_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_lm_score")
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_score_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op5_html_labels")
+def op5_html_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_labels.html_query(table(spark, sf_dir, "pages"))
