@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessella.plans.materialize import materialize
 
-SPAN, K = 200, 16
+SPAN, K = 200, 48
 #: Bytes that the suffix order tells apart: 8, doubled until they cover SPAN.
 DEPTH = 256
 #: Regions of one anchor in a shard, and regions in a shard; a region has under 600 bytes.
@@ -49,13 +49,16 @@ def _words8(data: np.ndarray) -> np.ndarray:
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the 16 bytes from every position that has them."""
-    w = _words8(data)
-    n = len(data) - K + 1
-    z = w[:n] * _M1 + (w[8 : 8 + n] ^ (w[:n] >> np.uint64(29))) * _M2
-    z ^= z >> np.uint64(32)
-    z *= _M1
-    return z ^ (z >> np.uint64(29))
+    """Hash of the K bytes from every position that has them, from hashes of their halves."""
+    z, size = _words8(data), 8
+    while size < K:
+        step = min(size, K - size)
+        n = len(z) - step
+        z = z[:n] * _M1 + (z[step:] ^ (z[:n] >> np.uint64(29))) * _M2
+        z ^= z >> np.uint64(32)
+        z *= _M1
+        size += step
+    return (z ^ (z >> np.uint64(29)))[: len(data) - K + 1]
 
 
 def _window_minima(h: np.ndarray, run: int) -> np.ndarray:
@@ -95,24 +98,25 @@ def _bytes(column: pa.Array, i: int) -> bytes:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per anchor: the document, its starts, hashes of the anchor and the region."""
     for b in batches:
-        docs, texts = b.column("doc"), b.column("text")
-        for lo in range(0, len(docs), 512):
-            out = [[], [], [], [], []]
-            for i in range(lo, min(lo + 512, len(docs))):
+        d1, d2, texts = (b.column(c) for c in ("d1", "d2", "text"))
+        d1, d2 = d1.to_numpy(), d2.to_numpy()
+        for lo in range(0, len(d1), 512):
+            out = [[], [], [], [], [], []]
+            for i in range(lo, min(lo + 512, len(d1))):
                 raw = _bytes(texts, i)
                 h, first, last = anchors(np.frombuffer(raw, np.uint8))
                 if not len(h):
                     continue
                 view = memoryview(raw)
                 regions = [xxhash.xxh3_64_intdigest(view[s : e + SPAN]) for s, e in zip(first.tolist(), last.tolist(), strict=True)]
-                doc = np.full(len(h), docs[i].as_py(), np.int64)
-                for o, v in zip(out, (doc, h, np.array(regions, np.uint64).view(np.int64), first, last), strict=True):
+                doc = (np.full(len(h), d[i], np.int64) for d in (d1, d2))
+                for o, v in zip(out, (*doc, h, np.array(regions, np.uint64).view(np.int64), first, last), strict=True):
                     o.append(v)
             if out[0]:
                 arrays = [np.concatenate(o) for o in out]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, t) for a, t in zip(arrays, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)],
-                    names=["doc", "anchor", "region", "first", "last"],
+                    [pa.array(a, t) for a, t in zip(arrays, (*[pa.int64()] * 4, pa.int32(), pa.int32()), strict=True)],
+                    names=["d1", "d2", "anchor", "region", "first", "last"],
                 )
 
 
@@ -127,7 +131,7 @@ def suffix_array(data: np.ndarray, depth: int = SPAN) -> np.ndarray:
     """
     n = len(data)
     key = _words8(data)
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     sorted_ = key[sa]
     new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
     # A group's rank is the place of its first member in the array.
@@ -143,7 +147,7 @@ def suffix_array(data: np.ndarray, depth: int = SPAN) -> np.ndarray:
         at = sa[open_]
         group = rank[at]
         further = rank[np.minimum(at + h, n)] + 1
-        order = np.argsort(group * (n + 1) + further, kind="stable")
+        order = np.argsort(group * (n + 1) + further)
         at, group, further = at[order], group[order], further[order]
         sa[open_] = at
         split = np.concatenate([[True], (group[1:] != group[:-1]) | (further[1:] != further[:-1])])
@@ -153,7 +157,7 @@ def suffix_array(data: np.ndarray, depth: int = SPAN) -> np.ndarray:
     return sa
 
 
-def common_prefixes(data: np.ndarray, sa: np.ndarray, lanes: int = 1024) -> np.ndarray:
+def common_prefixes(data: np.ndarray, sa: np.ndarray, lanes: int = 16_384) -> np.ndarray:
     """Common prefix, up to DEPTH, of each place in ``sa`` with the one before it (Kasai).
 
     In text order a place keeps at least the prefix of the place before it less one; after
@@ -183,12 +187,9 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, lanes: int = 1024) -> np.n
         while len(live):
             differ = words[at[live] + known[live]] ^ words[other[live] + known[live]]
             same = differ == 0
-            lead = np.where(same, 8, 0)
-            if not same.all():
-                odd = ~same
-                # Number of equal leading bytes: high bytes that are zero.
-                d = differ[odd]
-                lead[odd] = sum((d < np.uint64(1 << (64 - 8 * j))).astype(np.int64) for j in range(1, 8))
+            # Equal leading bytes of the eight; none is odd where all are equal.
+            lead = (differ.byteswap().view(np.uint8).reshape(-1, 8) != 0).argmax(axis=1)
+            lead[same] = 8
             known[live] = np.minimum(known[live] + lead, limit[live])
             live = live[same & (known[live] < limit[live])]
         prefix[: len(at)] = known
@@ -397,25 +398,32 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *added], names=[*keep, "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def repeated_runs(held: DataFrame, shard_regions: int = SHARD_REGIONS) -> DataFrame:
-    """(doc, first, last): runs of starts of repeated windows, from (doc, text)."""
-    spark = held.sparkSession
-    binary = held.select("doc", F.col("text").cast("binary").alias("text"))
-    found = binary.mapInArrow(_scan, "doc long, anchor long, region long, first int, last int")
+def _identity() -> list:
+    """A document is known by 128 bits of hashes of its text: copies share their outcome."""
+    return [F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), F.col("text")).alias("d2")]
+
+
+def repeated_runs(texts: DataFrame, shard_regions: int = SHARD_REGIONS) -> DataFrame:
+    """(d1, d2, first, last): runs of starts of repeated windows, from (text).
+
+    Every row counts, so all windows of a text that occurs twice repeat.
+    """
+    spark = texts.sparkSession
+    binary = texts.select(*_identity(), F.col("text").cast("binary").alias("text"))
+    found = binary.mapInArrow(_scan, "d1 long, d2 long, anchor long, region long, first int, last int")
     found = materialize(found, "anchors")
     per = found.groupBy("anchor").agg(F.count("*").alias("places"), F.min("region").alias("lo"), F.max("region").alias("hi"))
-    per = per.filter("places > 1")
-    shared = materialize(found.join(per, "anchor"), "shared")
-    alike = shared.filter("lo = hi").select("doc", "first", "last")
+    shared = materialize(found.join(per.filter("places > 1"), "anchor").select("d1", "d2", "anchor", "region", "first", "last", (F.col("lo") == F.col("hi")).alias("alike")), "shared")
+    alike = shared.filter("alike").select("d1", "d2", "first", "last")
     # A region stands for all its copies: the number of places, and one of them to read it at.
-    mixed = shared.filter("lo <> hi").groupBy("anchor", "region").agg(
-        F.count("*").alias("places"), F.min_by(F.struct("doc", "first", "last"), F.struct("doc", "first")).alias("at")
-    )
-    mixed = materialize(mixed, "mixed")
+    place = F.struct("d1", "d2", "first", "last")
+    mixed = materialize(shared.filter("not alike").groupBy("anchor", "region").agg(F.count("*").alias("places"), F.min(place).alias("at")), "mixed")
     rivals = mixed.groupBy("anchor").agg(F.count("*").alias("rivals"))
-    wanted = mixed.join(rivals, "anchor").select("at.doc", F.struct("anchor", "region", "places", "rivals", "at.first", "at.last").alias("w"))
-    wanted = wanted.groupBy("doc").agg(F.collect_list("w").alias("wanted"))
-    regions = binary.join(wanted, "doc").select("text", "wanted").mapInArrow(_cut, "anchor long, region long, places long, rivals long, bytes binary")
+    wanted = mixed.join(rivals, "anchor").select("at.d1", "at.d2", F.struct("anchor", "region", "places", "rivals", "at.first", "at.last").alias("w"))
+    wanted = wanted.groupBy("d1", "d2").agg(F.collect_list("w").alias("wanted"))
+    regions = binary.join(wanted, ["d1", "d2"]).select("text", "wanted").mapInArrow(_cut, "anchor long, region long, places long, rivals long, bytes binary")
+    # Copies of a text give the same regions once more.
+    regions = regions.groupBy("anchor", "region").agg(F.max("places").alias("places"), F.max("rivals").alias("rivals"), F.min("bytes").alias("bytes"))
     n = mixed.count()
     n_shards = max(-(-n // shard_regions), int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     split = F.col("rivals") > shard_regions
@@ -434,12 +442,13 @@ def repeated_runs(held: DataFrame, shard_regions: int = SHARD_REGIONS) -> DataFr
         across = across.repartition(max(parts, n_shards), "part").sortWithinPartitions("part")
         repeats = repeats.unionByName(across.mapInArrow(_merge, "anchor long, region long, first int, last int"))
     within = repeats.groupBy("anchor", "region").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    back = shared.filter("lo <> hi").select("anchor", "region", "doc", F.col("first").alias("base")).join(within, ["anchor", "region"])
-    back = back.select("doc", "base", F.explode("runs").alias("r"))
-    return alike.unionByName(back.select("doc", (F.col("base") + F.col("r.first")).cast("int").alias("first"), (F.col("base") + F.col("r.last")).cast("int").alias("last")))
+    back = shared.filter("not alike").select("anchor", "region", "d1", "d2", F.col("first").alias("base")).join(within, ["anchor", "region"])
+    back = back.select("d1", "d2", "base", F.explode("runs").alias("r"))
+    moved = [(F.col("base") + F.col(f"r.{c}")).cast("int").alias(c) for c in ("first", "last")]
+    return alike.unionByName(back.select("d1", "d2", *moved))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", shard_regions: int = SHARD_REGIONS) -> DataFrame:
     """``docs`` without ``text``, with n_bytes, n_removed, n_spans and ``kept`` (bytes left).
 
     A null text is empty. Each row is a document of its own whatever its key, so a repeated
@@ -447,10 +456,11 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     others = [c for c in docs.columns if c != text]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(others)], F.coalesce(F.col(text), F.lit("")).alias("text"))
-    numbered = materialize(rows.withColumn("doc", F.monotonically_increasing_id()), "rows")
-    runs = repeated_runs(numbered.select("doc", "text"))
-    runs = runs.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("runs")).withColumnRenamed("doc", "d")
-    joined = numbered.withColumn("text", F.col("text").cast("binary")).join(runs, F.col("doc") == F.col("d"), "left").drop("doc", "d")
+    runs = repeated_runs(rows.select("text"), shard_regions)
+    runs = runs.groupBy("d1", "d2").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    runs = materialize(runs, "runs").withColumnsRenamed({"d1": "r1", "d2": "r2"})
+    held = rows.select("*", *_identity()).withColumn("text", F.col("text").cast("binary"))
+    joined = held.join(runs, (F.col("d1") == F.col("r1")) & (F.col("d2") == F.col("r2")), "left").drop("d1", "d2", "r1", "r2")
     keys = ", ".join(f"k{i} {dict(rows.dtypes)[f'k{i}']}" for i in range(len(others)))
     out = joined.mapInArrow(_strip, f"{keys}{', ' if keys else ''}n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(others)})
