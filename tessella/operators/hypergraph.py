@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.plans.materialize import materialize
+
 GEOMETRIC, ARITHMETIC, HARMONIC = 1, 2, 3
 
 
@@ -105,35 +107,38 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return both_ways(edges).withColumn("rank", F.row_number().over(order).cast("long"))
 
 
-def top_up(kept: DataFrame, all_edges: DataFrame, min_degree: int = 1, max_rounds: int = 50) -> DataFrame:
+def top_up(kept: DataFrame, all_edges: DataFrame, min_degree: int = 1, max_rounds: int = 500) -> DataFrame:
     """``kept`` and, for vertices short of ``min_degree``, their heaviest further edges.
 
     Vertices take turns in ascending order, and an edge that one adds counts for its
-    neighbour. Rounds reproduce that: a vertex acts once no smaller short vertex is its
-    neighbour in what could be added. Up to 1 nothing can be short, as every vertex of a
-    kept edge has one.
+    neighbour too. Whatever happens before its turn, a vertex can only add from its first
+    ``min_degree - degree`` offers, so it has to wait for no more than those smaller short
+    vertices that have it among theirs. All that wait for nobody act in one round. Up to 1
+    nothing can be short, as every vertex of a kept edge has one.
     """
-    from tessella.plans.materialize import materialize
-
     if min_degree <= 1:
         return kept
-    now = materialize(kept.select("a", "b", F.col("w").cast("double").alias("w"), F.lit(0).alias("round")), "kept")
-    members = materialize(degrees(now).select("v"), "members")
-    done = members.limit(0)
-    for k in range(1, max_rounds + 1):
-        short = degrees(now).filter(F.col("degree") < min_degree).join(members, "v").join(done, "v", "left_anti")
-        short = materialize(short, "short")
-        if short.isEmpty():
+    base = kept.select("a", "b", F.col("w").cast("double").alias("w"))
+    short = degrees(base).filter(F.col("degree") < min_degree).select("v", (min_degree - F.col("degree")).alias("need"))
+    short = materialize(short, "short")
+    open_ = both_ways(all_edges.join(base.select("a", "b"), ["a", "b"], "left_anti")).join(short, "v")
+    place = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("weight"), "neighbor"))
+    offers = materialize(open_.withColumn("place", place).filter("place <= need"), "offers")
+    waits = materialize(offers.filter("v < neighbor").select("v", "neighbor").join(short.select(F.col("v").alias("neighbor")), "neighbor"), "waits")
+    added = materialize(offers.limit(0).select("v", "neighbor", "weight"), "added")
+    left = short
+    for _ in range(max_rounds):
+        if left.isEmpty():
             break
-        open_ = all_edges.join(now, ["a", "b"], "left_anti")
-        offers = materialize(both_ways(open_).join(short, "v"), "offers")
-        blocked = offers.join(short.select(F.col("v").alias("neighbor")), "neighbor").filter("neighbor < v").select("v").distinct()
-        acting = offers.join(blocked, "v", "left_anti")
-        place = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("weight"), "neighbor"))
-        chosen = acting.withColumn("place", place).filter(F.col("place") <= min_degree - F.col("degree"))
-        added = chosen.select(F.least("v", "neighbor").alias("a"), F.greatest("v", "neighbor").alias("b"), F.col("weight").cast("double").alias("w"), F.lit(k).alias("round"))
-        done = materialize(done.unionByName(short.select("v").join(blocked, "v", "left_anti")), "done")
-        now = materialize(now.unionByName(added.dropDuplicates(["a", "b"])), "kept")
+        blocked = waits.join(left.select("v"), "v").select(F.col("neighbor").alias("v")).distinct()
+        ready = left.join(blocked, "v", "left_anti")
+        got = added.groupBy(F.col("neighbor").alias("v")).agg(F.count("*").alias("got"))
+        mine = offers.drop("need").join(ready, "v").join(added.select(F.col("neighbor").alias("v"), F.col("v").alias("neighbor")), ["v", "neighbor"], "left_anti")
+        mine = mine.join(got, "v", "left").withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("place")))
+        new = mine.filter(F.col("nth") <= F.col("need") - F.coalesce("got", F.lit(0))).select("v", "neighbor", "weight")
+        added = materialize(added.unionByName(new), "added")
+        left = materialize(left.join(ready.select("v"), "v", "left_anti"), "left")
     else:
         raise RuntimeError(f"vertices still wait for their turn after {max_rounds} rounds")
-    return now.select("a", "b", "w")
+    more = added.select(F.least("v", "neighbor").alias("a"), F.greatest("v", "neighbor").alias("b"), F.col("weight").cast("double").alias("w"))
+    return base.unionByName(more)

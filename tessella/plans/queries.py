@@ -1,6 +1,465 @@
-"""Registered queries of the reference's operators over the given tables."""
+"""Registered queries: the reference's operators over the given tables, and their SQL.
+
+The tables hold no alignments, so line items stand in for them: an order is a read, a
+supplier a contig, the quantity a weight, and prices give places on a contig. Documents
+stand in for sequence records, and customers for named contigs.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.functions import sequences as sq
+from tessella.operators import alignments as al
+from tessella.operators import bins, community, hypergraph, linking, scaffold
+from tessella.operators.components import connected_components
+from tessella.operators.numbering import numbered
+from tessella.plans.materialize import materialize
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+#: A full-row order: (l_orderkey, l_linenumber) is not unique.
+ORDER = ("l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax")
+SQL_ORDER = f"({', '.join(ORDER)})"
+#: Text of an alignment row, common to both engines.
+PLACED = """l_orderkey AS read, 'c_contig_' || l_suppkey AS contig, l_suppkey AS vertex, CAST(l_quantity AS BIGINT) AS q,
+  20000 + 10 * l_suppkey AS t_len, CAST(floor(l_extendedprice) AS BIGINT) % (20000 + 10 * l_suppkey) AS t_start"""
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def alignments(spark: SparkSession, d: str) -> DataFrame:
+    """read, contig, vertex, q_start, q_end, strand, t_len, t_start, t_end, mapq, row_id."""
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("read"),
+        F.concat(F.lit("c_contig_"), F.col("l_suppkey").cast("string")).alias("contig"),
+        F.col("l_suppkey").alias("vertex"),
+        F.col("l_quantity").cast("long").alias("q"),
+        (20000 + 10 * F.col("l_suppkey")).alias("t_len"),
+        (F.floor("l_extendedprice") % (20000 + 10 * F.col("l_suppkey"))).alias("t_start"),
+        F.col("l_returnflag").alias("strand"),
+        F.struct(*ORDER).alias("row_id"),
+    )
+    return rows.select(
+        "read", "contig", "vertex", "t_len", "t_start", "strand", "row_id",
+        F.lit(0).cast("long").alias("q_start"), (10 * F.col("q")).alias("q_end"), F.least("t_len", F.col("t_start") + 100 * F.col("q")).alias("t_end"), (F.col("q") + 20).alias("mapq"),
+    )
+
+
+SQL_ALN = f"""aln AS (SELECT read, contig, vertex, t_len, t_start, least(t_len, t_start + 100 * q) AS t_end, 0 AS q_start, 10 * q AS q_end, q + 20 AS mapq, l_returnflag AS strand, {', '.join(ORDER)}
+  FROM (SELECT *, {PLACED} FROM lineitem))"""
+
+
+# ------------------------------------------------------------------ alignments
+
+
+@query("alignment_quality_filter", f"WITH {SQL_ALN} SELECT read, contig, q_end - q_start AS length, mapq FROM aln WHERE mapq >= 60")
+def alignment_quality_filter(spark, d):
+    return al.quality_filter(alignments(spark, d)).select("read", "contig", "length", "mapq")
+
+
+SQL_MERGED = f"""merged AS (SELECT read, contig, any_value(vertex) AS vertex, sum(q_end - q_start)::BIGINT AS length, arg_min(t_start, {SQL_ORDER}) AS t_start, arg_min(t_end, {SQL_ORDER}) AS t_end, arg_min(strand, {SQL_ORDER}) AS strand, min({SQL_ORDER}) AS first
+  FROM aln WHERE mapq >= 30 GROUP BY read, contig HAVING sum(q_end - q_start) >= 100)"""
+
+
+def merged(spark, d):
+    return al.merge(al.quality_filter(alignments(spark, d), 30))
+
+
+@query("read_contig_merge", f"WITH {SQL_ALN}, {SQL_MERGED} SELECT read, contig, t_start, t_end, strand, length FROM merged")
+def read_contig_merge(spark, d):
+    return merged(spark, d).select("read", "contig", "t_start", "t_end", "strand", "length")
+
+
+@query(
+    "multi_contact_reads",
+    f"""WITH {SQL_ALN}, good AS (SELECT * FROM aln WHERE q_end >= 100 AND mapq >= 60)
+SELECT read, count(*) AS n_contacts, string_agg(contig || '@' || t_start::VARCHAR, ' ' ORDER BY {', '.join(ORDER)}) AS contacts FROM good GROUP BY read HAVING count(*) >= 2""",
+)
+def multi_contact_reads(spark, d):
+    held = al.contact_lists(al.extract(alignments(spark, d)))
+    shown = F.array_join(F.transform("contacts", lambda c: F.concat(c["contig"], F.lit("@"), c["t_start"].cast("string"))), " ")
+    return held.select("read", "n_contacts", shown.alias("contacts"))
+
+
+@query(
+    "alignment_run_counts",
+    f"WITH {SQL_ALN}, {SQL_MERGED} SELECT (SELECT count(*) FROM aln) AS alignments, (SELECT count(DISTINCT read) FROM aln) AS reads, (SELECT count(*) FROM merged) AS merged, (SELECT count(DISTINCT read) FROM merged) AS kept_reads",
+)
+def alignment_run_counts(spark, d):
+    return al.run_counts(alignments(spark, d), merged(spark, d))
+
+
+# ------------------------------------------------------------------ hypergraph
+
+SQL_KEPT = f"""{SQL_ALN}, {SQL_MERGED},
+kept AS (SELECT read, vertex, length AS weight, first FROM (SELECT *, count(*) OVER r AS n, sum(length) OVER r AS total FROM merged WINDOW r AS (PARTITION BY read))
+  WHERE n <= 1 OR length >= 0.5 * (total - length) / nullif(n - 1, 0))"""
+
+
+def kept_entries(spark, d):
+    return hypergraph.vertex_filter(merged(spark, d).select("read", "contig", F.col("length").alias("weight"), "first"))
+
+
+def hyper_vertices(spark, d):
+    return hypergraph.to_hyperedges(kept_entries(spark, d))
+
+
+@query("hyperedge_vertex_filter", f"WITH {SQL_KEPT} SELECT read, 'c_contig_' || vertex AS contig, weight FROM kept")
+def hyperedge_vertex_filter(spark, d):
+    return kept_entries(spark, d).select("read", "contig", "weight")
+
+
+def _sql_weights(expr: str) -> str:
+    return f"WITH {SQL_KEPT}, ws AS (SELECT read AS edge_id, list(weight::DOUBLE ORDER BY first) AS w FROM kept GROUP BY read) SELECT edge_id, len(w) AS n_vertices, round({expr}, 4) AS weight FROM ws"
+
+
+for _name, _strategy, _expr in (
+    ("hyperedge_weight_geometric", hypergraph.GEOMETRIC, "pow(list_product(w), 1.0 / len(w))"),
+    ("hyperedge_weight_arithmetic", hypergraph.ARITHMETIC, "list_avg(w)"),
+    ("hyperedge_weight_harmonic", hypergraph.HARMONIC, "len(w) / list_sum(list_transform(w, lambda x: 1.0 / x))"),
+):
+
+    @query(_name, _sql_weights(_expr))
+    def hyperedge_weight(spark, d, strategy=_strategy):
+        out = hypergraph.weigh(hyper_vertices(spark, d), strategy)
+        return out.withColumn("weight", F.round("weight", 4))
+
+
+SQL_EDGES = f"""{SQL_KEPT}, ws AS (SELECT read, list_product(list(weight::DOUBLE ORDER BY first)) AS p, count(*) AS k FROM kept GROUP BY read),
+edges AS (SELECT x.vertex AS a, y.vertex AS b, round(sum(pow(p, 1.0 / k)), 4) AS w FROM kept x JOIN kept y ON x.read = y.read AND x.vertex < y.vertex JOIN ws ON ws.read = x.read GROUP BY ALL)"""
+
+
+def graph(spark, d):
+    vertices = materialize(hyper_vertices(spark, d), "vertices")
+    return hypergraph.project(vertices, hypergraph.weigh(vertices)).withColumn("w", F.round("w", 4))
+
+
+@query("clique_projection", f"WITH {SQL_EDGES} SELECT a, b, w FROM edges")
+def clique_projection(spark, d):
+    return graph(spark, d)
+
+
+@query("percentile_edge_filter", f"WITH {SQL_EDGES} SELECT a, b, w FROM edges WHERE w >= (SELECT quantile_cont(w, 0.1) FROM edges)")
+def percentile_edge_filter(spark, d):
+    return hypergraph.percentile_filter(materialize(graph(spark, d), "graph"))
+
+
+@query("strongest_pairs", f"WITH {SQL_EDGES} SELECT a, b, w FROM edges WHERE w >= (SELECT quantile_cont(w, 0.9) FROM edges)")
+def strongest_pairs(spark, d):
+    return hypergraph.percentile_filter(materialize(graph(spark, d), "graph"), 90)
+
+
+@query("weight_distribution", f"WITH {SQL_EDGES} SELECT min(w) AS min_w, max(w) AS max_w, round(avg(w), 4) AS mean_w, round(median(w), 4) AS median_w, count(*) AS n FROM edges")
+def weight_distribution(spark, d):
+    out = hypergraph.distribution(graph(spark, d))
+    return out.withColumns({c: F.round(c, 4) for c in ("mean_w", "median_w")})
+
+
+SQL_BOTH = f"{SQL_EDGES}, arcs AS (SELECT a AS v, b AS neighbor, w AS weight FROM edges UNION ALL SELECT b, a, w FROM edges)"
+
+
+@query("adjacency_sorted", f"WITH {SQL_BOTH} SELECT v, row_number() OVER (PARTITION BY v ORDER BY weight DESC, neighbor) AS rank, neighbor, weight FROM arcs")
+def adjacency_sorted(spark, d):
+    return hypergraph.adjacency(graph(spark, d))
+
+
+@query("vertex_degrees", f"WITH {SQL_BOTH} SELECT v, count(*) AS degree FROM arcs GROUP BY v")
+def vertex_degrees(spark, d):
+    return hypergraph.degrees(graph(spark, d))
+
+
+@query("min_degree_topup")
+def min_degree_topup(spark, d):
+    every = materialize(graph(spark, d), "graph")
+    return hypergraph.top_up(hypergraph.percentile_filter(every, 97), every, 5)
+
+
+# ------------------------------------------------------------------ communities
+
+
+@query("community_detection")
+def community_detection(spark, d):
+    vertices = materialize(hyper_vertices(spark, d), "vertices")
+    edges = hypergraph.project(vertices, hypergraph.weigh(vertices))
+    edges = materialize(hypergraph.percentile_filter(materialize(edges, "graph"), 70), "edges")
+    return community.relabel(community.louvain(edges, vertices.select("vertex").distinct()))
+
+
+def labelled(spark, d):
+    """Communities given beforehand: suppliers by nation."""
+    return table(spark, d, "supplier").select(F.col("s_nationkey").alias("label"), F.col("s_suppkey").alias("vertex"))
+
+
+@query(
+    "community_relabel",
+    """WITH s AS (SELECT s_nationkey AS old, count(*) AS n, min(s_suppkey) AS least FROM supplier GROUP BY 1), o AS (SELECT old, row_number() OVER (ORDER BY n DESC, least) - 1 AS label FROM s)
+SELECT label, s_suppkey AS vertex FROM supplier JOIN o ON s_nationkey = old""",
+)
+def community_relabel(spark, d):
+    return community.relabel(labelled(spark, d))
+
+
+@query(
+    "community_stats",
+    """WITH s AS (SELECT count(*) AS n FROM supplier GROUP BY s_nationkey)
+SELECT count(*) AS n, max(n) AS max_size, min(n) AS min_size, round(avg(n), 6) AS mean_size, round(stddev_pop(n), 6) AS std_size, round((max(n) - min(n)) / avg(n), 6) AS spread FROM s""",
+)
+def community_stats(spark, d):
+    return community.stats(labelled(spark, d)).withColumns({c: F.round(c, 6) for c in ("mean_size", "std_size", "spread")})
+
+
+@query(
+    "graph_components",
+    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS x, l_suppkey + 1000000000 AS y FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity = 50),
+b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(node, seen) AS (SELECT DISTINCT x, x FROM b UNION SELECT r.node, b.y FROM r JOIN b ON r.seen = b.x)
+SELECT node, min(seen) AS component FROM r GROUP BY node""",
+)
+def graph_components(spark, d):
+    items = table(spark, d, "lineitem").filter("l_quantity = 50").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return connected_components(items.select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1_000_000_000).alias("b")))
+
+
+# ------------------------------------------------------------------ ends and bins
+
+
+@query(
+    "suffix_assignment",
+    """WITH k AS (SELECT 'customer_' || (c_custkey % 500)::VARCHAR AS contig, min(c_custkey) AS ord FROM customer GROUP BY 1), e AS (SELECT split_part(contig, '_', -1) AS number, arg_min(contig, ord) AS contig FROM k WHERE contains(contig, '_') GROUP BY 1)
+SELECT s_nationkey AS partition, s_suppkey::VARCHAR AS number, contig FROM supplier JOIN e ON s_suppkey::VARCHAR = number""",
+)
+def suffix_assignment(spark, d):
+    names = F.concat(F.lit("customer_"), (F.col("c_custkey") % 500).cast("string"))
+    contigs = table(spark, d, "customer").groupBy(names.alias("contig")).agg(F.min("c_custkey").alias("ord"))
+    parts = table(spark, d, "supplier").select(F.col("s_nationkey").alias("partition"), F.col("s_suppkey").alias("number"))
+    return bins.assign_partitions(contigs, parts)
+
+
+@query("duplicate_suffixes", "SELECT split_part(p_name, '_', -1) AS number, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
+def duplicate_suffixes(spark, d):
+    return bins.duplicate_suffixes(table(spark, d, "part").select(F.col("p_name").alias("contig")))
+
+
+SQL_BINS = f"""{SQL_ALN}, placed AS (SELECT * FROM aln WHERE mapq >= 60),
+win AS (SELECT bin_length, read, vertex, side, t_len, CASE side WHEN 1 THEN 0 ELSE greatest(0, t_len - 5 * bin_length) END AS begin,
+  greatest(t_start, CASE side WHEN 1 THEN 0 ELSE greatest(0, t_len - 5 * bin_length) END) AS lo, least(t_end, CASE side WHEN 1 THEN least(5 * bin_length, t_len) ELSE t_len END) AS hi
+  FROM placed, (SELECT unnest([400, 1000, 2000, 5000, 10000, 20000]) AS bin_length), (SELECT unnest([1, 2]) AS side)),
+cut AS (SELECT bin_length, read, vertex, side, (lo - begin) // bin_length AS b0, least((hi - begin - 1) // bin_length, 4) AS b1 FROM win WHERE lo < hi),
+cover AS (SELECT bin_length, read, vertex, side, sum(greatest(0, b1 - b0 + 1))::BIGINT AS cnt, bit_or(CASE WHEN b1 >= b0 THEN (((1 << (b1 - b0 + 1)::INT) - 1) << b0::INT) ELSE 0 END)::INT AS mask FROM cut GROUP BY ALL)"""
+
+
+def cover(spark, d):
+    rows = al.extract(alignments(spark, d), least=1)
+    return bins.coverage(bins.end_bins(rows))
+
+
+@query("end_bin_counts", f"WITH {SQL_BINS} SELECT bin_length, read, 'c_contig_' || vertex AS contig, side, cnt FROM cover")
+def end_bin_counts(spark, d):
+    return cover(spark, d).select("bin_length", "read", "contig", "side", "cnt")
+
+
+@query("end_bin_masks", f"WITH {SQL_BINS} SELECT bin_length, read, 'c_contig_' || vertex AS contig, side, mask, bit_count(mask)::INT AS n_bins FROM cover")
+def end_bin_masks(spark, d):
+    return cover(spark, d).select("bin_length", "read", "contig", "side", "mask", F.bit_count("mask").alias("n_bins"))
+
+
+SQL_PAIRS = f"""{SQL_BINS}, own AS (SELECT *, 'c_contig_' || vertex || '_' || side AS ep FROM cover),
+pairs AS (SELECT x.ep AS ep_a, y.ep AS ep_b, any_value(x.vertex) AS va, any_value(y.vertex) AS vb,
+  sum(CASE WHEN x.mask > 0 AND y.mask > 0 THEN bit_count(x.mask & y.mask) / (sqrt(bit_count(x.mask)) * sqrt(bit_count(y.mask))) ELSE 0 END) AS sim, sum(sqrt(x.cnt * y.cnt)) AS cov
+  FROM own x JOIN own y ON x.bin_length = y.bin_length AND x.read = y.read AND x.ep < y.ep GROUP BY 1, 2)"""
+
+
+def pairs(spark, d):
+    return bins.pair_weights(cover(spark, d))
+
+
+@query("endpoint_similarity", f"WITH {SQL_PAIRS} SELECT ep_a, ep_b, round(sim, 5) AS sim FROM pairs")
+def endpoint_similarity(spark, d):
+    return pairs(spark, d).select("ep_a", "ep_b", F.round("sim", 5).alias("sim"))
+
+
+@query("endpoint_coverage", f"WITH {SQL_PAIRS} SELECT ep_a, ep_b, round(cov, 5) AS cov FROM pairs")
+def endpoint_coverage(spark, d):
+    return pairs(spark, d).select("ep_a", "ep_b", F.round("cov", 5).alias("cov"))
+
+
+@query(
+    "contig_pair_weight",
+    f"WITH {SQL_PAIRS} SELECT least(va::VARCHAR, vb::VARCHAR) AS a, greatest(va::VARCHAR, vb::VARCHAR) AS b, round(sum(sim + cov), 4) AS weight FROM pairs WHERE va <> vb AND sim + cov > 0 GROUP BY 1, 2",
+)
+def contig_pair_weight(spark, d):
+    numbers = table(spark, d, "supplier").select(F.concat(F.lit("c_contig_"), F.col("s_suppkey").cast("string")).alias("contig"), F.col("s_suppkey").alias("number"))
+    return bins.contig_weights(pairs(spark, d), numbers).withColumn("weight", F.round("weight", 4))
+
+
+# ------------------------------------------------------------------ linking
+
+
+def members(spark, d):
+    """Suppliers as contigs in three partitions."""
+    s = table(spark, d, "supplier")
+    return s.select((F.col("s_suppkey") % 3).alias("partition"), F.concat(F.lit("c_contig_"), F.col("s_suppkey").cast("string")).alias("contig"), F.col("s_suppkey").alias("ord"))
+
+
+@query(
+    "edge_dedupe",
+    f"""WITH {SQL_PAIRS}, two AS (SELECT ep_a, ep_b, va, vb, round(sim, 5) AS w FROM pairs UNION ALL SELECT ep_a, ep_b, va, vb, round(cov, 5) FROM pairs)
+SELECT va % 3 AS partition, least(ep_a, ep_b) AS a, greatest(ep_a, ep_b) AS b, max(w) AS w FROM two WHERE w >= 20 AND va <> vb AND va % 3 = vb % 3 GROUP BY ALL""",
+)
+def edge_dedupe(spark, d):
+    p = pairs(spark, d)
+    ends = ["ep_a", "ep_b", "contig_a", "contig_b"]
+    both = p.select(*ends, F.round("sim", 5).alias("w")).unionByName(p.select(*ends, F.round("cov", 5).alias("w")))
+    return linking.candidate_edges(both, members(spark, d))
+
+
+def _links(spark, d):
+    """Accepted similarity edges, coverage edges and the merged ones."""
+    p, m = materialize(pairs(spark, d), "pairs"), members(spark, d)
+    held = m.select("partition", "contig")
+    sim, cov = (linking.candidate_edges(p.withColumn("w", F.round(c, 5)), m) for c in ("sim", "cov"))
+    sim, cov = linking.greedy_path_cover(sim, held), linking.greedy_path_cover(cov, held)
+    return sim, cov, linking.two_phase(sim, cov, held)
+
+
+@query("greedy_path_cover")
+def greedy_path_cover(spark, d):
+    p, m = pairs(spark, d).withColumn("w", F.round("sim", 5)), members(spark, d)
+    return linking.greedy_path_cover(materialize(linking.candidate_edges(p, m, 5), "edges"), m.select("partition", "contig"))
+
+
+@query("two_phase_links")
+def two_phase_links(spark, d):
+    return _links(spark, d)[2]
+
+
+@query("linked_chains")
+def linked_chains(spark, d):
+    return linking.chains(materialize(_links(spark, d)[2], "links"), members(spark, d))
+
+
+#: Walks of orders by customer: their prices fall and rise, every fifth step is internal.
+SQL_STEPS = "steps AS (SELECT o_custkey AS chain, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS pos, o_totalprice AS w, o_orderkey % 5 = 0 AS internal FROM orders)"
+
+
+@query(
+    "chain_split",
+    f"""WITH RECURSIVE {SQL_STEPS}, r(chain, pos, prev, piece) AS (
+  SELECT chain, pos, CASE WHEN internal THEN NULL ELSE w END, 0 FROM steps WHERE pos = 0
+  UNION ALL
+  SELECT s.chain, s.pos, CASE WHEN s.internal OR (r.prev > 0 AND s.w < r.prev * 0.3) THEN NULL ELSE s.w END, r.piece + CASE WHEN NOT s.internal AND r.prev > 0 AND s.w < r.prev * 0.3 THEN 1 ELSE 0 END
+  FROM r JOIN steps s ON s.chain = r.chain AND s.pos = r.pos + 1)
+SELECT chain, pos, piece::BIGINT AS piece FROM r""",
+)
+def chain_split(spark, d):
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) - 1
+    steps = table(spark, d, "orders").select(F.col("o_custkey").alias("chain"), place.cast("long").alias("pos"), F.col("o_totalprice").alias("w"), (F.col("o_orderkey") % 5 == 0).alias("internal"))
+    return linking.split_on_drop(steps).select("chain", "pos", "piece")
+
+
+# ------------------------------------------------------------------ sequences
+
+
+@query(
+    "gap_prediction",
+    """SELECT o_orderkey, round(CASE WHEN o_totalprice > 1000 THEN greatest(1.0, least(100.0, pow(pow(10.0, 2.8475) / (o_totalprice / 500), 1 / 0.379))) ELSE 100.0 END, 6) AS gap,
+  greatest(1, round_even(CASE WHEN o_totalprice > 1000 THEN greatest(1.0, least(100.0, pow(pow(10.0, 2.8475) / (o_totalprice / 500), 1 / 0.379))) ELSE 100.0 END, 0)::INT) AS n_bases FROM orders""",
+)
+def gap_prediction(spark, d):
+    w = F.when(F.col("o_totalprice") > 1000, F.col("o_totalprice") / 500).otherwise(F.lit(0.0))
+    return table(spark, d, "orders").select("o_orderkey", F.round(sq.gap(w, 0.379, 2.8475), 6).alias("gap"), sq.gap_length(w, 0.379, 2.8475).alias("n_bases"))
+
+
+def records(spark, d):
+    """Documents as sequence records, a line of text as a line of sequence."""
+    seq = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.concat(F.lit("doc_contig_"), F.col("doc_id").cast("string")).alias("name"), seq.alias("seq"))
+
+
+@query("fasta_lengths", "SELECT 'doc_contig_' || doc_id AS name, length(replace(coalesce(text, ''), chr(10), '')) AS length FROM documents")
+def fasta_lengths(spark, d):
+    return records(spark, d).select("name", F.length("seq").cast("long").alias("length"))
+
+
+@query("sequence_stats", "SELECT count(*) AS n, sum(k)::BIGINT AS total, min(k) AS least, max(k) AS most, round(avg(k), 6) AS mean FROM (SELECT length(replace(coalesce(text, ''), chr(10), '')) AS k FROM documents)")
+def sequence_stats(spark, d):
+    k = fasta_lengths(spark, d)
+    return k.agg(F.count("*").alias("n"), F.sum("length").alias("total"), F.min("length").alias("least"), F.max("length").alias("most"), F.round(F.avg("length"), 6).alias("mean"))
+
+
+@query(
+    "reverse_complement",
+    "SELECT doc_id, reverse(translate(regexp_replace(upper(replace(replace(coalesce(text, ''), chr(10), ''), 'ß', 'ss')), '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA')) AS seq FROM documents",
+)
+def reverse_complement(spark, d):
+    return records(spark, d).select(F.col("row_id").alias("doc_id"), sq.reverse_complement(F.upper("seq")).alias("seq"))
+
+
+@query("rename_upper", "SELECT 'chr1_contig_' || row_number() OVER (ORDER BY doc_id) AS name, upper(replace(replace(coalesce(text, ''), chr(10), ''), 'ß', 'ss')) AS seq FROM documents")
+def rename_upper(spark, d):
+    order = numbered(records(spark, d).select("row_id"), [F.col("row_id")], "no")
+    named = records(spark, d).join(order, "row_id")
+    return named.select(F.concat(F.lit("chr1_contig_"), F.col("no").cast("string")).alias("name"), F.upper("seq").alias("seq"))
+
+
+@query("wrap_80", r"SELECT doc_id, rtrim(regexp_replace(replace(coalesce(text, ''), chr(10), ''), '(.{80})', '\1' || chr(10), 'g'), chr(10)) AS wrapped FROM documents")
+def wrap_80(spark, d):
+    return records(spark, d).select(F.col("row_id").alias("doc_id"), sq.wrap(F.col("seq")).alias("wrapped"))
+
+
+#: Orders as chains of their line items' suppliers, each supplier once, with the phone book
+#: of suppliers as sequences.
+SQL_PIECES = """lines AS (SELECT l_orderkey AS chain, l_suppkey AS number, min(l_linenumber) AS line, bool_and(l_returnflag <> 'R') AS forward FROM lineitem GROUP BY 1, 2),
+pieces AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY line, number) - 1 AS piece, lag(number) OVER (PARTITION BY chain ORDER BY line, number) AS before FROM lines),
+ws AS (SELECT least(x.l_suppkey, y.l_suppkey) AS lo, greatest(x.l_suppkey, y.l_suppkey) AS hi, max(x.l_quantity + y.l_quantity) AS w FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey WHERE x.l_returnflag = 'A' AND y.l_returnflag = 'A' GROUP BY ALL),
+gapped AS (SELECT p.*, CASE WHEN before IS NULL THEN 0 ELSE greatest(1, round_even(CASE WHEN w > 0 THEN greatest(1.0, least(100.0, pow(pow(10.0, 2.8475) / w, 1 / 1.5))) ELSE 100.0 END, 0)::INT) END AS gap
+  FROM pieces p LEFT JOIN ws ON lo = least(number, before) AND hi = greatest(number, before) AND before IS NOT NULL)"""
+
+
+@query(
+    "scaffold_assembly",
+    f"""WITH {SQL_PIECES}, parts AS (SELECT chain, piece, repeat('N', gap) || CASE WHEN forward THEN upper(s_name) ELSE reverse(translate(regexp_replace(upper(s_name), '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA')) END AS part
+  FROM gapped JOIN supplier ON number = s_suppkey)
+SELECT chain, count(*) AS n_contigs, string_agg(part, '' ORDER BY piece) AS seq FROM parts GROUP BY chain""",
+)
+def scaffold_assembly(spark, d):
+    from pyspark.sql import Window
+
+    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("chain"), F.col("l_suppkey").alias("number"), "l_linenumber", "l_returnflag", "l_quantity")
+    lines = items.groupBy("chain", "number").agg(F.min("l_linenumber").alias("line"), F.bool_and(F.col("l_returnflag") != "R").alias("forward"))
+    place = F.row_number().over(Window.partitionBy("chain").orderBy("line", "number")) - 1
+    # Two ends per supplier, in the order that its direction asks for.
+    ends = F.array(F.when(F.col("forward"), 1).otherwise(2), F.when(F.col("forward"), 2).otherwise(1))
+    steps = lines.withColumn("piece", place).select("chain", F.posexplode(ends).alias("k", "side"), "piece", "number")
+    name = F.concat(F.lit("s_contig_"), F.col("number").cast("string"))
+    chain_ends = steps.select("chain", (2 * F.col("piece") + F.col("k")).alias("pos"), F.concat_ws("_", name, F.col("side").cast("string")).alias("endpoint"))
+    own = items.filter("l_returnflag = 'A'").select("chain", F.col("number").alias("a"), "l_quantity")
+    other = own.select("chain", F.col("a").alias("b"), F.col("l_quantity").alias("qb"))
+    weights = own.join(other, "chain").filter("a < b").groupBy("a", "b").agg(F.max(F.col("l_quantity") + F.col("qb")).alias("weight"))
+    pieces = scaffold.gaps(scaffold.pair_lookup(scaffold.oriented(chain_ends), weights), 1.5, 2.8475)
+    seqs = table(spark, d, "supplier").select(F.concat(F.lit("s_contig_"), F.col("s_suppkey").cast("string")).alias("name"), F.upper("s_name").alias("seq"))
+    return scaffold.assemble(pieces, seqs)
+
+
+@query("unplaced_contigs", "SELECT p_name AS name, p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40)")
+def unplaced_contigs(spark, d):
+    parts = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("name"), "p_name", "p_partkey")
+    used = table(spark, d, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 40").select(F.col("l_partkey").cast("string").alias("contig"))
+    return scaffold.unplaced(parts, used).select(F.col("p_name").alias("name"), "p_partkey")
