@@ -30,7 +30,7 @@ class Rule:
 
 #: Integer conditions, so that every engine agrees on each vote. A sign of junk that is
 #: missing says little, since junk has one sign or another: such rules abstain then.
-PROSE = "100 * n_symbols <= word_chars AND 100 * n_upper <= 12 * n_letters AND 100 * n_repeat_words <= 5 * n_words"
+PROSE = "n_words >= 10 AND 100 * n_symbols <= word_chars AND 100 * n_upper <= 12 * n_letters AND 100 * n_repeat_words <= 5 * n_words"
 RULES = (
     Rule("length", "false", "n_words < 10"),
     Rule("prose", PROSE, "false"),
