@@ -287,7 +287,8 @@ PLANTS = (
     ("div.promo", "p"), ("div.popup", "p"), ("div.breadcrumbs",),
 )
 #: Containers that content is moved to, so that no one element name decides.
-HOMES = (("article",), ("main",), ("main", "article"), ("main", "div"), ("article", "section"), ("div", "article"), ("div.content",), ("div.post.body",), ("div",))
+HOMES = (("article",), ("main",), ("main", "article"), ("main", "div"), ("article", "section"), ("div", "article"), ("div.content",), ("div.post.body",), ("div",), ())
+ROOTS = (("html", "body"), ("html", "body"), ("body",), ())
 
 
 #: What content itself may stand in.
@@ -298,7 +299,11 @@ def variants(page: list, rng: np.random.Generator) -> tuple[list, list[int]]:
     """A training page: content in another container, boilerplate planted around and inside."""
     told = [teacher(*b) for b in page]
     prose = [b for b, y in zip(page, told, strict=True) if y and len(b[1]) > 40]
-    home = HOMES[rng.integers(len(HOMES))]
+    home, root = HOMES[rng.integers(len(HOMES))], ROOTS[rng.integers(len(ROOTS))]
+    if prose and rng.random() < 0.15:
+        # A fragment: one block, at times a very long one.
+        text = " ".join(prose[rng.integers(len(prose))][1] for _ in range(int(rng.choice([1, 1, 5, 200]))))
+        return [((*root, *home, "p"), text, 0)], [1]
     out, labels = [], []
     # In some variants the content is mostly lists, cells and quotes.
     odd = 0.5 if rng.random() < 0.4 else 0.1
@@ -314,7 +319,7 @@ def variants(page: list, rng: np.random.Generator) -> tuple[list, list[int]]:
             words = text.split(" ")[: int(rng.integers(1, 60))]
             short = " ".join(words)
             linked = len(short) if rng.random() < 0.4 else 0
-            out.append((("html", "body", *(home if inside else ()), *path), short, linked))
+            out.append(((*root, *(home if inside else ()), *path), short, linked))
             labels.append(0)
 
     for b, y in zip(page, told, strict=True):
@@ -327,7 +332,7 @@ def variants(page: list, rng: np.random.Generator) -> tuple[list, list[int]]:
                 path = INNER[rng.integers(len(INNER))]
                 if rng.random() < 0.5:
                     text = " ".join(text.split(" ")[: int(rng.integers(1, 12))])
-            out.append((("html", "body", *home, *path), text, min(b[2], len(text))))
+            out.append(((*root, *home, *path), text, min(b[2], len(text))))
         else:
             out.append(b)
         labels.append(y)
