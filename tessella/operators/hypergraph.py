@@ -132,7 +132,8 @@ def top_up(kept: DataFrame, all_edges: DataFrame, min_degree: int = 1, max_round
             break
         blocked = waits.join(left.select("v"), "v").select(F.col("neighbor").alias("v")).distinct()
         ready = left.join(blocked, "v", "left_anti")
-        got = added.groupBy(F.col("neighbor").alias("v")).agg(F.count("*").alias("got"))
+        # A larger vertex may act in an earlier round, but its turn comes later.
+        got = added.filter("v < neighbor").groupBy(F.col("neighbor").alias("v")).agg(F.count("*").alias("got"))
         mine = offers.drop("need").join(ready, "v").join(added.select(F.col("neighbor").alias("v"), F.col("v").alias("neighbor")), ["v", "neighbor"], "left_anti")
         mine = mine.join(got, "v", "left").withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("place")))
         new = mine.filter(F.col("nth") <= F.col("need") - F.coalesce("got", F.lit(0))).select("v", "neighbor", "weight")
