@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.sources.text import ROW_ID
@@ -32,7 +32,11 @@ def merge(alignments: DataFrame, order: Column | None = None, min_length: int =
 def extract(placements: DataFrame, min_quality: int = MIN_QUALITY, min_query_end: int = MIN_QUERY_END, least: int = MIN_CONTACTS) -> DataFrame:
     """Placements good enough of reads that have ``least`` of them; the test is on the query's end."""
     good = placements.filter((F.col("q_end") >= min_query_end) & (F.col("mapq") >= min_quality))
-    return good.withColumn("n", F.count("*").over(Window.partitionBy("read"))).filter(F.col("n") >= least).drop("n")
+    if least <= 1:
+        return good
+    # Counted before the shuffle; the join can split a read with very many rows.
+    enough = good.groupBy("read").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("read")
+    return good.join(enough, "read", "left_semi")
 
 
 def contact_lists(extracted: DataFrame, order: Column | None = None) -> DataFrame:

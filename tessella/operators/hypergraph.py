@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.numbering import exact_quantile
 from tessella.plans.materialize import materialize
 
 GEOMETRIC, ARITHMETIC, HARMONIC = 1, 2, 3
@@ -18,12 +19,12 @@ def vertex_filter(entries: DataFrame, factor: float = 1.0, edge: str = "read", w
     """
     factor = factor if factor and factor > 0 else 1.0
     known = entries.filter(F.col(weight).isNotNull())
-    w = Window.partitionBy(edge)
-    n, total = F.count("*").over(w), F.sum(weight).over(w)
-    marked = known.withColumns({"__n": n, "__total": total})
+    # Summed before the shuffle, so a hyperedge with very many entries is no single task's.
+    sums = known.groupBy(F.col(edge).alias("__edge")).agg(F.count("*").alias("__n"), F.sum(weight).alias("__total"))
+    marked = known.join(sums, F.col(edge).eqNullSafe(F.col("__edge")))
     others = (F.col("__total") - F.col(weight)) / F.nullif(F.col("__n") - 1, F.lit(0))
     keep = (F.col("__n") <= 1) | (F.col(weight) >= F.lit(factor) * 0.5 * others)
-    return marked.filter(keep).drop("__n", "__total").withColumn(weight, F.col(weight).cast("long"))
+    return marked.filter(keep).drop("__n", "__total", "__edge").withColumn(weight, F.col(weight).cast("long"))
 
 
 def to_hyperedges(merged: DataFrame) -> DataFrame:
@@ -80,14 +81,15 @@ def percentile_filter(edges: DataFrame, p: float = 10, weight: str = "w") -> Dat
     """Edges of the p-th percentile (linear interpolation, exact) or more; none of none."""
     if not 0 <= p <= 100:
         raise ValueError("a percentile lies in 0..100")
-    # One row.
-    cut = edges.agg(F.percentile(weight, F.lit(p / 100)).alias("__cut"))
-    return edges.join(F.broadcast(cut), F.col(weight) >= F.col("__cut")).drop("__cut")
+    cut = exact_quantile(edges, weight, p / 100)
+    return edges if cut is None else edges.filter(F.col(weight) >= F.lit(cut))
 
 
 def distribution(edges: DataFrame, weight: str = "w") -> DataFrame:
+    """Least, largest, mean and median weight and the number of edges, in one row."""
+    middle = exact_quantile(edges, weight, 0.5)
     return edges.agg(
-        F.min(weight).alias("min_w"), F.max(weight).alias("max_w"), F.avg(weight).alias("mean_w"), F.median(weight).alias("median_w"), F.count("*").alias("n")
+        F.min(weight).alias("min_w"), F.max(weight).alias("max_w"), F.avg(weight).alias("mean_w"), F.lit(middle).cast("double").alias("median_w"), F.count("*").alias("n")
     )
 
 

@@ -1,7 +1,9 @@
-"""Row numbers over a whole table without one task that sees all of it."""
+"""Row numbers and exact quantiles of a whole table without one task that sees all of it."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,3 +24,19 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
     place = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
     return held.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + place).drop("__id", "__part", "__before")
+
+
+def exact_quantile(df: DataFrame, column: str, p: float) -> float | None:
+    """The p-quantile with linear interpolation; None of no values.
+
+    Values are numbered by range, and the two on either side of the wanted place are read.
+    """
+    values = numbered(df.select(F.col(column).cast("double").alias("x")).filter("x is not null"), [F.asc("x")], "no")
+    n = values.count()
+    if not n:
+        return None
+    place = (n - 1) * p
+    lo = math.floor(place)
+    # Two rows at most.
+    found = {r["no"]: r["x"] for r in values.filter(F.col("no").isin(lo + 1, math.ceil(place) + 1)).collect()}
+    return found[lo + 1] + (found[math.ceil(place) + 1] - found[lo + 1]) * (place - lo)
