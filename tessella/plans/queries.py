@@ -16,6 +16,7 @@ from tessella.operators import bins, community, hypergraph, linking, scaffold
 from tessella.operators.components import connected_components
 from tessella.operators.numbering import numbered
 from tessella.plans.materialize import materialize
+from tessella.sources import fasta, interchange
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -463,3 +464,110 @@ def unplaced_contigs(spark, d):
     parts = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("name"), "p_name", "p_partkey")
     used = table(spark, d, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 40").select(F.col("l_partkey").cast("string").alias("contig"))
     return scaffold.unplaced(parts, used).select(F.col("p_name").alias("name"), "p_partkey")
+
+
+# ------------------------------------------------------------------ text forms
+
+
+@query(
+    "merged_text",
+    f"""WITH {SQL_ALN}, {SQL_MERGED}, r AS (SELECT read, string_agg(contig || ',0,' || length || ',' || strand || ',' || t_start || ',' || t_end || ',' || length, chr(10) ORDER BY first, contig) AS body
+  FROM (SELECT m.* FROM merged m) GROUP BY read), h AS (SELECT DISTINCT read FROM aln)
+SELECT h.read, h.read || ':' || coalesce(chr(10) || body, '') AS value FROM h LEFT JOIN r USING (read)""",
+)
+def merged_text(spark, d):
+    """The merged length stands for the query's end too: several first rows may share one."""
+    rows = merged(spark, d).withColumn("q_end", F.col("length")).withColumn("first", F.struct("first", "contig"))
+    reads = alignments(spark, d).select("read").distinct()
+    out = interchange.merged_lines(rows.withColumn("read", F.col("read").cast("string")), reads.withColumn("read", F.col("read").cast("string")))
+    return out.select(F.col("read").cast("long").alias("read"), "value")
+
+
+@query(
+    "extracted_text",
+    f"""WITH {SQL_ALN}, good AS (SELECT * FROM aln WHERE q_end >= 100 AND mapq >= 60)
+SELECT read, read || ':' || chr(10) || string_agg(contig || ',' || t_len || ',' || t_start || ',' || t_end || ',' || mapq, chr(10) ORDER BY {', '.join(ORDER)}) || chr(10) AS value FROM good GROUP BY read HAVING count(*) >= 2""",
+)
+def extracted_text(spark, d):
+    rows = al.extract(alignments(spark, d)).withColumn("read", F.col("read").cast("string"))
+    return interchange.extracted_lines(rows).select(F.col("read").cast("long").alias("read"), "value")
+
+
+SQL_LINES = f"{SQL_KEPT}, lines AS (SELECT read, string_agg(vertex || ' ' || weight, ' ' ORDER BY first, vertex) AS value FROM kept GROUP BY read)"
+
+
+def hyper_lines(spark, d):
+    return interchange.hyperedge_lines(hyper_vertices(spark, d).select(F.col("edge_id").alias("read"), F.struct("pos", "vertex").alias("pos"), "vertex", "weight"))
+
+
+@query("hyperedge_text", f"WITH {SQL_LINES} SELECT read, value FROM lines")
+def hyperedge_text(spark, d):
+    return hyper_lines(spark, d)
+
+
+@query("hyperedge_parse", f"WITH {SQL_LINES} SELECT read AS edge_id, vertex, weight::DOUBLE AS weight, row_number() OVER (PARTITION BY read ORDER BY first, vertex) - 1 AS pos FROM kept")
+def hyperedge_parse(spark, d):
+    lines = hyper_lines(spark, d).select(F.col("read").alias("row_id"), "value")
+    return interchange.parse_hyperedges(lines).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("community_text", "SELECT s_nationkey AS label, s_nationkey || ': ' || string_agg(s_suppkey::VARCHAR, ' ' ORDER BY s_suppkey) AS value FROM supplier GROUP BY 1")
+def community_text(spark, d):
+    return interchange.community_lines(labelled(spark, d))
+
+
+@query("community_parse", "SELECT s_nationkey::VARCHAR AS partition, s_suppkey::VARCHAR AS vertex FROM supplier")
+def community_parse(spark, d):
+    lines = interchange.community_lines(labelled(spark, d)).select(F.col("label").alias("row_id"), "value")
+    return interchange.parse_partitions(lines).select("partition", "vertex")
+
+
+@query(
+    "weight_text",
+    "WITH w AS (SELECT l_suppkey AS a, l_partkey AS b, sum(l_quantity) / 4 AS w FROM lineitem GROUP BY 1, 2) SELECT a::VARCHAR AS a, b::VARCHAR AS b, a || ' ' || b || ' ' || printf('%.2f', w) AS value FROM w",
+)
+def weight_text(spark, d):
+    """Quarters, which both engines hold exactly."""
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("a"), F.col("l_partkey").cast("string").alias("b"))
+    return interchange.weight_lines(rows.agg((F.sum("l_quantity") / 4).alias("weight")))
+
+
+@query("adjacency_text", f"WITH {SQL_BOTH} SELECT v, row_number() OVER (PARTITION BY v ORDER BY floor(weight) DESC, neighbor) AS rank, v || ' ' || neighbor || ' ' || floor(weight)::BIGINT || '.0' AS value FROM arcs")
+def adjacency_text(spark, d):
+    """Whole weights, which both engines write alike below ten million."""
+    return interchange.adjacency_lines(hypergraph.adjacency(graph(spark, d).withColumn("w", F.floor("w").cast("double"))))
+
+
+@query("chain_parse", "SELECT o_custkey || '_1' AS chain, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, 'o_' || o_orderkey AS endpoint FROM orders")
+def chain_parse(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("partition"), F.lit(1).alias("chain_no"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("o_"), F.col("o_orderkey").cast("string")).alias("endpoint"))
+    lines = interchange.chain_lines(rows).select(F.col("partition").alias("row_id"), "value")
+    return interchange.parse_chains(lines).select("chain", F.col("pos").cast("long").alias("pos"), "endpoint")
+
+
+@query("length_text", "SELECT doc_id AS row_id, '>doc_contig_' || doc_id || chr(10) || length(replace(coalesce(text, ''), chr(10), '')) AS value FROM documents")
+def length_text(spark, d):
+    return fasta.length_lines(records(spark, d).withColumn("length", F.length("seq")))
+
+
+@query(
+    "scaffold_text",
+    r"SELECT doc_id AS no, '>scaffold' || doc_id || chr(10) || rtrim(regexp_replace(replace(coalesce(text, ''), chr(10), ''), '(.{80})', '\1' || chr(10), 'g'), chr(10)) AS value FROM documents",
+)
+def scaffold_text(spark, d):
+    return fasta.scaffold_lines(records(spark, d).select(F.col("row_id").alias("no"), "seq"))
+
+
+@query(
+    "name_parts",
+    """SELECT c_custkey, split_part(name, '_', -1) AS suffix, regexp_extract(name, '^(.*)_([^_]*)$', 1) AS stem, regexp_extract(name, '_([0-9]+)_[^0-9]*$', 1)::BIGINT AS number
+FROM (SELECT c_custkey, 'c_' || c_custkey || '_' || lower(c_mktsegment) AS name FROM customer)""",
+)
+def name_parts(spark, d):
+    name = F.concat(F.lit("c_"), F.col("c_custkey").cast("string"), F.lit("_"), F.lower("c_mktsegment"))
+    return table(spark, d, "customer").select("c_custkey", sq.suffix(name).alias("suffix"), sq.stem(name).alias("stem"), sq.digit_segment(name).alias("number"))
+
+
+@query("mean_degree", f"WITH {SQL_BOTH} SELECT round(avg(n), 6) AS mean_degree FROM (SELECT count(*) AS n FROM arcs GROUP BY v)")
+def mean_degree(spark, d):
+    return hypergraph.degrees(graph(spark, d)).agg(F.round(F.avg("degree"), 6).alias("mean_degree"))

@@ -1,7 +1,8 @@
 """Readers and writers of the pipeline's intermediate text files.
 
 Inside the library stages pass DataFrames; these exist to exchange files with other tools.
-Readers return rows with ``row_id``; writers return the lines to give to ``write_lines``.
+Readers scan a path and hand its lines (row_id, value) to a parser; writers return the lines
+to give to ``write_lines``.
 """
 
 from __future__ import annotations
@@ -12,13 +13,17 @@ from pyspark.sql import functions as F
 from tessella.sources.text import ROW_ID, scan_lines, under_headers
 
 
-def _trimmed(spark: SparkSession, path: str) -> DataFrame:
-    return scan_lines(spark, path).withColumn("value", F.regexp_replace("value", r"^\s+|\s+$", "")).filter("value <> ''")
+def _trimmed(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("value", F.regexp_replace("value", r"^\s+|\s+$", "")).filter("value <> ''")
 
 
 def read_merged(spark: SparkSession, path: str) -> DataFrame:
+    return parse_merged(scan_lines(spark, path))
+
+
+def parse_merged(lines: DataFrame) -> DataFrame:
     """Blocks ``read:`` of ``contig,q_start,q_end,strand,t_start,t_end,length``, 7 fields or more."""
-    rows = under_headers(_trimmed(spark, path), F.col("value").endswith(":"))
+    rows = under_headers(_trimmed(lines), F.col("value").endswith(":"))
     f = F.split("value", ",")
     kept = rows.select(ROW_ID, F.expr("left(header, length(header) - 1)").alias("read"), f.alias("f")).filter(F.size("f") >= 7)
     names = ("q_start", "q_end", "t_start", "t_end", "length")
@@ -27,8 +32,12 @@ def read_merged(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_extracted(spark: SparkSession, path: str) -> DataFrame:
+    return parse_extracted(scan_lines(spark, path))
+
+
+def parse_extracted(lines: DataFrame) -> DataFrame:
     """Blocks ``read:`` (one word) of ``contig,t_len,t_start,t_end,mapq``, five fields exactly."""
-    rows = under_headers(_trimmed(spark, path), F.col("value").endswith(":") & (F.size(F.split("value", r"\s+")) == 1))
+    rows = under_headers(_trimmed(lines), F.col("value").endswith(":") & (F.size(F.split("value", r"\s+")) == 1))
     kept = rows.select(ROW_ID, F.expr("left(header, length(header) - 1)").alias("read"), F.split("value", ",").alias("f")).filter(F.size("f") == 5)
     out = kept.select(
         ROW_ID, "read", F.replace(F.col("f")[0], F.lit(":"), F.lit("")).alias("contig"), *[F.trim(F.col("f")[k]).try_cast("long").alias(n) for n, k in (("t_len", 1), ("t_start", 2), ("t_end", 3))]
@@ -37,12 +46,16 @@ def read_extracted(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_hyperedges(spark: SparkSession, path: str) -> DataFrame:
+    return parse_hyperedges(scan_lines(spark, path))
+
+
+def parse_hyperedges(lines: DataFrame) -> DataFrame:
     """(edge_id, pos, vertex, weight) of lines ``id w id w ...``.
 
     A line with an odd number of words, or one that is no number, is left out whole. Of a
     vertex named twice the first place and the last weight stay.
     """
-    lines = _trimmed(spark, path).select(F.col(ROW_ID).alias("edge_id"), F.split("value", r"\s+").alias("f")).filter(F.size("f") % 2 == 0)
+    lines = _trimmed(lines).select(F.col(ROW_ID).alias("edge_id"), F.split("value", r"\s+").alias("f")).filter(F.size("f") % 2 == 0)
     pairs = F.transform(
         F.sequence(F.lit(0), F.size("f") - 2, F.lit(2)),
         lambda i: F.struct(F.get("f", i).try_cast("long").alias("vertex"), F.get("f", i + 1).try_cast("double").alias("weight")),
@@ -53,8 +66,12 @@ def read_hyperedges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_partitions(spark: SparkSession, path: str) -> DataFrame:
+    return parse_partitions(scan_lines(spark, path))
+
+
+def parse_partitions(lines: DataFrame) -> DataFrame:
     """(partition, vertex, pos) of lines ``label: v v ...``; two colons in a line are an error."""
-    lines = _trimmed(spark, path).filter(F.contains("value", F.lit(":")))
+    lines = _trimmed(lines).filter(F.contains("value", F.lit(":")))
     checked = lines.withColumn("f", F.split("value", ":"))
     checked = checked.withColumn("f", F.when(F.size("f") == 2, F.col("f")).otherwise(F.raise_error(F.concat(F.lit("not one colon in: "), "value")).cast("array<string>")))
     long = checked.select(F.trim(F.col("f")[0]).alias("partition"), ROW_ID, F.posexplode(F.split(F.trim(F.col("f")[1]), r"\s+")).alias("pos", "vertex"))
@@ -62,16 +79,24 @@ def read_partitions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_weights(spark: SparkSession, path: str) -> DataFrame:
+    return parse_weights(scan_lines(spark, path))
+
+
+def parse_weights(lines: DataFrame) -> DataFrame:
     """(a, b, weight) of lines ``a b weight`` with a positive weight."""
     f = F.split("value", r"\s+")
-    rows = _trimmed(spark, path).select(f.alias("f"))
+    rows = _trimmed(lines).select(f.alias("f"))
     out = rows.select(F.get("f", F.lit(0)).try_cast("long").alias("a"), F.get("f", F.lit(1)).try_cast("long").alias("b"), F.get("f", F.lit(2)).try_cast("double").alias("weight"))
     return out.filter("weight > 0")
 
 
 def read_chains(spark: SparkSession, path: str) -> DataFrame:
+    return parse_chains(scan_lines(spark, path))
+
+
+def parse_chains(lines: DataFrame) -> DataFrame:
     """(row_id, chain, pos, endpoint) of lines ``name: ep ep ...``; other lines are left out."""
-    lines = _trimmed(spark, path).withColumn("f", F.split("value", ": ")).filter(F.size("f") == 2)
+    lines = _trimmed(lines).withColumn("f", F.split("value", ": ")).filter(F.size("f") == 2)
     return lines.select(ROW_ID, F.col("f")[0].alias("chain"), F.posexplode(F.split(F.trim(F.col("f")[1]), r"\s+")).alias("pos", "endpoint"))
 
 

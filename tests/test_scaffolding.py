@@ -88,3 +88,12 @@ def test_scaffold_text(spark, stages, tmp_path):
     # Weight 74.70 asks for far more than the largest gap.
     seq = "A" * 100 + "CG" + "N" * 100 + "acGT"
     assert text["scaffolds"] == ">scaffold1\n" + "\n".join(seq[i : i + 80] for i in range(0, len(seq), 80)) + "\n"
+
+
+def test_command_line(spark, inputs, tmp_path):
+    from tessella.__main__ import main
+
+    paf, contigs = inputs
+    main(["--paf", paf, "--contig", contigs, "--output_dir", str(tmp_path / "out"), "--min_w", "20", "-q", "60"])
+    text = "".join(f.read_text() for f in sorted((tmp_path / "out" / "chains").glob("part-*")))
+    assert text == "0_1: chr1_contig_1_1 chr1_contig_1_2\n0_2: chr1_contig_2_1 chr1_contig_2_2\n"
