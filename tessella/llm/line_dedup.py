@@ -153,7 +153,9 @@ def _probing(heavy: list[bytes] | None, n_shards: int):
                 held = count > 0
                 keep = ~held | (doc != last)
                 kind[held] = 2
-                spread = (b.column("th").to_numpy().view(np.uint64) >> np.uint64(7)) % np.uint64(n_shards)
+                # By document and text, so that neither copies nor one text's lines meet.
+                mixed = _mix(b.column("th").to_numpy().view(np.uint64), doc.view(np.uint64), 0)
+                spread = mixed % np.uint64(n_shards)
                 shard[held] = spread[held].astype(np.int32)
             out = [pa.array(shard[keep]), pa.array(kind[keep]), *(b.column(c).filter(pa.array(keep)) for c in ("doc", "th", "pos", "h1", "h2"))]
             parts = pa.nulls(int(keep.sum()), pa.list_(pa.binary()))
