@@ -29,14 +29,24 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 def exact_quantile(df: DataFrame, column: str, p: float) -> float | None:
     """The p-quantile with linear interpolation; None of no values.
 
-    Values are numbered by range, and the two on either side of the wanted place are read.
+    Values are sorted by range; the counts of the parts, one short row each, tell which part
+    holds the wanted place, and the values on either side of it are read there.
     """
-    values = numbered(df.select(F.col(column).cast("double").alias("x")).filter("x is not null"), [F.asc("x")], "no")
-    n = values.count()
+    dealt = df.select(F.col(column).cast("double").alias("x")).filter("x is not null").repartitionByRange("x").sortWithinPartitions("x")
+    held = materialize(dealt.select("x", F.monotonically_increasing_id().alias("id")), "sorted")
+    sizes = sorted((r["part"], r["n"]) for r in held.groupBy(F.shiftright("id", 33).alias("part")).agg(F.count("*").alias("n")).collect())
+    n = sum(k for _, k in sizes)
     if not n:
         return None
     place = (n - 1) * p
-    lo = math.floor(place)
+    ids = []
+    for at in (math.floor(place), math.ceil(place)):
+        for part, k in sizes:
+            if at < k:
+                ids.append((part << 33) + at)
+                break
+            at -= k
     # Two rows at most.
-    found = {r["no"]: r["x"] for r in values.filter(F.col("no").isin(lo + 1, math.ceil(place) + 1)).collect()}
-    return found[lo + 1] + (found[math.ceil(place) + 1] - found[lo + 1]) * (place - lo)
+    found = {r["id"]: r["x"] for r in held.filter(F.col("id").isin(ids)).collect()}
+    lo, hi = (found[i] for i in ids)
+    return lo + (hi - lo) * (place - math.floor(place))

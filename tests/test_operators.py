@@ -213,3 +213,13 @@ def test_stream_equals_batch(spark, tmp_path):
     rows = paf.read_alignments(spark, str(folder)).filter("mapq >= 60")
     want = rows.groupBy("read", "contig").agg(F.sum(F.col("q_end") - F.col("q_start"))).collect()
     assert got == sorted(map(tuple, want)) and got
+
+
+@pytest.mark.parametrize("p", [0, 10, 33.3, 50, 97, 100])
+def test_quantile_equals_numpy(spark, p):
+    from tessella.operators.numbering import exact_quantile
+
+    values = np.random.default_rng(2).normal(size=997).round(2)
+    frame = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "w double").repartition(7)
+    assert exact_quantile(frame, "w", p / 100) == pytest.approx(np.percentile(values, p), abs=1e-12)
+    assert exact_quantile(frame.limit(0), "w", 0.5) is None
