@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from tessella.plans import pipeline
+from tessella.plans.materialize import release
 from tessella.plans.pipeline import Parameters
 
 
@@ -37,6 +38,7 @@ def main(argv: list[str] | None = None) -> None:
     paf, contig, out = (given.pop(k) for k in ("paf", "contig", "output_dir"))
     spark = SparkSession.builder.appName("tessella").getOrCreate()
     pipeline.write(pipeline.run(spark, paf, contig, Parameters(**given)), out)
+    release(spark)
 
 
 if __name__ == "__main__":

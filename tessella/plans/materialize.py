@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_WRITTEN: list[str] = []
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -28,6 +29,7 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     before = spark.conf.get(_FREE, None)
     spark.conf.set(_FREE, "true")
     try:
@@ -35,3 +37,17 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     finally:
         spark.conf.set(_FREE, before) if before is not None else spark.conf.unset(_FREE)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that this session has materialised; call it once results are written.
+
+    Returns their number. Frames that were built on them can't be read afterwards.
+    """
+    jvm = spark.sparkContext._jvm
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        at = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        at.getFileSystem(hadoop).delete(at, True)
+    return n
