@@ -137,8 +137,7 @@ def teacher(path: tuple[str, ...], text: str, linked: int) -> int:
     inside = False
     for label in path:
         tag, *names = label.split(".")
-        if tag in ("article", "main") or (names and not NAMES.isdisjoint(("article", "main")) and not NAMES.intersection(names)):
-            inside = True
+        inside = inside or tag in ("article", "main") or "article" in names or "main" in names
         if tag in ASIDE or NAMES.intersection(names) or (tag == "header" and not inside):
             return 0
     if inside:
