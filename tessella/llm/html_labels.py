@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.sample import bounded
+
 #: Pages to train on at most; their markup at most, in characters, the longer ones left out.
 SAMPLE_PAGES, SAMPLE_CHARS = 300, 40_000
 PATH_DIM, WORD_DIM, EXTRA, HIDDEN, EPOCHS, SEED = 48, 24, 6, 12, 14, 11
@@ -373,9 +375,10 @@ def train(pages: list[str], epochs: int = EPOCHS, seed: int = SEED) -> Labeller:
 
 
 def fit(pages: DataFrame, key: str = "page_id", html: str = "html", sample: int = SAMPLE_PAGES) -> Labeller:
-    """Train on ``sample`` pages at most, the first by hash of the key."""
-    short = pages.filter(F.length(html) <= SAMPLE_CHARS).select(F.xxhash64(F.col(key)).alias("h"), F.col(html).alias("html"))
-    return train([r["html"] for r in short.orderBy("h", "html").limit(sample).collect()])
+    """Train on about ``sample`` pages, never more, chosen by hash of the key."""
+    short = pages.filter(F.length(html) <= SAMPLE_CHARS).select(F.col(key).alias("k"), F.col(html).alias("html"))
+    chosen = bounded(short, F.col("k"), sample).collect()
+    return train([r["html"] for r in sorted(chosen, key=lambda r: (str(r["k"]), r["html"]))])
 
 
 def extract(pages: DataFrame, model: Labeller, html: str = "html", batch: int = 256) -> DataFrame:

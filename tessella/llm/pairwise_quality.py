@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.features import COUNTS, text_counts
+from tessella.llm.sample import bounded
+from tessella.plans.materialize import materialize
 
 #: Labelled rows to fit on, and preference pairs drawn from them: the documented bounds.
 MAX_LABELLED, PAIRS, SEED, RIDGE, STEPS = 20_000, 60_000, 7, 1e-3, 40
@@ -95,15 +97,16 @@ def held_out(key: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_labelled: int) -> Ranker:
-    """Fit on ``max_labelled`` labelled rows at most, the first by hash of the key."""
+    """Fit on about ``max_labelled`` labelled rows, never more, chosen by hash of the key."""
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
     known = known.groupBy(F.col(key).alias("__id")).agg(F.min(label).alias("__label"))
-    known = known.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
+    # Written once, so that what limit() picks is the same wherever it is used.
+    known = materialize(bounded(known, F.col("__id"), max_labelled), "labelled")
     # At most max_labelled rows of 12 bytes: 240 kB.
     rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("text")).join(F.broadcast(known), "__id")
-    # Copies of a document in the table must not raise the number of rows beyond the bound.
+    # Rows of the table that share a key must not raise the number beyond twice the bound.
     got = text_counts(rows).select(F.col("__label").alias("label"), F.array(*features()).alias("x"), F.xxhash64("__id").alias("h"))
-    got = got.orderBy("h", "label", "x").limit(max_labelled).toPandas()
+    got = got.orderBy("h", "label", "x").limit(2 * max_labelled).toPandas()
     x = np.array(got["x"].tolist(), np.float64).reshape(len(got), len(features()))
     return fit(x, got["label"].to_numpy() == 1)
 
