@@ -100,7 +100,6 @@ def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, m
     """Fit on about ``max_labelled`` labelled rows, never more, chosen by hash of the key."""
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
     known = known.groupBy(F.col(key).alias("__id")).agg(F.min(label).alias("__label"))
-    # Written once, so that what limit() picks is the same wherever it is used.
     known = materialize(bounded(known, F.col("__id"), max_labelled), "labelled")
     # At most max_labelled rows of 12 bytes: 240 kB.
     rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("text")).join(F.broadcast(known), "__id")

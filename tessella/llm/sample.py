@@ -17,4 +17,4 @@ def bounded(rows: DataFrame, key: Column, most: int) -> DataFrame:
     total = rows.count()
     if total > most:
         rows = rows.filter(F.pmod(F.xxhash64(key), F.lit(_CELLS)) < int(_CELLS * most / total))
-    return rows.limit(most)
+    return rows.orderBy(F.xxhash64(key), key).limit(most)
