@@ -51,5 +51,5 @@ def run_counts(alignments: DataFrame, merged: DataFrame) -> DataFrame:
     """Counters of a run in one row: rows read, reads, merged rows and reads that keep any."""
     a = alignments.agg(F.count("*").alias("alignments"), F.countDistinct("read").alias("reads"))
     m = merged.agg(F.count("*").alias("merged"), F.countDistinct("read").alias("kept_reads"))
-    # One row each.
-    return a.join(m, F.lit(True))
+    both = a.unionByName(m, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
