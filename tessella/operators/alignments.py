@@ -23,10 +23,9 @@ def merge(alignments: DataFrame, order: Column | None = None, min_length: int =
     """
     order = F.col(ROW_ID) if order is None else order
     carried = [c for c in ("q_start", "q_end", "strand", "t_start", "t_end") if c in alignments.columns]
-    grouped = alignments.groupBy("read", "contig").agg(
-        F.sum("length").alias("length"), F.min_by(F.struct(*carried), order).alias("r"), F.min(order).alias("first")
-    )
-    return grouped.filter(F.col("length") >= min_length).select("read", "contig", *[f"r.{c}" for c in carried], "length", "first")
+    row = F.struct(order.alias("first"), *carried)
+    grouped = alignments.groupBy("read", "contig").agg(F.sum("length").alias("length"), F.min(row).alias("r"))
+    return grouped.filter(F.col("length") >= min_length).select("read", "contig", *[f"r.{c}" for c in carried], "length", "r.first")
 
 
 def extract(placements: DataFrame, min_quality: int = MIN_QUALITY, min_query_end: int = MIN_QUERY_END, least: int = MIN_CONTACTS) -> DataFrame:
