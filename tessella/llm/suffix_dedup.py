@@ -413,7 +413,10 @@ def repeated_runs(texts: DataFrame, shard_regions: int = SHARD_REGIONS) -> DataF
     found = binary.mapInArrow(_scan, "d1 long, d2 long, anchor long, region long, first int, last int")
     found = materialize(found, "anchors")
     per = found.groupBy("anchor").agg(F.count("*").alias("places"), F.min("region").alias("lo"), F.max("region").alias("hi"))
-    shared = materialize(found.join(per.filter("places > 1"), "anchor").select("d1", "d2", "anchor", "region", "first", "last", (F.col("lo") == F.col("hi")).alias("alike")), "shared")
+    # Written first, so that both sides of the join are plain shuffles and a hot anchor's
+    # rows can be split between tasks.
+    per = materialize(per.filter("places > 1"), "per")
+    shared = materialize(found.join(per, "anchor").select("d1", "d2", "anchor", "region", "first", "last", (F.col("lo") == F.col("hi")).alias("alike")), "shared")
     alike = shared.filter("alike").select("d1", "d2", "first", "last")
     # A region stands for all its copies: the number of places, and one of them to read it at.
     place = F.struct("d1", "d2", "first", "last")
@@ -442,6 +445,8 @@ def repeated_runs(texts: DataFrame, shard_regions: int = SHARD_REGIONS) -> DataF
         across = across.repartition(max(parts, n_shards), "part").sortWithinPartitions("part")
         repeats = repeats.unionByName(across.mapInArrow(_merge, "anchor long, region long, first int, last int"))
     within = repeats.groupBy("anchor", "region").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    # Written first, as above: one region may stand in a third of all documents.
+    within = materialize(within, "within")
     back = shared.filter("not alike").select("anchor", "region", "d1", "d2", F.col("first").alias("base")).join(within, ["anchor", "region"])
     back = back.select("d1", "d2", "base", F.explode("runs").alias("r"))
     moved = [(F.col("base") + F.col(f"r.{c}")).cast("int").alias(c) for c in ("first", "last")]
