@@ -113,7 +113,9 @@ kept AS (SELECT read, vertex, length AS weight, first FROM (SELECT *, count(*) O
 
 
 def kept_entries(spark, d):
-    return hypergraph.vertex_filter(merged(spark, d).select("read", "contig", F.col("length").alias("weight"), "first"))
+    # The filter reads its input twice, for the sums and for the rows.
+    entries = merged(spark, d).select("read", "contig", F.col("length").alias("weight"), "first")
+    return hypergraph.vertex_filter(materialize(entries, "entries"))
 
 
 def hyper_vertices(spark, d):
