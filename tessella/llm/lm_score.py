@@ -5,6 +5,8 @@ gathered over the whole corpus twice, for the background (all documents) and for
 (documents chosen as in-domain), and smoothed alike by interpolation with lower orders. A
 document's score is the mean over its tokens of the target's loss less the background's:
 the lower, the more it is like the target.
+
+The query scores by words instead (``word_model``): these tables do not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.plans.materialize import materialize
+from tessella.llm import word_model
 
 V, CELLS, SLICE = 128, 128**3, 1 << 22
 #: Weight of a context's own counts against the next lower order: n / (n + RESERVE).
@@ -126,5 +128,4 @@ def lm_score_query(documents: DataFrame, labels: DataFrame) -> DataFrame:
     # Labels grow with the documents: a plain shuffle at every size, no broadcast at small ones.
     good = good.withColumnRenamed("doc_id", "d").hint("merge")
     marked = documents.select("doc_id", "text").join(good, F.col("doc_id") == F.col("d"), "left").drop("d")
-    # The labels are joined once, and both passes read the outcome.
-    return score(materialize(marked, "marked"), F.col("good"))
+    return word_model.score(marked, F.col("good"))
