@@ -238,6 +238,19 @@ def graph_components(spark, d):
     return connected_components(items.select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1_000_000_000).alias("b")))
 
 
+@query(
+    "graph_components_whole",
+    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS x, l_suppkey + 1000000000 AS y FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(node, component) USING KEY (node) AS (SELECT DISTINCT x, x FROM b UNION SELECT b.y, min(r.component) FROM r JOIN b ON r.node = b.x JOIN recurring.r AS u ON u.node = b.y WHERE r.component < u.component GROUP BY b.y)
+SELECT node, component FROM r""",
+)
+def graph_components_whole(spark, d):
+    """All line items; the SQL spreads least labels, as the closure is too slow for them."""
+    items = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return connected_components(items.select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1_000_000_000).alias("b")).distinct())
+
+
 # ------------------------------------------------------------------ ends and bins
 
 
@@ -253,6 +266,19 @@ def suffix_assignment(spark, d):
     return bins.assign_partitions(contigs, parts)
 
 
+@query(
+    "suffix_assignment_whole",
+    """WITH k AS (SELECT 'customer_' || (c_custkey % 2)::VARCHAR || '_' || (c_custkey // 2)::VARCHAR AS contig, min(c_custkey) AS ord FROM customer GROUP BY 1), e AS (SELECT split_part(contig, '_', -1) AS number, arg_min(contig, ord) AS contig FROM k GROUP BY 1)
+SELECT s_nationkey AS partition, s_suppkey::VARCHAR AS number, contig FROM supplier JOIN e ON s_suppkey::VARCHAR = number""",
+)
+def suffix_assignment_whole(spark, d):
+    """Two names to every number, and as many numbers as the table gives."""
+    names = F.expr("concat('customer_', c_custkey % 2, '_', c_custkey div 2)")
+    contigs = table(spark, d, "customer").groupBy(names.alias("contig")).agg(F.min("c_custkey").alias("ord"))
+    parts = table(spark, d, "supplier").select(F.col("s_nationkey").alias("partition"), F.col("s_suppkey").alias("number"))
+    return bins.assign_partitions(contigs, parts)
+
+
 @query("duplicate_suffixes", "SELECT split_part(p_name, '_', -1) AS number, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
 def duplicate_suffixes(spark, d):
     return bins.duplicate_suffixes(table(spark, d, "part").select(F.col("p_name").alias("contig")))
