@@ -65,18 +65,21 @@ def _window_minima(h: np.ndarray, run: int) -> np.ndarray:
     """Place of the least of every ``run`` consecutive values, the leftmost among equals.
 
     Prefix and suffix minima inside blocks of ``run``; a window meets two blocks at most.
+    The choice depends on the window's own values alone, never on where it stands.
     """
     n = len(h)
     m = n - run + 1
-    low = (h & ~np.uint64(0xFFF)) | (np.arange(n, dtype=np.uint64) & np.uint64(0xFFF))
-    # The low 12 bits hold the place, modulo 4096: windows are shorter than half of that.
+    # The low bits hold the place in the block.
+    mask = np.uint64((1 << (run - 1).bit_length()) - 1)
+    low = (h & ~mask) | (np.arange(n) % run).astype(np.uint64)
     pad = -n % run
     full = np.concatenate([low, np.full(pad, ~np.uint64(0))]).reshape(-1, run)
-    ahead = np.minimum.accumulate(full, axis=1).ravel()
-    behind = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(behind[:m], ahead[run - 1 : run - 1 + m])
+    ahead = np.minimum.accumulate(full, axis=1).ravel()[run - 1 : run - 1 + m]
+    behind = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()[:m]
     start = np.arange(m, dtype=np.int64)
-    return start + ((least & np.uint64(0xFFF)).astype(np.int64) - start) % 4096
+    left = (behind & ~mask) <= (ahead & ~mask)
+    block = np.where(left, start, start + run - 1) // run
+    return block * run + (np.where(left, behind, ahead) & mask).astype(np.int64)
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
