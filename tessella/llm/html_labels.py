@@ -31,6 +31,10 @@ BATCH_CELLS = 1 << 16
 
 SILENT = frozenset("script style noscript template head title meta link svg canvas iframe object audio video map select option button textarea datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: What may stand in a head; anything else begins the body.
+HEAD = frozenset("head base basefont bgsound link meta title script style noscript noframes template".split())
+#: Silent elements that are passed over where the page has no end tag for them any more.
+ENDED = ("button", "noscript", "object", "iframe", "template", "svg", "canvas", "audio", "video", "map", "select", "datalist")
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -51,8 +55,13 @@ _NAME = re.compile(r"[a-z]+")
 class _Blocks(HTMLParser):
     """Text blocks of a page in order: (path, text, characters in links)."""
 
-    def __init__(self):
+    def __init__(self, html: str = ""):
         super().__init__(convert_charrefs=True)
+        low = html.lower()
+        self.ends = {tag: low.count("</" + tag) for tag in ENDED}
+        if not self.ends["iframe"]:
+            # Else the parser takes all that follows as its raw text.
+            self.CDATA_CONTENT_ELEMENTS = tuple(t for t in self.CDATA_CONTENT_ELEMENTS if t != "iframe")
         self.stack: list[tuple[str, str]] = []
         self.silent = 0
         self.links = 0
@@ -67,18 +76,31 @@ class _Blocks(HTMLParser):
                 self.blocks.append((tuple(label for tag, label in self.stack if tag not in INLINE), text, min(self.linked, len(text))))
         self.parts, self.linked = [], 0
 
+    def _end_head(self) -> None:
+        """The body begins, with or without an end of the head; a template keeps what it holds."""
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] == "head":
+                self.flush()
+                self._pop(k)
+                return
+            if self.stack[k][0] == "template":
+                return
+
     def handle_starttag(self, tag: str, attrs) -> None:
+        if self.silent and tag not in HEAD:
+            self._end_head()
         if tag in INLINE:
             self.links += tag == "a"
             self.stack.append((tag, tag))
             return
         self.flush()
-        if tag in VOID:
+        if tag in VOID or self.ends.get(tag) == 0:
             return
         shut = CLOSES.get(tag)
         if shut or tag not in SILENT:
             self._imply(tag, shut)
-        names = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
+        # Names of the root and the body tell nothing about a block.
+        names = "" if tag in ("html", "body") else " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
         label = tag + "".join("." + n for n in _NAME.findall(names.lower())) if names else tag
         self.stack.append((tag, label))
         self.silent += tag in SILENT
@@ -100,11 +122,15 @@ class _Blocks(HTMLParser):
         del self.stack[k:]
 
     def handle_startendtag(self, tag: str, attrs) -> None:
+        if tag in ENDED:
+            self.ends[tag] += 1
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        if self.ends.get(tag):
+            self.ends[tag] -= 1
         if tag not in INLINE:
             self.flush()
         for k in range(len(self.stack) - 1, -1, -1):
@@ -116,6 +142,8 @@ class _Blocks(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.silent and self.stack[-1][0] == "head" and data.strip():
+            self._end_head()
         if not self.silent:
             self.parts.append(data)
             if self.links:
@@ -123,7 +151,7 @@ class _Blocks(HTMLParser):
 
 
 def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
-    parser = _Blocks()
+    parser = _Blocks(html or "")
     try:
         parser.feed(html or "")
         parser.close()
