@@ -13,10 +13,9 @@ A byte goes if a string of SPAN = 200 bytes that covers it starts at two places
    A shard builds a suffix array (Larsson-Sadakane: ranks by 8 bytes, doubled for the groups
    that are still open until 200 bytes are told apart), common prefixes by Kasai, and reads
    repeats off the runs of prefixes of 200 or more.
-4. An anchor with more regions than a shard may hold is split over several shards. Windows
-   that do not repeat in their own shard are merged across these: each shard sends sorted
-   arrays of window hashes, cut by range, and a range's task finds each array's entries in
-   the ones before it by binary search.
+4. An anchor with more regions than a shard may hold is split over several shards. Each
+   sends the hash of every distinct window once; their counts are summed by hash, and
+   windows that do not repeat in their own shard are joined to the repeated hashes.
 """
 
 from __future__ import annotations
@@ -230,135 +229,63 @@ def _runs(region: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return region[cut], start[cut], start[end]
 
 
-_SHARD = "shard long, anchor long, region long, first int, last int, part int, hashes binary, starts binary"
+_SHARD = "anchor long, region long, first int, last int, n int, hash long"
 
 
-def _solve_shards(parts: int):
-    """Sorted by shard: repeats per region; for split anchors also the other windows' hashes.
+def solve_shard(anchor: list[int], ident: list[int], texts: list[bytes], weights: np.ndarray, split: np.ndarray) -> list[np.ndarray]:
+    """Columns of _SHARD: n = 0 gives runs of repeats, n > 0 each distinct window of split anchors once.
 
-    A row with part = -1 gives repeated starts of a region; one with part >= 0 gives the
-    sorted hashes of one region's windows in that range that did not repeat here.
+    n is 1 where the window stands once in the shard, at ``first`` of the region, else 2. So
+    a window of however many regions is one row of each shard.
     """
-
-    def solve(held: list[dict]) -> Iterator[dict]:
-        anchor = [a for h in held for a in h["anchor"]]
-        ident = [r for h in held for r in h["region"]]
-        texts = [t for h in held for t in h["bytes"]]
-        weights = np.array([w for h in held for w in h["places"]], np.float64)
-        split = np.array([s for h in held for s in h["split"]], bool)
-        region, start = repeated_starts(texts, weights)
-        rows = []
-        for r, s, e in zip(*(x.tolist() for x in _runs(region, start)), strict=True):
-            rows.append((anchor[r], ident[r], s, e, -1, None, None))
-        if split.any():
-            known: dict[int, set] = {}
-            for r, s in zip(region.tolist(), start.tolist(), strict=True):
-                if split[r]:
-                    known.setdefault(r, set()).add(s)
-            for r in np.flatnonzero(split).tolist():
-                # Windows that repeat here stay in the exchange: they may be new to others.
-                view = memoryview(texts[r])
-                hashes = np.array([xxhash.xxh3_64_intdigest(view[s : s + SPAN], 1) for s in range(len(texts[r]) - SPAN + 1)], np.uint64)
-                seen = known.get(r, ())
-                part = (hashes >> np.uint64(32)) % np.uint64(parts)
-                for p in np.unique(part).tolist():
-                    mine = np.flatnonzero(part == p)
-                    mine = mine[np.argsort(hashes[mine], kind="stable")]
-                    flag = np.array([s in seen for s in mine.tolist()], np.int64)
-                    rows.append((anchor[r], ident[r], 0, 0, int(p), hashes[mine].tobytes(), (mine * 2 + flag).astype(np.int64).tobytes()))
-        return rows
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        names = ["shard", "anchor", "region", "first", "last", "part", "hashes", "starts"]
-
-        def told(held: list[dict], shard: int) -> Iterator[pa.RecordBatch]:
-            rows = solve(held)
-            for lo in range(0, len(rows), 4096):
-                columns = list(zip(*[(shard, *r) for r in rows[lo : lo + 4096]], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
-
-        held, at = [], None
-        for b in batches:
-            shard = b.column("shard").to_numpy()
-            if not len(shard):
-                continue
-            cuts = (np.flatnonzero(np.diff(shard)) + 1).tolist()
-            for lo, hi in zip([0, *cuts], [*cuts, len(shard)], strict=True):
-                if held and shard[lo] != at:
-                    yield from told(held, int(at))
-                    held = []
-                at = shard[lo]
-                held.append({c: b.column(c).slice(lo, hi - lo).to_pylist() for c in ("anchor", "region", "bytes", "places", "split")})
-        if held:
-            yield from told(held, int(at))
-
-    return run
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by range: window hashes that two regions or more of split anchors hold.
-
-    Arrays are merged one after the other into the sorted hashes seen so far; an entry
-    found there by binary search repeats, and so does the one it was found in.
-    """
-
-    def told(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        # Doubling merges: arrays of like length, each pair by one binary search.
-        stack: list[tuple[np.ndarray, np.ndarray]] = []
-        for hashes, flags in held:
-            stack.append((hashes, flags))
-            while len(stack) > 1 and len(stack[-2][0]) <= 2 * len(stack[-1][0]):
-                stack.append(_merge_two(stack.pop(-2), stack.pop()))
-        while len(stack) > 1:
-            stack.append(_merge_two(stack.pop(-2), stack.pop()))
-        seen, again = stack[0]
-        rows = [[], [], [], []]
-        for (hashes, flags), (anchor, region, starts) in zip(held, held_ids, strict=True):
-            hit = again[np.searchsorted(seen, hashes)] & ~flags
-            s = np.sort(starts[hit])
-            _, first, last = _runs(np.zeros(len(s), np.int64), s)
-            for o, v in zip(rows, ([anchor] * len(first), [region] * len(first), first.tolist(), last.tolist()), strict=True):
-                o.extend(v)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["anchor", "region", "first", "last"]
-        )
-
-    held, held_ids, at = [], [], None
+    region, start = repeated_starts(texts, weights)
+    r, first, last = _runs(region, start)
+    zero = np.zeros(len(r), np.int64)
+    out = [(r, first, last, zero, zero)]
+    if split.any():
+        of, at, hashes = [], [], []
+        for k in np.flatnonzero(split).tolist():
+            view = memoryview(texts[k])
+            n = len(texts[k]) - SPAN + 1
+            hashes.append(np.array([xxhash.xxh3_64_intdigest(view[s : s + SPAN], 1) for s in range(n)], np.uint64))
+            of.append(np.full(n, k, np.int64))
+            at.append(np.arange(n))
+        of, at, hashes = (np.concatenate(x) for x in (of, at, hashes))
+        known = region << 32 | start
+        again = np.isin(of << 32 | at, known)
+        hashes, one = np.unique(hashes, return_index=True)
+        out.append((of[one], at[one], at[one], np.where(again[one], 2, 1), hashes.view(np.int64)))
+    r, first, last, n, h = (np.concatenate(x) for x in zip(*out, strict=True))
+    return [np.array(anchor, np.int64)[r], np.array(ident, np.int64)[r], first, last, n, h]
+
+
+def _solve_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by shard."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+
+    def told(held: list[dict]) -> Iterator[pa.RecordBatch]:
+        anchor, ident, texts, weights, split = ([x for h in held for x in h[c]] for c in ("anchor", "region", "bytes", "places", "split"))
+        columns = solve_shard(anchor, ident, texts, np.array(weights, np.float64), np.array(split, bool))
+        for lo in range(0, len(columns[0]), 65_536):
+            arrays = [pa.array(c[lo : lo + 65_536]).cast(t) for c, t in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["anchor", "region", "first", "last", "n", "hash"])
+
+    held, at = [], None
     for b in batches:
-        for row in b.to_pylist():
-            if held and row["part"] != at:
+        shard = b.column("shard").to_numpy()
+        if not len(shard):
+            continue
+        cuts = (np.flatnonzero(np.diff(shard)) + 1).tolist()
+        for lo, hi in zip([0, *cuts], [*cuts, len(shard)], strict=True):
+            if held and shard[lo] != at:
                 yield from told(held)
-                held, held_ids = [], []
-            at = row["part"]
-            hashes, starts = np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["starts"], np.int64)
-            held.append((hashes, (starts & 1).astype(bool)))
-            held_ids.append((row["anchor"], row["region"], starts >> 1))
+                held = []
+            at = shard[lo]
+            held.append({c: b.column(c).slice(lo, hi - lo).to_pylist() for c in ("anchor", "region", "bytes", "places", "split")})
     if held:
         yield from told(held)
 
 
-def _merge_two(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of both, and whether each repeats: flagged in either, or in both."""
-    (x, fx), (y, fy) = (_distinct(*v) for v in (a, b))
-    at = np.searchsorted(x, y)
-    met = at < len(x)
-    met[met] = x[at[met]] == y[met]
-    fx = fx.copy()
-    fx[at[met]] = True
-    z, fz = np.concatenate([x, y[~met]]), np.concatenate([fx, fy[~met]])
-    order = np.argsort(z, kind="stable")
-    return z[order], fz[order]
-
-
-def _distinct(x: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if len(x) < 2:
-        return x, f
-    head = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-    n = np.diff(np.concatenate([head, [len(x)]]))
-    return x[head], np.logical_or.reduceat(f, head) | (n > 1)
-
-
 # ---------------------------------------------------------------- the corpus
 
 
@@ -406,6 +333,21 @@ def _identity() -> list:
     return [F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), F.col("text")).alias("d2")]
 
 
+def _across(windows: DataFrame) -> DataFrame:
+    """Runs of windows that stand once in their own shard and again in another.
+
+    Sums of a hash meet before the shuffle, and only windows that their shard holds once
+    ask for them, so a hash has no more rows than there are shards.
+    """
+    again = windows.groupBy("hash").agg(F.sum("n").alias("all")).filter("all > 1").select("hash")
+    again = materialize(again, "again")
+    single = windows.filter("n = 1").select("hash", "anchor", "region", "first").join(again, "hash", "left_semi")
+    starts = single.groupBy("anchor", "region").agg(F.sort_array(F.collect_list("first")).alias("s"))
+    first = F.expr("filter(s, (x, i) -> i = 0 or s[i - 1] < x - 1)")
+    last = F.expr("filter(s, (x, i) -> i = size(s) - 1 or s[i + 1] > x + 1)")
+    return starts.select("anchor", "region", F.explode(F.arrays_zip(first.alias("first"), last.alias("last"))).alias("r")).select("anchor", "region", "r.first", "r.last")
+
+
 def repeated_runs(texts: DataFrame, shard_regions: int = SHARD_REGIONS) -> DataFrame:
     """(d1, d2, first, last): runs of starts of repeated windows, from (text).
 
@@ -438,15 +380,8 @@ def repeated_runs(texts: DataFrame, shard_regions: int = SHARD_REGIONS) -> DataF
     shard = F.when(split, F.pmod(F.xxhash64("anchor", sub), F.lit(2**61)) + n_shards).otherwise(own)
     dealt = regions.select("anchor", "region", "places", "bytes", split.alias("split"), shard.alias("shard"))
     dealt = dealt.repartition(n_shards, "shard").sortWithinPartitions("shard")
-    # A range holds about as many window hashes as fill 16 MB.
-    many = mixed.join(rivals.filter(F.col("rivals") > shard_regions), "anchor", "left_semi").count()
-    parts = max(1, -(-many * (SPAN - K + 1) // 1_000_000))
-    solved = materialize(dealt.mapInArrow(_solve_shards(parts), _SHARD), "solved")
-    repeats = solved.filter("part < 0").select("anchor", "region", "first", "last")
-    if many:
-        across = solved.filter("part >= 0").select("part", "anchor", "region", "hashes", "starts")
-        across = across.repartition(max(parts, n_shards), "part").sortWithinPartitions("part")
-        repeats = repeats.unionByName(across.mapInArrow(_merge, "anchor long, region long, first int, last int"))
+    solved = materialize(dealt.mapInArrow(_solve_shards, _SHARD), "solved")
+    repeats = solved.filter("n = 0").select("anchor", "region", "first", "last").unionByName(_across(solved.filter("n > 0")))
     within = repeats.groupBy("anchor", "region").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     # Written first, as above: one region may stand in a third of all documents.
     within = materialize(within, "within")
