@@ -9,7 +9,10 @@ from tessella.llm.text import let, total, whole, words
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_distinct")
+#: Runs of symbols, ends of sentences, those with a lower-case letter behind them, and plain letters.
+MARKS = r"[#*$%&|<>]+"
+ENDS, BROKEN, LATIN, VOWELS = r"[.!?]([\x20\x09-\x0D]|\z)", r"[.!?][\x20\x09-\x0D]+\p{Ll}", "[A-Za-z]", "[AEIOUYaeiouy]"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_distinct", "n_marks", "n_ends", "n_broken", "n_latin", "n_vowels")
 
 
 def _covered(grams: Column, k: int) -> Column:
@@ -46,7 +49,10 @@ def repeated_words(w: Column, k: int = WINDOW) -> Column:
 
 
 def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the columns of COUNTS in place of ``text``; a null text counts as empty."""
+    """``docs`` with the columns of COUNTS in place of ``text``; a null text counts as empty.
+
+    Columns of ``docs`` that have a count's name are replaced by it.
+    """
     kept = [c for c in docs.columns if c != text and c not in COUNTS]
     t = F.col("__text")
     split = docs.select(
@@ -67,4 +73,5 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         F.regexp_count(t, F.lit(r"\p{L}")).cast("long").alias("n_letters"),
         F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
+        *[F.regexp_count(t, F.lit(p)).cast("long").alias(n) for n, p in (("n_marks", MARKS), ("n_ends", ENDS), ("n_broken", BROKEN), ("n_latin", LATIN), ("n_vowels", VOWELS))],
     )

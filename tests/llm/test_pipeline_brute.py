@@ -1,10 +1,11 @@
 """The whole pipeline on a small fixture against a plain Python version of its five stages."""
 
+import re
 import unicodedata
 
 import numpy as np
 from test_dedup import brute_lines, words
-from test_quality import brute
+from test_quality import brute, em
 from test_text_ops import brute_contamination
 
 import corpus_pipeline as cp
@@ -22,20 +23,18 @@ def quality(rows):
         kinds = [unicodedata.category(c) for c in t]
         counts.append({
             "n_words": w, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dups, "n_repeat_words": repeats, "n_lines": len(lines),
-            "n_upper": kinds.count("Lu"), "n_letters": sum(k[0] == "L" for k in kinds), "n_distinct": len(set(t.split())),
+            "n_upper": kinds.count("Lu"), "n_letters": sum(k[0] == "L" for k in kinds), "n_distinct": len(set(t.split())), "n_marks": len(re.findall(r"[#*$%&|<>]+", t)),
+            "n_ends": len(re.findall(r"[.!?](?:[\x20\x09-\x0D]|\Z)", t)), "n_broken": len(re.findall(r"[.!?][\x20\x09-\x0D]+[a-z]", t)), "n_latin": len(re.findall("[A-Za-z]", t)),
+            "n_vowels": len(re.findall("[AEIOUYaeiouy]", t)),
         })
 
     def holds(rule, c):
-        return eval(rule.replace("AND", "and").replace("OR", "or").replace("false", "False"), {}, c)  # noqa: S307
+        return eval(rule.replace("AND", "and").replace("OR", "or").replace(" = ", " == "), {}, c)  # noqa: S307
 
     votes = np.array([[0 if holds(r.bad, c) else 2 if holds(r.good, c) else 1 for r in qr.RULES] for c in counts])
-    p = np.where((votes == 0).any(axis=1), 0.1, 0.9)
-    for _ in range(qr.ROUNDS):
-        right = ((votes == 2) * p[:, None] + (votes == 0) * (1 - p[:, None])).sum(axis=0) + qr.RIGHT
-        acc = right / ((votes != 1).sum(axis=0) + qr.VOTES)
-        p = 1 / (1 + np.exp(-((votes - 1) * np.log(acc / (1 - acc))).sum(axis=1)))
+    p = em(votes, np.ones(len(votes)))
     failed = [c["n_words"] < 10 or 100 * c["n_repeat_words"] > 20 * c["n_words"] for c in counts]
-    return [r for r, f, x in zip(rows, failed, p) if not f and x >= qr.KEEP_FROM]
+    return [r for r, f, x in zip(rows, failed, p) if not f and x > qr.KEEP_OVER]
 
 
 def first_of_group(rows, n=5, least=0.8):
