@@ -1,126 +1,15 @@
-"""Cross-entropy difference of two n-gram models over one vocabulary.
+"""Cross-entropy difference of matched target and background models: what the query asks for.
 
-The vocabulary is fixed: 128 classes of UTF-8 bytes. Counts of all trigrams of classes are
-gathered over the whole corpus twice, for the background (all documents) and for the target
-(documents chosen as in-domain), and smoothed alike by interpolation with lower orders. A
-document's score is the mean over its tokens of the target's loss less the background's:
-the lower, the more it is like the target.
-
-The query scores by words instead (``word_model``): these tables do not grow with the corpus.
+The models and the scoring are in ``word_model``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import word_model
 
-V, CELLS, SLICE = 128, 128**3, 1 << 22
-#: Weight of a context's own counts against the next lower order: n / (n + RESERVE).
-RESERVE = 8.0
-
-
-def _fold() -> np.ndarray:
-    """Byte to class: letters lower, blanks and controls as space, the upper half folded in."""
-    table = np.arange(256)
-    table[:33] = 32
-    table[65:91] += 32
-    upper = np.arange(128, 256)
-    # Continuation bytes take the 32 codes of controls, lead bytes those of capitals.
-    table[128:] = np.where(upper < 192, upper & 31, 65 + (upper & 31) % 26)
-    return table.astype(np.uint8)
-
-
-FOLD = _fold()
-
-
-def _slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from, to, codes, sizes): trigram codes of whole texts, a bounded number at a time."""
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    raw = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
-    lo = 0
-    while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE, "right")) - 1)
-        hi = min(hi, len(texts))
-        sizes = np.diff(offsets[lo : hi + 1])
-        at = np.arange(int(sizes.sum())) + 2 * np.repeat(np.arange(1, hi - lo + 1), sizes)
-        folded = np.full(len(at) + 2 * (hi - lo), 32, np.int32)
-        folded[at] = FOLD[raw[offsets[lo] : offsets[hi]]]
-        yield lo, hi, (folded[at - 2] << 14) | (folded[at - 1] << 7) | folded[at], sizes
-        lo = hi
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trigram counts of a task: one row per trigram that occurs in it."""
-    total, target = np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64)
-    for b in batches:
-        chosen = b.column("target").to_numpy(zero_copy_only=False)
-        for lo, hi, codes, sizes in _slices(b.column("text")):
-            total += np.bincount(codes, minlength=CELLS)
-            target += np.bincount(codes[np.repeat(chosen[lo:hi], sizes)], minlength=CELLS)
-    seen = np.flatnonzero(total)
-    for lo in range(0, len(seen), 65_536):
-        at = seen[lo : lo + 65_536]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at]), pa.array(target[at])], names=["code", "background", "target"])
-
-
-def losses(counts: np.ndarray) -> np.ndarray:
-    """-ln P(c | a b) for each code a b c, from trigram counts, by interpolation."""
-    tri = counts.reshape(V, V, V).astype(np.float64)
-    bi, uni = tri.sum(axis=0), tri.sum(axis=(0, 1))
-    p1 = (uni + 1) / (uni.sum() + V)
-    p2 = (bi + RESERVE * p1[None, :]) / (bi.sum(axis=1, keepdims=True) + RESERVE)
-    p3 = (tri + RESERVE * p2[None, :, :]) / (tri.sum(axis=2, keepdims=True) + RESERVE)
-    return -np.log(p3).ravel()
-
-
-def corpus_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Background and target counts over all of (text binary, target)."""
-    parts = docs.mapInArrow(_count, "code int, background long, target long")
-    # At most CELLS = 2,097,152 rows of 20 bytes.
-    summed = parts.groupBy("code").agg(F.sum("background").alias("background"), F.sum("target").alias("target")).toArrow()
-    out = np.zeros((2, CELLS), np.int64)
-    code = summed.column("code").to_numpy()
-    for k, name in enumerate(("background", "target")):
-        out[k, code] = summed.column(name).to_numpy()
-    return out[0], out[1]
-
-
-def score(docs: DataFrame, target: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, target_loss, background_loss, score) for every row.
-
-    ``target`` marks the in-domain rows; null is no. A token is a byte of the UTF-8 text; a
-    null or empty text has none and all three figures 0. Without any target row its model
-    is uniform. Repeated rows count as often as they occur.
-    """
-    spark = docs.sparkSession
-    marked = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
-    background, chosen = corpus_counts(marked.select("text", "target"))
-    # Two tables of CELLS float32: 17 MB whatever the corpus.
-    tables = spark.sparkContext.broadcast((losses(chosen).astype(np.float32), losses(background).astype(np.float32)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = np.zeros(b.num_rows, np.int64)
-            out = np.zeros((2, b.num_rows))
-            for lo, hi, codes, sizes in _slices(b.column("text")):
-                n[lo:hi] = sizes
-                full = np.flatnonzero(sizes)
-                if len(full):
-                    starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-                    for k, t in enumerate(tables.value):
-                        out[k, lo + full] = np.add.reduceat(t[codes].astype(np.float64), starts) / sizes[full]
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(n), *map(pa.array, out)], names=["doc", "n_tokens", "target_loss", "background_loss"])
-
-    scored = marked.select("doc", "text").mapInArrow(run, f"doc {dict(marked.dtypes)['doc']}, n_tokens long, target_loss double, background_loss double")
-    difference = F.round(F.col("target_loss") - F.col("background_loss"), 6)
-    return scored.select(F.col("doc").alias(key), "n_tokens", F.round("target_loss", 6).alias("target_loss"), F.round("background_loss", 6).alias("background_loss"), difference.alias("score"))
-
 
 def lm_score_query(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The target is what is labelled good and not toxic; the background is all documents."""
@@ -129,3 +18,26 @@ def lm_score_query(documents: DataFrame, labels: DataFrame) -> DataFrame:
     good = good.withColumnRenamed("doc_id", "d").hint("merge")
     marked = documents.select("doc_id", "text").join(good, F.col("doc_id") == F.col("d"), "left").drop("d")
     return word_model.score(marked, F.col("good"))
+
+
+ORACLE = rf"""
+WITH good AS (SELECT doc_id, bool_and(quality = 1 AND toxic = 0) AS good FROM labels GROUP BY 1),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(good, false) AS target,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x{{3000}}-\x{{9FFF}}]|[0-9a-z\x{{80}}-\x{{2FFF}}\x{{A000}}-\x{{10FFFF}}]+|[!-~]') AS w
+  FROM documents LEFT JOIN good USING (doc_id)),
+t AS MATERIALIZED (SELECT r, target, i, y, coalesce(lag(y) OVER (PARTITION BY r ORDER BY i), '') AS x FROM (SELECT r, target, generate_subscripts(s, 1) AS i, unnest(s) AS y FROM (SELECT r, target, list_append(w, '') AS s FROM d WHERE len(w) > 0))),
+one AS (SELECT y, count(*) AS n, count(*) FILTER (target) AS g FROM t GROUP BY 1),
+two AS (SELECT x, y, count(*) AS n, count(*) FILTER (target) AS g FROM t GROUP BY 1, 2),
+mine AS (SELECT r, y, count(*) AS n FROM t GROUP BY 1, 2),
+pairs AS (SELECT r, x, y, count(*) AS n FROM t GROUP BY 1, 2, 3),
+own AS (SELECT r, count(*) AS n FROM t GROUP BY 1),
+total AS (SELECT count(*) AS n, count(*) FILTER (target) AS g, count(DISTINCT y) AS v FROM t),
+c AS (SELECT t.r, one.n - mine.n AS n1, one.g - mine.n * t.target::INT AS g1, two.n - pairs.n AS n2, two.g - pairs.n * t.target::INT AS g2,
+  b.n - bm.n AS nb, b.g - bm.n * t.target::INT AS gb, total.n - own.n AS n, total.g - own.n * t.target::INT AS g, v
+  FROM t JOIN one USING (y) JOIN two ON two.x = t.x AND two.y = t.y JOIN one b ON b.y = t.x JOIN mine ON mine.r = t.r AND mine.y = t.y JOIN mine bm ON bm.r = t.r AND bm.y = t.x
+  JOIN pairs ON pairs.r = t.r AND pairs.x = t.x AND pairs.y = t.y JOIN own ON own.r = t.r, total),
+l AS (SELECT r, avg(-ln((g2 + {word_model.RESERVE} * (g1 + 1) / (g + v)) / (gb + {word_model.RESERVE}))) AS target_loss,
+  avg(-ln((n2 + {word_model.RESERVE} * (n1 + 1) / (n + v)) / (nb + {word_model.RESERVE}))) AS background_loss FROM c GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_tokens, round(coalesce(target_loss, 0), 6) AS target_loss, round(coalesce(background_loss, 0), 6) AS background_loss,
+  round(coalesce(target_loss - background_loss, 0), 6) AS score
+FROM d LEFT JOIN l USING (r)"""

@@ -63,7 +63,7 @@ def op3_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@register("op6_lm_score")
+@register("op6_lm_score", lm_score.ORACLE)
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_score_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 

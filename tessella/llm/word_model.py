@@ -11,7 +11,10 @@ are tokens one by one. Tokens and pairs are told apart by 63-bit hashes.
    in the order of its hashes, which need not be sent back.
 3. The answers meet their block's texts, and each text's loss is summed over its tokens.
 
-Nothing of the model passes through the driver but three totals.
+Every text is scored by what the others hold: its own counts are taken out of each model
+that has counted it, so a text that stands alone has no part in its own loss, and one that
+occurs twice is known by its copy. Nothing of the model passes through the driver but three
+totals.
 """
 
 from __future__ import annotations
@@ -216,20 +219,36 @@ def _adding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from told(at, rows)
 
 
-def _loss(counts: np.ndarray, token: np.ndarray, pair: np.ndarray, first: int, vocabulary: int, total: int) -> np.ndarray:
-    """-ln P of every token after the one before it, by interpolation with single tokens."""
-    one = counts[token].astype(np.float64)
-    before = np.concatenate([[counts[first]], one[:-1]])
-    p1 = (one + 1) / (total + vocabulary)
-    return -np.log((counts[pair] + RESERVE * p1) / (before + RESERVE))
+def _own(seq: np.ndarray, pair: np.ndarray, which: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Times that each token, and each pair, stands in its own text; ``which`` text each is in."""
+    out = []
+    for x in (seq, pair):
+        _, back, times = np.unique(which * n + x, return_inverse=True, return_counts=True)
+        out.append(times[back])
+    return out[0], out[1]
+
+
+def _loss(counts: np.ndarray, token: np.ndarray, pair: np.ndarray, end: int, starts: np.ndarray, own: tuple[np.ndarray, np.ndarray], used: np.ndarray, sizes: np.ndarray, vocabulary: int, total: int) -> np.ndarray:
+    """-ln P of every token after the one before it, by interpolation with single tokens.
+
+    ``used`` marks the texts that the model has counted: what they hold themselves is taken
+    off. A text's first token has END before it, which the text holds once.
+    """
+    mine = np.repeat(used, sizes)
+    one = counts[token] - own[0] * mine
+    before = np.concatenate([[0], one[:-1]])
+    before[starts] = counts[end] - used
+    p1 = (one + 1) / (total - np.repeat(used * sizes, sizes) + vocabulary)
+    return -np.log((counts[pair] - own[1] * mine + RESERVE * p1) / (before + RESERVE))
 
 
 def _scoring(kind: pa.DataType, vocabulary: int, totals: tuple[int, int]):
     """Sorted by block, texts by place and then answers by range: the mean losses of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in _blocks(batches, ("doc", "text", "counts")):
+        for _, held in _blocks(batches, ("doc", "text", "target", "counts")):
             docs = [d for d, t in zip(held["doc"], held["text"], strict=True) if t is not None]
+            chosen = np.array([c for c, t in zip(held["target"], held["text"], strict=True) if t is not None], bool)
             texts = [t for t in held["text"] if t is not None]
             answers = [np.stack([_unpack(x, np.int64) for x in (c[: len(c) // 2], c[len(c) // 2 :])]) for c in held["counts"] if c is not None]
             seq, pairs, sizes = sequence(*_data(texts))
@@ -240,12 +259,16 @@ def _scoring(kind: pa.DataType, vocabulary: int, totals: tuple[int, int]):
                 counts = np.concatenate(answers, axis=1)
                 if counts.shape[1] != len(hashes):
                     raise RuntimeError("a block's answers do not fit its texts")
-                starts = np.concatenate([[0], np.cumsum(sizes[full] + 1)[:-1]])
-                first = int(np.searchsorted(hashes, END))
+                lengths = sizes[full] + 1
+                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+                token, pair = which[: len(seq)], which[len(seq) :]
+                own = _own(token, pair, np.repeat(np.arange(len(full)), lengths), len(hashes))
+                end = int(np.searchsorted(hashes, END))
                 # The target's counts stand behind those of all.
                 for k, model in enumerate((1, 0)):
-                    loss = _loss(counts[model], which[: len(seq)], which[len(seq) :], first, vocabulary, totals[model])
-                    out[k, full] = np.add.reduceat(loss, starts) / (sizes[full] + 1)
+                    used = chosen[full].astype(np.int64) if model else np.ones(len(full), np.int64)
+                    loss = _loss(counts[model], token, pair, end, starts, own, used, lengths, vocabulary, totals[model])
+                    out[k, full] = np.add.reduceat(loss, starts) / lengths
             yield pa.RecordBatch.from_arrays([pa.array(docs, kind), pa.array(sizes), *map(pa.array, out)], names=["doc", "n_tokens", "target_loss", "background_loss"])
 
     return run
@@ -257,7 +280,7 @@ def score(docs: DataFrame, target: Column, key: str = "doc_id", text: str = "tex
     ``target`` marks the in-domain rows; null is no. A null or empty text has no tokens and
     all three figures 0; the means of the others are over their tokens and their end. The
     background is all rows, and so is the vocabulary of both models. Repeated rows count as
-    often as they occur.
+    often as they occur; each is scored by all rows but itself. Other columns are not read.
     """
     spark = docs.sparkSession
     kind = docs.select(F.col(key)).schema[0].dataType
@@ -271,10 +294,10 @@ def score(docs: DataFrame, target: Column, key: str = "doc_id", text: str = "tex
     entries = entries.repartition(parts, "part").sortWithinPartitions("part", "block")
     sums = materialize(entries.mapInArrow(_adding, _SUMS), "sums")
     totals = sums.filter("block is null").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("vocabulary", "n_every", "n_target")]).first()
-    texts = dealt.select("block", F.lit(-1).alias("part"), "place", "doc", "text", F.lit(None).cast("binary").alias("counts"))
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("doc", kind), ("text", "binary"))]
+    texts = dealt.select("block", F.lit(-1).alias("part"), "place", "doc", "text", "target", F.lit(None).cast("binary").alias("counts"))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("doc", kind), ("text", "binary"), ("target", "boolean"))]
     answers = sums.filter("block is not null").select("block", "part", F.lit(0).cast("long").alias("place"), *nothing, "counts")
-    met = texts.unionByName(answers).repartition(parts, "block").sortWithinPartitions("block", "part", "place").select("block", "doc", "text", "counts")
+    met = texts.unionByName(answers).repartition(parts, "block").sortWithinPartitions("block", "part", "place").select("block", "doc", "text", "target", "counts")
     scored = met.mapInArrow(_scoring(to_arrow_type(kind), totals[0], (totals[1], totals[2])), f"doc {kind.simpleString()}, n_tokens long, target_loss double, background_loss double")
     difference = F.round(F.col("target_loss") - F.col("background_loss"), 6)
     return scored.select(F.col("doc").alias(key), "n_tokens", F.round("target_loss", 6).alias("target_loss"), F.round("background_loss", 6).alias("background_loss"), difference.alias("score"))

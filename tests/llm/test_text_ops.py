@@ -3,13 +3,12 @@
 import hashlib
 import html as htmllib
 import itertools
-import math
 import re
 
 import numpy as np
 import pytest
 
-from tessella.llm import chat, decontaminate, html_labels, lm_score, packing
+from tessella.llm import chat, decontaminate, html_labels, packing
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -103,53 +102,6 @@ def test_pack(frame):
         packing.pack(frame(rows), max_len=50, budget=49)
 
 
-# ------------------------------------------------------------------ LM scores
-
-
-def brute_lm(rows, targets):
-    fold = [int(x) for x in lm_score.FOLD]
-    grams = []
-    for _, t in rows:
-        b = [32, 32] + [fold[x] for x in (t or "").encode()]
-        grams.append([tuple(b[k : k + 3]) for k in range(len(b) - 2)])
-
-    def model(use):
-        tri = {}
-        for g, u in zip(grams, use):
-            for x in g if u else ():
-                tri[x] = tri.get(x, 0) + 1
-        bi, uni, ab, b1 = {}, {}, {}, {}
-        for (a, b, c), n in tri.items():
-            for table, key in ((bi, (b, c)), (uni, c), (ab, (a, b)), (b1, b)):
-                table[key] = table.get(key, 0) + n
-        total, v, r = sum(uni.values()), lm_score.V, lm_score.RESERVE
-
-        def loss(x):
-            a, b, c = x
-            p1 = (uni.get(c, 0) + 1) / (total + v)
-            p2 = (bi.get((b, c), 0) + r * p1) / (b1.get(b, 0) + r)
-            return -math.log((tri.get(x, 0) + r * p2) / (ab.get((a, b), 0) + r))
-
-        return loss
-
-    good, every = model(targets), model([True] * len(rows))
-    mean = lambda f, g: sum(map(f, g)) / len(g) if g else 0.0
-    return [(len(g), mean(good, g), mean(every, g)) for g in grams]
-
-
-def test_lm_score(spark, frame, monkeypatch):
-    monkeypatch.setattr(lm_score, "SLICE", 64)
-    rows = [(1, "the cat sat on the mat"), (2, "The dog sat"), (3, "zzz### qqq"), (4, None), (5, ""), (6, "Ñandú é"), (6, "the end\tof\nit"), (7, "x" * 3000), (None, "cat")]
-    from pyspark.sql import functions as F
-
-    out = lm_score.score(frame(rows), F.col("doc_id") <= 2).collect()
-    want = brute_lm(rows, [i is not None and i <= 2 for i, _ in rows])
-    got = sorted((str(r.doc_id), r.n_tokens, r.target_loss, r.background_loss) for r in out)
-    for g, w in zip(got, sorted((str(i), *w) for (i, _), w in zip(rows, want)), strict=True):
-        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], abs=2e-5) and g[3] == pytest.approx(w[3], abs=2e-5)
-    assert lm_score.score(frame([]), F.lit(True)).count() == 0
-
-
 # ------------------------------------------------------------------ chat
 
 

@@ -15,18 +15,25 @@ def brute(rows, targets):
     texts = [re.findall(r"[　-鿿]|[0-9a-z\x80-⿿ꀀ-\U0010ffff]+|[!-~]", (t or "").translate(UP)) for _, t in rows]
     texts = [[*t, None] if t else [] for t in texts]
 
-    def model(use):
+    def counts(texts):
         one, two = {}, {}
-        for t, u in zip(texts, use, strict=True):
-            for a, b in zip([None, *t], t) if u else ():
+        for t in texts:
+            for a, b in zip([None, *t], t):
                 one[b] = one.get(b, 0) + 1
                 two[a, b] = two.get((a, b), 0) + 1
-        total, v, r = sum(one.values()), len({w for t in texts for w in t}), word_model.RESERVE
-        return lambda a, b: -math.log((two.get((a, b), 0) + r * (one.get(b, 0) + 1) / (total + v)) / (one.get(a, 0) + r))
+        return one, two
 
-    good, every = model(targets), model([True] * len(rows))
-    mean = lambda f, t: sum(f(a, b) for a, b in zip([None, *t], t)) / len(t) if t else 0.0
-    return [(max(0, len(t) - 1), mean(good, t), mean(every, t)) for t in texts]
+    vocabulary, r = len({w for t in texts for w in t}), word_model.RESERVE
+
+    def mean(k, use):
+        """Of text k by the model of all other texts in use."""
+        if not texts[k]:
+            return 0.0
+        one, two = counts([t for i, (t, u) in enumerate(zip(texts, use)) if u and i != k])
+        total, t = sum(one.values()), texts[k]
+        return sum(-math.log((two.get((a, b), 0) + r * (one.get(b, 0) + 1) / (total + vocabulary)) / (one.get(a, 0) + r)) for a, b in zip([None, *t], t)) / len(t)
+
+    return [(max(0, len(t) - 1), mean(k, targets), mean(k, [True] * len(texts))) for k, t in enumerate(texts)]
 
 
 @pytest.mark.parametrize("block, size", [(1 << 22, 1 << 24), (40, 50)])
@@ -46,4 +53,12 @@ def test_the_query_tells_words_of_one_byte_class_apart(spark, frame):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     rows = [(1, "ā ā ā ā ā"), (2, "ā ā ā ā ā"), (3, "ġ ġ ġ ġ ġ")]
     got = {r.doc_id: r.score for r in lm_score.lm_score_query(frame(rows), labels).collect()}
-    assert got[1] == got[2] and got[2] < got[3]
+    assert got[2] < got[3]
+
+
+def test_a_copy_is_known_by_the_other(frame):
+    rare = " ".join(f"word{k}x{k * k}" for k in range(60))
+    lone = " ".join(f"other{k}y{k * k}" for k in range(60))
+    rows = [(1, rare), (2, rare), (3, lone)] + [(10 + i, f"the cat sat on the mat {i}") for i in range(20)]
+    got = {r.doc_id: r.background_loss for r in word_model.score(frame(rows), F.lit(False)).collect()}
+    assert got[1] == got[2] < got[3] - 1
