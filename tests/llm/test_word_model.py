@@ -50,8 +50,8 @@ def test_word_scores(frame, monkeypatch, block, size):
 
 
 def test_the_query_tells_words_of_one_byte_class_apart(spark, frame):
-    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
-    rows = [(1, "ā ā ā ā ā"), (2, "ā ā ā ā ā"), (3, "ġ ġ ġ ġ ġ")]
+    labels = spark.createDataFrame([(1, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = [(i, "ā ā ā ā ā") for i in (1, 2, 4)] + [(i, "ġ ġ ġ ġ ġ") for i in (3, 5, 6)]
     got = {r.doc_id: r.score for r in lm_score.lm_score_query(frame(rows), labels).collect()}
     assert got[2] < got[3]
 
