@@ -1,30 +1,38 @@
 """SimHash near-duplicates with bit-sliced comparison.
 
-Fingerprints that differ in at most RADIUS = 3 of 64 bits agree in one of four 16-bit bands.
-Per band, fingerprints are grouped by as many leading bits of the band as give groups of
-about GROUP members; a group over CHUNK is cut into chunks and every pair of chunks is its
-own task. In a task the members stand as bit planes: word j of plane k holds bit k of
-members 64j..64j+63. Against a block of queries, each plane is XORed in and a carry-save
-counter (two bits and an overflow mark) updates 64 distances per machine word; columns
-whose distances have all passed the radius are left out, and the block is given up once
-none is left. A task returns a spanning forest of its links, not the pairs.
+The 64 bits are cut into blocks; fingerprints that differ in at most RADIUS = 3 bits agree in
+all blocks but three, so every choice of the others is a key: 4 keys of 16 bits, or 10 of 25
+or 20 of 32 where that is needed to keep about GROUP fingerprints to a key. A key with over
+CHUNK is split without loss: of four parts of the remaining bits, one agrees. What is still
+larger is cut into chunks and every pair of chunks is its own task. In a task the members
+stand as bit planes: word j of plane k holds bit k of members 64j..64j+63. Against a block of
+queries, each plane is XORed in and a carry-save counter (two bits and an overflow mark)
+updates 64 distances per machine word; columns whose distances have all passed the radius
+are left out, and the block is given up once none is left. A task returns a spanning forest
+of its links, not the pairs.
+
+``similar_groups`` asks for a similarity of shingle sets instead. Three bits hold only the
+closest copies, so there the comparison finds candidates at WIDE bits among documents that
+share minimum hashes, and every link is then checked by the exact Jaccard of the sets.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.llm.text import ascii_lower, let, whole, words
 from tessella.operators.components import connected_components
 from tessella.plans.materialize import materialize
 
-RADIUS, BANDS, GROUP, CHUNK, QUERIES = 3, 4, 512, 4096, 256
+RADIUS, GROUP, CHUNK, QUERIES = 3, 512, 4096, 256
 #: Row b: the eight bits of byte b, each in a byte lane of its own.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64).ravel()
 
@@ -146,36 +154,17 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
-def alike(left: np.ndarray, right: np.ndarray, sigs: np.ndarray, least: int, step: int = 65_536) -> np.ndarray:
-    """Which of the pairs agree in ``least`` bytes of their signatures or more."""
-    out = np.zeros(len(left), bool)
-    for lo in range(0, len(left), step):
-        part = slice(lo, lo + step)
-        out[part] = (sigs[left[part]] == sigs[right[part]]).sum(axis=1) >= least
-    return out
-
-
-def _linking(radius: int, least: int | None):
-    """Sorted by task: compares each task's members, of two chunks or of one."""
-
-    def solve(held: list[dict]) -> pa.RecordBatch:
-        rows = {c: np.concatenate([h[c] for h in held]) for c in ("chunk", "fp", "rep")}
-        fp, rep = rows["fp"].view(np.uint64), rows["rep"]
-        first, second = (np.flatnonzero(rows["chunk"] == held[0][c][0]) for c in ("lo", "hi"))
-        a, b = near_pairs(fp[first], fp[second], radius)
-        a, b = first[a], second[b]
-        if least is not None:
-            sigs = np.frombuffer(b"".join(x for h in held for x in h["sig"]), np.uint8).reshape(len(fp), -1)
-            upper = a != b
-            a, b = a[upper], b[upper]
-            same = alike(a, b, sigs, least)
-            a, b = a[same], b[same]
-        label = forest(len(fp), a, b)
-        linked = np.flatnonzero(label != np.arange(len(fp)))
-        return pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[label[linked]])], names=["a", "b"])
+def _by_task(solve: Callable[[dict[str, np.ndarray]], pa.RecordBatch | None]):
+    """Rows sorted by task: ``solve`` gets the columns of one task after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
+
+        def told() -> Iterator[pa.RecordBatch]:
+            out = solve({c: np.concatenate([h[c] for h in held]) for c in held[0]})
+            if out is not None:
+                yield out
+
         for batch in batches:
             columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
             task = columns["task"]
@@ -184,45 +173,103 @@ def _linking(radius: int, least: int | None):
             cuts = np.flatnonzero(np.diff(task)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(task)], strict=True):
                 if held and task[lo] != at:
-                    yield solve(held)
+                    yield from told()
                     held = []
                 at = task[lo]
                 held.append({c: v[lo:hi] for c, v in columns.items()})
         if held:
-            yield solve(held)
+            yield from told()
 
     return run
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, least: int | None = None, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): a spanning set of the links between nodes (rep, fp, sig, keys).
+def _compared(rows: dict[str, np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a task's two chunks, or of its one, at up to ``radius`` bits."""
+    fp = rows["fp"].view(np.uint64)
+    first, second = (np.flatnonzero(rows["chunk"] == rows[c][0]) for c in ("lo", "hi"))
+    a, b = near_pairs(fp[first], fp[second], radius)
+    return first[a], second[b]
+
+
+def _linking(radius: int):
+    def solve(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+        label = forest(len(rows["fp"]), *_compared(rows, radius))
+        linked = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([pa.array(rows["rep"][linked]), pa.array(rows["rep"][label[linked]])], names=["a", "b"])
+
+    return _by_task(solve)
+
 
-    Nodes that share a key are compared: linked at up to ``radius`` differing bits and, if
-    ``least`` is given, as many equal bytes of ``sig``. Only (rep, key) is shuffled to find
-    shared keys; a key of over ``chunk`` nodes is cut into chunks.
+def tasks(nodes: DataFrame, parts: Callable[[Column], Column], chunk: int = CHUNK) -> DataFrame:
+    """(task, lo, hi, chunk, k, ...): ``nodes`` (rep, fp, keys, ...) dealt to the tasks that compare them.
+
+    Nodes that share key number k meet. Only (rep, k, key) is shuffled to find shared keys.
+    Where over ``chunk`` nodes share one, it is replaced by the array of keys that ``parts``
+    makes of a node and k; what is still larger is cut into chunks, one task a pair of them.
     """
-    dealt = nodes.select("rep", F.explode("keys").alias("key"))
-    sizes = dealt.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    dealt = dealt.join(sizes, "key").join(nodes.drop("keys"), "rep")
+    own = [c for c in nodes.columns if c != "keys"]
+    dealt = nodes.select("rep", F.posexplode("keys").alias("k", "key"))
+    # Written, so that both sides of the join are plain and a hot key's rows can be split.
+    sizes = materialize(dealt.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    met = dealt.join(sizes, "key").join(nodes.select(*own), "rep")
+    if not sizes.filter(F.col("n") > chunk).isEmpty():
+        split = met.filter(F.col("n") > chunk).drop("n").withColumn("part", F.explode(parts(F.col("k"))))
+        split = materialize(split.withColumn("key", F.xxhash64("key", "part")).drop("part"), "split")
+        fewer = materialize(split.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+        met = met.filter(F.col("n") <= chunk).unionByName(split.join(fewer, "key"))
     chunks = F.ceil(F.col("n") / chunk).cast("int")
-    dealt = dealt.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = met.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    pairs = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     pairs = pairs.withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")})
-    tasks = pairs.withColumn("task", F.xxhash64("key", "lo", "hi"))
-    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    tasks = tasks.repartition(parts, "task").sortWithinPartitions("task")
+    return pairs.withColumn("task", F.xxhash64("key", "lo", "hi")).select("task", "lo", "hi", "chunk", "k", *own)
+
+
+def by_task(dealt: DataFrame) -> DataFrame:
+    n = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return dealt.repartition(n, "task").sortWithinPartitions("task")
+
+
+def links(nodes: DataFrame, masks: list[int], chunk: int = CHUNK) -> DataFrame:
+    """(a, b): a spanning set of the links at RADIUS bits between nodes (rep, fp)."""
+    keyed = nodes.withColumn("keys", F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks)]))
+
+    def parts(k: Column) -> Column:
+        choice = F.lit(None)
+        for i, m in enumerate(masks):
+            choice = F.when(k == i, F.array(*[F.xxhash64(F.lit(j), F.col("fp").bitwiseAND(F.lit(_signed(x)))) for j, x in enumerate(rest(m))])).otherwise(choice)
+        return choice
+
     kind = dict(nodes.dtypes)["rep"]
-    columns = ["task", "lo", "hi", "chunk", "fp", "rep", *(["sig"] if least is not None else [])]
-    return tasks.select(*columns).mapInArrow(_linking(radius, least), f"a {kind}, b {kind}")
+    dealt = tasks(keyed, parts, chunk).select("task", "lo", "hi", "chunk", "fp", "rep")
+    return by_task(dealt).mapInArrow(_linking(RADIUS), f"a {kind}, b {kind}")
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
-def band_keys(n: int, group: int = GROUP) -> Column:
-    """Keys that fingerprints ``fp`` at RADIUS bits share at least one of, for n of them."""
-    width = 64 // BANDS
-    lead = min(width, max(0, math.ceil(math.log2(max(1, n) / group))))
-    if not lead:
-        return F.array(F.lit(0).cast("long"))
-    return F.array(*[F.shiftrightunsigned("fp", 64 - width * b - lead).bitwiseAND(F.lit((1 << lead) - 1)) * BANDS + b for b in range(BANDS)])
+def rest(mask: int, parts: int = RADIUS + 1) -> list[int]:
+    """The bits that are not in ``mask``, in ``parts`` masks."""
+    bits = [b for b in range(64) if not mask >> b & 1]
+    return [sum(1 << b for b in bits[j::parts]) for j in range(parts)]
+
+
+def key_masks(n: int, group: int = GROUP) -> list[int]:
+    """Masks of which any two fingerprints at RADIUS bits agree in one, for n fingerprints.
+
+    With few fingerprints one key, or leading parts of four blocks, already keeps to ``group``.
+    """
+    need = math.ceil(math.log2(max(1, n) / group)) if n > group else 0
+    if not need:
+        return [0]
+    for blocks in range(RADIUS + 1, 7):
+        edges = [64 * k // blocks for k in range(blocks + 1)]
+        whole = [[b for b in range(edges[k], edges[k + 1])] for k in range(blocks)]
+        clean = blocks - RADIUS
+        chosen = [[b for k in c for b in whole[k]] for c in itertools.combinations(range(blocks), clean)]
+        if min(map(len, chosen)) >= need or blocks == 6:
+            break
+    return [sum(1 << b for b in (bits[:need] if blocks == RADIUS + 1 else bits)) for bits in chosen]
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
@@ -234,8 +281,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     """
     fps = materialize(fingerprints(docs, key, text, shingle), "fingerprints")
     reps = materialize(fps.groupBy("fp").agg(F.min("doc").alias("rep")), "reps")
-    known = reps.filter("rep is not null").withColumn("keys", band_keys(reps.count()))
-    found = connected_components(links(known)).withColumnRenamed("node", "rep")
+    found = connected_components(links(reps.filter("rep is not null"), key_masks(reps.count()))).withColumnRenamed("node", "rep")
     nodes = reps.join(found, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     out = fps.join(nodes, "fp")
     return out.select(F.col("doc").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -243,8 +289,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 # ---------------------------------------------------------------- by similarity
 
-#: Minimum hashes per document, one byte each kept; bands of ROWS of them are keys.
-HASHES, ROWS, KEYS, WIDE = 256, 3, 16, 18
+#: Minimum hashes per document, one byte each kept; bands of ROWS of them are keys; nodes in a
+#: chunk; keys of two further hashes that replace a hot one.
+HASHES, ROWS, KEYS, WIDE, SET_CHUNK, PARTS = 256, 3, 16, 22, 1024, 12
 _ODD = (np.random.default_rng(64).integers(0, 2**63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -276,21 +323,118 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(fp), pa.array([r.tobytes() for r in sig], pa.binary()), listed], names=["doc", "fp", "sig", "keys"])
 
 
-def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(key, component_id): groups of documents whose shingle sets are ``similarity`` alike.
+def _pairs(rows: dict[str, np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, agreeing bytes) of a task's candidates that share no earlier key."""
+    a, b = _compared(rows, WIDE)
+    a, b = a[upper := a != b], b[upper]
+    sigs = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(-1, HASHES)
+    agree = np.zeros(len(a), np.int64)
+    fresh = np.ones(len(a), bool)
+    k = int(rows["k"][0])
+    for lo in range(0, len(a), 65_536):
+        part = slice(lo, lo + 65_536)
+        same = sigs[a[part]] == sigs[b[part]]
+        agree[part] = same.sum(axis=1)
+        fresh[part] = ~same[:, : k * ROWS].reshape(len(same), k, ROWS).all(axis=2).any(axis=1)
+    good = (agree >= least) & fresh
+    a, b, agree = a[good], b[good], agree[good]
+    if rows["lo"][0] == rows["hi"][0]:
+        a, b, agree = a[one := a < b], b[one], agree[one]
+    return a, b, agree
+
+
+def _candidates(least: int, kind: pa.DataType):
+    """The rows of a task that are one of a candidate pair."""
+
+    def solve(rows: dict[str, np.ndarray]) -> pa.RecordBatch | None:
+        a, b, _ = _pairs(rows, least)
+        if not len(a):
+            return None
+        at = np.unique(np.concatenate([a, b]))
+        kinds = {"task": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "chunk": pa.int32(), "k": pa.int32(), "fp": pa.int64(), "sig": pa.binary(), "rep": kind}
+        return pa.RecordBatch.from_arrays([pa.array(rows[c][at], t) for c, t in kinds.items()], names=list(kinds))
+
+    return _by_task(solve)
+
+
+def verified(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[int]:
+    """Indices of pairs whose sets are alike, enough of them to join all that the pairs can.
+
+    The pairs stand best first. Each round checks the first open pair of every group so
+    far; a pair is left out once its ends are in one group, and only then.
+    """
+    label, open_, good = np.arange(len(sets)), np.arange(len(a)), []
+    while True:
+        open_ = open_[label[a[open_]] != label[b[open_]]]
+        if not len(open_):
+            return good
+        first = np.full(len(sets), len(a))
+        for end in (a, b):
+            np.minimum.at(first, label[end[open_]], open_)
+        pick = np.unique(first[first < len(a)])
+        passed = []
+        for k in pick.tolist():
+            x, y = sets[a[k]], sets[b[k]]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both >= similarity * (len(x) + len(y) - both) - 1e-9:
+                passed.append(k)
+        good += passed
+        joined = forest(len(sets), a[good], b[good])
+        label, open_ = joined, np.setdiff1d(open_, pick, assume_unique=True)
+
+
+def _checking(least: int, similarity: float):
+    def solve(rows: dict[str, np.ndarray]) -> pa.RecordBatch | None:
+        a, b, agree = _pairs(rows, least)
+        order = np.argsort(-agree, kind="stable")
+        a, b = a[order], b[order]
+        good = verified(a, b, [np.frombuffer(x, np.uint64) for x in rows["set"]], similarity)
+        return pa.RecordBatch.from_arrays([pa.array(rows["rep"][a[good]]), pa.array(rows["rep"][b[good]])], names=["a", "b"]) if good else None
+
+    return _by_task(solve)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprint and sorted distinct hashes."""
+    for b in batches:
+        lists = b.column("hashes")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        values = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]).view(np.uint64)
+        fp = majority(values.view(np.int64), offsets).view(np.int64)
+        at = offsets - offsets[0]
+        blobs = [np.sort(values[x:y]).tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(fp), pa.array(blobs, pa.binary())], names=["doc", "fp", "set"])
+
 
-    Three bits of 64 hold only the closest copies, so here documents that share one of KEYS
-    bands of minimum hashes (at 0.8, all but one pair in 100,000 do) are compared bit-sliced
-    at WIDE bits, which leaves out the clearly different, and linked if their signatures
-    agree in ``similarity`` of the bytes less two standard deviations. Documents without
-    words are one group; other cases are as for ``near_duplicates``.
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(key, component_id): groups of documents linked by shingle sets that are ``similarity`` alike.
+
+    Documents that share one of KEYS bands of minimum hashes (at 0.8, all but one pair in
+    100,000 do) are compared bit-sliced at WIDE bits of fingerprints of their distinct
+    shingles; 0.8 is some 10 bits, four deviations below. Pairs whose signatures agree in
+    ``similarity`` of the bytes less 4.5 deviations are candidates; the exact Jaccard of
+    their sets decides. Documents with one fingerprint and one signature are one node.
+    Documents without words are one group; other cases are as for ``near_duplicates``.
     """
-    kind = dict(docs.dtypes)[key]
-    hashed = docs.select(F.col(key).alias("doc"), shingle_hashes(F.col(text), shingle).alias("hashes"))
-    sketched = materialize(hashed.mapInArrow(_sketches, f"doc {kind}, fp long, sig binary, keys array<long>"), "sketches")
+    kind = docs.schema[key].dataType
+    name = kind.simpleString()
+
+    def hashed(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col(key).alias("doc"), F.array_distinct(shingle_hashes(F.col(text), shingle)).alias("hashes"))
+
+    sketched = materialize(hashed(docs).mapInArrow(_sketches, f"doc {name}, fp long, sig binary, keys array<long>"), "sketches")
     reps = materialize(sketched.groupBy("fp", "sig").agg(F.min("doc").alias("rep"), F.min("keys").alias("keys")), "reps")
-    least = int(HASHES * (similarity - 2 * math.sqrt(similarity * (1 - similarity) / HASHES)))
-    found = connected_components(links(reps.filter("rep is not null"), WIDE, least)).withColumnRenamed("node", "rep")
+    least = int(HASHES * (similarity - 4.5 * math.sqrt(similarity * (1 - similarity) / HASHES)))
+    begin = KEYS * ROWS + 1
+    further = F.array(*[F.xxhash64(F.lit(j), F.substring("sig", begin + 2 * j, 2)) for j in range(PARTS)])
+    columns = ("task", "lo", "hi", "chunk", "k", "fp", "sig", "rep")
+    dealt = by_task(tasks(reps.filter("rep is not null"), lambda k: further, SET_CHUNK).select(*columns))
+    near = materialize(dealt.mapInArrow(_candidates(least, to_arrow_type(kind)), f"task long, lo int, hi int, chunk int, k int, fp long, sig binary, rep {name}"), "near")
+    wanted = near.select("rep").distinct()
+    sets = hashed(docs.join(wanted, docs[key] == wanted["rep"], "left_semi")).mapInArrow(_sets, f"doc {name}, fp long, set binary")
+    sets = sets.groupBy(F.col("doc").alias("rep"), "fp").agg(F.min("set").alias("set"))
+    found = by_task(near.join(sets, ["rep", "fp"])).select(*columns, "set").mapInArrow(_checking(least, similarity), f"a {name}, b {name}")
+    found = connected_components(found).withColumnRenamed("node", "rep")
     nodes = reps.join(found, "rep", "left").select("fp", "sig", F.coalesce("component", "rep").alias("component_id"))
     return sketched.select("doc", "fp", "sig").join(nodes, ["fp", "sig"]).select(F.col("doc").alias(key), "component_id")
 

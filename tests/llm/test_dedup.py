@@ -61,9 +61,23 @@ def test_bit_sliced_pairs(seed, radius, nq, nm):
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == want and len(a) == len(want)
 
 
-@pytest.mark.parametrize("chunk", [4096, 5])
-def test_components(frame, chunk, monkeypatch):
+@pytest.mark.parametrize("group", [1e-9, 1e-5, 0.01, 1, 512])
+def test_near_fingerprints_agree_in_a_mask(group):
+    rng = np.random.default_rng(3)
+    masks = sh.key_masks(1000, group)
+    assert len(masks) in (1, 4, 10, 20)
+    for _ in range(500):
+        flip = sum(1 << int(b) for b in rng.choice(64, 3, replace=False))
+        assert any(not flip & m for m in masks)
+        for m in masks:
+            assert sum(sh.rest(m)) == (1 << 64) - 1 - m and not any(x & m for x in sh.rest(m))
+            assert flip & m or any(not flip & x for x in sh.rest(m))
+
+
+@pytest.mark.parametrize("chunk, group", [(4096, 512), (5, 512), (3, 1e-5)])
+def test_components(frame, chunk, group, monkeypatch):
     monkeypatch.setattr(sh, "links", lambda nodes, *a, _f=sh.links, **k: _f(nodes, *a, **(k | {"chunk": chunk})))
+    monkeypatch.setattr(sh, "key_masks", lambda n, _f=sh.key_masks: _f(n, group))
     rng = np.random.default_rng(2)
     rows = [(i, t) for i, t in enumerate(some_texts(rng, 40))] + [(500, None), (501, ""), (502, " \n"), (503, "one"), (504, "ONE"), (None, "lonely words here now"), (0, "w1 w2")]
     got = [(r.doc_id, r.fingerprint, r.component_id) for r in sh.near_duplicates(frame(rows)).collect()]
@@ -99,6 +113,73 @@ def test_similar_groups_and_first(frame):
     assert sh.near_duplicates(frame([])).count() == 0 and sh.keep_first(frame([])).count() == 0
 
 
+def jaccard(x, y, n=5):
+    a, b = ({tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set() for w in map(words, (x, y)))
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+@pytest.mark.parametrize("chunk", [1024, 4])
+def test_every_pair_of_the_similarity_is_linked_and_no_other(frame, chunk, monkeypatch):
+    """Copies with more and more changed words, two of each; groups by brute force."""
+    monkeypatch.setattr(sh, "SET_CHUNK", chunk)
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(50):
+        base = [f"w{rng.integers(4000)}" for _ in range(int(rng.integers(60, 300)))]
+        rows.append((1000 * k, " ".join(base)))
+        for j in range(1, 8):
+            w = list(base)
+            for at in rng.choice(len(w), max(1, j * len(w) // 150), replace=False):
+                w[at] = f"x{rng.integers(4000)}"
+            # Repeated passages change no set of shingles by much, but a count of them.
+            rows.append((1000 * k + j, " ".join(w + w[:20] * (j % 3))))
+    group = list(range(len(rows)))
+    alike = 0
+    for i in range(len(rows)):
+        for j in range(i - i % 8, i):
+            if jaccard(rows[i][1], rows[j][1]) >= 0.8:
+                alike += 1
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    assert 100 < alike < 1300
+    low = {}
+    for g, (i, _) in zip(group, rows):
+        low[g] = min(low.get(g, i), i)
+    got = {r.doc_id: r.component_id for r in sh.similar_groups(frame(rows)).collect()}
+    assert got == {i: low[g] for g, (i, _) in zip(group, rows)}
+
+
+def test_recall_by_similarity_on_the_given_documents(spark):
+    """Of all pairs at 0.8 or more among the documents of sf0.01, all end in one group; no group holds others alone."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    shingles, holders = {}, {}
+    for i, t in docs:
+        w = words(t)
+        shingles[i] = {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        for x in shingles[i]:
+            holders.setdefault(x, []).append(i)
+    shared = {}
+    for ids in holders.values():
+        for p, i in enumerate(ids):
+            for j in ids[:p]:
+                shared[j, i] = shared.get((j, i), 0) + 1
+    pairs = [p for p, n in shared.items() if n >= 0.8 * (len(shingles[p[0]]) + len(shingles[p[1]]) - n)]
+    got = {r.doc_id: r.component_id for r in sh.similar_groups(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    assert len(pairs) > 50 and all(got[a] == got[b] for a, b in pairs)
+    root = {i: i for i, _ in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    empty = [i for i, t in docs if not words(t)]
+    assert all(got[i] == find(i) for i, _ in docs if i not in empty)
+
+
 # ------------------------------------------------------------------ lines
 
 
