@@ -4,13 +4,15 @@ The keys to act on, those of lines held by several documents, are split by hash
 of bounded size. A shard is a minimal perfect hash (levels of bit arrays; a key's rank among
 the set bits is its slot) with one array of fingerprints, one of counts and one of the
 largest holder. Documents send 16-byte hashes of their lines, never the lines, to the
-shard's task, which loads the arrays and streams the probes past them. The few keys that a
-thousandth of all lines share would crowd one task: they form a shard of at most a thousand
-keys that every task has, and are answered before the shuffle.
+shard's task, which loads the arrays and streams the probes past them. A key with more than
+CROWD * sqrt(all lines) holders would crowd one task: there are at most sqrt(all lines) /
+CROWD such keys, and they form a shard that every task has, answered before the shuffle. So
+with n lines neither a task's rows of one key nor that shard grow faster than sqrt(n).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 from tessella.llm.text import ascii_lower, whole
 from tessella.plans.materialize import materialize
 
-MIN_CHARS, MIN_DOCS, SHARD_KEYS, HEAVY = 20, 3, 65_536, 1000
+#: Keys in a shard, lines sent to a shard on average, and how many holders crowd a task.
+MIN_CHARS, MIN_DOCS, SHARD_KEYS, SHARD_LINES, CROWD = 20, 3, 65_536, 1 << 20, 4
 STRIP = " \t\n\x0b\x0c\r"
 LEVELS, GAMMA = 48, 2.0
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -124,7 +127,7 @@ def _hashed(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
     keys = F.transform(lines(ascii_lower(F.col(text))), lambda x: F.btrim(x, F.lit(STRIP)))
     long = F.filter(F.transform(keys, lambda x, i: F.struct(i.alias("pos"), x.alias("x"))), lambda s: F.length(s["x"]) >= min_chars)
     found = F.transform(long, lambda s: F.struct(s["pos"].alias("pos"), F.xxhash64(s["x"]).alias("h1"), F.xxhash64(F.lit(1), s["x"]).alias("h2")))
-    return docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(whole(F.col(text))).alias("th"), found.alias("ls"))
+    return docs.select(F.col(key).alias("id"), F.xxhash64(F.col(key)).alias("doc"), F.xxhash64(whole(F.col(text))).alias("th"), found.alias("ls"))
 
 
 def _shards(keys: DataFrame) -> DataFrame:
@@ -190,22 +193,21 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """(doc, th, drops): positions of the lines to drop, by key and hash of the text.
+    """(doc, th, drops): positions of the lines to drop, by hashes of the key and of the text.
 
-    Null keys count as -2**63, so they lose lines to any other document. Rows that share
-    the largest key all keep a line.
+    Keys may be of any type that has an order. A null key is less than any other, so its
+    document loses lines to all others. Rows that share the largest key all keep a line.
     """
     spark = docs.sparkSession
-    found = _hashed(docs, key, text, min_chars).withColumn("doc", F.coalesce("doc", F.lit(-(2**63))))
-    found = materialize(found, "lines")
-    per_doc = found.select("doc", F.explode(F.array_distinct(F.transform("ls", lambda s: F.struct(s["h1"].alias("h1"), s["h2"].alias("h2"))))).alias("k"))
-    keys = per_doc.groupBy("k.h1", "k.h2").agg(F.count("*").alias("n"), F.max("doc").alias("last")).filter(F.col("n") >= min_docs)
-    keys = materialize(keys, "keys")
+    found = materialize(_hashed(docs, key, text, min_chars), "lines")
+    per_doc = found.select("id", F.explode(F.array_distinct(F.transform("ls", lambda s: F.struct(s["h1"].alias("h1"), s["h2"].alias("h2"))))).alias("k"))
+    keys = per_doc.groupBy("k.h1", "k.h2").agg(F.count("*").alias("n"), F.max("id").alias("last")).filter(F.col("n") >= min_docs)
+    keys = materialize(keys.withColumn("last", F.xxhash64("last")), "keys")
     size = keys.agg(F.count("*").alias("keys")).first()["keys"]
     total = found.agg(F.coalesce(F.sum(F.size("ls")), F.lit(0)).alias("n")).first()["n"]
-    n_shards = max(-(-size // shard_keys), int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    # Each heavy key has over a thousandth of all lines, so there are under HEAVY of them.
-    crowd = max(1000, total // HEAVY)
+    n_shards = max(-(-size // shard_keys), -(-total // SHARD_LINES), int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    # At most sqrt(total) / CROWD heavy keys of some 22 bytes: 4 MB for 10**12 lines.
+    crowd = int(CROWD * math.sqrt(total))
     packed = _shards(keys.filter(F.col("n") > crowd).withColumn("shard", F.lit(0))).collect()
     heavy = [bytes(p) for p in packed[0]["parts"]] if packed else None
     # Unsigned remainder, as in the task: the shift leaves 63 bits, so no sign is in the way.
@@ -226,14 +228,17 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **limi
     A line's key is the line without blanks at either end, A-Z in lower case. Keys of
     min_chars or more in min_docs documents or more lose their lines in all documents but
     the one with the largest key. Each row is a document, repeated rows too. A null text is
-    one empty line and becomes empty.
+    one empty line and becomes empty. Columns of ``docs`` named n_lines or n_dropped are
+    replaced; all others pass through.
     """
-    drops = dropped_lines(docs, key, text, **limits).withColumnsRenamed({"doc": "__doc", "th": "__th"})
-    doc, th = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), F.xxhash64(whole(F.col(text)))
+    others = [c for c in docs.columns if c in (key, text) or c not in ("n_lines", "n_dropped")]
+    docs = docs.select(*[F.col(f"`{c}`") for c in others])
+    drops = dropped_lines(docs, key, text, **limits).withColumnsRenamed({"doc": "__doc", "th": "__th", "drops": "__drops"})
+    doc, th = F.xxhash64(F.col(key)), F.xxhash64(whole(F.col(text)))
     held = docs.withColumns({"__d": doc, "__t": th})
     joined = held.join(drops, (F.col("__d") == F.col("__doc")) & (F.col("__t") == F.col("__th")), "left").withColumn("__lines", lines(F.col(text)))
     n = F.size("__lines")
-    gone = F.coalesce("drops", F.array().cast("array<int>"))
+    gone = F.coalesce("__drops", F.array().cast("array<int>"))
     left = F.array_except(F.sequence(F.lit(0), n - 1), gone)
     kept = F.array_join(F.transform(left, lambda i: F.get(F.col("__lines"), i)), "\n")
     whole_text = F.when(F.size(gone) == 0, whole(F.col(text))).otherwise(kept)
