@@ -16,9 +16,9 @@ from tessella.llm.text import NOT_ALNUM, ascii_lower, let, whole, words
 from tessella.plans.materialize import materialize
 
 WINDOW, K = 13, 5
-#: Rows of (hash) or (window text of 13 words) up to which a benchmark's side is broadcast;
-#: a larger benchmark is joined by a shuffle. Both sides are counted first.
-BROADCAST_ROWS = 200_000
+#: Bytes of hashes or of windows' texts up to which a benchmark's side is broadcast; a larger
+#: one is joined by a shuffle. They are summed first.
+BROADCAST_BYTES = 1 << 25
 
 
 def item_words(text: Column) -> Column:
@@ -39,7 +39,9 @@ def minima(h: Column, run: int) -> Column:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df``, which is written, broadcast if it is small."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) if t == "string" else F.lit(8) for c, t in df.dtypes), F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def _span(positions: Column, w: Column, back: int, length: int) -> Column:
@@ -53,20 +55,14 @@ def _span(positions: Column, w: Column, back: int, length: int) -> Column:
     return F.array_distinct(F.flatten(F.transform(positions, of)))
 
 
-def _seed_places(w: Column, seeds: Column, k: int) -> Column:
-    def of(h: Column) -> Column:
-        return F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(seeds, x), i).otherwise(-1)), lambda i: i >= 0)
-
-    return let(hashes(w, k), of)
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per row of ``docs``: key, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A word is hit if it lies in any occurrence of a benchmark window; contaminated means
     that a twentieth of the words or more are hit. Null and empty texts have no words, no
     hits, and are clean; items without words match nothing; items that share an id count
-    once and a null id counts as none; repeated rows each get their row.
+    once and a null id counts as none; repeated rows each get their row. Other columns are
+    not read.
     """
     items = benchmark.select(F.col(item).cast("string").alias("item"), item_words(F.col(item_text)).alias("w")).filter(F.size("w") > 0)
     items = materialize(items.withColumn("n", F.least(F.size("w"), F.lit(WINDOW))), "items")
@@ -84,18 +80,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     of_item = F.when(F.col("n") == WINDOW, let(hashes(F.col("w"), K), lambda h: minima(h, WINDOW - K + 1)))
     for n in short:
         of_item = of_item.when(F.col("n") == n, F.array(F.array_min(hashes(F.col("w"), min(n, K)))))
-    known = items.select(F.explode(of_item).alias("h")).distinct()
+    known = materialize(items.select(F.explode(of_item).alias("h")).distinct(), "known")
+    small = _small(known)
 
     scanned = docs.select(F.col(key).alias("doc"), item_words(F.col(text)).alias("w"))
     scanned = materialize(scanned.select("doc", F.size("w").cast("long").alias("n_words"), prints(F.col("w")).alias("prints")), "prints")
-    shared = scanned.select("doc", F.explode("prints").alias("h")).join(_small(known), "h")
-    seeds = materialize(shared.groupBy("doc").agg(F.collect_set("h").alias("seeds")), "seeds")
+    shared = scanned.select("doc", F.explode("prints").alias("h")).join(small, "h")
+    seeds = materialize(shared.select("doc").distinct(), "seeds")
 
     near = docs.select(F.col(key).alias("doc"), F.col(text).alias("t")).join(seeds.withColumnRenamed("doc", "d"), F.col("doc").eqNullSafe(F.col("d")))
-    near = near.select(F.monotonically_increasing_id().alias("row"), "doc", item_words(F.col("t")).alias("w"), "seeds")
+    near = near.select(F.monotonically_increasing_id().alias("row"), "doc", item_words(F.col("t")).alias("w"))
     near = materialize(near, "near")
     w = F.col("w")
-    placed = near.select("row", "w", *[_seed_places(w, F.col("seeds"), k).alias(f"p{k}") for k in sorted({K, *dense})])
+    # Places of known hashes, looked up by a join and not word by seed.
+    placed = near.select("row", "w")
+    for k in sorted({K, *dense}):
+        at = near.select("row", F.posexplode(hashes(w, k)).alias("i", "h")).join(small, "h").groupBy("row").agg(F.collect_list("i").alias(f"p{k}"))
+        placed = placed.join(at, "row", "left").withColumn(f"p{k}", F.coalesce(f"p{k}", F.array().cast("array<int>")))
     # Each length's starts stand in a column of their own, computed once per document.
     lengths = [*short, WINDOW]
     starts = placed.select("row", "w", *[_span(F.col(f"p{min(n, K)}"), w, n - min(n, K), n).alias(f"s{n}") for n in lengths])
@@ -109,7 +110,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     windows = items.select("item", "n", "w", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("n"))).alias("s"))
     windows = windows.select("item", F.array_join(F.slice(F.col("w"), F.col("s") + 1, F.col("n")), " ").alias("win")).distinct()
     windows = materialize(windows, "windows")
-    hits = materialize(wins.join(_small(windows.select("win").distinct()), "win"), "hits")
+    held = materialize(windows.groupBy("win").agg(F.count("*").alias("holders")), "held")
+    hits = materialize(wins.join(_small(held).drop("holders"), "win"), "hits")
 
     def longer(acc: Column, x: Column) -> Column:
         end = x["s"] + x["n"]
@@ -119,22 +121,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("hit"))
     covered = F.aggregate(F.sort_array(F.collect_list(F.struct("s", "n"))), start, longer)["hit"].cast("long")
     hit = hits.groupBy("row").agg(covered.alias("n_hit"))
-    found = hits.select("row", "win").distinct().join(_small(windows.filter("item is not null")), "win")
-    found = found.groupBy("row").agg(F.collect_set("item").alias("found"))
-
-    names = F.coalesce(F.col("found"), F.array().cast("array<string>"))
-    empty = F.array().cast("array<string>")
-    judged = near.select("row", "doc", F.size("w").cast("long").alias("n_words")).join(hit, "row", "left").join(found, "row", "left")
-    judged = judged.select("doc", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), names.alias("found"))
+    # Items are listed once for all documents with the same windows in them: a prompt that
+    # many items and many documents share is one list, not a row for each two.
+    found = hits.groupBy("row").agg(F.sort_array(F.collect_set("win")).alias("wins")).withColumn("kind", F.sha2(F.array_join("wins", "\n"), 256))
+    found = materialize(found, "found")
+    kinds = found.groupBy("kind").agg(F.min("wins").alias("wins")).select("kind", F.explode("wins").alias("win"))
+    listed = kinds.join(_small(windows.filter("item is not null")), "win").groupBy("kind").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    listed = listed.select("kind", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    listed = found.select("row", "kind").join(materialize(listed, "listed"), "kind").drop("kind")
+
+    none, nothing = F.lit(0).cast("long"), F.sha2(F.lit(""), 256)
+    judged = near.select("row", "doc", F.size("w").cast("long").alias("n_words")).join(hit, "row", "left").join(listed, "row", "left")
+    judged = judged.select("doc", "n_words", *[F.coalesce(c, x).alias(c) for c, x in (("n_hit", none), ("n_items", none), ("items_sha256", nothing))])
     clean = scanned.join(seeds.select(F.col("doc").alias("d")), F.col("doc").eqNullSafe(F.col("d")), "left_anti")
-    clean = clean.select("doc", "n_words", F.lit(0).cast("long").alias("n_hit"), empty.alias("found"))
+    clean = clean.select("doc", "n_words", none.alias("n_hit"), none.alias("n_items"), nothing.alias("items_sha256"))
     out = judged.unionByName(clean)
     return out.select(
         F.col("doc").alias(key),
         "n_words",
         "n_hit",
-        F.size("found").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.sort_array("found"), ","), 256).alias("items_sha256"),
+        "n_items",
+        "items_sha256",
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
 

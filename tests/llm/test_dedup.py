@@ -216,7 +216,8 @@ def test_line_dedup(frame):
 
 @pytest.mark.parametrize("shard_keys", [65_536, 3])
 def test_line_dedup_random_and_heavy(frame, shard_keys, monkeypatch):
-    monkeypatch.setattr(ld, "HEAVY", 10**9)
+    monkeypatch.setattr(ld, "CROWD", 1)
+    monkeypatch.setattr(ld, "SHARD_LINES", 100)
     rng = np.random.default_rng(4)
     pool = [f"line number {k} of the pool of lines" for k in range(60)]
     rows = [(i, "\n".join([pool[0]] + [pool[int(k)] for k in rng.integers(1, 60, rng.integers(0, 9))])) for i in range(1300)]
@@ -224,6 +225,14 @@ def test_line_dedup_random_and_heavy(frame, shard_keys, monkeypatch):
     assert sorted(map(str, got)) == sorted(map(str, brute_lines(rows)))
 
 
+def test_line_dedup_of_text_keys_and_clashing_names(spark):
+    line = "A line that many documents hold"
+    rows = [(k, f"{line}\nown {k}", "x", 7) for k in ("b", "a", "d", None, "c")]
+    got = {r.name: (r.text, r.drops, r.n_lines, r.n_dropped) for r in ld.dedup_lines(spark.createDataFrame(rows, "name string, text string, drops string, n_lines int"), "name").collect()}
+    assert got["d"] == (f"{line}\nown d", "x", 2, 0)
+    assert all(got[k] == (f"own {k}", "x", 2, 1) for k in ("a", "b", "c", None))
+
+
 def test_perfect_hash_is_minimal():
     rng = np.random.default_rng(8)
     h = rng.integers(0, 2**64, (2, 5000), dtype=np.uint64)

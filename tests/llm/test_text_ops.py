@@ -40,8 +40,9 @@ def brute_contamination(docs, items):
     return out
 
 
-@pytest.mark.parametrize("with_short", [False, True])
-def test_contamination(spark, frame, with_short):
+@pytest.mark.parametrize("with_short, limit", [(False, 1 << 25), (True, 1 << 25), (True, 0)])
+def test_contamination(spark, frame, with_short, limit, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
     rng = np.random.default_rng(6)
     text = lambda n, v=40: " ".join(f"Wörd{rng.integers(v)}" if k % 3 else f"x{rng.integers(v)}" for k in range(n))
     items = [(k, text(int(rng.integers(13, 50)))) for k in range(12)] + [(20, None), (21, "...!"), (3, text(20)), (None, text(15)), (22, "same " * 30)]
@@ -98,10 +99,27 @@ def test_pack(frame):
         room, places = 200 // max(b, 1), sorted((r.batch, r.slot) for r in out if r.bucket == b)
         assert places == [(k // room, k % room) for k in range(len(places))]
     assert packing.pack(frame([])).count() == 0
+    assert packing.pack(frame(rows)).columns == ["doc_id", "chunk", "start", "n_tokens", "bucket", "batch", "slot"]
     with pytest.raises(ValueError, match="batch"):
         packing.pack(frame(rows), max_len=50, budget=49)
 
 
+def test_packed_tokens_are_those_of_the_texts(spark, frame):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"t{i}x{k}" for k in range(int(n)))) for i, n in enumerate(rng.integers(0, 170, 60))] + [(900, None)]
+    out = packing.with_tokens(packing.pack(frame(rows), max_len=50, buckets=3, budget=100), frame(rows)).orderBy("doc_id", "chunk").collect()
+    got = {}
+    for r in out:
+        assert len(r.tokens) == r.n_tokens and r.start == 50 * r.chunk
+        got.setdefault(r.doc_id, []).extend(r.tokens)
+    assert got == {i: (t or "").split() for i, t in rows}
+    ids = spark.createDataFrame([(1, [7, 8, 9], "x"), (2, [], "y")], "doc_id long, ids array<int>, batch string")
+    own = packing.pack(ids, text="ids", max_len=2, budget=4, tokens=F.col("ids"))
+    assert sorted((r.doc_id, r.start, r.n_tokens) for r in own.collect()) == [(1, 0, 2), (1, 2, 1), (2, 0, 0)]
+
+
 # ------------------------------------------------------------------ chat
 
 
