@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessella.llm import line_dedup as ld
 from tessella.llm import simhash as sh
@@ -278,14 +279,47 @@ def byte_rows(rng):
     return rows
 
 
-@pytest.mark.parametrize("shard_regions", [2048, 4])
-def test_suffix_dedup(frame, shard_regions):
+@pytest.mark.parametrize("bucket, shard", [(4096, 1024), (4, 2), (64, 5)])
+def test_suffix_dedup(frame, bucket, shard):
     rows = byte_rows(np.random.default_rng(9))
-    out = sd.remove_repeats(frame(rows).select("doc_id", "text"), shard_regions=shard_regions).collect()
+    out = sd.remove_repeats(frame(rows).select("doc_id", "text"), bucket_regions=bucket, shard_regions=shard).collect()
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in out]
     assert sorted(map(str, got)) == sorted(map(str, brute_bytes(rows)))
 
 
+def test_shards_are_merged_on_the_given_documents(spark):
+    """Windows found in two shards, with the sizes of production; the outcome by brute force."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    solved = sd.solved_regions(rows, sd.shared_regions(rows))
+    assert solved.filter("n = -1").agg(F.sum("h1")).first()[0] > 100
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.suffix_dedup_query(docs).collect()]
+    assert sorted(got) == sorted(brute_bytes([tuple(r) for r in docs.collect()]))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 3), st.integers(1, 4))
+def test_windows_are_found_by_binary_search(seed, alphabet, shards):
+    rng = np.random.default_rng(seed)
+    pool = [rng.integers(97, 97 + alphabet, int(rng.integers(200, 330)), dtype=np.uint8).tobytes() for _ in range(4)]
+    regions = [pool[int(rng.integers(4))][int(rng.integers(0, 30)) :] for _ in range(9)] + [bytes(pool[0][:250]) + b"z" * 50]
+    regions = [r if len(r) >= 200 else r + b"q" * (200 - len(r)) for r in regions]
+    weights = rng.integers(1, 3, len(regions)).astype(float)
+    region, start, _ = sd.repeated_starts(regions, weights, rng.integers(0, shards, len(regions)))
+    held = {}
+    for r, w in zip(regions, weights):
+        for s in range(len(r) - 199):
+            held[r[s : s + 200]] = held.get(r[s : s + 200], 0) + w
+    want = [(k, s) for k, r in enumerate(regions) for s in range(len(r) - 199) if held[r[s : s + 200]] > 1]
+    assert list(zip(region.tolist(), start.tolist())) == want
+
+
+def test_suffix_dedup_names_that_clash(spark):
+    out = sd.remove_repeats(spark.createDataFrame([(1, "x", "y", 3, 4)], "uid long, text string, kept string, n_bytes int, first int"))
+    assert out.columns == ["uid", "first", "n_bytes", "n_removed", "n_spans", "kept"] and out.first().n_bytes == 1
+
+
 def test_suffix_dedup_empty_and_extra_columns(frame):
     assert sd.remove_repeats(frame([])).count() == 0
     assert sd.remove_repeats(frame([(1, "x")])).columns == ["doc_id", "n_words", "fp", "n_bytes", "n_removed", "n_spans", "kept"]
