@@ -129,20 +129,52 @@ def test_ranker_learns_and_thresholds():
     x = rng.normal(size=(500, 12))
     good = x[:, 0] + 0.5 * x[:, 3] > -1
     r = pq.fit(x, good)
-    s = (x - np.array(r.mean)) @ np.array(r.weight) - r.threshold
-    assert ((s > 0) == good).mean() > 0.97
-    assert (s <= 0).sum() == (~good).sum()
-    assert pq.fit(x, np.ones(500, bool)).weight == (0.0,) * x.shape[1]
+    s = r.score(x)
+    assert ((s > 0.5) == good).mean() > 0.97 and (s <= 0.5).sum() == (~good).sum()
+    assert not pq.fit(x, np.ones(500, bool)).weight.any() and set(pq.fit(x, np.ones(500, bool)).score(x)) == {0.5}
 
 
-def test_held_out_accuracy_and_score_range(spark):
+def test_weights_equal_newton_on_explicit_pairs():
+    rng = np.random.default_rng(1)
+    z = rng.normal(size=(60, 5))
+    better, worse = rng.integers(0, 60, 400), rng.integers(0, 60, 400)
+    flip = z[better] @ [1, -2, 0, 0.5, 0] + rng.normal(size=400) < z[worse] @ [1, -2, 0, 0.5, 0]
+    better, worse = np.where(flip, worse, better), np.where(flip, better, worse)
+    got = pq.weights(z, better, worse, 1e-2)
+    diff, w = z[better] - z[worse], np.zeros(5)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-diff @ w))
+        w -= np.linalg.solve((diff * (p * (1 - p))[:, None]).T @ diff / 400 + 1e-2 * np.eye(5), -(diff * (1 - p)[:, None]).mean(axis=0) + 1e-2 * w)
+    assert np.allclose(got, w, atol=1e-4)
+
+
+def test_hashed_features_of_each_text_alone():
+    texts = [b"The cat. A dog", b"", "é ü\n".encode(), b"x", b"aa " * 4000, b"THE CAT. a DOG"]
+    together = pq.hashed(texts)
+    assert together.shape == (6, pq.HASHED) and not together[1].any() and not np.allclose(together[0], together[5])
+    for k, t in enumerate(texts):
+        assert np.allclose(together[k], pq.hashed([t])[0])
+    own = np.zeros(1000)
+    c = pq._CLASS[np.frombuffer(texts[0], np.uint8)]
+    for k in range(len(c) - 2):
+        own[c[k] * 100 + c[k + 1] * 10 + c[k + 2]] += 1
+    assert np.allclose(together[0][-1000:], np.sqrt(own / own.sum()))
+
+
+def test_held_out_accuracy_and_texts_of_no_label(spark):
+    """Held-out labels of sf0.1; shuffled words and random consonants of held-out good texts score under one half."""
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    out = pq.score(docs, labels)
-    assert out.count() == docs.count()
+    good = docs.join(labels.filter("quality = 1"), "doc_id").filter(pq.held_out(F.col("doc_id"))).filter("n_chars > 400").orderBy("doc_id").limit(60).collect()
+    worse = [(10**7 * (k + 1) + r.doc_id, t) for r in good for k, t in enumerate(pq.corruptions(r.text, r.doc_id))]
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(worse, "doc_id long, text string"))
+    out = pq.score(every, labels)
+    assert out.count() == docs.count() + 120
     joined = out.join(labels, "doc_id").filter("held_out")
     right = joined.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int")), F.min("score"), F.max("score")).first()
     assert right[0] > 0.97 and right[1] >= 0 and right[2] <= 1
+    low = out.filter("doc_id > 10000000").groupBy((F.col("doc_id") > 20_000_000).alias("letters")).agg(F.avg((F.col("score") < 0.5).cast("int")).alias("low")).collect()
+    assert {r.letters: r.low >= (0.98 if r.letters else 0.9) for r in low} == {False: True, True: True}, low
 
 
 def test_held_out_labels_do_not_matter(spark, frame):
