@@ -4,16 +4,20 @@ A page is read as the sequence of its text blocks (leaves), each with its tag pa
 vectors of path and words go through a bidirectional LSTM written in numpy, so that every
 block is judged by the whole page, and blocks labelled as content are joined to the text.
 
-The network is trained here. Its teacher is a set of structural signs (landmark elements,
-words in class and id names, link density) on a bounded sample of the pages, and on
-variants of these into which blocks of known boilerplate are planted: menus, sidebars,
-notices, adverts, forms and comments around and inside the article.
+The network is trained here, on windows of a bounded sample of the pages. Labels come from
+several weak sources that vote: landmark elements, class and id names, link and text
+density, and texts that stand on several pages. None of them is an input. Training pages are
+varied: content moves to other containers, boilerplate (menus, notices, adverts, forms,
+comments, with the words of such) is planted around and inside the article, and in half of
+them all names are replaced by made-up ones, so that words, links and the neighbours decide.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -24,9 +28,10 @@ from pyspark.sql import functions as F
 
 from tessella.llm.sample import bounded
 
-#: Pages to train on at most; their markup at most, in characters, the longer ones left out.
-SAMPLE_PAGES, SAMPLE_CHARS = 300, 40_000
-PATH_DIM, WORD_DIM, EXTRA, HIDDEN, EPOCHS, SEED = 48, 24, 6, 12, 14, 11
+#: Pages to train on at most; of each a window of at most so many blocks, of texts of at most
+#: so many characters.
+SAMPLE_PAGES, WINDOW_BLOCKS, WINDOW_CHARS = 300, 300, 3_000
+PATH_DIM, WORD_DIM, EXTRA, HIDDEN, EPOCHS, SEED = 96, 192, 6, 16, 14, 13
 BATCH_CELLS = 1 << 16
 
 SILENT = frozenset("script style noscript template head title meta link svg canvas iframe object audio video map select option button textarea datalist".split())
@@ -40,16 +45,20 @@ INLINE = frozenset(
 )
 #: Elements whose blocks are not the main text.
 ASIDE = frozenset("nav footer aside form menu dialog".split())
-#: Names in class, id or role that say the same.
+#: Words of class, id or role names that say the same, if the rest of the name says nothing else.
 NAMES = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies copyright disqus footer header "
     "menu modal nav navbar navigation newsletter notice notices popup promo promoted recommended related reply replies respond share sharing sidebar "
     "signup social sponsor sponsored subscribe toolbar widget widgets complementary contentinfo search consent gdpr overlay".split()
 )
+NEUTRAL = frozenset("site page global main primary secondary left right top bottom list item items box container wrapper wrap block slot section inner outer links bar area row col".split())
+#: Names of what holds the main text.
+HOLDERS = frozenset("article main content post entry story body text".split())
 #: An element that closes an open one of these when it begins.
 CLOSES = {"p": "p", "li": "li", "td": "td", "th": "td", "tr": "tr", "dt": "dt", "dd": "dd", "option": "option"}
 _BLANK = re.compile(r"\s+")
-_NAME = re.compile(r"[a-z]+")
+_NAME = re.compile(r"[a-z0-9_-]+")
+_PART = re.compile(r"[a-z]+")
 
 
 class _Blocks(HTMLParser):
@@ -162,34 +171,66 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     return parser.blocks
 
 
-def teacher(path: tuple[str, ...], text: str, linked: int) -> int:
-    """1 for a block of the main text by its structure, else 0."""
+def _says(name: str, words: frozenset[str]) -> bool:
+    """A whole name says something if one of its parts does and no part says anything else."""
+    parts = _PART.findall(name)
+    return any(p in words for p in parts) and all(p in words or p in NEUTRAL for p in parts)
+
+
+def landmarks(path: tuple[str, ...]) -> int:
+    """1 inside an article or main element, -1 inside an element of boilerplate, else 0."""
     inside = False
     for label in path:
-        tag, *names = label.split(".")
-        inside = inside or tag in ("article", "main") or "article" in names or "main" in names
-        if tag in ASIDE or NAMES.intersection(names) or (tag == "header" and not inside):
-            return 0
-    if inside:
-        return 1
-    return int(2 * linked < len(text) and len(text) >= 25)
+        tag = label.split(".")[0]
+        inside = inside or tag in ("article", "main")
+        if tag in ASIDE or (tag == "header" and not inside):
+            return -1
+    return int(inside)
+
+
+def named(path: tuple[str, ...]) -> int:
+    """By names alone: -1 for boilerplate, 1 for a holder of the main text, else 0."""
+    names = [n for label in path for n in label.split(".")[1:]]
+    if any(_says(n, NAMES) for n in names):
+        return -1
+    return int(any(_says(n, HOLDERS) for n in names))
+
+
+def density(text: str, linked: int) -> int:
+    """By links and length: -1 for mostly links, 1 for a stretch of prose, else 0."""
+    if 2 * linked >= len(text):
+        return -1
+    return int(len(text) >= 80 and text[-1] in ".!?…:;\"»”)") - int(len(text) < 12)
+
+
+def teacher(path: tuple[str, ...], text: str, linked: int, pages: int = 1) -> int:
+    """The sources' joint label of a block whose text stands on ``pages`` pages of the sample.
+
+    A sign of boilerplate in the structure or the names outweighs the others; what no
+    structure speaks for needs the look of prose.
+    """
+    a, b, c = landmarks(path), named(path), density(text, linked)
+    if a < 0 or b < 0 or (pages >= 3 and a == 0):
+        return 0
+    votes = 2 * a + b + c
+    return int(votes > 0 or (votes == 0 and a + b == 0 and 2 * linked < len(text) and len(text) >= 25))
 
 
 _PATHS: dict[tuple[str, ...], np.ndarray] = {}
 
 
 def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed tags and names of the path; the innermost ones count once more."""
+    """Hashed tags, names and their parts, and pairs of tags along the path; the innermost count once more."""
     found = _PATHS.get(path)
     if found is None:
         found = np.zeros(PATH_DIM, np.float32)
+        tags = [label.split(".")[0] for label in path]
         tokens = [t for label in path for t in label.split(".")]
-        for t in tokens + [f"/{label}" for label in path[-2:]]:
+        tokens += [f"{n}~" for label in path for name in label.split(".")[1:] for n in _PART.findall(name)]
+        tokens += [f"{x}>{y}" for x, y in zip(tags, tags[1:])] + [f"/{t}" for t in tags[-2:]]
+        for t in tokens:
             h = zlib.crc32(t.encode())
             found[h % PATH_DIM] += 1.0 if h & 0x10000 else -1.0
-        # What the teacher reads as signs is not lost to collisions.
-        found[0] = float(any(t in ASIDE or t in NAMES for t in tokens))
-        found[1] = float(any(t in ("article", "main") for t in tokens))
         found /= max(1.0, float(np.abs(found).max()))
         if len(_PATHS) < 100_000:
             _PATHS[path] = found
@@ -201,10 +242,10 @@ def vectors(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
     out = np.zeros((len(page), PATH_DIM + WORD_DIM + EXTRA), np.float32)
     crc = zlib.crc32
     for i, (path, text, linked) in enumerate(page):
-        words = text.split(" ")
+        words = text.lower().split(" ")
         out[i, :PATH_DIM] = _path_vector(path)
         bag = np.bincount([crc(w.encode("utf-8", "surrogatepass")) % WORD_DIM for w in words], minlength=WORD_DIM)
-        out[i, PATH_DIM : PATH_DIM + WORD_DIM] = bag / len(words)
+        out[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.sqrt(bag / len(words))
         n = len(text)
         ends = text[-1] in ".!?…:;"
         out[i, PATH_DIM + WORD_DIM :] = (np.log1p(n) / 8, np.log1p(len(words)) / 6, linked / n, float(ends), n / len(words) / 20, i / len(page))
@@ -310,23 +351,49 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 #: Boilerplate planted in training pages: a path to hang below the body or the article.
 PLANTS = (
-    ("div.sidebar", "ul", "li"), ("aside", "p"), ("aside", "div.widget", "p"), ("div.cookie.notice", "p"), ("div.banner", "p"), ("div.ad", "p"), ("div.advert",),
-    ("form", "div"), ("form.newsletter", "p"), ("section.comments", "div.comment", "p"), ("div.comments", "ul", "li"), ("ol.comment.list", "li", "p"),
-    ("div.related", "ul", "li"), ("div.share",), ("header", "p"), ("header", "h"), ("div.menu", "ul", "li"), ("nav", "ul", "li"), ("footer", "p"), ("div.footer",),
+    ("div.sidebar", "ul", "li"), ("aside", "p"), ("aside", "div.widget", "p"), ("div.cookie-notice", "p"), ("div.banner", "p"), ("div.ad", "p"), ("div.advert",),
+    ("form", "div"), ("form.newsletter", "p"), ("section.comments", "div.comment", "p"), ("div.comments", "ul", "li"), ("ol.comment-list", "li", "p"),
+    ("div.related", "ul", "li"), ("div.share",), ("header", "p"), ("header", "h1"), ("div.menu", "ul", "li"), ("nav", "ul", "li"), ("footer", "p"), ("div.site-footer",),
     ("div.promo", "p"), ("div.popup", "p"), ("div.breadcrumbs",),
 )
+#: What boilerplate says.
+PHRASES = (
+    "We use cookies to give you the best experience.", "This site uses cookies. Accept all cookies or change your settings.", "By continuing you agree to our privacy policy and terms of use.",
+    "Accept cookies", "Manage consent", "Advertisement", "Sponsored content", "Buy now and save 20% on all orders, free delivery.", "Special offer: buy one today, shop the sale now.", "Shop now",
+    "Subscribe to our newsletter", "Sign up for our newsletter and get the latest offers by email.", "Enter your email address", "Log in or sign up to comment", "Leave a comment", "Post a reply",
+    "Reply", "Share on social media", "Share this article", "Follow us on social media", "Related articles", "You may also like", "Most read", "Read more", "Click here", "Back to top",
+    "Home", "About us", "Contact", "Search this site", "Skip to content", "All rights reserved.", "Copyright 2020. All rights reserved.", "Terms and conditions", "Privacy policy",
+    "Thanks for this, I really liked reading it!", "Great post, I agree with you.", "Posted by a guest at 10:31",
+    "Wir verwenden Cookies, um unsere Website zu verbessern.", "Alle Cookies akzeptieren", "Anzeige", "Jetzt kaufen und sparen", "Newsletter abonnieren", "Kommentar schreiben", "Alle Rechte vorbehalten.",
+    "Nous utilisons des cookies pour améliorer votre expérience.", "Tout accepter", "Publicité", "Abonnez-vous à notre newsletter", "Laisser un commentaire", "Tous droits réservés.", "Acheter maintenant",
+    "Utilizamos cookies para mejorar su experiencia.", "Aceptar todo", "Publicidad", "Suscríbete a nuestro boletín", "Deja un comentario", "Todos los derechos reservados.", "Comprar ahora",
+)
 #: Containers that content is moved to, so that no one element name decides.
-HOMES = (("article",), ("main",), ("main", "article"), ("main", "div"), ("article", "section"), ("div", "article"), ("div.content",), ("div.post.body",), ("div",), ())
+HOMES = (("article",), ("main",), ("main", "article"), ("main", "div"), ("article", "section"), ("div", "article"), ("div.content",), ("div.post-body",), ("div.share-price-story",), ("div",), ())
 ROOTS = (("html", "body"), ("html", "body"), ("body",), ())
 
 
-#: What content itself may stand in.
+#: What content itself may stand in, and its head in an article.
 INNER = (("ul", "li"), ("ol", "li"), ("blockquote", "p"), ("table", "tr", "td"), ("pre",), ("h2",), ("h3",), ("figure", "figcaption"), ("section", "p"), ("dl", "dd"), ())
+HEADS = (("header", "h1"), ("header", "p"), ("header", "div", "h1"), ("header", "hgroup", "h1"), ("h1",))
+
+
+def masked(page: list, rng: np.random.Generator) -> list:
+    """The page with every class, id and role name replaced by a made-up one, or by none."""
+    table: dict[str, str] = {}
+
+    def other(label: str) -> str:
+        tag, *names = label.split(".")
+        for n in names:
+            if n not in table:
+                table[n] = "" if rng.random() < 0.3 else "".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(rng.integers(3, 9))))
+        return ".".join([tag, *(table[n] for n in names if table[n])])
+
+    return [(tuple(map(other, path)), text, linked) for path, text, linked in page]
 
 
-def variants(page: list, rng: np.random.Generator) -> tuple[list, list[int]]:
+def variants(page: list, rng: np.random.Generator, told: list[int]) -> tuple[list, list[int]]:
     """A training page: content in another container, boilerplate planted around and inside."""
-    told = [teacher(*b) for b in page]
     prose = [b for b, y in zip(page, told, strict=True) if y and len(b[1]) > 40]
     home, root = HOMES[rng.integers(len(HOMES))], ROOTS[rng.integers(len(ROOTS))]
     if prose and rng.random() < 0.15:
@@ -335,28 +402,38 @@ def variants(page: list, rng: np.random.Generator) -> tuple[list, list[int]]:
         return [((*root, *home, "p"), text, 0)], [1]
     out, labels = [], []
     # In some variants the content is mostly lists, cells and quotes.
-    odd = 0.5 if rng.random() < 0.4 else 0.1
+    odd = 0.5 if rng.random() < 0.5 else 0.15
+    head = "article" in home or "main" in home
 
     def plant(inside: bool) -> None:
-        if not prose:
-            return
         path = PLANTS[rng.integers(len(PLANTS))]
         if inside and path[0] == "header":
             return
         for _ in range(rng.integers(1, 4)):
-            text = prose[rng.integers(len(prose))][1]
-            words = text.split(" ")[: int(rng.integers(1, 60))]
-            short = " ".join(words)
-            linked = len(short) if rng.random() < 0.4 else 0
-            out.append(((*root, *(home if inside else ()), *path), short, linked))
+            kind = rng.random()
+            if kind < 0.6 or not prose:
+                text = " ".join(PHRASES[int(k)] for k in rng.integers(0, len(PHRASES), int(rng.integers(1, 3))))
+            else:
+                text = prose[rng.integers(len(prose))][1]
+                text = " ".join(text.split(" ")[: int(rng.integers(1, 60))])
+            # What is said inside the text in no telling element is told by its words alone.
+            bare = kind < 0.6 and rng.random() < 0.5
+            linked = len(text) if rng.random() < 0.3 else 0
+            out.append(((*root, *(home if inside else ()), *(("div.x", "p") if bare else path)), text, linked))
             labels.append(0)
 
+    first = True
     for b, y in zip(page, told, strict=True):
-        if rng.random() < 0.12:
+        if rng.random() < 0.15:
             plant(bool(y))
         if y:
-            path = tuple(x for x in b[0] if x.split(".")[0] not in ("html", "body", "article", "main"))
+            path = tuple(x for x in b[0] if x.split(".")[0] not in ("html", "body", "article", "main", "header"))
             text = b[1]
+            if first and head and rng.random() < 0.5:
+                for _ in range(int(rng.integers(1, 3))):
+                    out.append(((*root, *home, *HEADS[rng.integers(len(HEADS))]), " ".join(text.split(" ")[: int(rng.integers(1, 20))]), 0))
+                    labels.append(1)
+            first = False
             if rng.random() < odd:
                 path = INNER[rng.integers(len(INNER))]
                 if rng.random() < 0.5:
@@ -370,23 +447,25 @@ def variants(page: list, rng: np.random.Generator) -> tuple[list, list[int]]:
     return out, labels
 
 
-def train(pages: list[str], epochs: int = EPOCHS, seed: int = SEED) -> Labeller:
-    """Adam on the pages and two variants of each; without pages the untrained network."""
+def train(pages: list[list], epochs: int = EPOCHS, seed: int = SEED) -> Labeller:
+    """Adam on the pages' blocks, on variants, and on both with masked names; without pages the untrained network."""
     rng = np.random.default_rng(seed)
-    read = [p for p in map(blocks, pages) if p]
-    data = [(vectors(p), np.array([teacher(*b) for b in p], np.float32)) for p in read]
+    read = [p for p in pages if p]
+    stands = Counter(t for p in read for t in {b[1] for b in p})
+    data = []
     for p in read:
-        for _ in range(2):
-            v, y = variants(p, rng)
-            data.append((vectors(v), np.array(y, np.float32)))
+        told = [teacher(*b, stands[b[1]]) for b in p]
+        for v, y in ((p, told), *(variants(p, rng, told) for _ in range(4))):
+            shown = masked(v, rng) if rng.random() < 0.5 else v
+            data.append((vectors(shown), np.array(y, np.float32)))
     model = Labeller.fresh(seed)
     first = {k: np.zeros_like(v) for k, v in model.w.items()}
     second = {k: np.zeros_like(v) for k, v in model.w.items()}
     data.sort(key=lambda d: len(d[0]))
-    groups = [data[k : k + 24] for k in range(0, len(data), 24)]
-    step = 0
+    groups = [data[k : k + 32] for k in range(0, len(data), 32)]
+    step, mean, n = 0, {k: np.zeros_like(v) for k, v in model.w.items()}, 0
     for epoch in range(epochs):
-        rate = 0.02 if epoch < epochs * 2 // 3 else 0.005
+        rate = 0.02 if epoch < epochs // 2 else 0.008
         for k in rng.permutation(len(groups)):
             x, mask = _padded([d[0] for d in groups[k]])
             y = np.zeros_like(mask)
@@ -399,14 +478,32 @@ def train(pages: list[str], epochs: int = EPOCHS, seed: int = SEED) -> Labeller:
                 first[name] = 0.9 * first[name] + 0.1 * g
                 second[name] = 0.99 * second[name] + 0.01 * g**2
                 model.w[name] = model.w[name] - rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
-    return Labeller({k: v.astype(np.float32) for k, v in model.w.items()})
+            if epoch >= epochs * 2 // 3:
+                # The mean over the last steps generalises better than the last step.
+                n += 1
+                mean = {k: v + (model.w[k] - v) / n for k, v in mean.items()}
+    return Labeller({k: v.astype(np.float32) for k, v in (mean if n else model.w).items()})
+
+
+def window(page: list, seed: int) -> list:
+    """At most WINDOW_BLOCKS blocks in a row, from anywhere in the page, to train on."""
+    at = int(np.random.default_rng(seed).integers(0, max(1, len(page) - WINDOW_BLOCKS + 1)))
+    return [(path, text[:WINDOW_CHARS].strip(), min(linked, WINDOW_CHARS)) for path, text, linked in page[at : at + WINDOW_BLOCKS]]
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for h, html in zip(b.column("h").to_pylist(), b.column("html").to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([json.dumps(window(blocks(html), h & 0xFFFFFFFF))])], names=["h", "page"])
 
 
 def fit(pages: DataFrame, key: str = "page_id", html: str = "html", sample: int = SAMPLE_PAGES) -> Labeller:
-    """Train on about ``sample`` pages, never more, chosen by hash of the key."""
-    short = pages.filter(F.length(html) <= SAMPLE_CHARS).select(F.col(key).alias("k"), F.col(html).alias("html"))
-    chosen = bounded(short, F.col("k"), sample).collect()
-    return train([r["html"] for r in sorted(chosen, key=lambda r: (str(r["k"]), r["html"]))])
+    """Train on about ``sample`` pages, never more, chosen by hash of the key; pages of any length."""
+    keys = bounded(pages.select(F.col(key).alias("k")), F.col("k"), sample).distinct()
+    # At most ``sample`` keys.
+    chosen = pages.select(F.col(key).alias("p"), F.col(html).alias("html")).join(F.broadcast(keys), F.col("p").eqNullSafe(F.col("k")))
+    rows = chosen.select(F.xxhash64("p").alias("h"), "html").mapInArrow(_windows, "h long, page string").orderBy("h", "page").limit(sample).collect()
+    return train([[(tuple(path), text, linked) for path, text, linked in json.loads(r["page"])] for r in rows])
 
 
 def extract(pages: DataFrame, model: Labeller, html: str = "html", batch: int = 256) -> DataFrame:
