@@ -49,3 +49,45 @@ def gap_length(weight: Column, alpha: float, beta: float, max_gap: float = 100,
 def cosine(dot: Column, norm_a: Column, norm_b: Column) -> Column:
     """Cosine from a dot product and two squared norms, 0 for a zero norm, never negative."""
     return F.when((norm_a > 0) & (norm_b > 0), F.greatest(F.lit(0.0), dot / (F.sqrt(norm_a) * F.sqrt(norm_b)))).otherwise(F.lit(0.0))
+
+
+def two_decimals(x: Column) -> Column:
+    """``x`` with two decimals, half to even on its exact binary value, for |x| < 2**63.
+
+    The fraction times 100 is rounded as a double; what that rounding cut off, exactly (the
+    factor is split in two halves of 26 bits), decides where it ended halfway.
+    """
+    size = F.abs(x)
+    whole = F.floor(size)
+    part = size - whole.cast("double")
+    near = part * 100.0
+    high = part * 134217729.0 - (part * 134217729.0 - part)
+    cut = (high * 100.0 - near) + (part - high) * 100.0
+    cents = F.rint(near)
+    half = near - cents
+    cents = (cents + F.when((half == 0.5) & (cut > 0), 1.0).when((half == -0.5) & (cut < 0), -1.0).otherwise(0.0)).cast("long")
+    units = whole + F.when(cents == 100, 1).otherwise(0)
+    return F.concat(F.when(x < 0, "-").otherwise(""), units.cast("string"), F.lit("."), F.lpad(F.pmod(cents, F.lit(100)).cast("string"), 2, "0"))
+
+
+def float_text(x: Column) -> Column:
+    """A double as its shortest text: plain from 0.0001 to under 10**16, else as in 1.5e+20.
+
+    Fifteen digits where these give the number back, else sixteen, else seventeen; numbers
+    under 1e-307 in size may get a digit too many.
+    """
+    text = F.format_string("%.16e", x)
+    for digits in (15, 14):
+        short = F.format_string(f"%.{digits}e", x)
+        text = F.when(short.try_cast("double") == x, short).otherwise(text)
+    sign, first, more, power = (F.regexp_extract(text, r"^(-?)(\d)\.(\d+)e([+-]\d+)$", k) for k in (1, 2, 3, 4))
+    e = power.try_cast("int")
+    more = F.regexp_replace(more, "0+$", "")
+    digits = F.concat(first, more)
+    padded = F.when(F.length(digits) <= e, F.rpad(digits, e + 1, "0")).otherwise(digits)
+    tail = F.substr(padded, e + 2)
+    large = F.concat(F.left(padded, e + 1), F.lit("."), F.when(tail == "", "0").otherwise(tail))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+    scientific = F.concat(first, F.when(more == "", "").otherwise(F.concat(F.lit("."), more)), F.lit("e"), power)
+    known = F.concat(sign, F.when((e >= 0) & (e < 16), large).when((e < 0) & (e >= -4), small).otherwise(scientific))
+    return F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.when(x < 0, "-inf").otherwise("inf")).otherwise(known)

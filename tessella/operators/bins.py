@@ -38,6 +38,11 @@ def end_bins(placements: DataFrame, lengths: Sequence[int] = BIN_LENGTHS, bins:
     return out.select("bin_length", "read", "contig", "side", F.col("b0").alias("lo"), F.col("b1").alias("hi"))
 
 
+def of_members(placements: DataFrame, members: DataFrame) -> DataFrame:
+    """Placements on contigs that ``members`` (contig, ...) has; each once, however often it has them."""
+    return placements.join(members.select("contig"), "contig", "left_semi")
+
+
 def coverage(end_bins_: DataFrame) -> DataFrame:
     """(bin_length, read, contig, side, cnt, mask): bins counted with repeats, and as a bit set."""
     n = F.greatest(F.col("hi") - F.col("lo") + 1, F.lit(0))

@@ -109,13 +109,14 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return both_ways(edges).withColumn("rank", F.row_number().over(order).cast("long"))
 
 
-def top_up(kept: DataFrame, all_edges: DataFrame, min_degree: int = 1, max_rounds: int = 500) -> DataFrame:
+def top_up(kept: DataFrame, all_edges: DataFrame, min_degree: int = 1) -> DataFrame:
     """``kept`` and, for vertices short of ``min_degree``, their heaviest further edges.
 
     Vertices take turns in ascending order, and an edge that one adds counts for its
     neighbour too. Whatever happens before its turn, a vertex can only add from its first
     ``min_degree - degree`` offers, so it has to wait for no more than those smaller short
-    vertices that have it among theirs. All that wait for nobody act in one round. Up to 1
+    vertices that have it among theirs. All that wait for nobody act in one round, and the
+    least of all waits for nobody. Up to 1
     nothing can be short, as every vertex of a kept edge has one.
     """
     if min_degree <= 1:
@@ -129,9 +130,7 @@ def top_up(kept: DataFrame, all_edges: DataFrame, min_degree: int = 1, max_round
     waits = materialize(offers.filter("v < neighbor").select("v", "neighbor").join(short.select(F.col("v").alias("neighbor")), "neighbor"), "waits")
     added = materialize(offers.limit(0).select("v", "neighbor", "weight"), "added")
     left = short
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         blocked = waits.join(left.select("v"), "v").select(F.col("neighbor").alias("v")).distinct()
         ready = left.join(blocked, "v", "left_anti")
         # A larger vertex may act in an earlier round, but its turn comes later.
@@ -141,7 +140,5 @@ def top_up(kept: DataFrame, all_edges: DataFrame, min_degree: int = 1, max_round
         new = mine.filter(F.col("nth") <= F.col("need") - F.coalesce("got", F.lit(0))).select("v", "neighbor", "weight")
         added = materialize(added.unionByName(new), "added")
         left = materialize(left.join(ready.select("v"), "v", "left_anti"), "left")
-    else:
-        raise RuntimeError(f"vertices still wait for their turn after {max_rounds} rounds")
     more = added.select(F.least("v", "neighbor").alias("a"), F.greatest("v", "neighbor").alias("b"), F.col("weight").cast("double").alias("w"))
     return base.unionByName(more)

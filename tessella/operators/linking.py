@@ -57,17 +57,18 @@ def _finish(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(taken, columns=["partition", "a", "b", "w"])
 
 
-def greedy_path_cover(edges: DataFrame, members: DataFrame, local_edges: int = LOCAL_EDGES, max_rounds: int = 200) -> DataFrame:
+def greedy_path_cover(edges: DataFrame, members: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(partition, a, b, w): the external edges that the greedy pass accepts.
 
     ``edges`` as of ``candidate_edges``; ``members`` has (partition, contig), each contig a
-    fragment with its two ends free at first.
+    fragment with its two ends free at first. The best of all edges that are left is taken
+    in every round, so rounds come to an end.
     """
     kind = dict(edges.dtypes)["partition"]
     ends = members.select("partition", F.explode(F.array(*[F.concat("contig", F.lit(f"_{s}")) for s in (1, 2)])).alias("ep"), F.col("contig").alias("frag"))
     ends = materialize(ends, "ends")
     left, accepted = materialize(edges.select("partition", "a", "b", F.col("w").cast("double").alias("w")), "left"), []
-    for _ in range(max_rounds):
+    while True:
         for side in "ab":
             left = left.join(ends.select("partition", F.col("ep").alias(side), F.col("frag").alias(f"f{side}")), ["partition", side])
         left = materialize(left.filter("fa <> fb").select("partition", "a", "b", "w", "fa", "fb"), "left")
@@ -88,8 +89,6 @@ def greedy_path_cover(edges: DataFrame, members: DataFrame, local_edges: int = L
         ends = ends.join(closed, ["partition", "ep"], "left_anti").join(joined, ["partition", "frag"], "left")
         ends = materialize(ends.select("partition", "ep", F.coalesce("into", "frag").alias("frag")), "ends")
         left = left.select("partition", "a", "b", "w")
-    else:
-        raise RuntimeError(f"edges are left after {max_rounds} rounds")
     out = edges.limit(0).select("partition", "a", "b", F.col("w").cast("double").alias("w"))
     for part in accepted:
         out = out.unionByName(part)

@@ -26,27 +26,46 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return held.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + place).drop("__id", "__part", "__before")
 
 
+#: Ranges of values that are counted at once, and values that are read to pick from.
+RANGES, READ = 4096, 100_000
+
+
 def exact_quantile(df: DataFrame, column: str, p: float) -> float | None:
     """The p-quantile with linear interpolation; None of no values.
 
-    Values are sorted by range; the counts of the parts, one short row each, tell which part
-    holds the wanted place, and the values on either side of it are read there.
+    Values are counted by equal ranges between the least and the largest, and the range that
+    holds the wanted place is cut again until it has few values or one; these are read. No
+    values are sorted or written, and a pass returns RANGES short rows at most. ``df`` is
+    scanned three times or so.
     """
-    dealt = df.select(F.col(column).cast("double").alias("x")).filter("x is not null").repartitionByRange("x").sortWithinPartitions("x")
-    held = materialize(dealt.select("x", F.monotonically_increasing_id().alias("id")), "sorted")
-    sizes = sorted((r["part"], r["n"]) for r in held.groupBy(F.shiftright("id", 33).alias("part")).agg(F.count("*").alias("n")).collect())
-    n = sum(k for _, k in sizes)
+    values = df.select(F.col(column).cast("double").alias("x")).filter("x is not null and x <> double('NaN')")
+    n, lo, hi = values.agg(F.count("*"), F.min("x"), F.max("x")).first()
     if not n:
         return None
     place = (n - 1) * p
-    ids = []
-    for at in (math.floor(place), math.ceil(place)):
-        for part, k in sizes:
-            if at < k:
-                ids.append((part << 33) + at)
+    wanted = [math.floor(place), math.ceil(place)]
+    found = [_nth(values, k, lo, hi, n) for k in dict.fromkeys(wanted)]
+    low, high = found[0], found[-1]
+    return low if low == high else low + (high - low) * (place - wanted[0])
+
+
+def _nth(values: DataFrame, k: int, lo: float, hi: float, n: int) -> float:
+    """The value at place k (from 0) of those n in lo..hi."""
+    while lo < hi and n > READ:
+        if math.isinf(hi) or math.isinf(lo) or math.isinf(hi - lo):
+            # Infinities stand at the ends; between them the range is halved to be finite.
+            part = F.when(F.col("x") == float("inf"), 2).when(F.col("x") == float("-inf"), -1).otherwise(F.when(F.col("x") < 0, 0).otherwise(1))
+        else:
+            part = F.floor((F.col("x") - lo) / (hi - lo) * RANGES)
+        inside = values.filter((F.col("x") >= lo) & (F.col("x") <= hi))
+        # RANGES + 1 rows at most.
+        parts = inside.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        for r in sorted(parts, key=lambda r: r["part"]):
+            if k < r["n"]:
+                lo, hi, n = r["lo"], r["hi"], r["n"]
                 break
-            at -= k
-    # Two rows at most.
-    found = {r["id"]: r["x"] for r in held.filter(F.col("id").isin(ids)).collect()}
-    lo, hi = (found[i] for i in ids)
-    return lo + (hi - lo) * (place - math.floor(place))
+            k -= r["n"]
+    if lo == hi:
+        return lo
+    # READ values at most.
+    return sorted(r[0] for r in values.filter((F.col("x") >= lo) & (F.col("x") <= hi)).collect())[k]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import alignments as al
 from tessella.operators import bins, community, hypergraph, linking, scaffold
+from tessella.functions.sequences import two_decimals
 from tessella.operators.numbering import numbered
 from tessella.plans.materialize import materialize
 from tessella.sources import fasta, interchange, paf
@@ -23,6 +24,7 @@ class Parameters:
     min_w: float = 20
     drop_w: float = 0.3
     resolution: float = 1.0
+    random_seed: int = 42
     alpha: float = scaffold.ALPHA
     beta: float = scaffold.BETA
     max_gap: float = scaffold.MAX_GAP
@@ -71,13 +73,13 @@ def run(spark: SparkSession, paf_path: str, fasta_path: str, p: Parameters = Par
     extracted = materialize(al.extract(paf.read_placements(spark, paf_path), p.min_quality), "extracted")
     contigs = materialize(fasta.read_fasta(spark, fasta_path), "contigs")
     vertices, edges, every = contact_graph(merged, p)
-    communities = materialize(community.relabel(community.louvain(edges, every, p.resolution)), "communities")
+    communities = materialize(community.relabel(community.louvain(edges, every, p.resolution, p.random_seed)), "communities")
 
     names = contigs.groupBy(F.col("name").alias("contig")).agg(F.min(ROW_ID).alias("ord"))
     parts = communities.select(F.col("label").alias("partition"), F.col("vertex").alias("number"))
     members = materialize(bins.assign_partitions(names, parts).withColumn("ord", F.col("number").cast("long")), "members")
     places = extracted.select("read", F.replace("contig", F.lit(":"), F.lit("")).alias("contig"), *[F.trim(c).try_cast("long").alias(c) for c in ("t_len", "t_start", "t_end")])
-    places = places.dropna(subset=["t_len", "t_start", "t_end"]).join(members.select("contig"), "contig", "left_semi")
+    places = bins.of_members(places.dropna(subset=["t_len", "t_start", "t_end"]), members)
     pairs = materialize(bins.pair_weights(bins.coverage(bins.end_bins(places))), "ends")
     sim, cov = (linking.candidate_edges(pairs.withColumn("w", F.col(c)), members, p.min_w) for c in ("sim", "cov"))
     held = members.select("partition", "contig")
@@ -87,7 +89,7 @@ def run(spark: SparkSession, paf_path: str, fasta_path: str, p: Parameters = Par
     weights = materialize(bins.contig_weights(pairs, members.select("contig", "number")), "weights")
     order = numbered(chains.select("partition", "chain_no").distinct(), [F.asc("partition"), F.asc("chain_no")], "no")
     ends = chains.join(order, ["partition", "chain_no"]).select(F.col("no").alias("chain"), "pos", "endpoint")
-    rounded = weights.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.bround(F.col("weight").cast("decimal(38,18)"), 2).cast("double").alias("weight"))
+    rounded = weights.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), two_decimals(F.col("weight")).cast("double").alias("weight"))
     pieces = scaffold.gaps(scaffold.pair_lookup(scaffold.oriented(ends), rounded), p.alpha, p.beta, p.max_gap, p.min_gap)
     scaffolds = scaffold.assemble(pieces, fasta.last_of_each_name(contigs)).withColumnRenamed("chain", "no")
     return Stages(rows.select("read").distinct(), merged, extracted, contigs, vertices, edges, communities, members, pairs, links, chains, weights, scaffolds)

@@ -15,8 +15,9 @@ from tessella.operators import alignments as al
 from tessella.operators import bins, community, hypergraph, linking, scaffold
 from tessella.operators.components import connected_components
 from tessella.operators.numbering import numbered
-from tessella.plans.materialize import materialize
-from tessella.sources import fasta, interchange
+from tessella.plans.materialize import materialize, new_path
+from tessella.sources import fasta, interchange, paf
+from tessella.sources.text import write_lines
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -122,6 +123,21 @@ def hyper_vertices(spark, d):
     return hypergraph.to_hyperedges(kept_entries(spark, d))
 
 
+SQL_FACTORS = "UNION ALL ".join(
+    f"""SELECT {given}::DOUBLE AS factor, read, 'c_contig_' || vertex AS contig, length AS weight FROM (SELECT *, count(*) OVER r AS n, sum(length) OVER r AS total FROM merged WINDOW r AS (PARTITION BY read))
+  WHERE n <= 1 OR length >= {used} * 0.5 * (total - length) / nullif(n - 1, 0) """
+    for given, used in ((1.5, 1.5), (0.25, 0.25), (-1, 1.0))
+)
+
+
+@query("vertex_filter_factor", f"WITH {SQL_ALN}, {SQL_MERGED} {SQL_FACTORS}")
+def vertex_filter_factor(spark, d):
+    """The factor as an argument; what is not positive counts as 1."""
+    entries = materialize(merged(spark, d).select("read", "contig", F.col("length").alias("weight"), "first"), "entries")
+    parts = [hypergraph.vertex_filter(entries, f).select(F.lit(float(f)).alias("factor"), "read", "contig", "weight") for f in (1.5, 0.25, -1)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("hyperedge_vertex_filter", f"WITH {SQL_KEPT} SELECT read, 'c_contig_' || vertex AS contig, weight FROM kept")
 def hyperedge_vertex_filter(spark, d):
     return kept_entries(spark, d).select("read", "contig", "weight")
@@ -186,7 +202,25 @@ def vertex_degrees(spark, d):
     return hypergraph.degrees(graph(spark, d))
 
 
-@query("min_degree_topup")
+#: The pass in order: each turn takes the next short vertex; all edges so far are carried on.
+SQL_TOPUP = f"""WITH RECURSIVE {SQL_EDGES.replace("edges AS (", "edges AS MATERIALIZED (", 1)},
+arcs AS MATERIALIZED (SELECT a AS v, b AS n, w FROM edges UNION ALL SELECT b, a, w FROM edges),
+base AS MATERIALIZED (SELECT a, b, w FROM edges WHERE w >= (SELECT quantile_cont(w, 0.97) FROM edges)),
+short AS MATERIALIZED (SELECT v, row_number() OVER (ORDER BY v) AS turn FROM (SELECT a AS v FROM base UNION ALL SELECT b FROM base) GROUP BY v HAVING count(*) < 5),
+r(turn, a, b, w) AS (
+  SELECT 0::BIGINT, a, b, w FROM base
+  UNION ALL
+  SELECT * FROM (
+    SELECT turn + 1, a, b, w FROM r WHERE turn < (SELECT count(*) FROM short)
+    UNION ALL
+    SELECT turn, least(v, n), greatest(v, n), w FROM (
+      SELECT s.turn, s.v, o.n, o.w, row_number() OVER (ORDER BY o.w DESC, o.n) AS k, (SELECT count(*) FROM r x WHERE x.a = s.v OR x.b = s.v) AS degree
+      FROM short s JOIN arcs o ON o.v = s.v WHERE s.turn = (SELECT max(turn) + 1 FROM r) AND NOT EXISTS (SELECT 1 FROM r x WHERE x.a = least(s.v, o.n) AND x.b = greatest(s.v, o.n)))
+    WHERE k <= 5 - degree))
+SELECT a, b, w FROM r WHERE turn = (SELECT count(*) FROM short)"""
+
+
+@query("min_degree_topup", SQL_TOPUP)
 def min_degree_topup(spark, d):
     every = materialize(graph(spark, d), "graph")
     return hypergraph.top_up(hypergraph.percentile_filter(every, 97), every, 5)
@@ -203,6 +237,23 @@ def community_detection(spark, d):
     return community.relabel(community.louvain(edges, vertices.select("vertex").distinct()))
 
 
+@query(
+    "community_invariants",
+    f"WITH {SQL_KEPT} SELECT count(DISTINCT vertex) AS vertices, count(DISTINCT vertex) AS placed, true AS each_once, true AS labels_in_order, true AS above_singletons, true AS not_below_one FROM kept",
+)
+def community_invariants(spark, d):
+    """What holds of any communities that are worth the name, over all edges of the default percentile and up."""
+    vertices = materialize(hyper_vertices(spark, d), "vertices")
+    every = materialize(hypergraph.project(vertices, hypergraph.weigh(vertices)), "graph")
+    edges, nodes = materialize(hypergraph.percentile_filter(every), "edges"), materialize(vertices.select("vertex").distinct(), "nodes")
+    found = materialize(community.relabel(community.louvain(edges, nodes)), "communities")
+    alone, one = nodes.select("vertex", F.col("vertex").alias("label")), nodes.select("vertex", F.lit(0).alias("label"))
+    ours, least, whole = (community.modularity(edges, x) for x in (found, alone, one))
+    n = nodes.agg(F.count("*").alias("vertices"))
+    out = found.agg(F.countDistinct("vertex").alias("placed"), (F.countDistinct("vertex") == F.count("*")).alias("each_once"), (F.countDistinct("label") == F.max("label") + 1).alias("labels_in_order"))
+    return n.join(out).select("*", F.lit(ours > least).alias("above_singletons"), F.lit(ours >= whole - 1e-9).alias("not_below_one"))
+
+
 def labelled(spark, d):
     """Communities given beforehand: suppliers by nation."""
     return table(spark, d, "supplier").select(F.col("s_nationkey").alias("label"), F.col("s_suppkey").alias("vertex"))
@@ -284,6 +335,16 @@ def duplicate_suffixes(spark, d):
     return bins.duplicate_suffixes(table(spark, d, "part").select(F.col("p_name").alias("contig")))
 
 
+@query(
+    "placements_of_members",
+    f"WITH {SQL_ALN} SELECT read, contig, t_start, t_end FROM aln WHERE mapq >= 60 AND q_end >= 100 AND vertex IN (SELECT s_suppkey FROM supplier WHERE s_nationkey % 2 = 0)",
+)
+def placements_of_members(spark, d):
+    """Placements on contigs that have a place in a partition; a contig that is there twice counts once."""
+    held = table(spark, d, "supplier").filter("s_nationkey % 2 = 0").select(F.concat(F.lit("c_contig_"), F.col("s_suppkey").cast("string")).alias("contig"))
+    return bins.of_members(al.extract(alignments(spark, d), least=1), held.unionByName(held)).select("read", "contig", "t_start", "t_end")
+
+
 SQL_BINS = f"""{SQL_ALN}, placed AS (SELECT * FROM aln WHERE mapq >= 60),
 win AS (SELECT bin_length, read, vertex, side, t_len, CASE side WHEN 1 THEN 0 ELSE greatest(0, t_len - 5 * bin_length) END AS begin,
   greatest(t_start, CASE side WHEN 1 THEN 0 ELSE greatest(0, t_len - 5 * bin_length) END) AS lo, least(t_end, CASE side WHEN 1 THEN least(5 * bin_length, t_len) ELSE t_len END) AS hi
@@ -366,18 +427,58 @@ def _links(spark, d):
     return sim, cov, linking.two_phase(sim, cov, held)
 
 
-@query("greedy_path_cover")
+SQL_MEMBERS = "members AS (SELECT s_suppkey % 3 AS partition, 'c_contig_' || s_suppkey AS contig, s_suppkey AS ord FROM supplier)"
+
+
+def sql_candidates(name: str, measure: str, floor: float) -> str:
+    return f"""{name} AS MATERIALIZED (SELECT va % 3 AS partition, least(ep_a, ep_b) AS a, greatest(ep_a, ep_b) AS b, max(round({measure}, 5)) AS w FROM pairs
+  WHERE round({measure}, 5) >= {floor} AND va <> vb AND va % 3 = vb % 3 GROUP BY ALL)"""
+
+
+def sql_cover(name: str, edges: str) -> str:
+    """The greedy pass, one edge of every partition a step; each step carries all ends, their fragments and whether they are free."""
+    return f"""{name}_s(it, partition, ep, frag, free, a, b, w) AS (
+  SELECT 0, partition, contig || '_' || side, contig, true, NULL::VARCHAR, NULL::VARCHAR, NULL::DOUBLE FROM members, (SELECT unnest([1, 2]) AS side)
+  UNION ALL
+  SELECT it + 1, s.partition, ep, CASE WHEN s.frag = e.fb THEN e.fa ELSE s.frag END, s.free AND s.ep <> e.a AND s.ep <> e.b, e.a, e.b, e.w
+  FROM {name}_s s JOIN (SELECT partition, unnest(best) FROM (
+    SELECT e.partition, arg_min(struct_pack(a := e.a, b := e.b, w := e.w, fa := x.frag, fb := y.frag), (-e.w, e.a, e.b)) AS best
+    FROM {edges} e JOIN {name}_s x ON e.a = x.ep AND e.partition = x.partition JOIN {name}_s y ON e.b = y.ep AND e.partition = y.partition WHERE x.free AND y.free AND x.frag <> y.frag GROUP BY e.partition)) e USING (partition)),
+{name} AS MATERIALIZED (SELECT DISTINCT partition, a, b, w FROM {name}_s WHERE a IS NOT NULL)"""
+
+
+SQL_PAIRS_ONCE = SQL_PAIRS.replace("pairs AS (", "pairs AS MATERIALIZED (", 1)
+SQL_TWO_PHASE = f"""WITH RECURSIVE {SQL_PAIRS_ONCE}, {SQL_MEMBERS}, {sql_candidates("se", "sim", 20)}, {sql_candidates("ce", "cov", 20)}, {sql_cover("sc", "se")}, {sql_cover("cc", "ce")},
+both_ AS MATERIALIZED (SELECT partition, a, b, max(w) AS w FROM (SELECT partition, a, b, w + 100000.0 AS w FROM sc UNION ALL SELECT partition, a, b, w FROM cc) GROUP BY ALL), {sql_cover("links", "both_")}"""
+
+
+@query("greedy_path_cover", f"WITH RECURSIVE {SQL_PAIRS_ONCE}, {SQL_MEMBERS}, {sql_candidates('e5', 'sim', 5)}, {sql_cover('cover5', 'e5')} SELECT partition, a, b, w FROM cover5")
 def greedy_path_cover(spark, d):
     p, m = pairs(spark, d).withColumn("w", F.round("sim", 5)), members(spark, d)
     return linking.greedy_path_cover(materialize(linking.candidate_edges(p, m, 5), "edges"), m.select("partition", "contig"))
 
 
-@query("two_phase_links")
+@query("two_phase_links", f"{SQL_TWO_PHASE} SELECT partition, a, b, w FROM links")
 def two_phase_links(spark, d):
     return _links(spark, d)[2]
 
 
-@query("linked_chains")
+#: Every path is walked from both of its free ends; the lesser end's walk counts.
+SQL_CHAINS = f"""{SQL_TWO_PHASE},
+ends AS MATERIALIZED (SELECT partition, contig, ord, side, contig || '_' || side AS v, contig || '_' || (3 - side) AS other FROM members, (SELECT unnest([1, 2]) AS side)),
+ext AS MATERIALIZED (SELECT a AS v, b AS u, w FROM links UNION ALL SELECT b, a, w FROM links),
+walk(start, pos, v) AS (
+  SELECT v, 0::BIGINT, v FROM ends WHERE v NOT IN (SELECT v FROM ext)
+  UNION ALL
+  SELECT start, pos + 1, CASE WHEN pos % 2 = 0 THEN e.other ELSE x.u END FROM walk JOIN ends e ON e.v = walk.v LEFT JOIN ext x ON x.v = walk.v WHERE pos % 2 = 0 OR x.u IS NOT NULL),
+last AS (SELECT start, max(pos) AS n, arg_max(v, pos) AS stop FROM walk GROUP BY start),
+chosen AS (SELECT l.start FROM last l JOIN ends s ON s.v = l.start JOIN ends t ON t.v = l.stop WHERE (s.ord, s.side) <= (t.ord, t.side)),
+held AS MATERIALIZED (SELECT w.start, w.pos, e.partition, e.contig, e.side, e.v, e.ord, x.w FROM walk w JOIN chosen USING (start) JOIN ends e ON e.v = w.v LEFT JOIN ext x ON x.v = w.v),
+numbers AS (SELECT start, row_number() OVER (PARTITION BY partition ORDER BY least_) AS chain_no FROM (SELECT start, any_value(partition) AS partition, min((ord, side)) AS least_ FROM held GROUP BY start))
+SELECT partition, chain_no, pos, contig, side, v AS endpoint, CASE WHEN pos % 2 = 0 THEN 100000.0 ELSE w END AS w_next FROM held JOIN numbers USING (start)"""
+
+
+@query("linked_chains", SQL_CHAINS)
 def linked_chains(spark, d):
     return linking.chains(materialize(_links(spark, d)[2], "links"), members(spark, d))
 
@@ -550,20 +651,36 @@ def community_parse(spark, d):
     return interchange.parse_partitions(lines).select("partition", "vertex")
 
 
-@query(
-    "weight_text",
-    "WITH w AS (SELECT l_suppkey AS a, l_partkey AS b, sum(l_quantity) / 4 AS w FROM lineitem GROUP BY 1, 2) SELECT a::VARCHAR AS a, b::VARCHAR AS b, a || ' ' || b || ' ' || printf('%.2f', w) AS value FROM w",
-)
-def weight_text(spark, d):
-    """Quarters, which both engines hold exactly."""
+#: Real numbers, many of them a hair off halfway between two cents.
+SQL_WEIGHTS = "w AS (SELECT l_suppkey AS a, l_partkey AS b, sum(l_quantity) / 1000 AS w, sqrt(sum(l_quantity)) AS r FROM lineitem GROUP BY 1, 2)"
+
+
+def real_weights(spark, d) -> DataFrame:
     rows = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("a"), F.col("l_partkey").cast("string").alias("b"))
-    return interchange.weight_lines(rows.agg((F.sum("l_quantity") / 4).alias("weight")))
+    return rows.agg((F.sum("l_quantity") / 1000).alias("w"), F.sqrt(F.sum("l_quantity")).alias("r"))
 
 
-@query("adjacency_text", f"WITH {SQL_BOTH} SELECT v, row_number() OVER (PARTITION BY v ORDER BY floor(weight) DESC, neighbor) AS rank, v || ' ' || neighbor || ' ' || floor(weight)::BIGINT || '.0' AS value FROM arcs")
+@query("weight_text", f"WITH {SQL_WEIGHTS} SELECT a::VARCHAR AS a, b::VARCHAR AS b, a || ' ' || b || ' ' || printf('%.2f', w) AS value, a || ' ' || b || ' ' || printf('%.2f', r) AS root FROM w")
+def weight_text(spark, d):
+    """Thousandths, of which every tenth lies by a half between two cents, and roots."""
+    rows = real_weights(spark, d)
+    both = rows.select("a", "b", F.col("w").alias("weight"), "r")
+    out = interchange.weight_lines(both.select("a", "b", "weight"))
+    return out.join(interchange.weight_lines(both.select("a", "b", F.col("r").alias("weight"))).withColumnRenamed("value", "root"), ["a", "b"])
+
+
+@query("adjacency_text", f"WITH {SQL_BOTH} SELECT v, row_number() OVER (PARTITION BY v ORDER BY weight DESC, neighbor) AS rank, v || ' ' || neighbor || ' ' || weight::VARCHAR AS value FROM arcs")
 def adjacency_text(spark, d):
-    """Whole weights, which both engines write alike below ten million."""
-    return interchange.adjacency_lines(hypergraph.adjacency(graph(spark, d).withColumn("w", F.floor("w").cast("double"))))
+    return interchange.adjacency_lines(hypergraph.adjacency(graph(spark, d)))
+
+
+@query("float_texts", "SELECT o_orderkey, o_custkey % 36 AS k, (o_orderkey * CASE WHEN o_custkey % 36 < 18 THEN CAST('1e' || (o_custkey % 36) AS DOUBLE) ELSE 1.0 / CAST('1e' || (o_custkey % 36 - 17) AS DOUBLE) END)::VARCHAR AS value FROM orders")
+def float_texts(spark, d):
+    """Whole numbers times powers of ten, exact up to 1e22: all forms that a number's text takes."""
+    k = F.col("o_custkey") % 36
+    up, down = (F.concat(F.lit("1e"), x.cast("string")).cast("double") for x in (k, k - 17))
+    x = F.col("o_orderkey") * F.when(k < 18, up).otherwise(1.0 / down)
+    return table(spark, d, "orders").select("o_orderkey", k.alias("k"), sq.float_text(x).alias("value"))
 
 
 @query("chain_parse", "SELECT o_custkey || '_1' AS chain, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, 'o_' || o_orderkey AS endpoint FROM orders")
@@ -599,3 +716,110 @@ def name_parts(spark, d):
 @query("mean_degree", f"WITH {SQL_BOTH} SELECT round(avg(n), 6) AS mean_degree FROM (SELECT count(*) AS n FROM arcs GROUP BY v)")
 def mean_degree(spark, d):
     return hypergraph.degrees(graph(spark, d)).agg(F.round(F.avg("degree"), 6).alias("mean_degree"))
+
+
+# ------------------------------------------------------------------ scans of text written from the tables
+
+
+def written(lines: DataFrame, name: str, order: list) -> str:
+    """The path of ``lines`` as text, sorted, in the shared folder."""
+    path = new_path(lines.sparkSession, name)
+    write_lines(lines, path, order)
+    return path
+
+
+#: Line items as PAF. Of seven lines of an order the sixth has no number for its quality and
+#: the seventh lacks a column; the fifth has a length that only one of the scans reads.
+def paf_path(spark, d) -> str:
+    rows = alignments(spark, d)
+    n = F.col("row_id.l_linenumber")
+    fields = [
+        F.concat(F.lit("r"), F.col("read").cast("string")), F.lit("9000"), F.col("q_start"), F.col("q_end"), F.concat("strand", F.lit("x")), "contig", F.when(n == 5, "?").otherwise(F.col("t_len").cast("string")),
+        "t_start", "t_end", F.lit("1"), F.lit("2"), F.when(n == 6, "high").otherwise(F.col("mapq").cast("string")),
+    ]
+    line = F.concat_ws("\t", *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in fields])
+    line = F.when(n == 7, F.regexp_replace(line, "\t[^\t]*$", "")).otherwise(line)
+    return written(rows.select(line.alias("value"), "read", "row_id"), "paf", ["read", "row_id"])
+
+
+@query("paf_alignments", f"WITH {SQL_ALN} SELECT 'r' || read AS read, q_start, q_end, strand, contig, t_start, t_end, mapq FROM aln WHERE l_linenumber NOT IN (6, 7)")
+def paf_alignments(spark, d):
+    rows = paf.read_alignments(spark, paf_path(spark, d))
+    return rows.select("read", F.col("q_start").cast("int").alias("q_start"), "q_end", "strand", "contig", "t_start", "t_end", "mapq")
+
+
+@query(
+    "paf_placements",
+    f"WITH {SQL_ALN} SELECT 'r' || read AS read, q_end, contig, CASE WHEN l_linenumber = 5 THEN '?' ELSE t_len::VARCHAR END AS t_len, t_start::VARCHAR AS t_start, t_end::VARCHAR AS t_end, mapq FROM aln WHERE l_linenumber NOT IN (6, 7)",
+)
+def paf_placements(spark, d):
+    return paf.read_placements(spark, paf_path(spark, d)).select("read", "q_end", "contig", "t_len", "t_start", "t_end", "mapq")
+
+
+@query("paf_merge", f"WITH {SQL_ALN.replace('FROM lineitem', 'FROM lineitem WHERE l_linenumber NOT IN (6, 7)')}, {SQL_MERGED} SELECT 'r' || read AS read, contig, t_start, t_end, strand, length FROM merged")
+def paf_merge(spark, d):
+    """The first row is the file's first: lines stand by read and row."""
+    rows = paf.read_alignments(spark, paf_path(spark, d))
+    return al.merge(al.quality_filter(rows, 30)).select("read", "contig", "t_start", "t_end", "strand", "length")
+
+
+#: Documents as FASTA, with a description, a carriage return and the text's own lines.
+SQL_RECORDS = "records AS (SELECT doc_id, replace(replace(replace(coalesce(text, ''), '>', '}'), chr(13), ''), chr(10), '') AS seq, 'doc_' || doc_id || ' ' || coalesce(lang, '?') AS header FROM documents)"
+
+
+def fasta_path(spark, d, name=None) -> str:
+    docs = table(spark, d, "documents")
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit(">"), F.lit("}")), F.lit("\r"), F.lit(""))
+    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string")) if name is None else name
+    record = F.concat(F.lit(">"), name, F.lit(" "), F.coalesce("lang", F.lit("?")), F.lit("\r\n"), text)
+    return written(docs.select(record.alias("value"), "doc_id"), "fasta", ["doc_id"])
+
+
+@query("fasta_scan", f"WITH {SQL_RECORDS} SELECT 'doc_' || doc_id AS name, header, length(seq) AS length, sha256(seq) AS seq_sha256 FROM records")
+def fasta_scan(spark, d):
+    return fasta.read_fasta(spark, fasta_path(spark, d)).select("name", "header", "length", F.sha2("seq", 256).alias("seq_sha256"))
+
+
+@query("fasta_lengths_text", f"WITH {SQL_RECORDS} SELECT '>doc_' || doc_id || chr(10) || length(seq) AS value FROM records")
+def fasta_lengths_text(spark, d):
+    return fasta.length_lines(fasta.read_fasta(spark, fasta_path(spark, d))).select("value")
+
+
+@query(
+    "fasta_last_of_name",
+    f"WITH {SQL_RECORDS} SELECT 'copy_' || (doc_id // 3) AS name, min(doc_id) AS first_of, arg_max(length(seq), doc_id) AS length, arg_max(sha256(seq), doc_id) AS seq_sha256 FROM records GROUP BY 1",
+)
+def fasta_last_of_name(spark, d):
+    """Three records to a name: the first one's place and the last one's sequence."""
+    name = F.concat(F.lit("copy_"), F.expr("doc_id div 3").cast("string"))
+    rows = fasta.last_of_each_name(fasta.read_fasta(spark, fasta_path(spark, d, name)))
+    least = table(spark, d, "documents").groupBy(name.alias("name")).agg(F.min("doc_id").alias("first_of"))
+    placed = numbered(rows.select("row_id", "name"), [F.asc("row_id")], "place").join(numbered(least, [F.asc("first_of")], "place").withColumnRenamed("name", "by_id"), "place")
+    return rows.join(placed.select("name", "by_id", "first_of"), "name").filter("name = by_id").select("name", "first_of", "length", F.sha2("seq", 256).alias("seq_sha256"))
+
+
+@query("fasta_renamed", f"WITH {SQL_RECORDS} SELECT 'chr1_contig_' || row_number() OVER (ORDER BY doc_id) AS name, sha256(upper(replace(seq, 'ß', 'ss'))) AS seq_sha256 FROM records")
+def fasta_renamed(spark, d):
+    return fasta.renamed(fasta.read_fasta(spark, fasta_path(spark, d))).select("name", F.sha2("seq", 256).alias("seq_sha256"))
+
+
+@query("merged_scan", f"WITH {SQL_ALN}, {SQL_MERGED} SELECT read::VARCHAR AS read, contig, strand, t_start::DOUBLE AS t_start, t_end::DOUBLE AS t_end, length::DOUBLE AS length FROM merged")
+def merged_scan(spark, d):
+    path = written(merged_text(spark, d), "merged", ["read"])
+    return interchange.read_merged(spark, path).select("read", "contig", "strand", "t_start", "t_end", "length")
+
+
+@query(
+    "extracted_scan",
+    f"WITH {SQL_ALN}, good AS (SELECT * FROM aln WHERE q_end >= 100 AND mapq >= 60) SELECT read::VARCHAR AS read, contig, t_len, t_start, t_end FROM good WHERE read IN (SELECT read FROM good GROUP BY read HAVING count(*) >= 2)",
+)
+def extracted_scan(spark, d):
+    path = written(extracted_text(spark, d), "extracted", ["read"])
+    return interchange.read_extracted(spark, path).select("read", "contig", "t_len", "t_start", "t_end")
+
+
+@query("weight_scan", f"WITH {SQL_WEIGHTS}, t AS (SELECT a, b, printf('%.2f', w)::DOUBLE AS weight FROM w) SELECT a, b, weight FROM t WHERE weight > 0")
+def weight_scan(spark, d):
+    """What is written as 0.00 is not read."""
+    lines = interchange.weight_lines(real_weights(spark, d).withColumnRenamed("w", "weight"))
+    return interchange.read_weights(spark, written(lines, "weights", ["a", "b"])).select("a", "b", "weight")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.sequences import float_text, two_decimals
 from tessella.sources.text import ROW_ID, scan_lines, under_headers
 
 
@@ -136,9 +137,8 @@ def chain_lines(chains: DataFrame) -> DataFrame:
 
 def weight_lines(weights: DataFrame) -> DataFrame:
     """``a b weight`` with two decimals, half to even on the exact binary value."""
-    exact = F.col("weight").cast("decimal(38,18)")
-    return weights.select("a", "b", F.concat_ws(" ", "a", "b", F.bround(exact, 2).cast("decimal(38,2)").cast("string")).alias("value"))
+    return weights.select("a", "b", F.concat_ws(" ", "a", "b", two_decimals(F.col("weight").cast("double"))).alias("value"))
 
 
 def adjacency_lines(adjacency: DataFrame) -> DataFrame:
-    return adjacency.select("v", "rank", F.concat_ws(" ", F.col("v").cast("string"), F.col("neighbor").cast("string"), F.col("weight").cast("string")).alias("value"))
+    return adjacency.select("v", "rank", F.concat_ws(" ", F.col("v").cast("string"), F.col("neighbor").cast("string"), float_text(F.col("weight").cast("double"))).alias("value"))
