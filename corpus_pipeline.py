@@ -31,7 +31,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each group of near duplicates."""
+    """Keep the document with the least id of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
     return simhash.keep_first(docs.select(*COLUMNS), shingle=5, similarity=0.8)
 
 
@@ -41,7 +41,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lay the documents out in padded batches: doc_id, chunk, n_tokens, bucket, batch, slot."""
+    """Lay the documents out in padded batches: doc_id, chunk, start, n_tokens, bucket, batch, slot."""
     return packing.pack(docs.select(*COLUMNS))
 
 
