@@ -174,11 +174,14 @@ def fit(x: np.ndarray, good: np.ndarray, more: tuple[np.ndarray, np.ndarray] | N
     pos, neg = np.flatnonzero(good), np.flatnonzero(~good)
     if not len(pos) or not len(neg):
         return Ranker(np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0.0, 1.0)
-    mean, spread = x.mean(axis=0), x.std(axis=0)
+    mean = x.mean(axis=0)
+    z = x - mean
+    # Not x.std(), which makes two more arrays of the size of x.
+    spread = np.sqrt(np.einsum("ij,ij->j", z, z) / len(z))
     if n_counted is not None and n_counted < x.shape[1]:
         spread[n_counted:] = np.maximum(spread[n_counted:], spread[n_counted:].mean()) * np.sqrt((x.shape[1] - n_counted) / n_counted)
     spread = np.where(spread > 1e-12, spread, 1.0)
-    z = (x - mean) / spread
+    z /= spread
     rng = np.random.default_rng(seed)
     # A corruption is one of the bad, but stands in pairs with its own text only.
     own = np.setdiff1d(neg, more[1]) if more is not None and len(more[1]) else neg
@@ -236,6 +239,16 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("h").slice(lo, hi - lo), b.column("label").slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], names=["h", "label", "x"])
 
 
+def _stacked(rows: pa.ChunkedArray) -> np.ndarray:
+    """Features of all rows, copied chunk by chunk: no list of rows is made of them."""
+    out, at = np.empty((len(rows), COUNTED + HASHED), np.float32), 0
+    for chunk in rows.chunks:
+        for x in chunk:
+            out[at] = np.frombuffer(x.as_buffer(), np.float32)
+            at += 1
+    return out
+
+
 def _ready(rows: DataFrame, *keep: str) -> DataFrame:
     """keep, counted and raw, from rows with ``text``."""
     out = text_counts(rows.select(*keep, "text", whole(F.col("text")).cast("binary").alias("raw")))
@@ -255,8 +268,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, m
     # Rows of the table that share a key must not raise the number beyond twice the bound; a
     # row is some 9 kB.
     got = ready.orderBy("h", "label", "x").limit(2 * max_labelled).toArrow()
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(got.num_rows, COUNTED + HASHED)
+    x = _stacked(got["x"])
     h, kind = (got[c].to_numpy().astype(np.int64) for c in ("h", "label"))
+    del got
     first = {int(a): k for k, (a, b) in enumerate(zip(h, kind, strict=True)) if b == 1}
     bad = np.array([k for k in np.flatnonzero(kind >= 2) if int(h[k]) in first], np.int64)
     return fit(x, kind == 1, (np.array([first[int(h[k])] for k in bad], np.int64), bad), COUNTED)
