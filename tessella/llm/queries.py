@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import chat, decontaminate, html_labels, line_dedup, lm_score, packing, pairwise_quality, quality_rules, simhash, suffix_dedup
+from tessella.llm import chat, decontaminate, html_labels, license_scan, line_dedup, lm_score, packing, pairwise_quality, quality_rules, simhash, suffix_dedup
 
 QUERIES, ORACLES = {}, {}
 
@@ -71,3 +71,8 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_html_labels")
 def op5_html_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_labels.html_query(table(spark, sf_dir, "pages"))
+
+
+@register("op13_license_scan", license_scan.oracle())
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
