@@ -110,17 +110,18 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: Seq
     seg, s = F.col("seg"), F.col("s")
     lead = s - F.greatest(s - REACH, F.lit(0))  # words in seg before s
     last = F.least(F.lit(SEGMENT), F.size(seg) - lead - K + 1)
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(1)) - 1), lambda i: F.when(last > 0, F.xxhash64(*[F.get(seg, lead + i + j) for j in range(K)])))
-    # Before the hashes stands a place without one, for the document itself.
-    looked = cut.select("row", "doc", "n_words", "s", "seg", F.posexplode(F.concat(F.array(F.lit(None).cast("long")), grams)).alias("i", "h"))
+    # Words are read by their place and not in a lambda, so that hashing is compiled. Place -1
+    # has no hash and stands for the document itself.
+    looked = cut.select("row", "doc", "n_words", "s", "seg", F.explode(F.sequence(F.lit(-1), F.greatest(last, F.lit(0)) - 1)).alias("i"))
+    i = F.col("i")
+    looked = looked.withColumn("h", F.when(i >= 0, F.xxhash64(*[F.get(seg, lead + i + j) for j in range(K)])))
     small = F.broadcast(table) if len(places) <= BROADCAST_PLACES else table
-    hits = looked.join(small, "h", "left").filter("t is not null or (i = 0 and s = 0)")
+    hits = looked.join(small, "h", "left").filter("t is not null or (i = -1 and s = 0)")
 
-    p = s + F.col("i") - 1
-    d = p - F.col("t")
+    d = s + i - F.col("t")
     begin = F.greatest(d - DRIFT, F.lit(0))
     band = F.slice(seg, begin - s + lead + 1, d + F.col("n") + DRIFT - begin)
-    opens = (F.col("t") == 0) | F.coalesce(F.get(seg, lead + F.col("i") - 2) != F.col("before"), F.lit(True))
+    opens = (F.col("t") == 0) | F.coalesce(F.get(seg, lead + i - 1) != F.col("before"), F.lit(True))
     hits = hits.select(
         "row", F.when(F.col("tpl").isNull(), F.col("doc")).alias("doc"), F.when(F.col("tpl").isNull(), F.col("n_words")).alias("n_words"),
         "tpl", d.alias("d"), F.expr("shiftleft(1L, t)").alias("vote"), F.when(opens, band).alias("band"),
