@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import chat, decontaminate, html_labels, license_scan, line_dedup, lm_score, packing, pairwise_quality, quality_rules, simhash, suffix_dedup
+from tessella.llm import chat, decontaminate, html_labels, license_scan, line_dedup, lm_score, packing, pairwise_quality, quality_rules, simhash, suffix_dedup, whitening
 
 QUERIES, ORACLES = {}, {}
 
@@ -76,3 +76,8 @@ def op5_html_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op13_license_scan", license_scan.oracle())
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+@register("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
