@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import chat, decontaminate, html_labels, license_scan, line_dedup, lm_score, packing, pairwise_quality, quality_rules, simhash, suffix_dedup, whitening
+from tessella.llm import chat, decontaminate, html_labels, license_scan, line_dedup, lm_score, packing, pairwise_quality, prefix_trie, quality_rules, simhash, suffix_dedup, whitening
 
 QUERIES, ORACLES = {}, {}
 
@@ -81,3 +81,8 @@ def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op11_whitening")
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@register("op12_prefix_trie", prefix_trie.ORACLE)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
