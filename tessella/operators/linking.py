@@ -2,10 +2,18 @@
 
 Inside each partition, edges between ends of contigs are taken by falling weight (ties by
 the ends' names) if both ends are free and the edge closes no cycle. A sequential pass is
-not needed for that: call the paths formed so far fragments. An edge that comes first among
-all edges still possible at either of its two fragments would be taken by the pass too,
-since neither fragment can change before it. Rounds take all such edges at once; they never
-share a fragment. Once few edges are left, the rest is finished partition by partition.
+not needed for that: call the paths formed so far fragments. Let an edge be the best of all
+edges left at one of its fragments, and u its end on the other side. Nothing can happen to
+the first fragment before the edge's turn, so the edge closes no cycle then, and the pass
+takes it exactly if u is still free:
+
+* If no better edge is left at u, it is taken.
+* If one better edge is left at u, it waits for that one, and is taken if that one is not.
+  Such waits form a forest, whose paths are halved by pointer doubling.
+
+What is taken is in the pass's result whatever comes later, so an edge between two ends of
+one fragment, or at an end in use, never is. Rounds go on until nothing is left; once few
+edges are left, the rest is finished partition by partition.
 """
 
 from __future__ import annotations
@@ -14,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.components import connected_components
 from tessella.plans.materialize import materialize
 
 INTERNAL, SIMILARITY_BOOST, MIN_EDGE_WEIGHT, DROP = 100_000.0, 100_000.0, 20.0, 0.3
@@ -24,10 +33,10 @@ LOCAL_EDGES = 100_000
 def candidate_edges(weights: DataFrame, members: DataFrame, floor: float = MIN_EDGE_WEIGHT) -> DataFrame:
     """(partition, a, b, w) from (ep_a, ep_b, contig_a, contig_b, w): usable and distinct.
 
-    Both contigs in one partition, not one contig, weight of ``floor`` or more; of several
-    edges of one pair the heaviest. ``members`` has (partition, contig).
+    Both contigs in one partition, not one contig, a positive weight of ``floor`` or more; of
+    several edges of one pair the heaviest. ``members`` has (partition, contig).
     """
-    held = weights.filter((F.col("w") >= floor) & (F.col("contig_a") != F.col("contig_b")))
+    held = weights.filter((F.col("w") > 0) & (F.col("w") >= floor) & (F.col("contig_a") != F.col("contig_b")))
     for side in "ab":
         held = held.join(members.select(F.col("contig").alias(f"contig_{side}"), F.col("partition").alias(f"p{side}")), f"contig_{side}")
     held = held.filter("pa = pb")
@@ -57,6 +66,49 @@ def _finish(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(taken, columns=["partition", "a", "b", "w"])
 
 
+def _waits_solved(waits: DataFrame, taken: DataFrame) -> DataFrame:
+    """(edge) of those that are taken among ``waits`` (edge, to): an edge is, if the one that it waits for is not.
+
+    ``taken`` has the (edge)s taken for sure. What waits, over others, for an edge that
+    neither is taken nor waits stays open. Distances double, so a row of n waits takes
+    log2(n) steps.
+    """
+    mark = taken.select(F.col("edge").alias("to"), F.lit(True).alias("known"))
+    # taken(edge) = taken(to), the other way round if odd; ``is`` once it is known.
+    now = waits.join(mark, "to", "left").select("edge", "to", F.lit(True).alias("odd"), F.when(F.col("known"), False).alias("is"))
+    now = materialize(now, "waits")
+    while not now.filter("`is` is null and to is not null").isEmpty():
+        on = now.select(F.col("edge").alias("to"), F.col("to").alias("to2"), F.col("odd").alias("odd2"), F.col("is").alias("is2"), F.lit(True).alias("there"))
+        both = now.join(on, "to", "left")
+        known = F.coalesce("is", F.col("is2") != F.col("odd"))
+        now = both.select(
+            "edge",
+            F.when(known.isNull() & F.col("there"), F.col("to2")).alias("to"),
+            F.when(F.col("there"), F.col("odd") != F.col("odd2")).otherwise(F.col("odd")).alias("odd"),
+            known.alias("is"),
+        )
+        now = materialize(now, "waits")
+    return now.filter("`is`").select("edge")
+
+
+def _decided(left: DataFrame) -> DataFrame:
+    """The rows of ``left`` (partition, a, b, w, fa, fb) that are taken for sure, some at least."""
+    edge = F.struct("partition", (-F.col("w")).alias("w"), "a", "b")
+    one, other = F.struct(F.col("fa").alias("frag"), F.col("a").alias("near"), F.col("b").alias("far")), F.struct(F.col("fb").alias("frag"), F.col("b").alias("near"), F.col("a").alias("far"))
+    sides = left.select("partition", edge.alias("edge"), F.explode(F.array(one, other)).alias("x")).select("partition", "edge", "x.*")
+    offers = sides.groupBy("partition", "frag").agg(F.min(F.struct("edge", "far")).alias("x")).select("partition", "x.edge", F.col("x.far").alias("near"))
+    tops = sides.groupBy("partition", "near").agg(F.min("edge").alias("top"))
+    asked = materialize(offers.join(tops, ["partition", "near"]), "asked")
+    taken = materialize(asked.filter("edge = top").select("edge").distinct(), "taken")
+    second = asked.filter("edge <> top").groupBy("partition", "near").agg(F.min("edge").alias("second"), F.min("top").alias("top"))
+    second = materialize(second, "second")
+    ahead = sides.join(second, ["partition", "near"]).filter(F.col("edge") < F.col("second"))
+    waits = ahead.groupBy("partition", "near").agg(F.count("*").alias("n"), F.min("second").alias("edge"), F.min("top").alias("to")).filter("n = 1").select("edge", "to")
+    waits = waits.join(taken, "edge", "left_anti")
+    sure = taken.unionByName(_waits_solved(waits, taken)).select("edge.partition", "edge.a", "edge.b")
+    return left.join(sure, ["partition", "a", "b"])
+
+
 def greedy_path_cover(edges: DataFrame, members: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(partition, a, b, w): the external edges that the greedy pass accepts.
 
@@ -78,14 +130,12 @@ def greedy_path_cover(edges: DataFrame, members: DataFrame, local_edges: int = L
         if n <= local_edges:
             accepted.append(left.groupBy("partition").applyInPandas(_finish, f"partition {kind}, a string, b string, w double"))
             break
-        rank = F.struct(-F.col("w"), F.col("a"), F.col("b"))
-        sides = left.select("partition", F.explode(F.array("fa", "fb")).alias("frag"), rank.alias("rank"))
-        best = sides.groupBy("partition", "frag").agg(F.min("rank").alias("rank"))
-        agreed = best.groupBy("partition", "rank").agg(F.count("*").alias("n")).filter("n = 2").select("partition", F.col("rank.a").alias("a"), F.col("rank.b").alias("b"))
-        took = materialize(left.join(agreed, ["partition", "a", "b"]), "took")
+        took = materialize(_decided(left), "took")
         accepted.append(took.select("partition", "a", "b", "w"))
         closed = took.select("partition", F.explode(F.array("a", "b")).alias("ep"))
-        joined = took.select("partition", F.greatest("fa", "fb").alias("frag"), F.least("fa", "fb").alias("into"))
+        # Whole paths of fragments may join in one round.
+        joined = connected_components(took.select(*[F.struct("partition", F.col(f"f{x}").alias("frag")).alias(x) for x in "ab"]))
+        joined = joined.select("node.partition", "node.frag", F.col("component.frag").alias("into"))
         ends = ends.join(closed, ["partition", "ep"], "left_anti").join(joined, ["partition", "frag"], "left")
         ends = materialize(ends.select("partition", "ep", F.coalesce("into", "frag").alias("frag")), "ends")
         left = left.select("partition", "a", "b", "w")

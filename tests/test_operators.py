@@ -254,13 +254,52 @@ def test_quantile_cuts_ranges_again(spark, p, monkeypatch):
     assert numbering.exact_quantile(frame, "w", p / 100) == (want if np.isinf(want) else pytest.approx(want, abs=1e-9))
 
 
-def test_the_cover_has_no_bound_of_rounds(spark):
-    """A path of rising weights: one edge is taken a round."""
-    n = 12
-    edges = [(0, f"c_{k}_2", f"c_{k + 1}_1", float(k)) for k in range(n)]
-    members = spark.createDataFrame([(0, f"c_{k}") for k in range(n + 1)], "partition int, contig string")
-    frame = spark.createDataFrame([(p, min(a, b), max(a, b), w) for p, a, b, w in edges], "partition int, a string, b string, w double")
-    assert linking.greedy_path_cover(frame, members, 0).count() == n
+def rounds_of(monkeypatch, module):
+    """Counts of ``materialize`` in a module, by name."""
+    seen, real = {}, module.materialize
+
+    def counted(df, name="step"):
+        seen[name] = seen.get(name, 0) + 1
+        return real(df, name)
+
+    monkeypatch.setattr(module, "materialize", counted)
+    return seen
+
+
+@pytest.mark.parametrize("shape", ["contigs", "ends", "both"])
+def test_rising_weights_take_few_rounds(spark, shape, monkeypatch):
+    """A row of n edges, each of which waits for the next: not a round an edge, but rounds by the logarithm."""
+    n = 1000
+    if shape == "contigs":  # over both ends of each contig: all are taken
+        edges = [(f"c_{k}_2", f"c_{k + 1}_1", float(k)) for k in range(n)]
+    elif shape == "ends":  # at one end of each contig: every other edge is taken
+        edges = [(f"c_{k}_1", f"c_{k + 1}_1", float(k)) for k in range(n)]
+    else:
+        edges = [(f"c_{k}_{1 + k % 3 // 2}", f"c_{k + 1}_{1 + (k + 1) % 3 // 2}", float(k)) for k in range(n)]
+    edges = [(min(a, b), max(a, b), w) for a, b, w in edges]
+    contigs = [f"c_{k}" for k in range(n + 1)]
+    members = spark.createDataFrame([(0, c) for c in contigs], "partition int, contig string")
+    frame = spark.createDataFrame([(0, *e) for e in edges], "partition int, a string, b string, w double")
+    seen = rounds_of(monkeypatch, linking)
+    got = {(r.a, r.b, r.w) for r in linking.greedy_path_cover(frame, members, 0).collect()}
+    assert got == greedy(edges, contigs)
+    assert seen["took"] <= 3 and seen.get("waits", 0) <= 3 * 12
+
+
+def test_rounds_equal_the_pass_on_many_graphs(spark):
+    """Cycles over accepted and later edges, ties, hubs and partitions that share names of contigs."""
+    rng = np.random.default_rng(11)
+    rows, want = [], set()
+    for p in range(40):
+        n, levels = int(rng.integers(2, 9)), int(rng.integers(2, 30))
+        contigs = [f"c_{k}" for k in range(n)]
+        ends = [f"{c}_{s}" for c in contigs for s in (1, 2)]
+        mine = [(min(a, b), max(a, b), float(rng.integers(1, levels))) for i, a in enumerate(ends) for b in ends[:i] if a[:-2] != b[:-2] and rng.random() < 0.6]
+        rows += [(p, *e) for e in mine]
+        want |= {(p, *e) for e in greedy(mine, contigs)}
+    edges = spark.createDataFrame(rows, "partition int, a string, b string, w double")
+    members = spark.createDataFrame([(p, f"c_{k}") for p in range(40) for k in range(9)], "partition int, contig string")
+    assert {tuple(r) for r in linking.greedy_path_cover(edges, members, 0).collect()} == want
 
 
 def test_seeds_vary_the_sweeps_and_not_the_clear_communities(spark):
