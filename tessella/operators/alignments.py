@@ -15,6 +15,11 @@ def quality_filter(alignments: DataFrame, min_quality: int = MIN_QUALITY) -> Dat
     return alignments.filter(F.col("mapq") >= min_quality).withColumn("length", F.col("q_end") - F.col("q_start"))
 
 
+def reads_in_order(rows: DataFrame, order: Column | None = None) -> DataFrame:
+    """(read, seen): the reads of ``rows``, each with its first row's order, by which they are listed."""
+    return rows.groupBy("read").agg(F.min(F.col(ROW_ID) if order is None else order).alias("seen"))
+
+
 def merge(alignments: DataFrame, order: Column | None = None, min_length: int = MIN_MERGED) -> DataFrame:
     """One row per (read, contig): lengths added up, all else from the first row in order.
 

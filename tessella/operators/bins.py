@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.sequences import cosine
+from tessella.operators.tiles import pairs_within
+from tessella.plans.materialize import materialize
 
 BIN_LENGTHS = (400, 1000, 2000, 5000, 10_000, 20_000)
 BINS = 5
@@ -65,11 +67,12 @@ def pair_weights(cover: DataFrame, similarity_factor: float = 1.0, coverage_fact
     """(ep_a, ep_b, contig_a, contig_b, sim, cov) with ep_a < ep_b, over all bin sizes and reads.
 
     sim sums cosines of the bit sets, cov the square roots of products of counts. Both come
-    from one join inside (bin_length, read), summed before the shuffle.
+    from one join inside (bin_length, read), summed before the shuffle; reads over very many
+    ends are joined tile by tile.
     """
-    own = cover.withColumn("ep", endpoint()).select("bin_length", "read", "ep", "contig", "cnt", "mask")
-    other = own.withColumnsRenamed({c: f"{c}_b" for c in ("ep", "contig", "cnt", "mask")})
-    pairs = own.join(other, ["bin_length", "read"]).filter("ep < ep_b")
+    # Read for the sizes of the groups and for either side of the join.
+    own = materialize(cover.withColumn("ep", endpoint()).select("bin_length", "read", "ep", "contig", "cnt", "mask"), "cover")
+    pairs = pairs_within(own, ["bin_length", "read"], "ep", ["contig", "cnt", "mask"])
     sim = similarity(F.col("mask"), F.col("mask_b")) * F.lit(similarity_factor)
     cov = F.sqrt((F.col("cnt") * F.col("cnt_b")).cast("double")) * F.lit(coverage_factor)
     return pairs.groupBy(F.col("ep").alias("ep_a"), F.col("ep_b"), F.col("contig").alias("contig_a"), F.col("contig_b")).agg(

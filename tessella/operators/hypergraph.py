@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.numbering import exact_quantile
+from tessella.operators.numbering import exact_quantile, numbered
+from tessella.operators.tiles import pairs_within
 from tessella.plans.materialize import materialize
 
 GEOMETRIC, ARITHMETIC, HARMONIC = 1, 2, 3
@@ -27,15 +28,45 @@ def vertex_filter(entries: DataFrame, factor: float = 1.0, edge: str = "read", w
     return marked.filter(keep).drop("__n", "__total", "__edge").withColumn(weight, F.col(weight).cast("long"))
 
 
+def labelled(merged: DataFrame) -> DataFrame:
+    """(read, pos, vertex, weight[, line]): entries as they are written, by the last segment of the contig's name.
+
+    ``line`` is the order of the reads, where ``merged`` has it as ``seen``.
+    """
+    line = [F.col("seen").alias("line")] if "seen" in merged.columns else []
+    return merged.select("read", F.col("first").alias("pos"), F.substring_index("contig", "_", -1).alias("vertex"), "weight", *line)
+
+
 def to_hyperedges(merged: DataFrame) -> DataFrame:
-    """(edge_id, vertex, weight): contigs as numbers by their last name segment.
+    """(edge_id, vertex, weight, pos[, line]): contigs as numbers by their last name segment.
 
-    Segments that are no integer are left out; of two contigs of a read with one number the
-    last weight in order stays.
+    A segment that is no integer spoils its read's hyperedge, which is left out whole, as a
+    line of text is that has it. Of two contigs of a read with one number the last weight in
+    order stays.
     """
-    rows = merged.select(F.col("read").alias("edge_id"), F.substring_index("contig", "_", -1).try_cast("long").alias("vertex"), "weight", "first")
-    rows = rows.filter("vertex is not null")
-    return rows.groupBy("edge_id", "vertex").agg(F.max_by("weight", "first").cast("double").alias("weight"), F.min("first").alias("pos"))
+    rows = labelled(merged).withColumnRenamed("read", "edge_id").withColumn("vertex", F.col("vertex").try_cast("long"))
+    spoilt = rows.filter("vertex is null").select("edge_id").distinct()
+    line = [F.min("line").alias("line")] if "line" in rows.columns else []
+    held = rows.join(spoilt, "edge_id", "left_anti")
+    return held.groupBy("edge_id", "vertex").agg(F.max_by("weight", "pos").cast("double").alias("weight"), F.min("pos").alias("pos"), *line)
+
+
+def _place(vertices: DataFrame) -> DataFrame:
+    """``vertices`` with ``line``, the order of the hyperedges; their ids' order where there is none."""
+    return vertices if "line" in vertices.columns else vertices.withColumn("line", F.col("edge_id"))
+
+
+def first_sight(vertices: DataFrame) -> DataFrame:
+    """(vertex, seen): where each vertex is met first, going through the hyperedges in order."""
+    return _place(vertices).groupBy("vertex").agg(F.min(F.struct("line", F.struct("pos", "vertex").alias("pos"))).alias("seen"))
+
+
+def first_pairs(vertices: DataFrame) -> DataFrame:
+    """(a, b, seen) with a < b: where each pair is met first; in a hyperedge pairs go by the first's place, then the second's."""
+    rows = _place(vertices).select("edge_id", "line", "vertex", F.struct("pos", "vertex").alias("pos"))
+    pairs = pairs_within(rows, ["edge_id"], "vertex", ["line", "pos"])
+    place = F.struct("line", F.least("pos", "pos_b").alias("i"), F.greatest("pos", "pos_b").alias("j"))
+    return pairs.groupBy(F.col("vertex").alias("a"), F.col("vertex_b").alias("b")).agg(F.min(place).alias("seen"))
 
 
 def edge_weight(weights: Column, strategy: int = GEOMETRIC, power: float = 1.0) -> Column:
@@ -68,13 +99,12 @@ def weigh(vertices: DataFrame, strategy: int = GEOMETRIC, power: float = 1.0, or
 def project(vertices: DataFrame, weights: DataFrame) -> DataFrame:
     """(a, b, w) with a < b: per pair of vertices, the weights of the hyperedges with both.
 
-    Pairs stay inside their hyperedge (an equi-join on edge_id); sums are formed before the
-    shuffle where a task has both.
+    Pairs stay inside their hyperedge (an equi-join on edge_id, by tiles if it is large);
+    sums are formed before the shuffle where a task has both.
     """
-    own = vertices.select("edge_id", "vertex").join(weights.filter("n_vertices > 1").select("edge_id", "weight"), "edge_id")
-    left, right = own.withColumnRenamed("vertex", "a"), own.select("edge_id", F.col("vertex").alias("b"))
-    pairs = left.join(right, "edge_id").filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.sum("weight").alias("w"))
+    own = vertices.select("edge_id", "vertex").join(weights.filter("n_vertices > 1").select("edge_id", "weight", "n_vertices"), "edge_id")
+    pairs = pairs_within(own, ["edge_id"], "vertex", ["weight"], "n_vertices")
+    return pairs.groupBy(F.col("vertex").alias("a"), F.col("vertex_b").alias("b")).agg(F.sum("weight").alias("w"))
 
 
 def percentile_filter(edges: DataFrame, p: float = 10, weight: str = "w") -> DataFrame:
@@ -109,36 +139,91 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return both_ways(edges).withColumn("rank", F.row_number().over(order).cast("long"))
 
 
-def top_up(kept: DataFrame, all_edges: DataFrame, min_degree: int = 1) -> DataFrame:
+def _outcomes(offers: DataFrame, acting: DataFrame, added: DataFrame) -> DataFrame:
+    """(v, neighbor, weight, from, plain, given): what each acting vertex adds of its offers.
+
+    ``acting`` has (v, need, from): ``from`` is the one vertex of an earlier turn that is
+    still open, or null. ``plain`` is what happens if that one does not add v, ``given`` if it does.
+    """
+    # A larger vertex may act in an earlier round, but its turn comes later.
+    got = added.filter("turn < n_turn").groupBy(F.col("neighbor").alias("v")).agg(F.count("*").alias("got"))
+    taken = added.select(F.col("neighbor").alias("v"), F.col("v").alias("neighbor"))
+    mine = offers.drop("need").join(acting, "v").join(taken, ["v", "neighbor"], "left_anti").join(got, "v", "left")
+    left = F.col("need") - F.coalesce("got", F.lit(0))
+    order = Window.partitionBy("v").orderBy("place")
+    other = F.coalesce(F.col("neighbor") != F.col("from"), F.lit(True))
+    nth, nth_other = F.row_number().over(order), F.sum(other.cast("int")).over(order)
+    return mine.select("v", "neighbor", "turn", "n_turn", "weight", "from", (nth <= left).alias("plain"), (other & (nth_other <= left - 1)).alias("given"))
+
+
+def _chained(open_: DataFrame, known: DataFrame) -> DataFrame:
+    """(v, is): for vertices that wait for one other, whether that one adds them.
+
+    ``open_`` has (v, neighbor, from, plain, given): v adds the neighbor as ``given`` if ``from``
+    adds v and as ``plain`` if not. ``known`` has (from, v, is) for those that wait for nobody.
+    Distances double over the waits, so a row of n vertices takes log2(n) steps.
+    """
+    asks = open_.select("v", "from").distinct()
+    # is(v) as a function of is(at): ``no`` and ``yes``, until ``at`` has no open one before it.
+    step = open_.select(F.col("v").alias("from"), F.col("neighbor").alias("v"), F.col("plain").alias("no"), F.col("given").alias("yes"))
+    now = asks.join(step, ["from", "v"], "left").join(known, ["from", "v"], "left")
+    now = materialize(now.select("v", F.when(F.col("no").isNotNull(), F.col("from")).alias("at"), "no", "yes", "is"), "asks")
+    while not now.filter("`is` is null and at is not null").isEmpty():
+        on = now.select(F.col("v").alias("at"), F.col("at").alias("at2"), F.col("no").alias("no2"), F.col("yes").alias("yes2"), F.col("is").alias("is2"), F.lit(True).alias("there"))
+        both = now.join(on, "at", "left")
+        def through(x):
+            return F.when(F.col(x), F.col("yes")).otherwise(F.col("no"))
+
+        known_now = F.coalesce("is", F.when(F.col("is2").isNotNull(), through("is2")))
+        now = both.select(
+            "v", F.when(known_now.isNull() & F.col("there"), F.col("at2")).alias("at"),
+            F.when(F.col("no2").isNotNull(), through("no2")).alias("no"), F.when(F.col("yes2").isNotNull(), through("yes2")).alias("yes"), known_now.alias("is"),
+        )
+        now = materialize(now, "asks")
+    return now.filter("`is` is not null").select("v", "is")
+
+
+def top_up(kept: DataFrame, all_edges: DataFrame, min_degree: int = 1, seen: DataFrame | None = None) -> DataFrame:
     """``kept`` and, for vertices short of ``min_degree``, their heaviest further edges.
 
-    Vertices take turns in ascending order, and an edge that one adds counts for its
-    neighbour too. Whatever happens before its turn, a vertex can only add from its first
-    ``min_degree - degree`` offers, so it has to wait for no more than those smaller short
-    vertices that have it among theirs. All that wait for nobody act in one round, and the
-    least of all waits for nobody. Up to 1
-    nothing can be short, as every vertex of a kept edge has one.
+    Vertices take turns, and an edge that one adds counts for its neighbour too. ``seen``
+    (a, b, seen) has the order of the pairs, as of ``first_pairs``; without it pairs are
+    ordered by (a, b). Turns go by the first kept edge of a vertex, its lesser vertex first;
+    among edges of one weight the pair seen first counts. Whatever happens before its turn, a
+    vertex can only add from its first ``min_degree - degree`` offers, so it has to wait for no
+    more than those short vertices of earlier turns that have it among theirs. All that wait for
+    nobody act in one round, and with them those that wait for one other only, whatever that one
+    waits for, by doubling. Up to 1 nothing can be short, as every vertex of a kept edge has one.
     """
     if min_degree <= 1:
         return kept
+    seen = all_edges.select("a", "b", F.struct("a", "b").alias("seen")) if seen is None else seen.select("a", "b", "seen")
     base = kept.select("a", "b", F.col("w").cast("double").alias("w"))
-    short = degrees(base).filter(F.col("degree") < min_degree).select("v", (min_degree - F.col("degree")).alias("need"))
-    short = materialize(short, "short")
-    open_ = both_ways(all_edges.join(base.select("a", "b"), ["a", "b"], "left_anti")).join(short, "v")
-    place = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("weight"), "neighbor"))
-    offers = materialize(open_.withColumn("place", place).filter("place <= need"), "offers")
-    waits = materialize(offers.filter("v < neighbor").select("v", "neighbor").join(short.select(F.col("v").alias("neighbor")), "neighbor"), "waits")
-    added = materialize(offers.limit(0).select("v", "neighbor", "weight"), "added")
-    left = short
+    lacks = degrees(base).filter(F.col("degree") < min_degree).select("v", (min_degree - F.col("degree")).alias("need"))
+    lacks = materialize(lacks, "lacks")
+    near = base.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(0).alias("side")), F.struct(F.col("b").alias("v"), F.lit(1).alias("side")))).alias("x")).select("a", "b", "x.*")
+    turns = near.join(lacks, "v").join(seen, ["a", "b"]).groupBy("v").agg(F.min(F.struct("seen", "side")).alias("at"), F.min("need").alias("need"))
+    short = materialize(numbered(turns, [F.asc("at")], "turn").select("v", "need", "turn"), "short")
+    rest = all_edges.join(base.select("a", "b"), ["a", "b"], "left_anti")
+    open_ = both_ways(rest).join(short, "v").withColumns({"a": F.least("v", "neighbor"), "b": F.greatest("v", "neighbor")}).join(seen, ["a", "b"])
+    place = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("weight"), "seen"))
+    offers = open_.withColumn("place", place).filter("place <= need").select("v", "neighbor", "weight", "need", "turn", "place")
+    offers = offers.join(short.select(F.col("v").alias("neighbor"), F.col("turn").alias("n_turn")), "neighbor", "left")
+    offers = materialize(offers, "offers")
+    waits = materialize(offers.filter("turn < n_turn").select("v", "neighbor"), "waits")
+    added = materialize(offers.limit(0).select("v", "neighbor", "turn", "n_turn", "weight"), "added")
+    left = short.select("v", "need")
     while not left.isEmpty():
-        blocked = waits.join(left.select("v"), "v").select(F.col("neighbor").alias("v")).distinct()
-        ready = left.join(blocked, "v", "left_anti")
-        # A larger vertex may act in an earlier round, but its turn comes later.
-        got = added.filter("v < neighbor").groupBy(F.col("neighbor").alias("v")).agg(F.count("*").alias("got"))
-        mine = offers.drop("need").join(ready, "v").join(added.select(F.col("neighbor").alias("v"), F.col("v").alias("neighbor")), ["v", "neighbor"], "left_anti")
-        mine = mine.join(got, "v", "left").withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("place")))
-        new = mine.filter(F.col("nth") <= F.col("need") - F.coalesce("got", F.lit(0))).select("v", "neighbor", "weight")
-        added = materialize(added.unionByName(new), "added")
-        left = materialize(left.join(ready.select("v"), "v", "left_anti"), "left")
+        before = waits.join(left.select("v"), "v").groupBy(F.col("neighbor").alias("v")).agg(F.count("*").alias("open"), F.min("v").alias("from"))
+        acting = left.join(before, "v", "left").filter("open is null or open = 1").select("v", "need", "from")
+        done = materialize(_outcomes(offers, acting, added), "outcomes")
+        known = waits.join(left.select("v"), "v").join(acting.filter("`from` is null").select("v"), "v", "left_semi")
+        known = known.join(done.filter("`from` is null and plain").select("v", "neighbor", F.lit(True).alias("is")), ["v", "neighbor"], "left")
+        known = known.select(F.col("v").alias("from"), F.col("neighbor").alias("v"), F.coalesce("is", F.lit(False)).alias("is"))
+        found = _chained(acting.filter("`from` is not null").select("v", "from").join(done.select("v", "neighbor", "plain", "given"), "v", "left"), known)
+        settled = materialize(done.join(found, "v", "left").withColumn("adds", F.when(F.col("from").isNull() | ~F.col("is"), F.col("plain")).when(F.col("is"), F.col("given"))), "settled")
+        added = materialize(added.unionByName(settled.filter("adds").select("v", "neighbor", "turn", "n_turn", "weight")), "added")
+        over = acting.filter("`from` is null").select("v").unionByName(found.select("v"))
+        left = materialize(left.join(over, "v", "left_anti"), "left")
     more = added.select(F.least("v", "neighbor").alias("a"), F.greatest("v", "neighbor").alias("b"), F.col("weight").cast("double").alias("w"))
     return base.unionByName(more)

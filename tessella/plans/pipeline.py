@@ -44,6 +44,7 @@ class Stages:
     merged: DataFrame
     extracted: DataFrame
     contigs: DataFrame
+    entries: DataFrame
     hyperedges: DataFrame
     graph: DataFrame
     communities: DataFrame
@@ -55,25 +56,30 @@ class Stages:
     scaffolds: DataFrame
 
 
-def contact_graph(merged: DataFrame, p: Parameters = Parameters()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(hyperedge vertices, edges, all vertices) from merged alignments."""
-    entries = merged.select("read", "contig", F.col("length").alias("weight"), "first")
-    kept = hypergraph.vertex_filter(entries, p.vertex_factor)
+def contact_graph(merged: DataFrame, p: Parameters = Parameters()) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(kept entries, hyperedge vertices, edges, all vertices in order of first sight) from merged alignments.
+
+    ``merged`` has the order of its reads as ``seen``.
+    """
+    entries = merged.select("read", "contig", F.col("length").alias("weight"), "first", "seen")
+    kept = materialize(hypergraph.vertex_filter(entries, p.vertex_factor), "kept")
     vertices = materialize(hypergraph.to_hyperedges(kept), "vertices")
     weights = hypergraph.weigh(vertices, p.weight_strategy, p.weight_power)
     every = materialize(hypergraph.project(vertices, weights), "pairs")
-    edges = hypergraph.top_up(hypergraph.percentile_filter(every, p.percentile), every, p.min_degree)
-    return vertices, materialize(edges, "edges"), vertices.select("vertex").distinct()
+    edges = hypergraph.top_up(hypergraph.percentile_filter(every, p.percentile), every, p.min_degree, hypergraph.first_pairs(vertices))
+    return kept, vertices, materialize(edges, "edges"), hypergraph.first_sight(vertices)
 
 
 def run(spark: SparkSession, paf_path: str, fasta_path: str, p: Parameters = Parameters()) -> Stages:
     """All stages; each is written to the shared folder once where several others read it."""
-    rows = paf.read_alignments(spark, paf_path)
-    merged = materialize(al.merge(al.quality_filter(rows, p.min_quality)), "merged")
+    good = materialize(al.quality_filter(paf.read_alignments(spark, paf_path), p.min_quality), "good")
+    reads = materialize(al.reads_in_order(good), "reads")
+    merged = materialize(al.merge(good).join(reads, "read"), "merged")
     extracted = materialize(al.extract(paf.read_placements(spark, paf_path), p.min_quality), "extracted")
     contigs = materialize(fasta.read_fasta(spark, fasta_path), "contigs")
-    vertices, edges, every = contact_graph(merged, p)
-    communities = materialize(community.relabel(community.louvain(edges, every, p.resolution, p.random_seed)), "communities")
+    entries, vertices, edges, every = contact_graph(merged, p)
+    every = materialize(every, "seen")
+    communities = materialize(community.relabel(community.louvain(edges, every, p.resolution, p.random_seed), every), "communities")
 
     names = contigs.groupBy(F.col("name").alias("contig")).agg(F.min(ROW_ID).alias("ord"))
     parts = communities.select(F.col("label").alias("partition"), F.col("vertex").alias("number"))
@@ -92,17 +98,16 @@ def run(spark: SparkSession, paf_path: str, fasta_path: str, p: Parameters = Par
     rounded = weights.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), two_decimals(F.col("weight")).cast("double").alias("weight"))
     pieces = scaffold.gaps(scaffold.pair_lookup(scaffold.oriented(ends), rounded), p.alpha, p.beta, p.max_gap, p.min_gap)
     scaffolds = scaffold.assemble(pieces, fasta.last_of_each_name(contigs)).withColumnRenamed("chain", "no")
-    return Stages(rows.select("read").distinct(), merged, extracted, contigs, vertices, edges, communities, members, pairs, links, chains, weights, scaffolds)
+    return Stages(reads, merged, extracted, contigs, entries, vertices, edges, communities, members, pairs, links, chains, weights, scaffolds)
 
 
 def write(stages: Stages, folder: str) -> None:
     """Text files of all stages under ``folder``, each as a folder of parts in order."""
     x = interchange
-    write_lines(x.merged_lines(stages.merged, stages.reads), f"{folder}/merged", ["read"])
-    write_lines(x.extracted_lines(stages.extracted), f"{folder}/extracted", ["read"])
+    write_lines(x.merged_lines(stages.merged, stages.reads), f"{folder}/merged", ["seen"])
+    write_lines(x.extracted_lines(stages.extracted), f"{folder}/extracted", ["seen"])
     write_lines(fasta.length_lines(stages.contigs), f"{folder}/lengths", [ROW_ID])
-    edges = stages.hyperedges.withColumnRenamed("edge_id", "read")
-    write_lines(x.hyperedge_lines(edges), f"{folder}/hyperedges", ["read"])
+    write_lines(x.hyperedge_lines(hypergraph.labelled(stages.entries)), f"{folder}/hyperedges", ["line"])
     write_lines(x.adjacency_lines(hypergraph.adjacency(stages.graph)), f"{folder}/graph", ["v", "rank"])
     write_lines(x.community_lines(stages.communities), f"{folder}/communities", ["label"])
     write_lines(x.chain_lines(stages.chains), f"{folder}/chains", ["partition", "chain_no"])

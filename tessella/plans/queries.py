@@ -185,7 +185,7 @@ def strongest_pairs(spark, d):
 
 @query("weight_distribution", f"WITH {SQL_EDGES} SELECT min(w) AS min_w, max(w) AS max_w, round(avg(w), 4) AS mean_w, round(median(w), 4) AS median_w, count(*) AS n FROM edges")
 def weight_distribution(spark, d):
-    out = hypergraph.distribution(graph(spark, d))
+    out = hypergraph.distribution(materialize(graph(spark, d), "graph"))
     return out.withColumns({c: F.round(c, 4) for c in ("mean_w", "median_w")})
 
 
@@ -202,11 +202,14 @@ def vertex_degrees(spark, d):
     return hypergraph.degrees(graph(spark, d))
 
 
-#: The pass in order: each turn takes the next short vertex; all edges so far are carried on.
+#: The pass in order: each turn takes the next short vertex, by the first pair that it is kept in; all edges so far
+#: are carried on. Pairs stand in the order in which they are met, reads by number.
 SQL_TOPUP = f"""WITH RECURSIVE {SQL_EDGES.replace("edges AS (", "edges AS MATERIALIZED (", 1)},
-arcs AS MATERIALIZED (SELECT a AS v, b AS n, w FROM edges UNION ALL SELECT b, a, w FROM edges),
+ranked AS (SELECT read, vertex, row_number() OVER (PARTITION BY read ORDER BY first, vertex) AS pos FROM kept),
+met AS MATERIALIZED (SELECT least(x.vertex, y.vertex) AS a, greatest(x.vertex, y.vertex) AS b, min((x.read, x.pos, y.pos)) AS o FROM ranked x JOIN ranked y ON x.read = y.read AND x.pos < y.pos GROUP BY ALL),
+arcs AS MATERIALIZED (SELECT a AS v, b AS n, w, o FROM edges JOIN met USING (a, b) UNION ALL SELECT b, a, w, o FROM edges JOIN met USING (a, b)),
 base AS MATERIALIZED (SELECT a, b, w FROM edges WHERE w >= (SELECT quantile_cont(w, 0.97) FROM edges)),
-short AS MATERIALIZED (SELECT v, row_number() OVER (ORDER BY v) AS turn FROM (SELECT a AS v FROM base UNION ALL SELECT b FROM base) GROUP BY v HAVING count(*) < 5),
+short AS MATERIALIZED (SELECT v, row_number() OVER (ORDER BY min((o, side))) AS turn FROM (SELECT a AS v, 0 AS side, o FROM base JOIN met USING (a, b) UNION ALL SELECT b, 1, o FROM base JOIN met USING (a, b)) GROUP BY v HAVING count(*) < 5),
 r(turn, a, b, w) AS (
   SELECT 0::BIGINT, a, b, w FROM base
   UNION ALL
@@ -214,7 +217,7 @@ r(turn, a, b, w) AS (
     SELECT turn + 1, a, b, w FROM r WHERE turn < (SELECT count(*) FROM short)
     UNION ALL
     SELECT turn, least(v, n), greatest(v, n), w FROM (
-      SELECT s.turn, s.v, o.n, o.w, row_number() OVER (ORDER BY o.w DESC, o.n) AS k, (SELECT count(*) FROM r x WHERE x.a = s.v OR x.b = s.v) AS degree
+      SELECT s.turn, s.v, o.n, o.w, row_number() OVER (ORDER BY o.w DESC, o.o) AS k, (SELECT count(*) FROM r x WHERE x.a = s.v OR x.b = s.v) AS degree
       FROM short s JOIN arcs o ON o.v = s.v WHERE s.turn = (SELECT max(turn) + 1 FROM r) AND NOT EXISTS (SELECT 1 FROM r x WHERE x.a = least(s.v, o.n) AND x.b = greatest(s.v, o.n)))
     WHERE k <= 5 - degree))
 SELECT a, b, w FROM r WHERE turn = (SELECT count(*) FROM short)"""
@@ -222,8 +225,9 @@ SELECT a, b, w FROM r WHERE turn = (SELECT count(*) FROM short)"""
 
 @query("min_degree_topup", SQL_TOPUP)
 def min_degree_topup(spark, d):
-    every = materialize(graph(spark, d), "graph")
-    return hypergraph.top_up(hypergraph.percentile_filter(every, 97), every, 5)
+    vertices = materialize(hyper_vertices(spark, d), "vertices")
+    every = materialize(hypergraph.project(vertices, hypergraph.weigh(vertices)).withColumn("w", F.round("w", 4)), "graph")
+    return hypergraph.top_up(hypergraph.percentile_filter(every, 97), every, 5, hypergraph.first_pairs(vertices))
 
 
 # ------------------------------------------------------------------ communities
@@ -233,8 +237,9 @@ def min_degree_topup(spark, d):
 def community_detection(spark, d):
     vertices = materialize(hyper_vertices(spark, d), "vertices")
     edges = hypergraph.project(vertices, hypergraph.weigh(vertices))
-    edges = materialize(hypergraph.percentile_filter(materialize(edges, "graph"), 70), "edges")
-    return community.relabel(community.louvain(edges, vertices.select("vertex").distinct()))
+    edges = materialize(hypergraph.percentile_filter(materialize(edges, "graph")), "edges")
+    seen = materialize(hypergraph.first_sight(vertices), "seen")
+    return community.relabel(community.louvain(edges, seen), seen)
 
 
 @query(
@@ -261,11 +266,14 @@ def labelled(spark, d):
 
 @query(
     "community_relabel",
-    """WITH s AS (SELECT s_nationkey AS old, count(*) AS n, min(s_suppkey) AS least FROM supplier GROUP BY 1), o AS (SELECT old, row_number() OVER (ORDER BY n DESC, least) - 1 AS label FROM s)
+    f"""WITH f AS (SELECT l_suppkey AS v, min((l_orderkey, {SQL_ORDER})) AS seen FROM lineitem GROUP BY 1),
+s AS (SELECT s_nationkey AS old, count(*) AS n, min(s_suppkey) AS least, min(seen) AS seen FROM supplier LEFT JOIN f ON v = s_suppkey GROUP BY 1), o AS (SELECT old, row_number() OVER (ORDER BY n DESC, seen NULLS LAST, least) - 1 AS label FROM s)
 SELECT label, s_suppkey AS vertex FROM supplier JOIN o ON s_nationkey = old""",
 )
 def community_relabel(spark, d):
-    return community.relabel(labelled(spark, d))
+    """Of nations with as many suppliers the one whose supplier the line items name first stands first."""
+    seen = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("vertex")).agg(F.min(F.struct("l_orderkey", F.struct(*ORDER))).alias("seen"))
+    return community.relabel(labelled(spark, d), seen)
 
 
 @query(
@@ -279,24 +287,12 @@ def community_stats(spark, d):
 
 @query(
     "graph_components",
-    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS x, l_suppkey + 1000000000 AS y FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity = 50),
-b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
-r(node, seen) AS (SELECT DISTINCT x, x FROM b UNION SELECT r.node, b.y FROM r JOIN b ON r.seen = b.x)
-SELECT node, min(seen) AS component FROM r GROUP BY node""",
-)
-def graph_components(spark, d):
-    items = table(spark, d, "lineitem").filter("l_quantity = 50").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return connected_components(items.select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1_000_000_000).alias("b")))
-
-
-@query(
-    "graph_components_whole",
     """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS x, l_suppkey + 1000000000 AS y FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
 r(node, component) USING KEY (node) AS (SELECT DISTINCT x, x FROM b UNION SELECT b.y, min(r.component) FROM r JOIN b ON r.node = b.x JOIN recurring.r AS u ON u.node = b.y WHERE r.component < u.component GROUP BY b.y)
 SELECT node, component FROM r""",
 )
-def graph_components_whole(spark, d):
+def graph_components(spark, d):
     """All line items; the SQL spreads least labels, as the closure is too slow for them."""
     items = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return connected_components(items.select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1_000_000_000).alias("b")).distinct())
@@ -307,22 +303,10 @@ def graph_components_whole(spark, d):
 
 @query(
     "suffix_assignment",
-    """WITH k AS (SELECT 'customer_' || (c_custkey % 500)::VARCHAR AS contig, min(c_custkey) AS ord FROM customer GROUP BY 1), e AS (SELECT split_part(contig, '_', -1) AS number, arg_min(contig, ord) AS contig FROM k WHERE contains(contig, '_') GROUP BY 1)
-SELECT s_nationkey AS partition, s_suppkey::VARCHAR AS number, contig FROM supplier JOIN e ON s_suppkey::VARCHAR = number""",
-)
-def suffix_assignment(spark, d):
-    names = F.concat(F.lit("customer_"), (F.col("c_custkey") % 500).cast("string"))
-    contigs = table(spark, d, "customer").groupBy(names.alias("contig")).agg(F.min("c_custkey").alias("ord"))
-    parts = table(spark, d, "supplier").select(F.col("s_nationkey").alias("partition"), F.col("s_suppkey").alias("number"))
-    return bins.assign_partitions(contigs, parts)
-
-
-@query(
-    "suffix_assignment_whole",
     """WITH k AS (SELECT 'customer_' || (c_custkey % 2)::VARCHAR || '_' || (c_custkey // 2)::VARCHAR AS contig, min(c_custkey) AS ord FROM customer GROUP BY 1), e AS (SELECT split_part(contig, '_', -1) AS number, arg_min(contig, ord) AS contig FROM k GROUP BY 1)
 SELECT s_nationkey AS partition, s_suppkey::VARCHAR AS number, contig FROM supplier JOIN e ON s_suppkey::VARCHAR = number""",
 )
-def suffix_assignment_whole(spark, d):
+def suffix_assignment(spark, d):
     """Two names to every number, and as many numbers as the table gives."""
     names = F.expr("concat('customer_', c_custkey % 2, '_', c_custkey div 2)")
     contigs = table(spark, d, "customer").groupBy(names.alias("contig")).agg(F.min("c_custkey").alias("ord"))
@@ -409,13 +393,14 @@ def members(spark, d):
 @query(
     "edge_dedupe",
     f"""WITH {SQL_PAIRS}, two AS (SELECT ep_a, ep_b, va, vb, round(sim, 5) AS w FROM pairs UNION ALL SELECT ep_a, ep_b, va, vb, round(cov, 5) FROM pairs)
-SELECT va % 3 AS partition, least(ep_a, ep_b) AS a, greatest(ep_a, ep_b) AS b, max(w) AS w FROM two WHERE w >= 20 AND va <> vb AND va % 3 = vb % 3 GROUP BY ALL""",
+SELECT va % 3 AS partition, least(ep_a, ep_b) AS a, greatest(ep_a, ep_b) AS b, max(w) AS w FROM two WHERE w > 0 AND va <> vb AND va % 3 = vb % 3 GROUP BY ALL""",
 )
 def edge_dedupe(spark, d):
+    """At a floor of 0 all positive weights count, and pairs whose bins never meet, of similarity 0, do not."""
     p = pairs(spark, d)
     ends = ["ep_a", "ep_b", "contig_a", "contig_b"]
     both = p.select(*ends, F.round("sim", 5).alias("w")).unionByName(p.select(*ends, F.round("cov", 5).alias("w")))
-    return linking.candidate_edges(both, members(spark, d))
+    return linking.candidate_edges(both, members(spark, d), 0)
 
 
 def _links(spark, d):
@@ -601,13 +586,13 @@ def unplaced_contigs(spark, d):
 @query(
     "merged_text",
     f"""WITH {SQL_ALN}, {SQL_MERGED}, r AS (SELECT read, string_agg(contig || ',0,' || length || ',' || strand || ',' || t_start || ',' || t_end || ',' || length, chr(10) ORDER BY first, contig) AS body
-  FROM (SELECT m.* FROM merged m) GROUP BY read), h AS (SELECT DISTINCT read FROM aln)
+  FROM (SELECT m.* FROM merged m) GROUP BY read), h AS (SELECT DISTINCT read FROM aln WHERE mapq >= 30)
 SELECT h.read, h.read || ':' || coalesce(chr(10) || body, '') AS value FROM h LEFT JOIN r USING (read)""",
 )
 def merged_text(spark, d):
-    """The merged length stands for the query's end too: several first rows may share one."""
+    """The merged length stands for the query's end too: several first rows may share one. Reads of low quality only have no header."""
     rows = merged(spark, d).withColumn("q_end", F.col("length")).withColumn("first", F.struct("first", "contig"))
-    reads = alignments(spark, d).select("read").distinct()
+    reads = al.quality_filter(alignments(spark, d), 30).select("read").distinct()
     out = interchange.merged_lines(rows.withColumn("read", F.col("read").cast("string")), reads.withColumn("read", F.col("read").cast("string")))
     return out.select(F.col("read").cast("long").alias("read"), "value")
 
@@ -622,11 +607,25 @@ def extracted_text(spark, d):
     return interchange.extracted_lines(rows).select(F.col("read").cast("long").alias("read"), "value")
 
 
-SQL_LINES = f"{SQL_KEPT}, lines AS (SELECT read, string_agg(vertex || ' ' || weight, ' ' ORDER BY first, vertex) AS value FROM kept GROUP BY read)"
+#: Every tenth contig's name ends without a number.
+SQL_LINES = f"{SQL_KEPT}, lines AS (SELECT read, string_agg(CASE WHEN vertex % 10 = 0 THEN 'X' ELSE '' END || vertex || ' ' || weight, ' ' ORDER BY first, vertex) AS value FROM kept GROUP BY read)"
 
 
 def hyper_lines(spark, d):
-    return interchange.hyperedge_lines(hyper_vertices(spark, d).select(F.col("edge_id").alias("read"), F.struct("pos", "vertex").alias("pos"), "vertex", "weight"))
+    odd = F.regexp_replace("contig", "_([0-9]*0)$", "_X$1")
+    rows = hypergraph.labelled(kept_entries(spark, d).withColumn("contig", odd))
+    number = F.regexp_replace("vertex", "X", "").cast("long")
+    return interchange.hyperedge_lines(rows.withColumn("pos", F.struct("pos", number)))
+
+
+@query(
+    "hyperedges_of_numbers",
+    f"WITH {SQL_KEPT} SELECT read AS edge_id, vertex, weight::DOUBLE AS weight FROM kept WHERE read NOT IN (SELECT read FROM kept WHERE vertex % 10 = 0)",
+)
+def hyperedges_of_numbers(spark, d):
+    """The same without text: a read with a contig that has no number is no hyperedge."""
+    odd = F.regexp_replace("contig", "_([0-9]*0)$", "_X$1")
+    return hypergraph.to_hyperedges(kept_entries(spark, d).withColumn("contig", odd)).select("edge_id", "vertex", "weight")
 
 
 @query("hyperedge_text", f"WITH {SQL_LINES} SELECT read, value FROM lines")
@@ -634,8 +633,12 @@ def hyperedge_text(spark, d):
     return hyper_lines(spark, d)
 
 
-@query("hyperedge_parse", f"WITH {SQL_LINES} SELECT read AS edge_id, vertex, weight::DOUBLE AS weight, row_number() OVER (PARTITION BY read ORDER BY first, vertex) - 1 AS pos FROM kept")
+@query(
+    "hyperedge_parse",
+    f"WITH {SQL_LINES} SELECT read AS edge_id, vertex, weight::DOUBLE AS weight, row_number() OVER (PARTITION BY read ORDER BY first, vertex) - 1 AS pos FROM kept WHERE read NOT IN (SELECT read FROM kept WHERE vertex % 10 = 0)",
+)
 def hyperedge_parse(spark, d):
+    """A line with a name that is no number is left out whole."""
     lines = hyper_lines(spark, d).select(F.col("read").alias("row_id"), "value")
     return interchange.parse_hyperedges(lines).withColumn("pos", F.col("pos").cast("long"))
 

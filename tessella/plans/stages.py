@@ -24,10 +24,10 @@ def observed(rows: DataFrame, name: str, **figures) -> tuple[DataFrame, Observat
 def merge(spark: SparkSession, paf_path: str, out: str, min_quality: int = MERGE_QUALITY) -> dict:
     """Alignments merged per (read, contig). Returns counts of what was read and kept."""
     rows, read = observed(paf.read_alignments(spark, paf_path), "alignments", good=F.count(F.when(F.col("mapq") >= min_quality, 1)))
-    rows = materialize(rows, "alignments")
-    kept, left = observed(al.merge(al.quality_filter(rows, min_quality)), "merged", length=F.sum("length"))
+    good = materialize(al.quality_filter(materialize(rows, "alignments"), min_quality), "good")
+    kept, left = observed(al.merge(good), "merged", length=F.sum("length"))
     kept = materialize(kept, "merged")
-    write_lines(interchange.merged_lines(kept, rows.select("read").distinct()), out, ["read"])
+    write_lines(interchange.merged_lines(kept, al.reads_in_order(good)), out, ["seen"])
     return {"alignments": read.get["rows"], "good": read.get["good"], "merged": left.get["rows"], "length": left.get["length"] or 0}
 
 
@@ -36,7 +36,7 @@ def extract(spark: SparkSession, paf_path: str, out: str, min_quality: int = EXT
     rows = materialize(paf.read_placements(spark, paf_path), "placements")
     kept, left = observed(al.extract(rows, min_quality), "extracted")
     kept = materialize(kept, "extracted")
-    write_lines(interchange.extracted_lines(kept), out, ["read"])
+    write_lines(interchange.extracted_lines(kept), out, ["seen"])
     n = rows.agg(F.count("*").alias("rows"), F.countDistinct("read").alias("reads")).first()
     reads = kept.agg(F.countDistinct("read")).first()[0]
     return {"placements": n["rows"], "reads": n["reads"], "kept": left.get["rows"], "kept_reads": reads, "per_read": n["rows"] / n["reads"] if n["reads"] else 0.0, "per_kept_read": left.get["rows"] / reads if reads else 0.0}
@@ -50,13 +50,22 @@ def lengths(spark: SparkSession, fasta_path: str, out: str) -> dict:
 
 
 def hyperedges(spark: SparkSession, merged_path: str, out: str, factor: float = 1.0) -> dict:
-    """Hyperedges of the vertices that pass the filter. A factor that is not positive counts as 1."""
+    """Hyperedges of the entries that pass the filter, in the order of the reads. A factor that is not positive counts as 1.
+
+    ``single`` counts reads with one entry, ``filtered`` the entries that are left out, ``unnumbered``
+    the hyperedges with a name that has no number: they are written, and left out by whoever reads them.
+    """
     rows, read = observed(interchange.read_merged(spark, merged_path), "entries")
     rows = materialize(rows.select("read", "contig", F.col("length").alias("weight"), F.col(ROW_ID).alias("first")), "entries")
-    edges, left = observed(hypergraph.to_hyperedges(hypergraph.vertex_filter(rows, factor)), "vertices")
-    edges = materialize(edges, "vertices")
-    write_lines(interchange.hyperedge_lines(edges.withColumnRenamed("edge_id", "read")), out, ["read"])
-    return {"entries": read.get["rows"], "vertices": left.get["rows"], "hyperedges": edges.agg(F.countDistinct("edge_id")).first()[0]}
+    reads = materialize(rows.groupBy("read").agg(F.min("first").alias("seen"), F.count("*").alias("n")), "reads")
+    kept, left = observed(hypergraph.labelled(hypergraph.vertex_filter(rows, factor).join(reads.select("read", "seen"), "read")), "vertices")
+    kept = materialize(kept, "vertices")
+    write_lines(interchange.hyperedge_lines(kept), out, ["line"])
+    n = reads.agg(F.count("*").alias("reads"), F.count(F.when(F.col("n") == 1, 1)).alias("single")).first()
+    per = kept.groupBy("read").agg(F.count(F.when(F.col("vertex").try_cast("long").isNull(), 1)).alias("odd")).agg(F.count("*").alias("n"), F.count(F.when(F.col("odd") > 0, 1)).alias("odd")).first()
+    return {
+        "entries": read.get["rows"], "vertices": left.get["rows"], "filtered": read.get["rows"] - left.get["rows"], "reads": n["reads"], "hyperedges": per["n"], "single": n["single"], "unnumbered": per["odd"],
+    }
 
 
 def communities(
@@ -66,9 +75,10 @@ def communities(
     vertices = materialize(interchange.read_hyperedges(spark, hyperedge_path), "vertices")
     every, pairs = observed(hypergraph.project(vertices, hypergraph.weigh(vertices, weight_strategy, weight_power)), "pairs")
     every = materialize(every, "pairs")
-    edges, kept = observed(hypergraph.top_up(hypergraph.percentile_filter(every, percentile), every, min_degree), "edges")
+    edges, kept = observed(hypergraph.top_up(hypergraph.percentile_filter(every, percentile), every, min_degree, hypergraph.first_pairs(vertices)), "edges")
     edges = materialize(edges, "edges")
-    found = materialize(community.relabel(community.louvain(edges, vertices.select("vertex").distinct(), resolution, random_seed)), "communities")
+    seen = materialize(hypergraph.first_sight(vertices), "seen")
+    found = materialize(community.relabel(community.louvain(edges, seen, resolution, random_seed), seen), "communities")
     write_lines(interchange.community_lines(found), out, ["label"])
     if graph_out:
         write_lines(interchange.adjacency_lines(hypergraph.adjacency(edges)), graph_out, ["v", "rank"])

@@ -102,25 +102,34 @@ def parse_chains(lines: DataFrame) -> DataFrame:
 
 
 def merged_lines(merged: DataFrame, reads: DataFrame) -> DataFrame:
-    """One value per read: its header, also where no row is left, and its rows in order."""
+    """``reads`` with a value each: its header, also where no row is left, and its rows in order.
+
+    ``reads`` are those of the good alignments, as of ``alignments.reads_in_order``; a read that
+    has none is not written.
+    """
     row = F.concat_ws(",", "contig", "q_start", "q_end", "strand", "t_start", "t_end", "length")
     rows = merged.groupBy("read").agg(F.array_sort(F.collect_list(F.struct("first", row.alias("row")))).alias("rows"))
     held = reads.join(rows, "read", "left")
     body = F.coalesce(F.transform("rows", lambda r: r["row"]), F.array().cast("array<string>"))
-    return held.select("read", F.array_join(F.concat(F.array(F.concat("read", F.lit(":"))), body), "\n").alias("value"))
+    return held.select(*reads.columns, F.array_join(F.concat(F.array(F.concat("read", F.lit(":"))), body), "\n").alias("value"))
 
 
 def extracted_lines(extracted: DataFrame) -> DataFrame:
+    """(read, seen, value): blocks of rows; ``seen`` is the first row's place, by which blocks are ordered."""
     row = F.concat_ws(",", "contig", "t_len", "t_start", "t_end", "mapq")
-    rows = extracted.groupBy("read").agg(F.array_sort(F.collect_list(F.struct(ROW_ID, row.alias("row")))).alias("rows"))
-    return rows.select("read", F.concat("read", F.lit(":\n"), F.array_join(F.transform("rows", lambda r: r["row"]), "\n"), F.lit("\n")).alias("value"))
+    rows = extracted.groupBy("read").agg(F.array_sort(F.collect_list(F.struct(ROW_ID, row.alias("row")))).alias("rows"), F.min(ROW_ID).alias("seen"))
+    return rows.select("read", "seen", F.concat("read", F.lit(":\n"), F.array_join(F.transform("rows", lambda r: r["row"]), "\n"), F.lit("\n")).alias("value"))
 
 
-def hyperedge_lines(vertices: DataFrame) -> DataFrame:
-    """``id w id w ...`` per read with vertices, from (read, pos, vertex, weight)."""
-    entry = F.struct("pos", F.concat_ws(" ", "vertex", F.col("weight").cast("long").cast("string")).alias("e"))
-    rows = vertices.groupBy("read").agg(F.array_sort(F.collect_list(entry)).alias("rows"))
-    return rows.select("read", F.array_join(F.transform("rows", lambda r: r["e"]), " ").alias("value"))
+def hyperedge_lines(entries: DataFrame) -> DataFrame:
+    """(read[, line], value): ``id w id w ...`` per read with entries, from (read, pos, vertex, weight[, line]).
+
+    Names without a number are written as they are; whoever reads the line leaves it out whole.
+    """
+    entry = F.struct("pos", F.concat_ws(" ", F.col("vertex").cast("string"), F.col("weight").cast("long").cast("string")).alias("e"))
+    line = [F.min("line").alias("line")] if "line" in entries.columns else []
+    rows = entries.groupBy("read").agg(F.array_sort(F.collect_list(entry)).alias("rows"), *line)
+    return rows.select("read", *(["line"] if line else []), F.array_join(F.transform("rows", lambda r: r["e"]), " ").alias("value"))
 
 
 def community_lines(communities: DataFrame) -> DataFrame:

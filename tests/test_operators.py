@@ -79,29 +79,80 @@ def test_chains_cover_every_contig_once(spark):
     assert sorted(len(v) for v in got.values()) == [2, 2, 2, 2, 4, 6]
 
 
-def test_top_up_equals_turns_in_order(spark):
-    rng = np.random.default_rng(3)
-    every = {(a, b): float(rng.integers(1, 9)) for b in range(14) for a in range(b) if rng.random() < 0.6}
-    kept = {e: w for e, w in every.items() if w >= 8}
-    want, degree = dict(kept), {}
-    for a, b in kept:
+def turns_in_order(kept, every, seen, least):
+    """The pass: ``seen`` lists all pairs in the order in which they were met."""
+    want, degree = {e: every[e] for e in seen if e in kept}, {}
+    for a, b in want:
         degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
-    for v in sorted(degree):
-        if degree[v] >= 4:
-            continue
-        offers = sorted((-w, a + b - v) for (a, b), w in every.items() if v in (a, b))
-        for w, n in offers:
-            e = (min(v, n), max(v, n))
-            if e not in want and degree[v] < 4:
-                want[e] = -w
+    near = {}
+    for a, b in seen:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    for v in list(degree):
+        pair = lambda n: (min(v, n), max(v, n))
+        for n in sorted(near[v], key=lambda n: -every[pair(n)]):
+            if pair(n) not in want and degree[v] < least:
+                want[pair(n)] = every[pair(n)]
                 degree[v] += 1
                 degree[n] = degree.get(n, 0) + 1
+    return want
+
+
+def topped_up(spark, kept, every, seen, least):
+    frames = [spark.createDataFrame([(a, b, w) for (a, b), w in x.items()], "a int, b int, w double") for x in (kept, every)]
+    order = spark.createDataFrame([(a, b, k) for k, (a, b) in enumerate(seen)], "a int, b int, seen int")
+    out = hypergraph.top_up(*frames, least, order)
+    return {(r.a, r.b): r.w for r in out.collect()}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_top_up_equals_turns_in_order(spark, seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(5, 26))
+    every = {(a, b): float(rng.integers(1, 9)) for b in range(n) for a in range(b) if rng.random() < 0.5}
+    kept = {e: w for e, w in every.items() if w >= 8}
+    seen = [list(every)[k] for k in rng.permutation(len(every))]
+    for least in (3, 5):
+        assert topped_up(spark, kept, every, seen, least) == turns_in_order(kept, every, seen, least)
     frames = [spark.createDataFrame([(a, b, w) for (a, b), w in x.items()], "a int, b int, w double") for x in (kept, every)]
-    got = {(r.a, r.b): r.w for r in hypergraph.top_up(*frames, 4).collect()}
-    assert got == want
     assert hypergraph.top_up(*frames).count() == len(kept)
 
 
+def test_a_row_of_waits_takes_few_rounds(spark, monkeypatch):
+    """Vertices in a row, each short of one and with the next as its best offer: every other one adds it."""
+    n = 600
+    every, kept = {}, {}
+    for k in range(n):
+        kept[k, 10_000 + k] = every[k, 10_000 + k] = 100.0
+        if k:
+            every[k - 1, k] = 50.0 + (k % 7 == 3)
+        every[k, 20_000 + k] = 1.0
+    seen = list(kept) + [e for e in every if e not in kept]
+    rounds = rounds_of(monkeypatch, hypergraph)
+    assert topped_up(spark, kept, every, seen, 2) == turns_in_order(kept, every, seen, 2)
+    assert rounds["left"] <= 4 and rounds["asks"] <= 50
+
+
+def test_pairs_by_tiles(spark):
+    """Every pair once at any size of tile, and no task with most of a large group."""
+    from tessella.operators.tiles import pairs_within
+
+    rows = spark.createDataFrame([("large", k, k * k) for k in range(300)] + [(f"s{k // 3}", k, k) for k in range(30)] + [("one", 1, 1), (None, 2, 2)], "g string, x int, y int")
+    for tile, sized in ((7, False), (64, True), (10_000, False)):
+        given = rows.withColumn("n", F.when(F.col("g") == "large", 300).otherwise(3)) if sized else rows
+        got = [tuple(r) for r in pairs_within(given, ["g"], "x", ["y"], "n" if sized else None, tile).collect()]
+        want = [("large", a, b, a * a, b * b) for b in range(300) for a in range(b)] + [(f"s{k}", a, b, a, b) for k in range(10) for b in range(3 * k, 3 * k + 3) for a in range(3 * k, b)]
+        assert sorted(got) == sorted(want)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        big = spark.range(3000).selectExpr("1 as g", "id as x").repartition(8)
+        met = pairs_within(big, ["g"], "x", [], None, 100)
+        per = [r.n for r in met.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(per) == 3000 * 2999 // 2 and len(per) == 8 and max(per) < 2 * sum(per) / 8
+
+
 def test_planted_communities(spark):
     rng = np.random.default_rng(5)
     edges = [(a, b, 5.0 if a // 8 == b // 8 else 0.2) for b in range(32) for a in range(b) if a // 8 == b // 8 or rng.random() < 0.2]
@@ -148,7 +199,8 @@ def test_vertex_filter_boundaries(spark):
     got = sorted((r.read, r.contig, r.weight) for r in hypergraph.vertex_filter(frame, -1).collect())
     assert got == [("r", "c_1", 300), ("r", "c_2", 150), ("s", "c_1", 7), ("t", "c_1", 10)]
     both = spark.createDataFrame([("r", "a_5", 1.0, 0), ("r", "b_05", 2.0, 1), ("r", "x", 3.0, 2)], "read string, contig string, weight double, first int")
-    assert [(r.vertex, r.weight) for r in hypergraph.to_hyperedges(both).collect()] == [(5, 2.0)]
+    assert hypergraph.to_hyperedges(both).count() == 0  # "x" is no number: no line of this read can be read
+    assert [(r.vertex, r.weight) for r in hypergraph.to_hyperedges(both.filter("first < 2")).collect()] == [(5, 2.0)]
 
 
 def test_bins_mirrored_and_short(spark):
