@@ -26,6 +26,44 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return held.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + place).drop("__id", "__part", "__before")
 
 
+#: Rows of one group up to which a task may hold it.
+GROUP_ROWS = 1_000_000
+
+
+def running(df: DataFrame, group: list[str], order: list[str | Column], sums: dict[str, Column] | None = None, rank: str | None = None) -> DataFrame:
+    """``df`` with ``rank``: 1, 2, ... in its group, and ``sums``: totals of the rows before in the group.
+
+    The order must leave no ties in a group, and groups are not null. While the largest group
+    has up to GROUP_ROWS rows this is a window. With larger ones rows are dealt by range of
+    group and order: a window counts inside each part, and what the parts before hold of a
+    group that goes on is added; there is at most one such group between two parts.
+    """
+    sums = sums or {}
+    named = df.select("*", *[c.cast("long").alias(f"__{n}") for n, c in sums.items()])
+    held = materialize(named, "grouped")
+    largest = held.groupBy(*group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    by = [F.asc(c) if isinstance(c, str) else c for c in order]
+    before, none = (Window.unboundedPreceding, -1), F.lit(0).cast("long")
+
+    def counted(rows: DataFrame, window) -> DataFrame:
+        out = {n: F.coalesce(F.sum(f"__{n}").over(window.rowsBetween(*before)), none) for n in sums}
+        return rows.withColumns(out | ({rank: F.row_number().over(window).cast("long")} if rank else {}))
+
+    if largest <= GROUP_ROWS:
+        return counted(held, Window.partitionBy(*group).orderBy(*by)).drop(*[f"__{n}" for n in sums])
+    dealt = held.repartitionByRange(*[F.asc(g) for g in group], *by).sortWithinPartitions(*group, *by)
+    dealt = materialize(dealt.select("*", F.monotonically_increasing_id().alias("__id")), "dealt").withColumn("__part", F.shiftright("__id", 33))
+    inside = counted(dealt, Window.partitionBy("__part", *group).orderBy("__id"))
+    per = dealt.groupBy("__part", *group).agg(F.count("*").alias("__rows"), *[F.sum(f"__{n}").alias(f"__{n}") for n in sums])
+    split = per.groupBy(*group).agg(F.count("*").alias("__parts")).filter("__parts > 1").drop("__parts")
+    over = Window.partitionBy(*group).orderBy("__part").rowsBetween(*before)
+    carried = per.join(split, group).select("__part", *group, *[F.coalesce(F.sum(c).over(over), none).alias(f"__c{c}") for c in ("__rows", *[f"__{n}" for n in sums])])
+    # Two rows a part at most.
+    out = inside.join(F.broadcast(materialize(carried, "carried")), ["__part", *group], "left")
+    added = {n: F.col(n) + F.coalesce(f"__c__{n}", none) for n in sums} | ({rank: F.col(rank) + F.coalesce("__c__rows", none)} if rank else {})
+    return out.withColumns(added).select(*df.columns, *added)
+
+
 #: Ranges of values that are counted at once, and values that are read to pick from.
 RANGES, READ = 4096, 100_000
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.sequences import digit_segment, gap_length, reverse_complement, stem
+from tessella.functions.sequences import digit_segment, gap_length, stem
+from tessella.operators import chunks
+from tessella.plans.materialize import materialize
 
 ALPHA, BETA, MAX_GAP, MIN_GAP = 0.4431, 4.0218, 100, 1
 
@@ -37,11 +39,13 @@ def oriented(chain_ends: DataFrame) -> DataFrame:
 def pair_lookup(pieces: DataFrame, weights: DataFrame) -> DataFrame:
     """``pieces`` with ``w_before``: the weight with the contig before in the chain, else null.
 
-    ``weights`` has (a, b, weight) of contig numbers in either order, positive.
+    Pieces are numbered without gaps. ``weights`` has (a, b, weight) of contig numbers in
+    either order, positive.
     """
-    w = Window.partitionBy("chain").orderBy("piece")
-    held = pieces.withColumn("number", digit_segment(F.col("contig")))
-    held = held.withColumn("before", F.lag("number").over(w))
+    held = materialize(pieces.withColumn("number", digit_segment(F.col("contig"))), "pieces")
+    # A join and no window, so that a very long chain is not one task's.
+    after = held.select("chain", (F.col("piece") + 1).alias("piece"), F.col("number").alias("before"))
+    held = held.join(after, ["chain", "piece"], "left")
     lo = F.when(F.col("before").isNotNull(), F.least("number", "before"))
     hi = F.when(F.col("before").isNotNull(), F.greatest("number", "before"))
     table = weights.filter("weight > 0").groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.max("weight").alias("w_before"))
@@ -57,15 +61,13 @@ def gaps(pieces: DataFrame, alpha: float = ALPHA, beta: float = BETA, max_gap: f
 def assemble(pieces: DataFrame, sequences: DataFrame) -> DataFrame:
     """(chain, n_contigs, seq) from (chain, piece, contig, forward, gap) and (name, seq).
 
-    Sequences are joined by name alone, after everything else is decided, and reversed
-    where they lie. A contig without a sequence is an error.
+    For chains that fit in a value each; ``chunks.assemble`` has them in rows of bounded size.
+    A contig without a sequence is an error.
     """
-    held = pieces.join(sequences.select(F.col("name").alias("contig"), "seq"), "contig", "left")
-    known = F.coalesce("seq", F.raise_error(F.concat(F.lit("no sequence for contig "), "contig")).cast("string"))
-    turned = F.when(F.col("forward"), known).otherwise(reverse_complement(known))
-    part = F.concat(F.expr("repeat('N', gap)"), turned)
-    out = held.select("chain", "piece", part.alias("part")).groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("piece", "part"))).alias("p"))
-    return out.select("chain", F.size("p").cast("long").alias("n_contigs"), F.array_join(F.transform("p", lambda x: x["part"]), "").alias("seq"))
+    done = chunks.assemble(pieces, chunks.chunked(sequences))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("block", "bases"))), lambda x: x["bases"])
+    n = pieces.groupBy("chain").agg(F.count("*").alias("n_contigs"))
+    return n.join(done.groupBy("chain").agg(F.array_join(parts, "").alias("seq")), "chain")
 
 
 def unplaced(contigs: DataFrame, pieces: DataFrame) -> DataFrame:

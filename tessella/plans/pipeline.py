@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import alignments as al
-from tessella.operators import bins, community, hypergraph, linking, scaffold
+from tessella.operators import bins, chunks, community, hypergraph, linking, scaffold
 from tessella.functions.sequences import two_decimals
 from tessella.operators.numbering import numbered
 from tessella.plans.materialize import materialize
@@ -76,7 +76,8 @@ def run(spark: SparkSession, paf_path: str, fasta_path: str, p: Parameters = Par
     reads = materialize(al.reads_in_order(good), "reads")
     merged = materialize(al.merge(good).join(reads, "read"), "merged")
     extracted = materialize(al.extract(paf.read_placements(spark, paf_path), p.min_quality), "extracted")
-    contigs = materialize(fasta.read_fasta(spark, fasta_path), "contigs")
+    bases = materialize(fasta.read_fasta_chunks(spark, fasta_path), "bases")
+    contigs = materialize(fasta.records(bases), "contigs")
     entries, vertices, edges, every = contact_graph(merged, p)
     every = materialize(every, "seen")
     communities = materialize(community.relabel(community.louvain(edges, every, p.resolution, p.random_seed), every), "communities")
@@ -97,7 +98,7 @@ def run(spark: SparkSession, paf_path: str, fasta_path: str, p: Parameters = Par
     ends = chains.join(order, ["partition", "chain_no"]).select(F.col("no").alias("chain"), "pos", "endpoint")
     rounded = weights.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), two_decimals(F.col("weight")).cast("double").alias("weight"))
     pieces = scaffold.gaps(scaffold.pair_lookup(scaffold.oriented(ends), rounded), p.alpha, p.beta, p.max_gap, p.min_gap)
-    scaffolds = scaffold.assemble(pieces, fasta.last_of_each_name(contigs)).withColumnRenamed("chain", "no")
+    scaffolds = chunks.assemble(pieces, fasta.last_chunks(bases)).withColumnRenamed("chain", "no")
     return Stages(reads, merged, extracted, contigs, entries, vertices, edges, communities, members, pairs, links, chains, weights, scaffolds)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import sequences as sq
 from tessella.operators import alignments as al
-from tessella.operators import bins, community, hypergraph, linking, scaffold
+from tessella.operators import bins, chunks, community, hypergraph, linking, scaffold
 from tessella.operators.components import connected_components
 from tessella.operators.numbering import numbered
 from tessella.plans.materialize import materialize, new_path
@@ -524,7 +524,10 @@ def sequence_stats(spark, d):
     "SELECT doc_id, reverse(translate(regexp_replace(upper(replace(replace(coalesce(text, ''), chr(10), ''), 'ß', 'ss')), '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA')) AS seq FROM documents",
 )
 def reverse_complement(spark, d):
-    return records(spark, d).select(F.col("row_id").alias("doc_id"), sq.reverse_complement(F.upper("seq")).alias("seq"))
+    """Rows of 500 bases are turned one by one."""
+    rows = materialize(chunks.chunked(records(spark, d).select(F.col("row_id").alias("name"), F.upper("seq").alias("seq")), 500), "bases")
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("at", "bases"))), lambda x: x["bases"])
+    return chunks.turned(rows).groupBy(F.col("name").alias("doc_id")).agg(F.array_join(parts, "").alias("seq"))
 
 
 @query("rename_upper", "SELECT 'chr1_contig_' || row_number() OVER (ORDER BY doc_id) AS name, upper(replace(replace(coalesce(text, ''), chr(10), ''), 'ß', 'ss')) AS seq FROM documents")
@@ -703,7 +706,11 @@ def length_text(spark, d):
     r"SELECT doc_id AS no, '>scaffold' || doc_id || chr(10) || rtrim(regexp_replace(replace(coalesce(text, ''), chr(10), ''), '(.{80})', '\1' || chr(10), 'g'), chr(10)) AS value FROM documents",
 )
 def scaffold_text(spark, d):
-    return fasta.scaffold_lines(records(spark, d).select(F.col("row_id").alias("no"), "seq"))
+    """Through rows of 1,000 bases and blocks of ten lines; only for the comparison a text is one value again."""
+    rows = chunks.blocks(chunks.chunked(records(spark, d).select(F.col("row_id").alias("name"), "seq"), 1000), 800)
+    lines = fasta.block_lines(rows.withColumnRenamed("name", "no"))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("block", "value"))), lambda x: x["value"])
+    return lines.groupBy("no").agg(F.array_join(parts, "\n").alias("value"))
 
 
 @query(
@@ -785,7 +792,7 @@ def fasta_scan(spark, d):
 
 @query("fasta_lengths_text", f"WITH {SQL_RECORDS} SELECT '>doc_' || doc_id || chr(10) || length(seq) AS value FROM records")
 def fasta_lengths_text(spark, d):
-    return fasta.length_lines(fasta.read_fasta(spark, fasta_path(spark, d))).select("value")
+    return fasta.length_lines(fasta.records(fasta.read_fasta_chunks(spark, fasta_path(spark, d)))).select("value")
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import alignments as al
-from tessella.operators import bins, community, hypergraph, linking, scaffold
+from tessella.operators import bins, chunks, community, hypergraph, linking, scaffold
 from tessella.operators.numbering import numbered
 from tessella.plans.materialize import materialize
 from tessella.sources import fasta, interchange, paf
@@ -43,7 +43,7 @@ def extract(spark: SparkSession, paf_path: str, out: str, min_quality: int = EXT
 
 
 def lengths(spark: SparkSession, fasta_path: str, out: str) -> dict:
-    records, seen = observed(fasta.read_fasta(spark, fasta_path), "contigs", total=F.sum("length"), least=F.min("length"), most=F.max("length"))
+    records, seen = observed(fasta.records(fasta.read_fasta_chunks(spark, fasta_path)), "contigs", total=F.sum("length"), least=F.min("length"), most=F.max("length"))
     write_lines(fasta.length_lines(materialize(records, "contigs")), out, [ROW_ID])
     got = seen.get
     return {"contigs": got["rows"], "total": got["total"] or 0, "least": got["least"], "most": got["most"], "mean": got["total"] / got["rows"] if got["rows"] else 0.0}
@@ -110,9 +110,10 @@ def assemble(
     ends = ends.join(order, ROW_ID).select(F.col("no").alias("chain"), "pos", "endpoint")
     weights = interchange.read_weights(spark, weight_path)
     pieces = scaffold.gaps(scaffold.pair_lookup(scaffold.oriented(ends), weights), alpha, beta, max_gap, min_gap)
-    done, seen = observed(scaffold.assemble(pieces, fasta.last_of_each_name(fasta.read_fasta(spark, contig_path))), "scaffolds", bases=F.sum(F.length("seq")))
+    bases = materialize(fasta.read_fasta_chunks(spark, contig_path), "bases")
+    done, seen = observed(chunks.assemble(pieces, fasta.last_chunks(bases)), "scaffolds", bases=F.sum(F.length("bases").cast("long")), scaffolds=F.count(F.when(F.col("block") == 0, 1)))
     fasta.write_fasta(materialize(done.withColumnRenamed("chain", "no"), "scaffolds"), out)
-    return {"scaffolds": seen.get["rows"], "bases": seen.get["bases"] or 0}
+    return {"scaffolds": seen.get["scaffolds"], "bases": seen.get["bases"] or 0}
 
 
 def rename(spark: SparkSession, contig_path: str, out: str, prefix: str = "chr1_contig_") -> dict:

@@ -30,6 +30,49 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return parsed.withColumn("length", F.length("seq").cast("long"))
 
 
+def read_fasta_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """(row_id, name, header, at, bases): the lines of each record with their offsets in it, and an empty row per record.
+
+    As ``read_fasta``, for records of any length; row_id is the record's. Offsets are running
+    sums inside each input split; what a record has in the splits before is carried on, one
+    short row for each split.
+    """
+    lines = scan_lines(spark, path).withColumn("value", F.regexp_replace("value", "\r", ""))
+    opens = F.col("value").startswith(">")
+    n = F.when(opens, 0).otherwise(F.length("value")).cast("long")
+    split = [F.col(f"{ROW_ID}.file").alias("file"), F.col(f"{ROW_ID}.at").alias("split")]
+    held = lines.select(ROW_ID, "value", *split, n.alias("n"), F.when(opens, F.struct(F.col(ROW_ID).alias("id"), "value")).alias("head"))
+    inside = Window.partitionBy("file", "split").orderBy(ROW_ID)
+    held = held.withColumn("before", F.sum("n").over(inside) - F.col("n"))
+    held = held.withColumn("own", F.last(F.when(F.col("head").isNotNull(), F.struct("head", "before")), True).over(inside))
+    per = held.groupBy("file", "split").agg(F.sum("n").alias("all"), F.max_by("own", ROW_ID).alias("last"))
+    # One row per input split, file by file.
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("start", F.coalesce(F.sum("all").over(earlier), F.lit(0).cast("long")))
+    head = F.when(F.col("last").isNotNull(), F.struct(F.col("last.head").alias("head"), (F.col("start") + F.col("last.before")).alias("before")))
+    per = per.select("file", "split", "start", F.last(head, True).over(earlier).alias("carried"))
+    both = held.join(per, ["file", "split"])
+    head = F.coalesce("own.head", "carried.head")
+    at = F.when(F.col("own").isNotNull(), F.col("before") - F.col("own.before")).otherwise(F.col("start") + F.col("before") - F.col("carried.before"))
+    text = F.substr(head["value"], F.lit(2))
+    rows = both.filter(head.isNotNull()).select(
+        head["id"].alias(ROW_ID), F.regexp_extract(F.trim(text), r"^(\S*)", 1).alias("name"), text.alias("header"), at.alias("at"), F.when(F.col("head").isNull(), F.col("value")).otherwise("").alias("bases")
+    )
+    return rows
+
+
+def records(chunks: DataFrame) -> DataFrame:
+    """(row_id, name, header, length) of the records in rows of ``read_fasta_chunks``."""
+    return chunks.groupBy(ROW_ID).agg(F.first("name").alias("name"), F.first("header").alias("header"), F.sum(F.length("bases").cast("long")).alias("length"))
+
+
+def last_chunks(chunks: DataFrame) -> DataFrame:
+    """(name, at, bases) of the last record of each name."""
+    heads = chunks.filter("at = 0 and bases = ''")
+    last = heads.groupBy("name").agg(F.max(ROW_ID).alias(ROW_ID)).select(ROW_ID)
+    return chunks.join(last, ROW_ID, "left_semi").select("name", "at", "bases")
+
+
 def last_of_each_name(records: DataFrame) -> DataFrame:
     """One row per name: the place of its first record, the content of its last."""
     own = [c for c in records.columns if c not in ("name", ROW_ID)]
@@ -63,5 +106,12 @@ def renamed(records: DataFrame, prefix: str = "chr1_contig_") -> DataFrame:
     return out.select(ROW_ID, F.concat(F.lit(prefix), (F.col("before") + F.col("place")).cast("string")).alias("name"), F.upper("seq").alias("seq"))
 
 
-def write_fasta(scaffolds: DataFrame, path: str) -> None:
-    write_lines(scaffold_lines(scaffolds), path, ["no"])
+def block_lines(blocks: DataFrame, width: int = 80) -> DataFrame:
+    """(no, block, value): ``>scaffoldN`` and lines of ``width``, from blocks of a multiple of it."""
+    head = F.when(F.col("block") == 0, F.concat(F.lit(">scaffold"), F.col("no").cast("string"), F.lit("\n"))).otherwise("")
+    return blocks.select("no", "block", F.concat(head, wrap(F.col("bases"), width)).alias("value"))
+
+
+def write_fasta(blocks: DataFrame, path: str) -> None:
+    """Scaffolds in blocks (no, block, bases) as one text in order; no value is longer than a block."""
+    write_lines(block_lines(blocks), path, ["no", "block"])

@@ -385,3 +385,69 @@ def test_steps_are_the_sessions_own_and_need_a_shared_folder(spark):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         m.shared_dir(Session)
+
+
+def rc(seq):
+    return "".join({"A": "T", "C": "G", "G": "C", "T": "A"}.get(c, "N") for c in reversed(seq))
+
+
+@pytest.mark.parametrize(("size", "stretch", "block"), [(1, 1, 1), (3, 7, 5), (1000, 1 << 20, 80)])
+def test_assembly_at_any_size_of_rows(spark, size, stretch, block, monkeypatch):
+    from tessella.operators import chunks
+
+    monkeypatch.setattr(chunks, "CHUNK", stretch)
+    rng = np.random.default_rng(4)
+    seqs = {f"c_{k}": "".join(rng.choice(list("ACGTNacgt"), int(n))) for k, n in enumerate([0, 1, 5, 17, 40, 0])}
+    chains = [[(f"c_{int(rng.integers(5))}", bool(rng.integers(2)), int(rng.integers(0, 9)) if p else 0) for p in range(n)] for n in (1, 2, 7, 3)] + [[("c_5", True, 0)]]
+    pieces = spark.createDataFrame([(k, p, *x) for k, c in enumerate(chains) for p, x in enumerate(c)], "chain int, piece int, contig string, forward boolean, gap int")
+    rows = chunks.chunked(spark.createDataFrame(list(seqs.items()), "name string, seq string"), size)
+    got, most = {}, 0
+    for r in chunks.assemble(pieces, rows, block).orderBy("chain", "block").collect():
+        got[r.chain], most = got.get(r.chain, "") + r.bases, max(most, len(r.bases))
+    assert got == {k: "".join("N" * g + (seqs[c] if f else rc(seqs[c])) for c, f, g in chain) for k, chain in enumerate(chains)} and most <= block
+    back = {}
+    for r in chunks.turned(rows).orderBy("name", "at").collect():
+        back[r.name] = back.get(r.name, "") + r.bases
+    assert back == {n: rc(x) for n, x in seqs.items()}
+
+
+@pytest.mark.parametrize("split", [7, 64, 1 << 20])
+def test_fasta_lines_with_offsets(spark, tmp_path, split):
+    """Records over many input splits, text before the first header, and a second file."""
+    lines = ["before", ">a one", *["ACGT" * (k % 5) for k in range(40)], ">b", ">a two", "TT ", "", "G", ">", "x" * 30]
+    (tmp_path / "1.fa").write_text("\n".join(lines) + "\n")
+    (tmp_path / "2.fa").write_text("lost\n>c\nAC\nGT")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        rows = fasta.read_fasta_chunks(spark, str(tmp_path))
+        got = [(r.row_id, r.name, r.header, r.at, r.bases) for r in rows.collect()]
+        last = fasta.last_chunks(rows).groupBy("name").agg(F.sum(F.length("bases")).alias("n")).collect()
+        known = [(r.name, r.length) for r in fasta.records(rows).orderBy("row_id").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    seqs = {}
+    for rid, name, header, at, bases in sorted(got, key=lambda r: (r[0], r[3])):
+        held = seqs.setdefault((rid, name, header), "")
+        assert at == len(held)
+        seqs[rid, name, header] = held + bases
+    assert [(n, h, s) for (_, n, h), s in seqs.items()] == [("a", "a one", "".join(lines[2:42])), ("b", "b", ""), ("a", "a two", "TT G"), ("", "", "x" * 30), ("c", "c", "ACGT")]
+    assert known == [("a", 320), ("b", 0), ("a", 4), ("", 30), ("c", 4)] and {(r.name, r.n) for r in last} == {("a", 4), ("b", 0), ("", 30), ("c", 4)}
+
+
+@pytest.mark.parametrize("most", [1, 1_000_000])
+def test_running_sums_in_groups(spark, most, monkeypatch):
+    """A large group over many parts, many small ones, and one row alone: as a window and by ranges."""
+    from tessella.operators import numbering
+
+    monkeypatch.setattr(numbering, "GROUP_ROWS", most)
+    rows = [("big", k, k % 11) for k in range(900)] + [(f"g{k % 50}", k, 2) for k in range(300)] + [("one", 0, 5)]
+    frame = spark.createDataFrame(rows, "g string, k int, n int").repartition(5)
+    out = numbering.running(frame, ["g"], [F.desc("k")], {"before": F.col("n")}, "rank")
+    assert out.columns == ["g", "k", "n", "before", "rank"]
+    want, sums, ranks = {}, {}, {}
+    for g, k, n in sorted(rows, key=lambda r: -r[1]):
+        want[g, k] = (sums.get(g, 0), ranks.get(g, 0) + 1)
+        sums[g], ranks[g] = sums.get(g, 0) + n, ranks.get(g, 0) + 1
+    assert {(r.g, r.k): (r.before, r.rank) for r in out.collect()} == want
