@@ -63,8 +63,7 @@ def assemble(pieces: DataFrame, chunks: DataFrame, block: int = WIDTH * BLOCK_LI
     name and stretch, turned where they lie and cut at the ends of blocks. A contig without a
     sequence is an error.
     """
-    known = materialize(lengths(chunks), "lengths")
-    held = pieces.join(known.withColumnRenamed("name", "contig"), "contig", "left")
+    held = pieces.join(lengths(chunks).withColumnRenamed("name", "contig"), "contig", "left")
     length = F.coalesce("length", F.raise_error(F.concat(F.lit("no sequence for contig "), "contig")).cast("long"))
     held = held.select("chain", "piece", "contig", "forward", F.col("gap").cast("long").alias("gap"), length.alias("length"))
     placed = running(held, ["chain"], ["piece"], {"begin": F.col("gap") + F.col("length")})
