@@ -34,6 +34,8 @@ WORD_DIM, PAIR_DIM, GRAM_DIM, CLASSES = 256, 512, 512, 10
 #: Figures that ``counted`` makes.
 COUNTED = 14
 HASHED = WORD_DIM + PAIR_DIM + GRAM_DIM + CLASSES**3
+#: Parts in which the features reach the fit, one after the other.
+FIT_PARTS = 32
 #: Bytes of text whose features are computed at once, by whole texts.
 SLICE = 1 << 19
 
@@ -239,14 +241,16 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("h").slice(lo, hi - lo), b.column("label").slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], names=["h", "label", "x"])
 
 
-def _stacked(rows: pa.ChunkedArray) -> np.ndarray:
-    """Features of all rows, copied chunk by chunk: no list of rows is made of them."""
-    out, at = np.empty((len(rows), COUNTED + HASHED), np.float32), 0
-    for chunk in rows.chunks:
-        for x in chunk:
-            out[at] = np.frombuffer(x.as_buffer(), np.float32)
-            at += 1
-    return out
+def _stacked(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(h, label, x) of the first ``most`` rows, read a partition at a time into one buffer of float32."""
+    out, h, kind = np.empty((min(rows.count(), most), COUNTED + HASHED), np.float32), [], []
+    for r in rows.toLocalIterator():
+        if len(h) == len(out):
+            break
+        out[len(h)] = np.frombuffer(r["x"], np.float32)
+        h.append(r["h"])
+        kind.append(r["label"])
+    return np.array(h, np.int64), np.array(kind, np.int64), out
 
 
 def _ready(rows: DataFrame, *keep: str) -> DataFrame:
@@ -266,11 +270,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, m
     worse = rows.filter((F.col("label") == 1) & (F.pmod("h", F.lit(CORRUPT_EVERY)) == 0)).mapInArrow(_corrupt, "h long, label int, text string")
     ready = _ready(rows.unionByName(worse), "h", "label").mapInArrow(_features, "h long, label int, x binary")
     # Rows of the table that share a key must not raise the number beyond twice the bound; a
-    # row is some 9 kB.
-    got = ready.orderBy("h", "label", "x").limit(2 * max_labelled).toArrow()
-    x = _stacked(got["x"])
-    h, kind = (got[c].to_numpy().astype(np.int64) for c in ("h", "label"))
-    del got
+    # row is some 9 kB, so some MB are read at a time.
+    ready = materialize(ready, "features").repartitionByRange(FIT_PARTS, "h", "label", "x").sortWithinPartitions("h", "label", "x")
+    h, kind, x = _stacked(ready, 2 * max_labelled)
     first = {int(a): k for k, (a, b) in enumerate(zip(h, kind, strict=True)) if b == 1}
     bad = np.array([k for k in np.flatnonzero(kind >= 2) if int(h[k]) in first], np.int64)
     return fit(x, kind == 1, (np.array([first[int(h[k])] for k in bad], np.int64), bad), COUNTED)
