@@ -19,6 +19,7 @@ totals.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.plans.materialize import materialize
 
-#: Bytes of text in a block (a longer text is a block of its own), and per range of hashes.
-BLOCK, RANGE = 1 << 22, 1 << 23
+#: Bytes of text in a block (a longer text is a block of its own), and per range of hashes: at
+#: least and at most, by what a task can hold. In between both grow with the root of the corpus,
+#: so that there is one row of entries, for a block and a range, for ROW bytes of text.
+BLOCK, RANGE, ROW = 1 << 22, 1 << 23, 1 << 14
+BLOCK_MOST, RANGE_MOST = 1 << 25, 1 << 25
 #: Bytes that are cut into tokens at once, by whole texts.
 SLICE = 1 << 18
 #: Weight of a context's own counts against the next lower order: n / (n + RESERVE).
@@ -274,6 +278,17 @@ def _scoring(kind: pa.DataType, vocabulary: int, totals: tuple[int, int]):
     return run
 
 
+def layout(size: int, slots: int) -> tuple[int, int]:
+    """(dealt blocks that make one, ranges) for a corpus of ``size`` bytes."""
+    block = min(max(BLOCK, math.isqrt(size * ROW // 2)), max(BLOCK_MOST, BLOCK))
+    span = min(max(RANGE, math.isqrt(size * ROW * 2)), max(RANGE_MOST, RANGE))
+    return max(1, block // BLOCK), max(slots, -(-size // span))
+
+
+def _entries(dealt: DataFrame, parts: int) -> DataFrame:
+    return dealt.select("text", "target", "block").mapInArrow(_counting(parts), "part int, block long, hashes binary, every binary, target binary")
+
+
 def score(docs: DataFrame, target: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, target_loss, background_loss, score) for every row.
 
@@ -289,8 +304,11 @@ def score(docs: DataFrame, target: Column, key: str = "doc_id", text: str = "tex
     dealt = materialize(dealt, "dealt")
     size = dealt.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    parts = max(slots, -(-size // RANGE))
-    entries = dealt.select("text", "target", "block").mapInArrow(_counting(parts), "part int, block long, hashes binary, every binary, target binary")
+    joined, parts = layout(size, slots)
+    # Neighbours in one split; what they hold stays in order.
+    low = F.col("block").bitwiseAND(F.lit((1 << 32) - 1))
+    dealt = dealt.withColumns({"block": F.col("block") - low + F.floor(low / joined), "place": F.shiftleft(low % joined, 32) + F.col("place")})
+    entries = _entries(dealt, parts)
     entries = entries.repartition(parts, "part").sortWithinPartitions("part", "block")
     sums = materialize(entries.mapInArrow(_adding, _SUMS), "sums")
     totals = sums.filter("block is null").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("vocabulary", "n_every", "n_target")]).first()

@@ -62,3 +62,29 @@ def test_a_copy_is_known_by_the_other(frame):
     rows = [(1, rare), (2, rare), (3, lone)] + [(10 + i, f"the cat sat on the mat {i}") for i in range(20)]
     got = {r.doc_id: r.background_loss for r in word_model.score(frame(rows), F.lit(False)).collect()}
     assert got[1] == got[2] < got[3] - 1
+
+
+def test_rows_of_entries_grow_with_the_corpus(frame, monkeypatch):
+    """Blocks and ranges both grow with the root: four times the text is four times the rows, not sixteen."""
+    for name, value in (("BLOCK", 64), ("RANGE", 128), ("ROW", 64), ("BLOCK_MOST", 1 << 20), ("RANGE_MOST", 1 << 20)):
+        monkeypatch.setattr(word_model, name, value)
+    seen, real = [], word_model._entries
+
+    def counted(dealt, parts):
+        out = real(dealt, parts)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(word_model, "_entries", counted)
+    scores = []
+    for n in (300, 1200):
+        rows = [(k, " ".join(f"w{(k * 31 + j * j) % 997}" for j in range(12))) for k in range(n)]
+        scores.append({r.doc_id: r.background_loss for r in word_model.score(frame(rows).coalesce(1), F.lit(False)).collect()})
+        if n == 300:
+            want = brute(rows, [False] * n)
+            assert all(scores[0][k] == pytest.approx(w[2], abs=2e-6) for k, w in enumerate(want))
+    assert len(scores[1]) == 1200 and 2 < seen[1] / seen[0] < 6
+    for size in (1 << 30, 1 << 32, 1 << 34):
+        monkeypatch.undo()
+        joined, parts = word_model.layout(size, 8)
+        assert size / (joined * word_model.BLOCK) * parts <= 3 * size / word_model.ROW
