@@ -79,7 +79,9 @@ def main(argv: list[str] | None = None) -> None:
             print(json.dumps(getattr(stages, name)(spark, **given)))
         else:
             paf, contig, out = (given.pop(k) for k in ("paf", "contig", "output_dir"))
-            pipeline.write(pipeline.run(spark, paf, contig, Parameters(**given)), out)
+            done = pipeline.run(spark, paf, contig, Parameters(**given))
+            pipeline.write(done, out)
+            print(json.dumps(pipeline.report(done)))
 
 
 if __name__ == "__main__":

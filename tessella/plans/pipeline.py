@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import alignments as al
@@ -13,7 +13,7 @@ from tessella.functions.sequences import two_decimals
 from tessella.operators.numbering import numbered
 from tessella.plans.materialize import materialize
 from tessella.sources import fasta, interchange, paf
-from tessella.sources.text import ROW_ID, write_lines
+from tessella.sources.text import ROW_ID, kept, reasons, write_lines
 
 
 @dataclass(frozen=True)
@@ -54,6 +54,37 @@ class Stages:
     chains: DataFrame
     contig_weights: DataFrame
     scaffolds: DataFrame
+    seen: dict[str, Observation]
+
+
+def _counted(scan: DataFrame, seen: Observation) -> DataFrame:
+    """``scan`` with its lines, good rows and rejected lines counted as it is written."""
+    return scan.observe(seen, F.count(F.lit(1)).alias("lines"), F.count(F.when(F.col("reason").isNull(), 1)).alias("rows"), *[c.alias(k) for k, c in reasons(*paf.REASONS).items()])
+
+
+def report(stages: Stages) -> dict:
+    """Counts of a whole run, stage by stage: what was read, rejected and made."""
+
+    def one(df: DataFrame, **figures) -> dict:
+        return df.agg(F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in figures.items()]).first().asDict()
+
+    def distinct(*columns: str):
+        return F.countDistinct(*columns)
+
+    out = {name: dict(x.get) for name, x in stages.seen.items()}
+    out["reads"] = one(stages.reads)
+    out["merged"] = one(stages.merged, reads=distinct("read"), length=F.coalesce(F.sum("length"), F.lit(0)))
+    out["extracted"] = one(stages.extracted, reads=distinct("read"))
+    out["contigs"] = one(stages.contigs, total=F.coalesce(F.sum("length"), F.lit(0)), shortest=F.min("length"), longest=F.max("length"))
+    out["contigs"]["shared_numbers"] = bins.duplicate_suffixes(stages.contigs.select(F.col("name").alias("contig")).distinct()).count()
+    out["hyperedges"] = one(stages.hyperedges, hyperedges=distinct("edge_id"), vertices=distinct("vertex"))
+    out["hyperedges"]["unnumbered"] = hypergraph.labelled(stages.entries).filter(F.col("vertex").try_cast("long").isNull()).select("read").distinct().count()
+    out["graph"] = one(stages.graph)
+    out["communities"] = community.stats(stages.communities).first().asDict()
+    out["members"], out["pairs"], out["links"] = one(stages.members), one(stages.pairs), one(stages.links)
+    out["chains"] = one(stages.chains, chains=distinct("partition", "chain_no"))
+    out["scaffolds"] = one(stages.scaffolds, scaffolds=distinct("no"), bases=F.coalesce(F.sum(F.length("bases").cast("long")), F.lit(0)))
+    return out
 
 
 def contact_graph(merged: DataFrame, p: Parameters = Parameters()) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -72,10 +103,13 @@ def contact_graph(merged: DataFrame, p: Parameters = Parameters()) -> tuple[Data
 
 def run(spark: SparkSession, paf_path: str, fasta_path: str, p: Parameters = Parameters()) -> Stages:
     """All stages; each is written to the shared folder once where several others read it."""
-    good = materialize(al.quality_filter(paf.read_alignments(spark, paf_path), p.min_quality), "good")
+    seen = {name: Observation(name) for name in ("alignments", "placements")}
+    scanned = materialize(_counted(paf.scan_alignments(spark, paf_path), seen["alignments"]), "alignments")
+    good = materialize(al.quality_filter(kept(scanned), p.min_quality), "good")
     reads = materialize(al.reads_in_order(good), "reads")
     merged = materialize(al.merge(good).join(reads, "read"), "merged")
-    extracted = materialize(al.extract(paf.read_placements(spark, paf_path), p.min_quality), "extracted")
+    placements = materialize(_counted(paf.scan_placements(spark, paf_path), seen["placements"]), "placements")
+    extracted = materialize(al.extract(kept(placements), p.min_quality), "extracted")
     bases = materialize(fasta.read_fasta_chunks(spark, fasta_path), "bases")
     contigs = materialize(fasta.records(bases), "contigs")
     entries, vertices, edges, every = contact_graph(merged, p)
@@ -98,8 +132,8 @@ def run(spark: SparkSession, paf_path: str, fasta_path: str, p: Parameters = Par
     ends = chains.join(order, ["partition", "chain_no"]).select(F.col("no").alias("chain"), "pos", "endpoint")
     rounded = weights.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), two_decimals(F.col("weight")).cast("double").alias("weight"))
     pieces = scaffold.gaps(scaffold.pair_lookup(scaffold.oriented(ends), rounded), p.alpha, p.beta, p.max_gap, p.min_gap)
-    scaffolds = chunks.assemble(pieces, fasta.last_chunks(bases)).withColumnRenamed("chain", "no")
-    return Stages(reads, merged, extracted, contigs, entries, vertices, edges, communities, members, pairs, links, chains, weights, scaffolds)
+    scaffolds = materialize(chunks.assemble(pieces, fasta.last_chunks(bases)).withColumnRenamed("chain", "no"), "scaffolds")
+    return Stages(reads, merged, extracted, contigs, entries, vertices, edges, communities, members, pairs, links, chains, weights, scaffolds, seen)
 
 
 def write(stages: Stages, folder: str) -> None:

@@ -17,7 +17,7 @@ from tessella.operators.components import connected_components
 from tessella.operators.numbering import numbered
 from tessella.plans.materialize import materialize, new_path
 from tessella.sources import fasta, interchange, paf
-from tessella.sources.text import write_lines
+from tessella.sources.text import rejected, write_lines
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -621,6 +621,13 @@ def hyper_lines(spark, d):
     return interchange.hyperedge_lines(rows.withColumn("pos", F.struct("pos", number)))
 
 
+@query("hyperedges_rejected", f"WITH {SQL_LINES} SELECT DISTINCT read, 'number' AS reason FROM kept WHERE vertex % 10 = 0")
+def hyperedges_rejected(spark, d):
+    """Lines with a name that is no number."""
+    lines = hyper_lines(spark, d).select(F.col("read").alias("row_id"), "value")
+    return rejected(interchange.scan_hyperedges(lines)).select(F.col("row_id").alias("read"), "reason")
+
+
 @query(
     "hyperedges_of_numbers",
     f"WITH {SQL_KEPT} SELECT read AS edge_id, vertex, weight::DOUBLE AS weight FROM kept WHERE read NOT IN (SELECT read FROM kept WHERE vertex % 10 = 0)",
@@ -766,6 +773,38 @@ def paf_placements(spark, d):
     return paf.read_placements(spark, paf_path(spark, d)).select("read", "q_end", "contig", "t_len", "t_start", "t_end", "mapq")
 
 
+@query(
+    "paf_rejected",
+    f"WITH {SQL_ALN} SELECT 'r' || read AS read, 'merge' AS scan, CASE WHEN l_linenumber = 7 THEN 'fields' ELSE 'integers' END AS reason FROM aln WHERE l_linenumber IN (6, 7) UNION ALL SELECT 'r' || read, 'extract', CASE WHEN l_linenumber = 7 THEN 'fields' ELSE 'integers' END FROM aln WHERE l_linenumber IN (6, 7)",
+)
+def paf_rejected(spark, d):
+    """Lines that neither scan can read, by the read that they begin with, and why."""
+    path = paf_path(spark, d)
+    both = [rejected(f(spark, path)).select(F.split("value", "\t")[0].alias("read"), F.lit(n).alias("scan"), "reason") for n, f in (("merge", paf.scan_alignments), ("extract", paf.scan_placements))]
+    return both[0].unionByName(both[1])
+
+
+#: Reads in the order of their first good line, when lines stand by number and then by read.
+SQL_BY_LINE = f"{SQL_ALN}, {SQL_MERGED}, seen AS (SELECT read, row_number() OVER (ORDER BY min(({SQL_ORDER}, read))) AS place FROM aln WHERE mapq >= 30 GROUP BY read)"
+
+
+@query(
+    "merged_file",
+    f"""WITH {SQL_BY_LINE}, r AS (SELECT read, string_agg(contig || ',0,' || length || ',' || strand || ',' || t_start || ',' || t_end || ',' || length, chr(10) ORDER BY first, contig) AS body FROM merged GROUP BY read)
+SELECT place, 'r' || read || ':' || coalesce(chr(10) || body, '') AS value FROM seen LEFT JOIN r USING (read)""",
+)
+def merged_file(spark, d):
+    """Blocks of reads in the order of their first good line in a file, with their places."""
+    rows = alignments(spark, d)
+    columns = [F.concat(F.lit("r"), F.col("read").cast("string")), F.lit("9"), "q_start", "q_end", "strand", "contig", "t_len", "t_start", "t_end", F.lit("1"), F.lit("2"), "mapq"]
+    line = F.concat_ws("\t", *[F.col(c).cast("string") if isinstance(c, str) else c for c in columns])
+    good = al.quality_filter(paf.read_alignments(spark, written(rows.select(line.alias("value"), "row_id", "read"), "lines", ["row_id", "read"])), 30)
+    good = materialize(good, "good")
+    merged_ = al.merge(good).withColumn("q_end", F.col("length")).withColumn("first", F.struct("first", "contig"))
+    lines = interchange.merged_lines(merged_, al.reads_in_order(good))
+    return numbered(lines, [F.asc("seen")], "place").select("place", "value")
+
+
 @query("paf_merge", f"WITH {SQL_ALN.replace('FROM lineitem', 'FROM lineitem WHERE l_linenumber NOT IN (6, 7)')}, {SQL_MERGED} SELECT 'r' || read AS read, contig, t_start, t_end, strand, length FROM merged")
 def paf_merge(spark, d):
     """The first row is the file's first: lines stand by read and row."""

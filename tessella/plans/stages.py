@@ -10,7 +10,8 @@ from tessella.operators import bins, chunks, community, hypergraph, linking, sca
 from tessella.operators.numbering import numbered
 from tessella.plans.materialize import materialize
 from tessella.sources import fasta, interchange, paf
-from tessella.sources.text import ROW_ID, write_lines
+from tessella.sources.text import ROW_ID, reasons, scan_lines, write_lines
+from tessella.sources.text import kept as lines_kept
 
 MERGE_QUALITY, EXTRACT_QUALITY, LINK_FLOOR = 50, 60, 10.0
 
@@ -21,25 +22,40 @@ def observed(rows: DataFrame, name: str, **figures) -> tuple[DataFrame, Observat
     return rows.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in figures.items()]), seen
 
 
+def _scanned(rows: DataFrame, name: str, *why: str, **figures) -> tuple[DataFrame, Observation]:
+    """A scan with its rejected lines, written once, and its counts: all lines, good rows and each reason."""
+    seen = Observation(name)
+    counts = reasons(*why)
+    counted = rows.observe(seen, F.count(F.lit(1)).alias("lines"), F.count(F.when(F.col("reason").isNull(), 1)).alias("rows"), *[c.alias(k) for k, c in (counts | figures).items()])
+    return materialize(counted, name), seen
+
+
+def _rejected(seen: Observation, why: tuple[str, ...]) -> dict:
+    return {k: seen.get[k] for k in why}
+
+
 def merge(spark: SparkSession, paf_path: str, out: str, min_quality: int = MERGE_QUALITY) -> dict:
-    """Alignments merged per (read, contig). Returns counts of what was read and kept."""
-    rows, read = observed(paf.read_alignments(spark, paf_path), "alignments", good=F.count(F.when(F.col("mapq") >= min_quality, 1)))
-    good = materialize(al.quality_filter(materialize(rows, "alignments"), min_quality), "good")
+    """Alignments merged per (read, contig). Returns counts of what was read, kept and rejected, by reason."""
+    rows, read = _scanned(paf.scan_alignments(spark, paf_path), "alignments", *paf.REASONS, good=F.count(F.when(F.col("reason").isNull() & (F.col("mapq") >= min_quality), 1)))
+    good = materialize(al.quality_filter(lines_kept(rows), min_quality), "good")
     kept, left = observed(al.merge(good), "merged", length=F.sum("length"))
     kept = materialize(kept, "merged")
     write_lines(interchange.merged_lines(kept, al.reads_in_order(good)), out, ["seen"])
-    return {"alignments": read.get["rows"], "good": read.get["good"], "merged": left.get["rows"], "length": left.get["length"] or 0}
+    return {"alignments": read.get["rows"], "rejected": _rejected(read, paf.REASONS), "good": read.get["good"], "merged": left.get["rows"], "length": left.get["length"] or 0}
 
 
 def extract(spark: SparkSession, paf_path: str, out: str, min_quality: int = EXTRACT_QUALITY) -> dict:
     """Placements of reads with two good ones or more. Averages are given over all reads and over the kept."""
-    rows = materialize(paf.read_placements(spark, paf_path), "placements")
+    rows, read = _scanned(paf.scan_placements(spark, paf_path), "placements", *paf.REASONS)
+    rows = lines_kept(rows)
     kept, left = observed(al.extract(rows, min_quality), "extracted")
     kept = materialize(kept, "extracted")
     write_lines(interchange.extracted_lines(kept), out, ["seen"])
-    n = rows.agg(F.count("*").alias("rows"), F.countDistinct("read").alias("reads")).first()
-    reads = kept.agg(F.countDistinct("read")).first()[0]
-    return {"placements": n["rows"], "reads": n["reads"], "kept": left.get["rows"], "kept_reads": reads, "per_read": n["rows"] / n["reads"] if n["reads"] else 0.0, "per_kept_read": left.get["rows"] / reads if reads else 0.0}
+    n, reads = (x.agg(F.countDistinct("read")).first()[0] for x in (rows, kept))
+    return {
+        "placements": read.get["rows"], "rejected": _rejected(read, paf.REASONS), "reads": n, "kept": left.get["rows"], "kept_reads": reads,
+        "per_read": read.get["rows"] / n if n else 0.0, "per_kept_read": left.get["rows"] / reads if reads else 0.0,
+    }
 
 
 def lengths(spark: SparkSession, fasta_path: str, out: str) -> dict:
@@ -55,8 +71,8 @@ def hyperedges(spark: SparkSession, merged_path: str, out: str, factor: float =
     ``single`` counts reads with one entry, ``filtered`` the entries that are left out, ``unnumbered``
     the hyperedges with a name that has no number: they are written, and left out by whoever reads them.
     """
-    rows, read = observed(interchange.read_merged(spark, merged_path), "entries")
-    rows = materialize(rows.select("read", "contig", F.col("length").alias("weight"), F.col(ROW_ID).alias("first")), "entries")
+    rows, read = _scanned(interchange.scan_merged(scan_lines(spark, merged_path)), "entries", *interchange.MERGED_REASONS)
+    rows = lines_kept(rows).select("read", "contig", F.col("length").alias("weight"), F.col(ROW_ID).alias("first"))
     reads = materialize(rows.groupBy("read").agg(F.min("first").alias("seen"), F.count("*").alias("n")), "reads")
     kept, left = observed(hypergraph.labelled(hypergraph.vertex_filter(rows, factor).join(reads.select("read", "seen"), "read")), "vertices")
     kept = materialize(kept, "vertices")
@@ -64,7 +80,7 @@ def hyperedges(spark: SparkSession, merged_path: str, out: str, factor: float =
     n = reads.agg(F.count("*").alias("reads"), F.count(F.when(F.col("n") == 1, 1)).alias("single")).first()
     per = kept.groupBy("read").agg(F.count(F.when(F.col("vertex").try_cast("long").isNull(), 1)).alias("odd")).agg(F.count("*").alias("n"), F.count(F.when(F.col("odd") > 0, 1)).alias("odd")).first()
     return {
-        "entries": read.get["rows"], "vertices": left.get["rows"], "filtered": read.get["rows"] - left.get["rows"], "reads": n["reads"], "hyperedges": per["n"], "single": n["single"], "unnumbered": per["odd"],
+        "entries": read.get["rows"], "rejected": _rejected(read, interchange.MERGED_REASONS), "vertices": left.get["rows"], "filtered": read.get["rows"] - left.get["rows"], "reads": n["reads"], "hyperedges": per["n"], "single": n["single"], "unnumbered": per["odd"],
     }
 
 
@@ -72,7 +88,8 @@ def communities(
     spark: SparkSession, hyperedge_path: str, out: str, graph_out: str | None = None, resolution: float = 1.0, random_seed: int = 42,
     weight_strategy: int = hypergraph.GEOMETRIC, weight_power: float = 1.0, percentile: float = 10, min_degree: int = 1,
 ) -> dict:
-    vertices = materialize(interchange.read_hyperedges(spark, hyperedge_path), "vertices")
+    lines, read = _scanned(interchange.scan_hyperedges(scan_lines(spark, hyperedge_path)), "lines", *interchange.HYPEREDGE_REASONS)
+    vertices = materialize(interchange.hyperedges_of(lines), "vertices")
     every, pairs = observed(hypergraph.project(vertices, hypergraph.weigh(vertices, weight_strategy, weight_power)), "pairs")
     every = materialize(every, "pairs")
     edges, kept = observed(hypergraph.top_up(hypergraph.percentile_filter(every, percentile), every, min_degree, hypergraph.first_pairs(vertices)), "edges")
@@ -82,7 +99,7 @@ def communities(
     write_lines(interchange.community_lines(found), out, ["label"])
     if graph_out:
         write_lines(interchange.adjacency_lines(hypergraph.adjacency(edges)), graph_out, ["v", "rank"])
-    return {"pairs": pairs.get["rows"], "edges": kept.get["rows"], **community.stats(found).first().asDict()}
+    return {"hyperedges": read.get["rows"], "rejected": _rejected(read, interchange.HYPEREDGE_REASONS), "pairs": pairs.get["rows"], "edges": kept.get["rows"], **community.stats(found).first().asDict()}
 
 
 def link(spark: SparkSession, contig_path: str, partition_path: str, extracted_path: str, links_out: str, weights_out: str, min_edge_weight: float = LINK_FLOOR) -> dict:
@@ -90,7 +107,8 @@ def link(spark: SparkSession, contig_path: str, partition_path: str, extracted_p
     names = fasta.read_fasta(spark, contig_path).groupBy(F.col("name").alias("contig")).agg(F.min(ROW_ID).alias("ord"))
     parts = interchange.read_partitions(spark, partition_path).select("partition", F.col("vertex").alias("number"))
     members = materialize(bins.assign_partitions(names, parts).withColumn("ord", F.col("number").cast("long")), "members")
-    places = bins.of_members(interchange.read_extracted(spark, extracted_path), members)
+    lines, read = _scanned(interchange.scan_extracted(scan_lines(spark, extracted_path)), "lines", *interchange.EXTRACTED_REASONS)
+    places = bins.of_members(lines_kept(lines), members)
     pairs, seen = observed(bins.pair_weights(bins.coverage(bins.end_bins(places))), "pairs")
     pairs, held = materialize(pairs, "ends"), members.select("partition", "contig")
     sim, cov = (linking.candidate_edges(pairs.withColumn("w", F.col(c)), members, min_edge_weight) for c in ("sim", "cov"))
@@ -98,7 +116,9 @@ def link(spark: SparkSession, contig_path: str, partition_path: str, extracted_p
     chains = materialize(linking.chains(materialize(links, "links"), members), "chains")
     write_lines(interchange.chain_lines(chains), links_out, ["partition", "chain_no"])
     write_lines(interchange.weight_lines(bins.contig_weights(pairs, members.select("contig", "number"))), weights_out, ["a", "b"])
-    return {"members": members.count(), "pairs": seen.get["rows"], "links": took.get["rows"], "chains": chains.select("partition", "chain_no").distinct().count()}
+    # Of contigs that share a number only the first has a place.
+    shared = bins.duplicate_suffixes(names).count()
+    return {"members": members.count(), "shared_numbers": shared, "placements": read.get["rows"], "rejected": _rejected(read, interchange.EXTRACTED_REASONS), "pairs": seen.get["rows"], "links": took.get["rows"], "chains": chains.select("partition", "chain_no").distinct().count()}
 
 
 def assemble(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.sequences import float_text, two_decimals
-from tessella.sources.text import ROW_ID, scan_lines, under_headers
+from tessella.sources.text import ROW_ID, kept, scan_lines, under_headers
 
 
 def _trimmed(lines: DataFrame) -> DataFrame:
@@ -22,47 +22,77 @@ def read_merged(spark: SparkSession, path: str) -> DataFrame:
     return parse_merged(scan_lines(spark, path))
 
 
-def parse_merged(lines: DataFrame) -> DataFrame:
-    """Blocks ``read:`` of ``contig,q_start,q_end,strand,t_start,t_end,length``, 7 fields or more."""
-    rows = under_headers(_trimmed(lines), F.col("value").endswith(":"))
-    f = F.split("value", ",")
-    kept = rows.select(ROW_ID, F.expr("left(header, length(header) - 1)").alias("read"), f.alias("f")).filter(F.size("f") >= 7)
+#: Why a line is left out: no header before it, a wrong number of fields, no number where one should be.
+MERGED_REASONS, EXTRACTED_REASONS, HYPEREDGE_REASONS = ("header", "fields"), ("header", "fields", "integers"), ("odd", "number")
+
+
+def scan_merged(lines: DataFrame) -> DataFrame:
+    """As ``parse_merged``, with the lines that it leaves out: these have a ``reason`` and their ``value``."""
+    rows = under_headers(_trimmed(lines), F.col("value").endswith(":"), True)
+    held = rows.select(ROW_ID, F.expr("left(header, length(header) - 1)").alias("read"), "value", F.split("value", ",").alias("f"))
     names = ("q_start", "q_end", "t_start", "t_end", "length")
     places = (1, 2, 4, 5, 6)
-    return kept.select(ROW_ID, "read", F.col("f")[0].alias("contig"), F.col("f")[3].alias("strand"), *[F.trim(F.col("f")[k]).try_cast("double").alias(n) for n, k in zip(names, places, strict=True)])
+    field = {k: F.get("f", F.lit(k)) for k in range(7)}
+    reason = F.when(F.col("read").isNull(), "header").when(F.size("f") < 7, "fields")
+    columns = [field[0].alias("contig"), field[3].alias("strand"), *[F.trim(field[k]).try_cast("double").alias(n) for n, k in zip(names, places, strict=True)]]
+    return held.select(ROW_ID, "read", *columns, F.when(reason.isNotNull(), F.col("value")).alias("value"), reason.alias("reason"))
+
+
+def parse_merged(lines: DataFrame) -> DataFrame:
+    """Blocks ``read:`` of ``contig,q_start,q_end,strand,t_start,t_end,length``, 7 fields or more."""
+    return kept(scan_merged(lines))
 
 
 def read_extracted(spark: SparkSession, path: str) -> DataFrame:
     return parse_extracted(scan_lines(spark, path))
 
 
+def scan_extracted(lines: DataFrame) -> DataFrame:
+    """As ``parse_extracted``, with the lines that it leaves out: these have a ``reason`` and their ``value``."""
+    rows = under_headers(_trimmed(lines), F.col("value").endswith(":") & (F.size(F.split("value", r"\s+")) == 1), True)
+    held = rows.select(ROW_ID, F.expr("left(header, length(header) - 1)").alias("read"), "value", F.split("value", ",").alias("f"))
+    field = {k: F.get("f", F.lit(k)) for k in range(4)}
+    numbers = {n: F.trim(field[k]).try_cast("long") for n, k in (("t_len", 1), ("t_start", 2), ("t_end", 3))}
+    broken = F.greatest(*[c.isNull() for c in numbers.values()])
+    reason = F.when(F.col("read").isNull(), "header").when(F.size("f") != 5, "fields").when(broken, "integers")
+    columns = [F.replace(field[0], F.lit(":"), F.lit("")).alias("contig"), *[c.alias(n) for n, c in numbers.items()]]
+    return held.select(ROW_ID, "read", *columns, F.when(reason.isNotNull(), F.col("value")).alias("value"), reason.alias("reason"))
+
+
 def parse_extracted(lines: DataFrame) -> DataFrame:
     """Blocks ``read:`` (one word) of ``contig,t_len,t_start,t_end,mapq``, five fields exactly."""
-    rows = under_headers(_trimmed(lines), F.col("value").endswith(":") & (F.size(F.split("value", r"\s+")) == 1))
-    kept = rows.select(ROW_ID, F.expr("left(header, length(header) - 1)").alias("read"), F.split("value", ",").alias("f")).filter(F.size("f") == 5)
-    out = kept.select(
-        ROW_ID, "read", F.replace(F.col("f")[0], F.lit(":"), F.lit("")).alias("contig"), *[F.trim(F.col("f")[k]).try_cast("long").alias(n) for n, k in (("t_len", 1), ("t_start", 2), ("t_end", 3))]
-    )
-    return out.dropna(subset=["t_len", "t_start", "t_end"])
+    return kept(scan_extracted(lines))
 
 
 def read_hyperedges(spark: SparkSession, path: str) -> DataFrame:
     return parse_hyperedges(scan_lines(spark, path))
 
 
+def scan_hyperedges(lines: DataFrame) -> DataFrame:
+    """(row_id, p, value, reason): every line's array of (vertex, weight), or why it is left out, and then itself."""
+    held = _trimmed(lines).select(ROW_ID, "value", F.split("value", r"\s+").alias("f"))
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size("f") - 2, F.lit(0)), F.lit(2)),
+        lambda i: F.struct(F.get("f", i).try_cast("long").alias("vertex"), F.get("f", i + 1).try_cast("double").alias("weight")),
+    )
+    held = held.select(ROW_ID, "value", F.size("f").alias("n"), pairs.alias("p"))
+    good = F.forall("p", lambda x: x["vertex"].isNotNull() & x["weight"].isNotNull())
+    reason = F.when(F.col("n") % 2 != 0, "odd").when(~good, "number")
+    return held.select(ROW_ID, F.when(reason.isNull(), F.col("p")).alias("p"), F.when(reason.isNotNull(), F.col("value")).alias("value"), reason.alias("reason"))
+
+
 def parse_hyperedges(lines: DataFrame) -> DataFrame:
     """(edge_id, pos, vertex, weight) of lines ``id w id w ...``.
 
     A line with an odd number of words, or one that is no number, is left out whole. Of a
     vertex named twice the first place and the last weight stay.
     """
-    lines = _trimmed(lines).select(F.col(ROW_ID).alias("edge_id"), F.split("value", r"\s+").alias("f")).filter(F.size("f") % 2 == 0)
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.size("f") - 2, F.lit(2)),
-        lambda i: F.struct(F.get("f", i).try_cast("long").alias("vertex"), F.get("f", i + 1).try_cast("double").alias("weight")),
-    )
-    good = lines.select("edge_id", pairs.alias("p")).filter(F.forall("p", lambda x: x["vertex"].isNotNull() & x["weight"].isNotNull()))
-    long = good.select("edge_id", F.posexplode("p").alias("pos", "x")).select("edge_id", "pos", "x.*")
+    return hyperedges_of(scan_hyperedges(lines))
+
+
+def hyperedges_of(scanned: DataFrame) -> DataFrame:
+    """The vertices of the lines of ``scan_hyperedges`` that could be read."""
+    long = kept(scanned).select(F.col(ROW_ID).alias("edge_id"), F.posexplode("p").alias("pos", "x")).select("edge_id", "pos", "x.*")
     return long.groupBy("edge_id", "vertex").agg(F.max_by("weight", "pos").alias("weight"), F.min("pos").alias("pos"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Structs of (file, offset of the split, place in it) compare in input order.
@@ -23,11 +23,27 @@ def scan_lines(spark: SparkSession, path: str, line_sep: str | None = None) -> D
     return lines.select(order.alias(ROW_ID), "value")
 
 
-def under_headers(lines: DataFrame, is_header) -> DataFrame:
+def kept(scanned: DataFrame) -> DataFrame:
+    """The rows of a scan that could be read."""
+    return scanned.filter("reason is null").drop("reason", "value")
+
+
+def rejected(scanned: DataFrame) -> DataFrame:
+    """(row_id, value, reason): the lines of a scan that could not be read, as they stand, and why."""
+    return scanned.filter("reason is not null").select(ROW_ID, "value", "reason")
+
+
+def reasons(*names: str) -> dict[str, Column]:
+    """Counts of rejected lines by reason, to be observed while a scan is written."""
+    return {n: F.count(F.when(F.col("reason") == n, 1)) for n in names}
+
+
+def under_headers(lines: DataFrame, is_header, loose: bool = False) -> DataFrame:
     """(row_id, header, value): lines that are no headers, each with the header before it.
 
     The running header is found per input split; the last header of each split, one short
-    row, is carried to the splits after it. Lines before the first header are dropped.
+    row, is carried to the splits after it. Lines before the first header are dropped, or
+    have a null one if ``loose``.
     """
     part = F.struct(f"{ROW_ID}.file", f"{ROW_ID}.at")
     marked = lines.select(ROW_ID, "value", part.alias("part"), F.when(is_header, F.struct("value")).alias("h"))
@@ -37,7 +53,7 @@ def under_headers(lines: DataFrame, is_header) -> DataFrame:
     # One row per input split.
     carried = last.select("part", F.last("h", True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     out = running.join(carried, "part").withColumn("header", F.coalesce("own", "carried")["value"])
-    return out.filter(F.col("h").isNull() & F.col("header").isNotNull()).select(ROW_ID, "header", "value")
+    return out.filter(F.col("h").isNull() & (F.lit(loose) | F.col("header").isNotNull())).select(ROW_ID, "header", "value")
 
 
 def write_lines(lines: DataFrame, path: str, order: list | None = None) -> None:

@@ -245,6 +245,23 @@ def test_fasta_and_interchange(spark, tmp_path):
     assert [(r.chain, r.pos, r.endpoint) for r in interchange.read_chains(spark, str(tmp_path / "c")).orderBy("pos").collect()] == [("0_1", 0, "a_1"), ("0_1", 1, "a_2")]
 
 
+def test_rejected_lines_and_reasons(spark, tmp_path):
+    from tessella.sources.text import rejected, scan_lines
+
+    good = "r\t1\t0\t9\t+\tc_1\t9\t0\t9\t9\t9\t60"
+    (tmp_path / "p").write_text("\n".join([good, "", "short\tline", good.replace("\t60", "\thigh"), good.replace("c_1\t9\t0", "c_1\t9\tx")]) + "\n")
+    told = lambda rows: [(r.value, r.reason) for r in rejected(rows).orderBy("row_id").collect()]
+    assert [w for _, w in told(paf.scan_alignments(spark, str(tmp_path / "p")))] == ["fields", "fields", "integers", "integers"]
+    assert [w for _, w in told(paf.scan_placements(spark, str(tmp_path / "p")))] == ["fields", "integers"]
+    assert paf.read_alignments(spark, str(tmp_path / "p")).columns == ["row_id", "read", "q_start", "q_end", "strand", "contig", "t_start", "t_end", "mapq"]
+    (tmp_path / "m").write_text("early,1,2\nr1:\nc_1,0,9,+,1,2,100\nbad,1\n")
+    assert told(interchange.scan_merged(scan_lines(spark, str(tmp_path / "m")))) == [("early,1,2", "header"), ("bad,1", "fields")]
+    (tmp_path / "t").write_text("c,1,2,3,4\nr1:\nc:1,9,1,2,60\nc,x,1,2,60\nc,1,2\n")
+    assert told(interchange.scan_extracted(scan_lines(spark, str(tmp_path / "t")))) == [("c,1,2,3,4", "header"), ("c,x,1,2,60", "integers"), ("c,1,2", "fields")]
+    (tmp_path / "h").write_text("1 2.5 2 3\n1 2 3\n1 x\n7\n")
+    assert told(interchange.scan_hyperedges(scan_lines(spark, str(tmp_path / "h")))) == [("1 2 3", "odd"), ("1 x", "number"), ("7", "odd")]
+
+
 def test_rounding_of_written_weights(spark):
     rng = np.random.default_rng(8)
     values = [0.125, 1.015, 2.675, 1.115, 74.698484809835, 0.375, 0.005, 0.995, 0.999, 9.995, 0.0, -1.005, 12345678901.125, 2.0**52 + 0.5, 1e15 + 0.3]

@@ -90,11 +90,16 @@ def test_scaffold_text(spark, stages, tmp_path):
     assert text["scaffolds"] == ">scaffold1\n" + "\n".join(seq[i : i + 80] for i in range(0, len(seq), 80)) + "\n"
 
 
-def test_command_line(spark, inputs, tmp_path):
+def test_command_line(spark, inputs, tmp_path, capsys):
+    import json
+
     from tessella.__main__ import main
 
     paf, contigs = inputs
     main(["--paf", paf, "--contig", contigs, "--output_dir", str(tmp_path / "out"), "--min_w", "20", "-q", "60"])
+    said = json.loads(next(x for x in capsys.readouterr().out.splitlines() if x.startswith("{")))
+    assert said["alignments"] == {"lines": 9, "rows": 8, "fields": 1, "integers": 0} and said["reads"]["rows"] == 3 and said["merged"] == {"rows": 4, "reads": 2, "length": 850}
+    assert said["contigs"] == {"rows": 3, "total": 110, "shortest": 4, "longest": 102, "shared_numbers": 0} and said["scaffolds"]["bases"] == 106 and said["chains"]["chains"] == 2
     text = "".join(f.read_text() for f in sorted((tmp_path / "out" / "chains").glob("part-*")))
     assert text == "0_1: chr1_contig_1_1 chr1_contig_1_2\n0_2: chr1_contig_2_1 chr1_contig_2_2\n"
 
@@ -115,7 +120,7 @@ def test_stages_one_by_one(spark, inputs, tmp_path, capsys):
     main(["assemble", contigs, t("chains"), t("weights"), t("scaffolds")])
     main(["rename", contigs, t("renamed")])
     said = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
-    assert said[0] == {"alignments": 8, "good": 7, "merged": 4, "length": 850} and said[1]["kept"] == 6 and said[1]["kept_reads"] == 2
+    assert said[0] == {"alignments": 8, "rejected": {"fields": 1, "integers": 0}, "good": 7, "merged": 4, "length": 850} and said[1]["kept"] == 6 and said[1]["kept_reads"] == 2
     assert said[2]["total"] == 110 and said[3]["hyperedges"] == 2 and said[4]["n"] == 1 and said[5]["chains"] == 1 and said[6] == {"scaffolds": 1, "bases": 206} and said[7] == {"contigs": 3}
     text = {n: "".join(f.read_text() for f in sorted((tmp_path / n).glob("part-*"))) for n in ("hyperedges", "communities", "chains", "weights", "scaffolds", "graph", "renamed")}
     assert text["hyperedges"] == "1 300 2 150\n1 200 2 200\n" and text["communities"] == "0: 1 2\n" and text["weights"] == "1 2 74.70\n"
