@@ -28,11 +28,13 @@ from pyspark.sql import functions as F
 
 from tessella.llm.sample import bounded
 
-#: Pages to train on at most; of each a window of at most so many blocks, of texts of at most
-#: so many characters.
-SAMPLE_PAGES, WINDOW_BLOCKS, WINDOW_CHARS = 300, 300, 3_000
-PATH_DIM, WORD_DIM, EXTRA, HIDDEN, EPOCHS, SEED = 96, 192, 6, 16, 14, 13
+#: Pages to train on at most, and windows of each; a window has at most so many blocks in a row,
+#: whole, and so many characters in them. A block that has more is in no window.
+SAMPLE_PAGES, WINDOWS, WINDOW_BLOCKS, WINDOW_CHARS = 300, 2, 300, 200_000
+PATH_DIM, WORD_DIM, EXTRA, HIDDEN, EPOCHS, SEED = 96, 192, 6, 16, 36, 13
 BATCH_CELLS = 1 << 16
+#: Blocks of a long page that the network reads at once; it goes on where it stopped.
+STRETCH = 2048
 
 SILENT = frozenset("script style noscript template head title meta link svg canvas iframe object audio video map select option button textarea datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -237,8 +239,9 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return found
 
 
-def vectors(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
-    """(blocks, D): path, all words hashed, and a few figures of each block."""
+def vectors(page: list[tuple[tuple[str, ...], str, int]], first: int = 0, total: int | None = None) -> np.ndarray:
+    """(blocks, D): path, all words hashed, and a few figures of each block. ``page`` is all of it, or the blocks from ``first`` on of ``total``."""
+    total = len(page) if total is None else total
     out = np.zeros((len(page), PATH_DIM + WORD_DIM + EXTRA), np.float32)
     crc = zlib.crc32
     for i, (path, text, linked) in enumerate(page):
@@ -248,7 +251,7 @@ def vectors(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
         out[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.sqrt(bag / len(words))
         n = len(text)
         ends = text[-1] in ".!?…:;"
-        out[i, PATH_DIM + WORD_DIM :] = (np.log1p(n) / 8, np.log1p(len(words)) / 6, linked / n, float(ends), n / len(words) / 20, i / len(page))
+        out[i, PATH_DIM + WORD_DIM :] = (np.log1p(n) / 8, np.log1p(len(words)) / 6, linked / n, float(ends), n / len(words) / 20, (first + i) / total)
     return out
 
 
@@ -271,11 +274,11 @@ class Labeller:
             w["b" + s][HIDDEN : 2 * HIDDEN] = 1.0
         return cls(w | {"v": rng.normal(0, 0.3, (d + 2 * HIDDEN,)), "c": np.zeros(1)})
 
-    def _direction(self, x: np.ndarray, mask: np.ndarray, s: str, keep: bool):
-        """Hidden states for (pages, steps, D); a masked step leaves the state as it was."""
+    def _direction(self, x: np.ndarray, mask: np.ndarray, s: str, keep: bool, state: tuple | None = None):
+        """Hidden states for (pages, steps, D), and the last state; a masked step leaves the state as it was."""
         n, t, _ = x.shape
         pre = x @ self.w["w" + s] + self.w["b" + s]
-        h, c = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
+        h, c = state or (np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN)))
         out, trace = np.zeros((n, t, HIDDEN)), []
         for k in range(t) if s == "f" else range(t - 1, -1, -1):
             z = pre[:, k] + h @ self.w["u" + s]
@@ -289,11 +292,11 @@ class Labeller:
                 trace.append((k, h, c, i, f, o, g, tc, m))
             h, c = h2, c2
             out[:, k] = h
-        return out, trace
+        return out, trace, (h, c)
 
     def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-        fwd, tf = self._direction(x, mask, "f", keep)
-        bwd, tb = self._direction(x, mask, "b", keep)
+        fwd, tf, _ = self._direction(x, mask, "f", keep)
+        bwd, tb, _ = self._direction(x, mask, "b", keep)
         seen = np.concatenate([x, fwd, bwd], axis=2)
         p = 1 / (1 + np.exp(-(seen @ self.w["v"] + self.w["c"][0])))
         return p, (seen, tf, tb)
@@ -322,6 +325,22 @@ class Labeller:
             grad |= {"w" + s: gw, "u" + s: gu, "b" + s: gb}
         return loss, grad
 
+    def label_long(self, page: list) -> np.ndarray:
+        """P(main text) per block of one page of any length: of all blocks only the forward states are held."""
+        n = len(page)
+        fwd, p, state = np.empty((n, HIDDEN), np.float32), np.empty(n), None
+        cuts = [(lo, min(lo + STRETCH, n)) for lo in range(0, n, STRETCH)]
+        for lo, hi in cuts:
+            x = vectors(page[lo:hi], lo, n)[None]
+            out, _, state = self._direction(x, np.ones(x.shape[:2], np.float32), "f", False, state)
+            fwd[lo:hi] = out[0]
+        state = None
+        for lo, hi in reversed(cuts):
+            x = vectors(page[lo:hi], lo, n)[None]
+            out, _, state = self._direction(x, np.ones(x.shape[:2], np.float32), "b", False, state)
+            p[lo:hi] = 1 / (1 + np.exp(-(np.concatenate([x[0], fwd[lo:hi], out[0]], axis=1) @ self.w["v"] + self.w["c"][0])))
+        return p
+
     def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
         """P(main text) per block; pages of like length are computed together."""
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
@@ -351,7 +370,7 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 #: Boilerplate planted in training pages: a path to hang below the body or the article.
 PLANTS = (
-    ("div.sidebar", "ul", "li"), ("aside", "p"), ("aside", "div.widget", "p"), ("div.cookie-notice", "p"), ("div.banner", "p"), ("div.ad", "p"), ("div.advert",),
+    ("div.sidebar", "ul", "li"), ("aside", "p"), ("aside", "div.widget", "p"), ("div.cookie-notice", "p"), ("div.banner", "p"), ("div.ad", "p"), ("div.ad",), ("div.advert",), ("aside",), ("div.comment",), ("div.notice",),
     ("form", "div"), ("form.newsletter", "p"), ("section.comments", "div.comment", "p"), ("div.comments", "ul", "li"), ("ol.comment-list", "li", "p"),
     ("div.related", "ul", "li"), ("div.share",), ("header", "p"), ("header", "h1"), ("div.menu", "ul", "li"), ("nav", "ul", "li"), ("footer", "p"), ("div.site-footer",),
     ("div.promo", "p"), ("div.popup", "p"), ("div.breadcrumbs",),
@@ -368,14 +387,32 @@ PHRASES = (
     "Nous utilisons des cookies pour améliorer votre expérience.", "Tout accepter", "Publicité", "Abonnez-vous à notre newsletter", "Laisser un commentaire", "Tous droits réservés.", "Acheter maintenant",
     "Utilizamos cookies para mejorar su experiencia.", "Aceptar todo", "Publicidad", "Suscríbete a nuestro boletín", "Deja un comentario", "Todos los derechos reservados.", "Comprar ahora",
 )
+#: Boilerplate that is put together anew each time: notices, offers and comments of readers.
+PARTS = (
+    (("We value your privacy.", "Your privacy matters to us.", "We care about your data.", "Before you continue:"), ("This website stores small files on your device", "We and our partners store and read information on your device", "Some of these files are needed for the site to work", "You can choose which files we may store"), ("to improve our services.", "to measure our audience.", "to show you content that you may like.", "and you can change your choice at any time."), ("Accept", "Reject", "More options", "")),
+    (("Try", "Get", "Buy", "Discover", "Order", "Save on", "Upgrade to", "Don't miss", "Meet"), ("the amazing", "our new", "your favourite", "the best", "the all-new", "the only"), ("mattress", "phone", "shoes", "plan", "headphones", "insurance", "kitchen", "watch", "car", "of all"), ("now", "today", "now at half price!", "for only $9.99.", "20% off today!", "with free delivery.", "this week only.", "before it is gone!")),
+    (("I totally agree with", "Thanks for", "Not sure about", "Loved", "I disagree with", "lol,", "Has anyone tried"), ("this,", "the author,", "you,", "the article,", "your point,", "what you wrote,"), ("keep it up!!", "but where is part two?", "it made my day.", "I had the same last year.", "my brother says the same.", "can you write more?"), ("", "", "Greetings, Anna", ":)")),
+    (("Sign up", "Join us", "Register", "Leave your email"), ("and never miss a story.", "for our weekly letter.", "and get our best stories in your inbox.", "to read on."), ("No spam.", "It is free.", "You can leave at any time.", ""), ("",)),
+)
+
+
+def invented(rng: np.random.Generator) -> str:
+    """A piece of boilerplate of PARTS."""
+    return " ".join(p for k in (PARTS[rng.integers(len(PARTS))],) for p in (x[rng.integers(len(x))] for x in k) if p)
+
+
 #: Containers that content is moved to, so that no one element name decides.
-HOMES = (("article",), ("main",), ("main", "article"), ("main", "div"), ("article", "section"), ("div", "article"), ("div.content",), ("div.post-body",), ("div.share-price-story",), ("div",), ())
+HOMES = (("article",), ("main",), ("main", "article"), ("main", "div"), ("article", "section"), ("div", "article"), ("div.content",), ("div.post-body",), ("div.share-price-story",), ("div",), ("div", "div"),
+    ("div.page", "div.c1"), ("section",), ("div", "section"), ("main", "section", "div"), ("table", "tr", "td"), ())
 ROOTS = (("html", "body"), ("html", "body"), ("body",), ())
 
 
 #: What content itself may stand in, and its head in an article.
-INNER = (("ul", "li"), ("ol", "li"), ("blockquote", "p"), ("table", "tr", "td"), ("pre",), ("h2",), ("h3",), ("figure", "figcaption"), ("section", "p"), ("dl", "dd"), ())
+INNER = (("ul", "li"), ("ol", "li"), ("blockquote", "p"), ("table", "tr", "td"), ("pre",), ("h2",), ("h3",), ("figure", "figcaption"), ("section", "p"), ("dl", "dd"), ("dl", "dt"), ("figure",),
+    ("figure", "p"), ("details", "summary"), ("details", "p"), ("h4",), ("div",), ("div", "p"), ())
 HEADS = (("header", "h1"), ("header", "p"), ("header", "div", "h1"), ("header", "hgroup", "h1"), ("h1",))
+#: Its headline outside of an article.
+TITLES = (("h1",), ("h2",), ("div", "h1"))
 
 
 def masked(page: list, rng: np.random.Generator) -> list:
@@ -412,7 +449,7 @@ def variants(page: list, rng: np.random.Generator, told: list[int]) -> tuple[lis
         for _ in range(rng.integers(1, 4)):
             kind = rng.random()
             if kind < 0.6 or not prose:
-                text = " ".join(PHRASES[int(k)] for k in rng.integers(0, len(PHRASES), int(rng.integers(1, 3))))
+                text = " ".join(PHRASES[int(k)] for k in rng.integers(0, len(PHRASES), int(rng.integers(1, 3)))) if rng.random() < 0.5 else invented(rng)
             else:
                 text = prose[rng.integers(len(prose))][1]
                 text = " ".join(text.split(" ")[: int(rng.integers(1, 60))])
@@ -429,9 +466,10 @@ def variants(page: list, rng: np.random.Generator, told: list[int]) -> tuple[lis
         if y:
             path = tuple(x for x in b[0] if x.split(".")[0] not in ("html", "body", "article", "main", "header"))
             text = b[1]
-            if first and head and rng.random() < 0.5:
-                for _ in range(int(rng.integers(1, 3))):
-                    out.append(((*root, *home, *HEADS[rng.integers(len(HEADS))]), " ".join(text.split(" ")[: int(rng.integers(1, 20))]), 0))
+            if first and rng.random() < 0.5:
+                tops = HEADS if head else TITLES
+                for _ in range(int(rng.integers(1, 3)) if head else 1):
+                    out.append(((*root, *home, *tops[rng.integers(len(tops))]), " ".join(text.split(" ")[: int(rng.integers(1, 20))]), 0))
                     labels.append(1)
             first = False
             if rng.random() < odd:
@@ -485,16 +523,27 @@ def train(pages: list[list], epochs: int = EPOCHS, seed: int = SEED) -> Labeller
     return Labeller({k: v.astype(np.float32) for k, v in (mean if n else model.w).items()})
 
 
-def window(page: list, seed: int) -> list:
-    """At most WINDOW_BLOCKS blocks in a row, from anywhere in the page, to train on."""
-    at = int(np.random.default_rng(seed).integers(0, max(1, len(page) - WINDOW_BLOCKS + 1)))
-    return [(path, text[:WINDOW_CHARS].strip(), min(linked, WINDOW_CHARS)) for path, text, linked in page[at : at + WINDOW_BLOCKS]]
+def windows(page: list, seed: int) -> list[list]:
+    """Up to WINDOWS runs of whole blocks, from anywhere in the page, to train on."""
+    if not page:
+        return []
+    rng, out = np.random.default_rng(seed), {}
+    for _ in range(WINDOWS):
+        lo = hi = int(rng.integers(0, max(1, len(page) - WINDOW_BLOCKS + 1)))
+        chars = 0
+        while hi < len(page) and hi - lo < WINDOW_BLOCKS and chars + len(page[hi][1]) <= WINDOW_CHARS:
+            chars += len(page[hi][1])
+            hi += 1
+        if hi > lo:
+            out[lo] = page[lo:hi]
+    return list(out.values())
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for h, html in zip(b.column("h").to_pylist(), b.column("html").to_pylist(), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([json.dumps(window(blocks(html), h & 0xFFFFFFFF))])], names=["h", "page"])
+            found = [json.dumps(w) for w in windows(blocks(html), h & 0xFFFFFFFF)]
+            yield pa.RecordBatch.from_arrays([pa.array([h] * len(found), pa.int64()), pa.array(found, pa.string())], names=["h", "page"])
 
 
 def fit(pages: DataFrame, key: str = "page_id", html: str = "html", sample: int = SAMPLE_PAGES) -> Labeller:
@@ -502,18 +551,19 @@ def fit(pages: DataFrame, key: str = "page_id", html: str = "html", sample: int
     keys = bounded(pages.select(F.col(key).alias("k")), F.col("k"), sample).distinct()
     # At most ``sample`` keys.
     chosen = pages.select(F.col(key).alias("p"), F.col(html).alias("html")).join(F.broadcast(keys), F.col("p").eqNullSafe(F.col("k")))
-    rows = chosen.select(F.xxhash64("p").alias("h"), "html").mapInArrow(_windows, "h long, page string").orderBy("h", "page").limit(sample).collect()
+    rows = chosen.select(F.xxhash64("p").alias("h"), "html").mapInArrow(_windows, "h long, page string").orderBy("h", "page").limit(WINDOWS * sample).collect()
     return train([[(tuple(path), text, linked) for path, text, linked in json.loads(r["page"])] for r in rows])
 
 
 def extract(pages: DataFrame, model: Labeller, html: str = "html", batch: int = 256) -> DataFrame:
     """``pages`` with ``html`` replaced by ``text``, the main text of the whole page.
 
-    Null and empty pages, and pages without a block of main text, have an empty text; all
-    other columns pass through; repeated rows each get their row.
+    Null and empty pages, and pages without a block of main text, have an empty text; a
+    column ``text`` of the table is replaced too, all others pass through; repeated rows each
+    get their row; pages of any length are read in stretches.
     """
     weights = model.w
-    others = [c for c in pages.columns if c != html]
+    others = [c for c in pages.columns if c not in (html, "text")]
     held = pages.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(others)], F.col(html).alias("html"))
     kinds = dict(held.dtypes)
 
@@ -523,7 +573,8 @@ def extract(pages: DataFrame, model: Labeller, html: str = "html", batch: int =
             for lo in range(0, b.num_rows, batch):
                 part = b.slice(lo, batch)
                 read = [blocks(h) for h in part.column("html").to_pylist()]
-                found = net.label([vectors(p) for p in read])
+                found = net.label([vectors(p) if len(p) <= STRETCH else np.zeros((0, 1)) for p in read])
+                found = [net.label_long(p) if len(p) > STRETCH else y for p, y in zip(read, found, strict=True)]
                 texts = [" ".join(x[1] for x, q in zip(p, y, strict=True) if q >= 0.5).encode("utf-8", "replace").decode() for p, y in zip(read, found, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(f"k{i}") for i in range(len(others))), pa.array(texts, pa.string())], names=[*(f"k{i}" for i in range(len(others))), "text"])
 

@@ -259,8 +259,11 @@ def test_pages_of_unknown_names(model, page, kept, gone):
 
 def test_long_pages_are_trained_on_by_windows(spark):
     page = "".join(f"<p>paragraph {k} of a page with very many of them</p>" for k in range(5000))
-    w = html_labels.window(html_labels.blocks(page), 5)
-    assert len(w) == html_labels.WINDOW_BLOCKS and w[0][1] != "paragraph 0 of a page with very many of them"
+    found = html_labels.windows(html_labels.blocks(page), 5)
+    assert len(found) == html_labels.WINDOWS and all(len(w) == html_labels.WINDOW_BLOCKS and w[0][1] != "paragraph 0 of a page with very many of them" for w in found)
+    # Blocks are whole, or in no window.
+    long = html_labels.windows([(("p",), "x" * 150_000, 0), (("p",), "y" * 150_000, 0), (("p",), "z" * 500_000, 0)], 5)
+    assert long == [[(("p",), "x" * 150_000, 0)]] and html_labels.windows([(("p",), "z" * 500_000, 0)], 5) == html_labels.windows([], 5) == []
     rows = spark.createDataFrame([(k, page) for k in range(3)], "page_id long, html string")
     model = html_labels.fit(rows, sample=2)
     (y,) = model.label([html_labels.vectors(html_labels.blocks(page))])
@@ -279,8 +282,34 @@ def test_extraction_of_other_layouts(spark, model):
     <form><label>Mail</label><p>Sign up for letters</p></form></main><aside><p>Related links and words, that go on for a while.</p></aside>
     <section id="comments"><div class="comment"><p>I really liked this, thanks for writing it all down.</p></div></section><footer>c 2020</footer>"""
     rows = [(1, page, "a"), (2, None, "b"), (3, "", "c"), (4, "<p>" + "long text " * 20_000, "d"), (1, page, "a")]
-    table = spark.createDataFrame(rows, "page_id long, html string, text string").withColumnRenamed("text", "k0")
-    got = [(r.page_id, r.text, r.k0) for r in html_labels.extract(table, model).collect()]
+    table = spark.createDataFrame([(*r, r[2]) for r in rows], "page_id long, html string, text string, k0 string")
+    out = html_labels.extract(table, model)
+    assert out.columns == ["page_id", "k0", "text"]
+    got = [(r.page_id, r.text, r.k0) for r in out.collect()]
     main = "Title of it First paragraph with several words in it, enough to be prose. point one of the list"
     assert sorted(map(str, got)) == sorted(map(str, [(1, main, "a"), (1, main, "a"), (2, "", "b"), (3, "", "c"), (4, ("long text " * 20_000).strip(), "d")]))
     assert html_labels.extract(table.limit(0), model).count() == 0
+
+
+HELD_OUT = [
+    (f"<body><div id=page><div class=c1><h1>Title here</h1><p>{PROSE}</p><figure><img src=a></figure><p>{MORE} And so on.</p></div></div></body>", ["Title here", PROSE, MORE + " And so on."], []),
+    (f"<body><main><p>{PROSE}</p><details><summary>More</summary><p>{MORE}</p></details></main></body>", [PROSE, "More", MORE], []),
+    (f"<body><div class=zz9>We value your privacy. This website stores small files on your computer so that it runs better.</div><article><p>{PROSE}</p><p>{MORE}</p></article></body>", [PROSE, MORE], ["We value your privacy. This website stores small files on your computer so that it runs better."]),
+    (f"<body><article><p>{PROSE}</p><div class=k7><p>Try the amazing new sofa, now at half price, only in our shops!</p></div><p>{MORE}</p></article></body>", [PROSE, MORE], ["Try the amazing new sofa, now at half price, only in our shops!"]),
+    (f"<body><main><h1>On figures</h1><p>{PROSE}</p><p>{MORE}</p><div><p>I totally agree with this, thanks for it!! Anna</p></div></main></body>", ["On figures", PROSE, MORE], ["I totally agree with this, thanks for it!! Anna"]),
+]
+
+
+@pytest.mark.parametrize("page, kept, gone", HELD_OUT)
+def test_layouts_and_phrases_not_trained_on(model, page, kept, gone):
+    got = words_of(model, page)
+    assert set(kept) <= set(got) and not set(gone) & set(got)
+
+
+def test_long_pages_in_stretches(model, monkeypatch):
+    """The same figures as in one go, whatever the stretch."""
+    page = html_labels.blocks("".join(f"<p>paragraph {k} of a page</p><nav><a href=x>{k}</a></nav>" for k in range(150)) + f"<div><p>{PROSE}</p></div>")
+    (want,) = model.label([html_labels.vectors(page)])
+    for stretch in (1, 7, 300, 1000):
+        monkeypatch.setattr(html_labels, "STRETCH", stretch)
+        assert np.allclose(model.label_long(page), want, atol=1e-5)
