@@ -40,7 +40,8 @@ RULES = (
     Rule("repeats", "n_words >= 20 AND 50 * n_repeat_words <= n_words", "100 * n_repeat_words > 10 * n_words"),
     Rule("word_length", "n_words >= 10 AND word_chars >= 3 * n_words AND word_chars <= 10 * n_words", "word_chars < 3 * n_words OR word_chars > 12 * n_words"),
     Rule("shouting", "n_letters >= 40 AND 100 * n_upper <= 12 * n_letters", "100 * n_upper > 20 * n_letters"),
-    Rule("variety", "n_words >= 50 AND 100 * n_distinct >= 30 * n_words", "n_words >= 50 AND n_words <= 2000 AND 100 * n_distinct < 25 * n_words"),
+    # Distinct words grow with the root of a text's length or faster, so one bound holds at any length.
+    Rule("variety", "n_words >= 50 AND n_distinct * n_distinct >= 16 * n_words", "n_words >= 50 AND n_distinct * n_distinct < 6 * n_words"),
     Rule("sentences", "n_words >= 10 AND 50 * n_ends >= n_words AND 4 * n_ends <= n_words", "n_words >= 20 AND (60 * n_ends < n_words OR 3 * n_ends > n_words)"),
     Rule("flow", "n_ends >= 2 AND 10 * n_broken <= n_ends", "n_ends >= 1 AND 5 * n_broken > n_ends"),
     Rule("vowels", "n_latin >= 40 AND 4 * n_vowels >= n_latin AND 5 * n_vowels <= 3 * n_latin", "n_latin >= 40 AND 2 * n_latin >= n_letters AND 6 * n_vowels < n_latin"),
