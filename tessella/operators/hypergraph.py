@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.numbering import exact_quantile, numbered
+from tessella.operators.numbering import exact_quantile, numbered, running
 from tessella.operators.tiles import pairs_within
 from tessella.plans.materialize import materialize
 
@@ -134,9 +134,8 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """(v, rank, neighbor, weight): neighbours by falling weight, then id."""
-    order = Window.partitionBy("v").orderBy(F.desc("weight"), "neighbor")
-    return both_ways(edges).withColumn("rank", F.row_number().over(order).cast("long"))
+    """(v, rank, neighbor, weight): neighbours by falling weight, then id; those of a hub by ranges."""
+    return running(both_ways(edges), ["v"], [F.desc("weight"), F.asc("neighbor")], rank="rank").select("v", "rank", "neighbor", "weight")
 
 
 def _outcomes(offers: DataFrame, acting: DataFrame, added: DataFrame) -> DataFrame:

@@ -19,10 +19,11 @@ edges are left, the rest is finished partition by partition.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.components import connected_components
+from tessella.operators.numbering import running
 from tessella.plans.materialize import materialize
 
 INTERNAL, SIMILARITY_BOOST, MIN_EDGE_WEIGHT, DROP = 100_000.0, 100_000.0, 20.0, 0.3
@@ -206,8 +207,7 @@ def chains(accepted: DataFrame, members: DataFrame) -> DataFrame:
     placed = path_positions(links.select("a", "b"), ends.select("v", "ord"))
     held = ends.join(placed, "v")
     numbers = held.groupBy("partition", "start").agg(F.min("ord").alias("least"))
-    # Chains of a partition, not its members, are numbered in one window.
-    numbers = numbers.withColumn("chain_no", F.row_number().over(Window.partitionBy("partition").orderBy("least")).cast("long")).drop("least")
+    numbers = running(numbers, ["partition"], ["least"], rank="chain_no").drop("least")
     out = materialize(held.join(numbers, ["partition", "start"]), "chains")
     after = out.select("start", (F.col("pos") - 1).alias("pos"), F.col("v").alias("next"))
     both = links.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "w")
@@ -220,17 +220,17 @@ def chains(accepted: DataFrame, members: DataFrame) -> DataFrame:
 def split_on_drop(steps: DataFrame, drop: float = DROP) -> DataFrame:
     """``steps`` with ``piece``: chains cut where a weight falls under drop * the one before.
 
-    ``steps`` has (chain, pos, w, internal): the link from pos to pos + 1. An internal link
-    makes the next one have none before it, so in chains of two-ended contigs, where every
-    other link is internal, nothing is ever cut.
+    ``steps`` has (chain, pos, w, internal): the link from pos to pos + 1, places without
+    gaps. An internal link makes the next one have none before it, so in chains of two-ended
+    contigs, where every other link is internal, nothing is ever cut. The link before is
+    joined by its place, and runs and pieces are counted by running sums, so a very long
+    chain is not one task's.
     """
-    w = Window.partitionBy("chain").orderBy("pos")
-    before = F.lag(F.when(~F.col("internal"), F.col("w"))).over(w)
-    cut = F.coalesce(~F.col("internal") & (before > 0) & (F.col("w") < before * F.lit(drop)), F.lit(False))
-    # After a cut there is no weight before either; a cut right behind a cut is none.
-    marked = steps.withColumn("__low", cut)
-    run = marked.withColumn("__n", F.row_number().over(w) - F.row_number().over(Window.partitionBy("chain", "__low").orderBy("pos")))
-    nth = F.row_number().over(Window.partitionBy("chain", "__low", "__n").orderBy("pos"))
-    kept = run.withColumn("__cut", F.col("__low") & (F.pmod(nth, F.lit(2)) == 1))
-    piece = F.coalesce(F.sum(F.col("__cut").cast("long")).over(w), F.lit(0)).cast("long")
-    return kept.withColumn("piece", piece).drop("__low", "__n", "__cut")
+    steps = materialize(steps, "steps")
+    before = steps.filter("not internal").select("chain", (F.col("pos") + 1).alias("pos"), F.col("w").alias("__before"))
+    low = steps.filter("not internal").join(before, ["chain", "pos"]).filter((F.col("__before") > 0) & (F.col("w") < F.col("__before") * F.lit(drop)))
+    # After a cut there is no weight before either: of low links in a row every other one cuts.
+    placed = running(low.select("chain", "pos"), ["chain"], ["pos"], rank="__no").withColumn("__run", F.col("pos") - F.col("__no"))
+    cuts = running(placed, ["chain", "__run"], ["pos"], rank="__nth").filter("__nth % 2 = 1").select("chain", "pos", F.lit(1).cast("long").alias("__cut"))
+    counted = running(steps.join(cuts, ["chain", "pos"], "left").withColumn("__cut", F.coalesce("__cut", F.lit(0).cast("long"))), ["chain"], ["pos"], {"piece": F.col("__cut")})
+    return counted.withColumn("piece", F.col("piece") + F.col("__cut")).drop("__cut")

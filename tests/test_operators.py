@@ -468,3 +468,29 @@ def test_running_sums_in_groups(spark, most, monkeypatch):
         want[g, k] = (sums.get(g, 0), ranks.get(g, 0) + 1)
         sums[g], ranks[g] = sums.get(g, 0) + n, ranks.get(g, 0) + 1
     assert {(r.g, r.k): (r.before, r.rank) for r in out.collect()} == want
+
+
+def test_cuts_hubs_and_chains_by_ranges(spark, monkeypatch):
+    """The same with groups too large for a task: long chains, a hub's neighbours, many chains in a partition."""
+    from tessella.operators import numbering
+
+    rng = np.random.default_rng(6)
+    steps = [(c, k, float(rng.choice([1, 3, 9, 40])), bool(rng.random() < 0.2)) for c, n in ((1, 200), (2, 3), (3, 1)) for k in range(n)]
+    frame = spark.createDataFrame(steps, "chain int, pos long, w double, internal boolean")
+    want, last = {}, {}
+    for c, k, w, internal in steps:
+        before, piece = last.get(c, (None, 0))
+        cut = not internal and bool(before) and w < before * 0.3
+        want[c, k] = piece = piece + cut
+        last[c] = (None if internal or cut else w, piece)
+    star = spark.createDataFrame([(0, k, float(k % 5)) for k in range(1, 60)], "a int, b int, w double")
+    members = spark.createDataFrame([(0, f"x_{k}", k) for k in range(40)], "partition int, contig string, ord int")
+    links = spark.createDataFrame([(0, "x_3_2", "x_9_1", 5.0)], "partition int, a string, b string, w double")
+    seen = []
+    for most in (2, 1_000_000):
+        monkeypatch.setattr(numbering, "GROUP_ROWS", most)
+        assert {(r.chain, r.pos): r.piece for r in linking.split_on_drop(frame).collect()} == want
+        ranks = sorted((r.v, r["rank"], r.neighbor) for r in hypergraph.adjacency(star).collect())
+        assert [n for v, _, n in ranks if v == 0] == sorted(range(1, 60), key=lambda k: (-(k % 5), k))
+        seen.append((ranks, sorted((r.chain_no, r.pos, r.endpoint) for r in linking.chains(links, members).collect())))
+    assert seen[0] == seen[1] and max(c for c, _, _ in seen[0][1]) == 39
