@@ -52,12 +52,14 @@ def cosine(dot: Column, norm_a: Column, norm_b: Column) -> Column:
 
 
 def two_decimals(x: Column) -> Column:
-    """``x`` with two decimals, half to even on its exact binary value, for |x| < 2**63.
+    """``x`` with two decimals, half to even on its exact binary value.
 
-    The fraction times 100 is rounded as a double; what that rounding cut off, exactly (the
+    Infinities and no number are written as ``inf``, ``-inf`` and ``nan``; from 2**63 on digits
+    behind the seventeenth are zeros. The fraction times 100 is rounded as a double; what that rounding cut off, exactly (the
     factor is split in two halves of 26 bits), decides where it ended halfway.
     """
-    size = F.abs(x)
+    near_zero = F.abs(x) < 2.0**63
+    size = F.abs(F.when(near_zero, x))
     whole = F.floor(size)
     part = size - whole.cast("double")
     near = part * 100.0
@@ -67,7 +69,8 @@ def two_decimals(x: Column) -> Column:
     half = near - cents
     cents = (cents + F.when((half == 0.5) & (cut > 0), 1.0).when((half == -0.5) & (cut < 0), -1.0).otherwise(0.0)).cast("long")
     units = whole + F.when(cents == 100, 1).otherwise(0)
-    return F.concat(F.when(x < 0, "-").otherwise(""), units.cast("string"), F.lit("."), F.lpad(F.pmod(cents, F.lit(100)).cast("string"), 2, "0"))
+    known = F.concat(F.when(x < 0, "-").otherwise(""), units.cast("string"), F.lit("."), F.lpad(F.pmod(cents, F.lit(100)).cast("string"), 2, "0"))
+    return F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.when(x < 0, "-inf").otherwise("inf")).when(near_zero, known).otherwise(F.format_string("%.2f", x))
 
 
 def float_text(x: Column) -> Column:

@@ -264,7 +264,7 @@ def test_rejected_lines_and_reasons(spark, tmp_path):
 
 def test_rounding_of_written_weights(spark):
     rng = np.random.default_rng(8)
-    values = [0.125, 1.015, 2.675, 1.115, 74.698484809835, 0.375, 0.005, 0.995, 0.999, 9.995, 0.0, -1.005, 12345678901.125, 2.0**52 + 0.5, 1e15 + 0.3]
+    values = [0.125, 1.015, 2.675, 1.115, 74.698484809835, 0.375, 0.005, 0.995, 0.999, 9.995, 0.0, -1.005, 12345678901.125, 2.0**52 + 0.5, 1e15 + 0.3, float("inf"), float("-inf"), float("nan"), 1e19, 1e20, -3e19]
     values += (rng.random(5000) * 10.0 ** rng.integers(0, 9, 5000)).tolist() + (rng.integers(0, 10**7, 5000) / 1000).tolist()
     frame = spark.createDataFrame([(str(k), "x", float(v)) for k, v in enumerate(values)], "a string, b string, weight double")
     got = {r.a: r.value for r in interchange.weight_lines(frame).collect()}
