@@ -81,10 +81,14 @@ def exact_quantile(df: DataFrame, column: str, p: float) -> float | None:
     if not n:
         return None
     place = (n - 1) * p
-    wanted = [math.floor(place), math.ceil(place)]
-    found = [_nth(values, k, lo, hi, n) for k in dict.fromkeys(wanted)]
-    low, high = found[0], found[-1]
-    return low if low == high else low + (high - low) * (place - wanted[0])
+    first = math.floor(place)
+    low = _nth(values, first, lo, hi, n)
+    if place == first:
+        return low
+    # The next place holds the same value, or the next larger one: one more scan.
+    upto, above = values.agg(F.count(F.when(F.col("x") <= low, 1)), F.min(F.when(F.col("x") > low, F.col("x")))).first()
+    high = low if upto > first + 1 else above
+    return low if low == high else low + (high - low) * (place - first)
 
 
 def _nth(values: DataFrame, k: int, lo: float, hi: float, n: int) -> float:
