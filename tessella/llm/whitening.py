@@ -116,10 +116,14 @@ def _centred(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return x - centre
 
 
-def _total(rows: DataFrame, task) -> dict[tuple[int, int], int]:
-    """Totals of all tasks: at most a row for every two dimensions reaches the driver."""
-    summed = rows.mapInArrow(task, _SUMS).groupBy("i", "j").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total"))
-    return {(r["i"], r["j"]): int(r["total"]) for r in summed.collect()}
+def _total(rows: DataFrame, task) -> DataFrame:
+    """(i, j, total) over all tasks."""
+    return rows.mapInArrow(task, _SUMS).groupBy("i", "j").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total"))
+
+
+def _read(totals: DataFrame) -> dict[tuple[int, int], int]:
+    """For one length of vector: at most a row for every two dimensions reaches the driver."""
+    return {(r["i"], r["j"]): int(r["total"]) for r in totals.collect()}
 
 
 def covariance(squares: dict[tuple[int, int], int], rest: list[int], n: int) -> np.ndarray:
@@ -196,18 +200,19 @@ def whiten(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", comp
     has no rows; other columns are not read.
     """
     held = rows.select(F.col(f"`{key}`").alias("id"), F.col(f"`{vector}`").alias("vector"))
-    first = _total(held.select("vector"), _count)
-    sizes = {i: v for (i, j), v in first.items() if j == -1}
+    # Lengths may be many; only the one that most vectors have reaches the driver.
+    counts = materialize(_total(held.select("vector"), _count), "counts")
+    most = counts.filter("j = -1").orderBy(F.desc("total"), F.desc("i")).first()
     kind = dict(held.dtypes)["id"]
-    if not sizes:
+    if most is None:
         none = "cast(null as double)"
         return held.limit(0).selectExpr(f"id as `{key}`", "0 as component", "0L as n", "0L as deviation", f"{none} as whitened", f"{none} as explained", f"{none} as identity_error")
-    size = max(sizes, key=lambda k: (sizes[k], k))
-    n = sizes[size]
+    size, n = most["i"], int(most["total"])
+    first = _read(counts.filter(F.col("i") == size))
     sums = [first[size, j] for j in range(size)]
     centre = np.array([s // n for s in sums], np.int64)
     rest = [s % n for s in sums]
-    v = covariance(_total(held.select("vector"), _pairs(size, centre)), rest, n)
+    v = covariance(_read(_total(held.select("vector"), _pairs(size, centre))), rest, n)
     e, p = np.linalg.eigh(v)
     e, p = e[::-1], p[:, ::-1]
     flat = int((e > max(e[0], 0.0) * size * np.finfo(float).eps).sum())
