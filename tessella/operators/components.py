@@ -5,24 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.hubs import hub_limit, join_split
 from tessella.plans.materialize import materialize
 
 
-def _stars(edges: DataFrame, larger: bool) -> DataFrame:
-    """One star step. ``edges`` holds (u, v) with u > v; so does the result."""
+def _star(edges: DataFrame, larger: bool, limit: int) -> DataFrame:
+    """One star step over the written ``edges`` (u, v) with u > v; so is the result. Nodes with over ``limit`` edges are hubs."""
     around = edges
     if larger:
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = around.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.withColumn("m", F.least("m", "u"))
-    joined = around.join(least, "u")
+    least = materialize(around.groupBy("u").agg(F.least(F.min("v"), "u").alias("m"), F.count("*").alias("n")), "least")
+    joined = join_split(around, least.select("u", "m"), "u", least.filter(F.col("n") > limit))
     if larger:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            least.select("u", F.col("m").alias("v"))
-        )
-    return out.filter("u <> v").distinct()
+        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    return materialize(out.filter("u <> v").distinct(), "stars")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -30,8 +28,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Large-star and small-star steps alternate until the edge set stops changing, which
     takes a number of rounds that grows with the logarithm of the largest component.
-    Every round pre-aggregates the least neighbour per node, and is written to the shared
-    folder. Self loops keep their node; null ends are ignored.
+    Every step pre-aggregates the least neighbour per node, and is written to the shared
+    folder. The edges of a hub meet its least neighbour by a broadcast of the few hubs'
+    rows, so they never come together. Self loops keep their node; null ends are ignored.
     """
     ends = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x is not null and y is not null")
     ends = materialize(ends, "edges")
@@ -45,7 +44,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         before = mark
         if not mark["n"]:
             break
-        now = materialize(_stars(_stars(now, True), False), "stars")
+        limit = hub_limit(2 * mark["n"])
+        now = _star(_star(now, True, limit), False, limit)
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

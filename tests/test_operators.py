@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import sequences as sq
-from tessella.operators import bins, community, hypergraph, linking, scaffold
+from tessella.operators import bins, community, hubs, hypergraph, linking, scaffold
 from tessella.operators.components import connected_components
 from tessella.operators.numbering import numbered
 from tessella.plans import queries as core
+from tessella.plans.materialize import materialize
 from tessella.sources import fasta, interchange, paf
 from tessella.streaming import alignments as streaming
 
@@ -175,6 +176,28 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    """Two stars and a path between, with every node of over ten edges a hub, and with none."""
+    edges = [(1000 + k, 5) for k in range(300)] + [(3, 5000 + k) for k in range(300)] + [(1000, 900), (900, 901), (901, 5000)] + [(70, 71)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    want = {v: 70 if v in (70, 71) else 3 for e in edges for v in e}
+    for rows, most in ((10, 1000), (10**6, 10)):
+        monkeypatch.setattr(hubs, "HUB_ROWS", rows)
+        monkeypatch.setattr(hubs, "HUBS", most)
+        assert {r.node: r.component for r in connected_components(frame).collect()} == want
+
+
+def test_edges_of_a_hub_stay_apart(spark):
+    """A star of 40,000 leaves: its rows are joined where they lie, and no task gets more than its share."""
+    rows = spark.range(0, 40_000, 1, 8).select(F.when(F.col("id") < 39_000, 0).otherwise(F.col("id")).alias("u"), "id")
+    rows = materialize(rows, "rows")
+    per = materialize(rows.groupBy("u").agg(F.count("*").alias("n")), "per")
+    met = hubs.join_split(rows, per, "u", per.filter("n > 1000").select("u"))
+    spread = [r.n for r in met.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(spread) == 40_000 and max(spread) < 2 * 40_000 / 8
+    assert met.agg(F.sum("n")).first()[0] == 39_000**2 + 1_000
+
+
 def test_numbered(spark):
     rows = spark.range(1000).withColumn("k", F.xxhash64("id"))
     got = [r.no for r in numbered(rows, [F.asc("k")], "no").orderBy("k").collect()]
