@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import sequences as sq
 from tessella.operators import alignments as al
-from tessella.operators import bins, chunks, community, hypergraph, linking, scaffold
+from tessella.operators import bins, chunks, community, hypergraph, linking, scaffold, spectral
 from tessella.operators.components import connected_components
 from tessella.operators.numbering import numbered
 from tessella.plans.materialize import materialize, new_path
@@ -259,6 +259,34 @@ def community_invariants(spark, d):
     return n.join(out).select("*", F.lit(ours > least).alias("above_singletons"), F.lit(ours >= whole - 1e-9).alias("not_below_one"))
 
 
+@query(
+    "nearest_rows",
+    f"""WITH {SQL_EDGES}, cut AS MATERIALIZED (SELECT * FROM edges WHERE w >= (SELECT quantile_cont(w, 0.1) FROM edges)), arcs AS MATERIALIZED (SELECT a AS v, b AS u, w FROM cut UNION ALL SELECT b, a, w FROM cut),
+norms AS MATERIALIZED (SELECT vertex AS v, coalesce(sum(w * w), 0)::FLOAT::DOUBLE AS sq FROM (SELECT DISTINCT vertex FROM kept) LEFT JOIN arcs ON v = vertex GROUP BY 1),
+dots AS MATERIALIZED (SELECT x.v, y.v AS u, sum(x.w * y.w) AS dot FROM arcs x JOIN arcs y ON x.u = y.u AND x.v <> y.v GROUP BY ALL),
+far AS (SELECT x.v, y.v AS u, y.sq, (x.sq + y.sq - 2 * coalesce(dot, 0))::FLOAT AS d FROM norms x JOIN norms y ON x.v <> y.v LEFT JOIN dots ON dots.v = x.v AND dots.u = y.v)
+SELECT v, u, row_number() OVER (PARTITION BY v ORDER BY d, sq, u) AS rank FROM far QUALIFY rank <= 10""",
+)
+def nearest_rows(spark, d):
+    """For each vertex the ten whose ties to all others are most like its own."""
+    vertices = materialize(hyper_vertices(spark, d), "vertices")
+    every = materialize(hypergraph.project(vertices, hypergraph.weigh(vertices)).withColumn("w", F.round("w", 4)), "graph")
+    near = spectral.nearest(hypergraph.percentile_filter(every), vertices.select("vertex"), 10)
+    return near.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("spectral_invariants", f"WITH {SQL_KEPT} SELECT count(DISTINCT vertex) AS vertices, count(DISTINCT vertex) AS placed, true AS each_once, least(10, count(DISTINCT vertex) - 1) AS groups, true AS led_by_least FROM kept")
+def spectral_invariants(spark, d):
+    """The spectral way to communities, over all edges of the default percentile and up: every vertex is in one of ten groups."""
+    vertices = materialize(hyper_vertices(spark, d), "vertices")
+    every = materialize(hypergraph.project(vertices, hypergraph.weigh(vertices)), "graph")
+    nodes = materialize(vertices.select("vertex").distinct(), "nodes")
+    found = materialize(spectral.spectral(hypergraph.percentile_filter(every), nodes), "spectral")
+    least = found.groupBy("label").agg(F.min("vertex").alias("least")).agg(F.count("*").alias("groups"), F.min(F.col("least") == F.col("label")).alias("led_by_least"))
+    placed = found.agg(F.countDistinct("vertex").alias("placed"), (F.countDistinct("vertex") == F.count("*")).alias("each_once"))
+    return nodes.agg(F.count("*").alias("vertices")).join(placed).join(least)
+
+
 def labelled(spark, d):
     """Communities given beforehand: suppliers by nation."""
     return table(spark, d, "supplier").select(F.col("s_nationkey").alias("label"), F.col("s_suppkey").alias("vertex"))

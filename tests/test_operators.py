@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import sequences as sq
-from tessella.operators import bins, community, hubs, hypergraph, linking, scaffold
+from tessella.operators import bins, community, hubs, hypergraph, linking, scaffold, spectral
 from tessella.operators.components import connected_components
 from tessella.operators.numbering import numbered
 from tessella.plans import queries as core
@@ -169,6 +169,65 @@ def test_planted_communities(spark):
     assert community.louvain(frame.limit(0), vertices).count() == 34
 
 
+def planted(spark, n=96, size=24):
+    """(edges as rows, their table, vertices): groups of ``size`` that hold together, and some ties between."""
+    rng = np.random.default_rng(5)
+    edges = [(a, b, 5.0 if a // size == b // size else 0.2) for b in range(n) for a in range(b) if a // size == b // size or rng.random() < 0.2]
+    return edges, spark.createDataFrame(edges, "a int, b int, w double"), spark.createDataFrame([(v,) for v in range(n)], "vertex int")
+
+
+def test_nearest_rows_against_all_pairs(spark):
+    """Also of vertices without an edge, which only share their norm of zero, and of a pair by itself."""
+    edges, _, _ = planted(spark, 40, 8)
+    edges += [(50, 51, 3.0)]
+    frame = spark.createDataFrame([*edges, (None, 3, 1.0), (7, 7, 9.0)], "a int, b int, w double")
+    names = [*range(44), 50, 51]
+    vertices = spark.createDataFrame([(v, "x") for v in [*names, 3, None]], "vertex int, w string")
+    got = {(r.v, r["rank"]): r.u for r in spectral.nearest(frame, vertices, 9).collect()}
+    m = np.zeros((52, 52))
+    for a, b, w in edges:
+        m[a, b] = m[b, a] = w
+    square = np.float32((m * m).sum(1)).astype(float)
+    want = {}
+    for v in names:
+        others = sorted((np.float32(square[v] + square[u] - 2 * m[v] @ m[u]), square[u], u) for u in names if u != v)
+        want |= {(v, k + 1): u for k, (_, _, u) in enumerate(others[:9])}
+    assert got == want
+    assert spectral.nearest(frame.limit(0), vertices.limit(0), 9).count() == 0
+
+
+@pytest.mark.parametrize("rows", [100_000, 5])
+def test_eigenvectors(spark, monkeypatch, rows):
+    """Values as of numpy, vectors orthogonal; with every row a hub too."""
+    monkeypatch.setattr(hubs, "HUB_ROWS", rows)
+    _, frame, vertices = planted(spark)
+    s = materialize(spectral.affinity(spectral.nearest(frame, vertices, 9)), "affinity")
+    vectors, values, residual = spectral.eigenvectors(s, 4)
+    m = np.zeros((96, 96))
+    for r in s.collect():
+        m[r.v, r.u] = r.s
+    assert np.allclose(m, m.T) and residual <= spectral.RESIDUAL
+    assert np.abs(values - np.linalg.eigvalsh(m)[::-1][:4]).max() < 1e-6
+    x = np.array([[r[f"x{j}"] for j in range(4)] for r in vectors.orderBy("v").collect()])
+    assert np.abs(x.T @ x - np.eye(4)).max() < 1e-9
+    assert np.linalg.norm(m @ x - x * values, axis=0).max() <= 1.01 * spectral.RESIDUAL
+
+
+def test_spectral_finds_planted_groups(spark):
+    _, frame, vertices = planted(spark)
+    got = {r.vertex: r.label for r in spectral.spectral(frame, vertices, 4, 10).collect()}
+    assert got == {v: v // 24 * 24 for v in range(96)}
+
+
+def test_spectral_of_few_vertices(spark):
+    frame, names = spark.createDataFrame([(4, 9, 1.0)], "a int, b int, w double"), [(9,), (4,), (None,), (9,)]
+    vertices = spark.createDataFrame(names, "vertex int")
+    assert sorted(map(tuple, spectral.spectral(frame, vertices).collect())) == [(4, 4), (9, 4)]
+    assert spectral.spectral(frame, vertices.limit(0)).count() == 0
+    three = vertices.unionByName(spark.createDataFrame([(5,)], "vertex int"))
+    assert {r.vertex for r in spectral.spectral(frame, three).collect()} == {4, 5, 9}
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100), (7, 60), (61, 60), (200, 201), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
