@@ -8,6 +8,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from tessella.operators.community import METHODS
 from tessella.plans import pipeline, stages
 from tessella.plans.materialize import steps
 from tessella.plans.pipeline import Parameters
@@ -34,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--weight_power", type=float, default=d.weight_power)
     p.add_argument("--filter_percentile", dest="percentile", type=float, default=d.percentile)
     p.add_argument("--min_degree", type=int, default=d.min_degree)
+    p.add_argument("--method", choices=METHODS, default=d.method, help="of the communities")
     return p
 
 
@@ -57,6 +59,7 @@ STAGES = {
         "communities", "", ("-i --input", {"required": True, "dest": "hyperedge_path"}), ("-o --output", {"dest": "graph_out", "help": "the graph, as text"}), ("-c --communities", {"required": True, "dest": "out"}),
         ("-r --resolution", {"type": float, "default": 1.0}), ("--random_seed", {"type": int, "default": 42}), ("--weight_strategy", {"type": int, "choices": (1, 2, 3), "default": 1}), ("--weight_power", {"type": float, "default": 1.0}),
         ("--filter_percentile", {"type": float, "default": 10, "dest": "percentile"}), ("--min_degree", {"type": int, "default": 1}),
+        ("--method", {"choices": METHODS, "default": "louvain"}),
     ),
     "link": lambda: _stage(
         "link", "contig_path partition_path extracted_path links_out weights_out", ("--min_edge_weight", {"type": float, "default": stages.LINK_FLOOR}),

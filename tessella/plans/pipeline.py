@@ -34,6 +34,7 @@ class Parameters:
     weight_power: float = 1.0
     percentile: float = 10
     min_degree: int = 1
+    method: str = "louvain"
 
 
 @dataclass(frozen=True)
@@ -114,7 +115,7 @@ def run(spark: SparkSession, paf_path: str, fasta_path: str, p: Parameters = Par
     contigs = materialize(fasta.records(bases), "contigs")
     entries, vertices, edges, every = contact_graph(merged, p)
     every = materialize(every, "seen")
-    communities = materialize(community.relabel(community.louvain(edges, every, p.resolution, p.random_seed), every), "communities")
+    communities = materialize(community.relabel(community.grouped(edges, every, p.method, p.resolution, p.random_seed), every), "communities")
 
     names = contigs.groupBy(F.col("name").alias("contig")).agg(F.min(ROW_ID).alias("ord"))
     parts = communities.select(F.col("label").alias("partition"), F.col("vertex").alias("number"))

@@ -86,7 +86,7 @@ def hyperedges(spark: SparkSession, merged_path: str, out: str, factor: float =
 
 def communities(
     spark: SparkSession, hyperedge_path: str, out: str, graph_out: str | None = None, resolution: float = 1.0, random_seed: int = 42,
-    weight_strategy: int = hypergraph.GEOMETRIC, weight_power: float = 1.0, percentile: float = 10, min_degree: int = 1,
+    weight_strategy: int = hypergraph.GEOMETRIC, weight_power: float = 1.0, percentile: float = 10, min_degree: int = 1, method: str = "louvain",
 ) -> dict:
     lines, read = _scanned(interchange.scan_hyperedges(scan_lines(spark, hyperedge_path)), "lines", *interchange.HYPEREDGE_REASONS)
     vertices = materialize(interchange.hyperedges_of(lines), "vertices")
@@ -95,7 +95,7 @@ def communities(
     edges, kept = observed(hypergraph.top_up(hypergraph.percentile_filter(every, percentile), every, min_degree, hypergraph.first_pairs(vertices)), "edges")
     edges = materialize(edges, "edges")
     seen = materialize(hypergraph.first_sight(vertices), "seen")
-    found = materialize(community.relabel(community.louvain(edges, seen, resolution, random_seed), seen), "communities")
+    found = materialize(community.relabel(community.grouped(edges, seen, method, resolution, random_seed), seen), "communities")
     write_lines(interchange.community_lines(found), out, ["label"])
     if graph_out:
         write_lines(interchange.adjacency_lines(hypergraph.adjacency(edges)), graph_out, ["v", "rank"])

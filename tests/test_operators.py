@@ -219,6 +219,14 @@ def test_spectral_finds_planted_groups(spark):
     assert got == {v: v // 24 * 24 for v in range(96)}
 
 
+def test_ways_to_communities(spark):
+    frame, vertices = spark.createDataFrame([(4, 9, 1.0)], "a int, b int, w double"), spark.createDataFrame([(9,), (4,)], "vertex int")
+    for method in community.METHODS:
+        assert len({r.label for r in community.grouped(frame, vertices, method, 1.0, 42).collect()}) == 1
+    with pytest.raises(ValueError, match="louvain, spectral"):
+        community.grouped(frame, vertices, "other", 1.0, 42)
+
+
 def test_spectral_of_few_vertices(spark):
     frame, names = spark.createDataFrame([(4, 9, 1.0)], "a int, b int, w double"), [(9,), (4,), (None,), (9,)]
     vertices = spark.createDataFrame(names, "vertex int")

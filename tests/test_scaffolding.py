@@ -119,11 +119,12 @@ def test_stages_one_by_one(spark, inputs, tmp_path, capsys):
     main(["link", t("lengths"), t("communities"), t("extracted"), t("chains"), t("weights"), "--min_edge_weight", "8"])
     main(["assemble", contigs, t("chains"), t("weights"), t("scaffolds")])
     main(["rename", contigs, t("renamed")])
+    main(["communities", "-i", t("hyperedges"), "-c", t("spectral"), "--method", "spectral"])
     said = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
     assert said[0] == {"alignments": 8, "rejected": {"fields": 1, "integers": 0}, "good": 7, "merged": 4, "length": 850} and said[1]["kept"] == 6 and said[1]["kept_reads"] == 2
     assert said[2]["total"] == 110 and said[3]["hyperedges"] == 2 and said[4]["n"] == 1 and said[5]["chains"] == 1 and said[6] == {"scaffolds": 1, "bases": 206} and said[7] == {"contigs": 3}
-    text = {n: "".join(f.read_text() for f in sorted((tmp_path / n).glob("part-*"))) for n in ("hyperedges", "communities", "chains", "weights", "scaffolds", "graph", "renamed")}
-    assert text["hyperedges"] == "1 300 2 150\n1 200 2 200\n" and text["communities"] == "0: 1 2\n" and text["weights"] == "1 2 74.70\n"
+    text = {n: "".join(f.read_text() for f in sorted((tmp_path / n).glob("part-*"))) for n in ("hyperedges", "communities", "chains", "weights", "scaffolds", "graph", "renamed", "spectral")}
+    assert text["spectral"] == "0: 1 2\n" and text["hyperedges"] == "1 300 2 150\n1 200 2 200\n" and text["communities"] == "0: 1 2\n" and text["weights"] == "1 2 74.70\n"
     assert text["chains"] == "0_1: chr1_contig_1_1 chr1_contig_1_2 chr1_contig_2_1 chr1_contig_2_2\n"
     assert text["graph"].startswith("1 2 412.1320343559642") and text["renamed"].startswith(">chr1_contig_1\nAAAA")
     assert text["scaffolds"].startswith(">scaffold1\n" + "A" * 80)
