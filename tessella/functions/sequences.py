@@ -73,24 +73,50 @@ def two_decimals(x: Column) -> Column:
     return F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.when(x < 0, "-inf").otherwise("inf")).when(near_zero, known).otherwise(F.format_string("%.2f", x))
 
 
+def _bound(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` worked out once, however often ``f`` names it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def float_text(x: Column) -> Column:
     """A double as its shortest text: plain from 0.0001 to under 10**16, else as in 1.5e+20.
 
-    Fifteen digits where these give the number back, else sixteen, else seventeen; numbers
+    Of a number with up to four decimals, and fifteen digits in all, the digits are those of a whole
+    number of ten-thousandths, as no other text of so few digits gives it back. For others fifteen
+    digits where these give the number back, else sixteen, else seventeen; numbers
     under 1e-307 in size may get a digit too many.
     """
+    size = F.abs(x)
+    # Null beyond, so that no cast overflows.
+    parts = F.rint(F.when(size < 1e11, size) * 10000.0)
+    whole, rest = F.floor(parts / 10000.0), F.pmod(parts.cast("long"), F.lit(10000))
+    behind = F.rtrim(F.lpad(rest.cast("string"), 4, "0"), F.lit("0"))
+    short = F.concat(F.when(x < 0, "-").otherwise(""), whole.cast("string"), F.lit("."), F.when(rest == 0, "0").otherwise(behind))
+    known = F.when(x == 0, x.cast("string")).when(parts / 10000.0 == size, short).otherwise(_digits_text(x))
+    return F.when(F.isnan(x), "nan").when(size == float("inf"), F.when(x < 0, "-inf").otherwise("inf")).otherwise(known)
+
+
+def _digits_text(x: Column) -> Column:
+    """The text of any finite double."""
     text = F.format_string("%.16e", x)
     for digits in (15, 14):
         short = F.format_string(f"%.{digits}e", x)
         text = F.when(short.try_cast("double") == x, short).otherwise(text)
-    sign, first, more, power = (F.regexp_extract(text, r"^(-?)(\d)\.(\d+)e([+-]\d+)$", k) for k in (1, 2, 3, 4))
-    e = power.try_cast("int")
-    more = F.regexp_replace(more, "0+$", "")
-    digits = F.concat(first, more)
-    padded = F.when(F.length(digits) <= e, F.rpad(digits, e + 1, "0")).otherwise(digits)
-    tail = F.substr(padded, e + 2)
-    large = F.concat(F.left(padded, e + 1), F.lit("."), F.when(tail == "", "0").otherwise(tail))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
-    scientific = F.concat(first, F.when(more == "", "").otherwise(F.concat(F.lit("."), more)), F.lit("e"), power)
-    known = F.concat(sign, F.when((e >= 0) & (e < 16), large).when((e < 0) & (e >= -4), small).otherwise(scientific))
-    return F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.when(x < 0, "-inf").otherwise("inf")).otherwise(known)
+
+    def taken(t: Column) -> Column:
+        sign, size = F.when(F.startswith(t, F.lit("-")), "-").otherwise(""), F.ltrim(t, F.lit("-"))
+        more = F.rtrim(F.substr(F.substring_index(size, "e", 1), F.lit(3)), F.lit("0"))
+        power = F.substring_index(size, "e", -1)
+        return F.struct(sign.alias("sign"), F.left(size, F.lit(1)).alias("first"), more.alias("more"), power.alias("power"), power.try_cast("int").alias("e"))
+
+    def put(p: Column) -> Column:
+        sign, first, more, power, e = (p[k] for k in ("sign", "first", "more", "power", "e"))
+        digits = F.concat(first, more)
+        padded = F.when(F.length(digits) <= e, F.rpad(digits, e + 1, "0")).otherwise(digits)
+        tail = F.substr(padded, e + 2)
+        large = F.concat(F.left(padded, e + 1), F.lit("."), F.when(tail == "", "0").otherwise(tail))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+        scientific = F.concat(first, F.when(more == "", "").otherwise(F.concat(F.lit("."), more)), F.lit("e"), power)
+        return F.concat(sign, F.when((e >= 0) & (e < 16), large).when((e < 0) & (e >= -4), small).otherwise(scientific))
+
+    return _bound(_bound(text, taken), put)
