@@ -96,9 +96,9 @@ def contact_graph(merged: DataFrame, p: Parameters = Parameters()) -> tuple[Data
     entries = merged.select("read", "contig", F.col("length").alias("weight"), "first", "seen")
     kept = materialize(hypergraph.vertex_filter(entries, p.vertex_factor), "kept")
     vertices = materialize(hypergraph.to_hyperedges(kept), "vertices")
-    weights = hypergraph.weigh(vertices, p.weight_strategy, p.weight_power)
-    every = materialize(hypergraph.project(vertices, weights), "pairs")
-    edges = hypergraph.top_up(hypergraph.percentile_filter(every, p.percentile), every, p.min_degree, hypergraph.first_pairs(vertices))
+    held = materialize(hypergraph.lists(vertices, p.weight_strategy, p.weight_power), "lists")
+    every = materialize(hypergraph.project(held, seen=True), "pairs")
+    edges = hypergraph.top_up(hypergraph.percentile_filter(every, p.percentile), every, p.min_degree)
     return kept, vertices, materialize(edges, "edges"), hypergraph.first_sight(vertices)
 
 

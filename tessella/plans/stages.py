@@ -90,9 +90,10 @@ def communities(
 ) -> dict:
     lines, read = _scanned(interchange.scan_hyperedges(scan_lines(spark, hyperedge_path)), "lines", *interchange.HYPEREDGE_REASONS)
     vertices = materialize(interchange.hyperedges_of(lines), "vertices")
-    every, pairs = observed(hypergraph.project(vertices, hypergraph.weigh(vertices, weight_strategy, weight_power)), "pairs")
+    held = materialize(hypergraph.lists(vertices, weight_strategy, weight_power), "lists")
+    every, pairs = observed(hypergraph.project(held, seen=True), "pairs")
     every = materialize(every, "pairs")
-    edges, kept = observed(hypergraph.top_up(hypergraph.percentile_filter(every, percentile), every, min_degree, hypergraph.first_pairs(vertices)), "edges")
+    edges, kept = observed(hypergraph.top_up(hypergraph.percentile_filter(every, percentile), every, min_degree), "edges")
     edges = materialize(edges, "edges")
     seen = materialize(hypergraph.first_sight(vertices), "seen")
     found = materialize(community.relabel(community.grouped(edges, seen, method, resolution, random_seed), seen), "communities")
