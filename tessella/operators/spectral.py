@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.hubs import hub_limit, join_split
-from tessella.operators.tiles import pairs_within
+from tessella.operators.numbering import numbered
+from tessella.operators.tiles import TILE, pairs_within
 from tessella.plans.materialize import materialize
 
 CLUSTERS, NEIGHBOURS = 10, 50
@@ -34,6 +35,52 @@ def _arcs(edges: DataFrame) -> DataFrame:
     return both.groupBy("v", "u").agg(F.sum("w").alias("w"))
 
 
+#: Products of rows from which a block of neighbours is multiplied as matrices, for each pair of blocks of vertices.
+DENSE = 500_000
+
+
+def _product(group: pd.DataFrame) -> pd.DataFrame:
+    """(i, j, dot) with i < j of one tile: the rows ``second`` False, times those True, or times themselves without any.
+
+    TILE * TILE numbers each at most.
+    """
+    lo, hi = int(group["lo"].iloc[0]), int(group["hi"].iloc[0])
+
+    def matrix(part: pd.DataFrame) -> np.ndarray:
+        m = np.zeros((TILE, TILE))
+        m[part["i"].to_numpy() % TILE, part["u"].to_numpy() % TILE] = part["w"].to_numpy()
+        return m
+
+    first = matrix(group[~group["second"]])
+    dots = np.triu(first @ first.T, 1) if lo == hi else first @ matrix(group[group["second"]]).T
+    i, j = np.nonzero(dots)
+    return pd.DataFrame({"i": lo * TILE + i, "j": hi * TILE + j, "dot": dots[i, j]})
+
+
+def _dots(arcs: DataFrame) -> DataFrame:
+    """(i, j, dot) with i < j of all rows with a common neighbour; ``arcs`` (i, u, w) are of numbers without large gaps.
+
+    Neighbours go in blocks of TILE numbers. A block whose rows make DENSE products or more for every two blocks
+    of vertices that it meets is multiplied as matrices, a task for each two; of the others every product is a row.
+    """
+    block = F.floor(F.col("u") / TILE)
+    at = F.floor(F.col("i") / TILE)
+    sizes = arcs.groupBy("u").agg(F.count("*").alias("n")).groupBy(block.alias("k")).agg(F.sum(F.col("n") * F.col("n")).alias("products"))
+    met = arcs.groupBy(block.alias("k")).agg(F.sort_array(F.collect_set(at)).alias("blocks"))
+    tiles = F.size("blocks") * (F.size("blocks") + 1) / 2
+    # A row for TILE vertices.
+    known = materialize(sizes.join(met, "k").select("k", (F.col("products") / 2 >= DENSE * tiles).alias("dense"), "blocks"), "blocks")
+    held = arcs.withColumns({"k": block, "at": at})
+    full = held.join(known.filter("dense").select("k", "blocks"), "k").withColumn("other", F.explode("blocks"))
+    full = full.select("k", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), (F.col("at") > F.col("other")).alias("second"), "i", "u", "w")
+    out = full.groupBy("k", "lo", "hi").applyInPandas(_product, "i long, j long, dot double")
+    thin = known.filter("not dense").select("k")
+    if not thin.isEmpty():
+        rows = pairs_within(held.join(thin, "k", "left_semi").select("u", "i", "w"), ["u"], "i", ["w"])
+        out = out.unionByName(rows.select("i", F.col("i_b").alias("j"), (F.col("w") * F.col("w_b")).alias("dot")))
+    return out.groupBy("i", "j").agg(F.sum("dot").alias("dot"))
+
+
 def nearest(edges: DataFrame, vertices: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     """(v, u, rank): for each (vertex) the ``neighbours`` others whose rows of the adjacency are nearest.
 
@@ -46,23 +93,28 @@ def nearest(edges: DataFrame, vertices: DataFrame, neighbours: int = NEIGHBOURS)
     arcs = materialize(_arcs(edges.dropna(subset=["a", "b", "w"])), "arcs")
     square = F.coalesce(F.sum(F.col("w") * F.col("w")), F.lit(0.0)).cast("float").cast("double")
     names = vertices.select(F.col("vertex").alias("v")).dropna().distinct()
-    norms = materialize(names.join(arcs, "v", "left").groupBy("v").agg(square.alias("sq")), "norms")
+    norms = names.join(arcs, "v", "left").groupBy("v").agg(square.alias("sq"))
+    norms = materialize(numbered(norms, [F.asc("v")], "i").select("v", "sq", F.col("i") - 1), "norms").toDF("v", "sq", "i")
     # ``neighbours`` rows.
-    least = norms.orderBy("sq", "v").limit(neighbours + 1).collect()
-    kind = norms.schema["v"].dataType
-    offered = F.array(*[F.struct(F.lit(r.v).cast(kind).alias("u"), F.lit(r.sq).alias("sq_u"), F.lit(0.0).alias("dot")) for r in least])
-    met = pairs_within(arcs.select("u", "v", "w"), ["u"], "v", ["w"]).groupBy("v", "v_b").agg(F.sum(F.col("w") * F.col("w_b")).alias("dot"))
-    met = materialize(met, "dots")
-    met = met.select("v", F.col("v_b").alias("u"), "dot").unionByName(met.select(F.col("v_b").alias("v"), F.col("v").alias("u"), "dot"))
-    of_u = norms.select(F.col("v").alias("u"), F.col("sq").alias("sq_u"))
-    near = met.join(of_u, "u").join(norms, "v").select("v", "sq", "u", "sq_u", "dot")
+    least = norms.orderBy("sq", "i").limit(neighbours + 1).collect()
+    offered = F.array(*[F.struct(F.lit(r.i).cast("long").alias("j"), F.lit(r.sq).alias("sq_j"), F.lit(0.0).alias("dot")) for r in least])
+    # Neighbours that are no (vertex) count too, behind the others.
+    every = materialize(numbered(arcs.select(F.col("u").alias("name")).distinct().join(names.select(F.col("v").alias("name")), "name", "left_anti"), [F.asc("name")], "n"), "others")
+    count = norms.count()
+    every = norms.select(F.col("v").alias("u"), F.col("i").alias("at")).unionByName(every.select(F.col("name").alias("u"), (F.col("n") - 1 + count).alias("at")))
+    met = arcs.join(norms.select("v", "i"), "v").join(every, "u").select("i", F.col("at").alias("u"), "w")
+    met = materialize(_dots(materialize(met, "placed")), "dots")
+    met = met.select("i", "j", "dot").unionByName(met.select(F.col("j").alias("i"), F.col("i").alias("j"), "dot"))
+    square_of = norms.select("i", "sq")
+    near = met.join(square_of.toDF("j", "sq_j"), "j").join(square_of, "i").select("i", "sq", "j", "sq_j", "dot")
     if least:
-        near = near.unionByName(norms.select("v", "sq", F.inline(offered)))
+        near = near.unionByName(norms.select("i", "sq", F.inline(offered)))
     # A pair that is offered and met has its product of rows from the latter.
-    pairs = near.filter("v <> u").groupBy("v", "u").agg(F.max("dot").alias("dot"), F.first("sq").alias("sq"), F.first("sq_u").alias("sq_u"))
-    far = (F.col("sq") + F.col("sq_u") - 2 * F.col("dot")).cast("float")
-    order = Window.partitionBy("v").orderBy(far, "sq_u", "u")
-    return pairs.select("v", "u", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= neighbours)
+    pairs = near.filter("i <> j").groupBy("i", "j").agg(F.max("dot").alias("dot"), F.first("sq").alias("sq"), F.first("sq_j").alias("sq_j"))
+    far = (F.col("sq") + F.col("sq_j") - 2 * F.col("dot")).cast("float")
+    order = Window.partitionBy("i").orderBy(far, "sq_j", "j")
+    best = pairs.select("i", "j", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= neighbours)
+    return best.join(norms.select("i", "v"), "i").join(norms.select(F.col("i").alias("j"), F.col("v").alias("u")), "j").select("v", "u", "rank")
 
 
 def affinity(near: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """How the work of queries grows: what is shuffled, and the ways for large groups."""
 
+import numpy as np
+
 from tessella.functions import sequences
-from tessella.operators import hubs, hypergraph
+from tessella.operators import hubs, hypergraph, spectral
 from tessella.operators import alignments as al
 from tessella.plans import queries as q
 from pyspark.sql import functions as F
@@ -45,3 +47,17 @@ def test_float_text_works_every_text_out_once(spark):
     xs = [0.0, -0.0, 0.1, -0.1, 1.5, 0.0001, 0.00012, 1e-5, 1e10, 99999999999.9999, 1e11, 123456.7891, -3.25, 1e16, 1e22, 2e-3, 1 / 3, 2.0**53, 5e-324, 1e15, 0.3, 4.35, 1005.0001]
     got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", sequences.float_text(F.col("x")).alias("t")).collect()
     assert [r.t for r in got if abs(r.x) > 1e-307 or r.x == 0] == [repr(r.x) for r in got if abs(r.x) > 1e-307 or r.x == 0]
+
+
+def test_dots_as_matrices_and_as_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    m = np.triu(rng.integers(1, 9, (40, 40)) * (rng.random((40, 40)) < 0.3), 1)
+    m = m + m.T
+    want = {(i, j): float(x) for (i, j), x in np.ndenumerate(m @ m.T) if i < j and x}
+    arcs = spark.createDataFrame([(i, j, float(x)) for (i, j), x in np.ndenumerate(m) if x], "i long, u long, w double")
+    for dense in (10**9, 0):
+        monkeypatch.setattr(spectral, "DENSE", dense)
+        assert {(r.i, r.j): r.dot for r in spectral._dots(arcs).collect()} == want
+    # Several tiles.
+    far = arcs.selectExpr("i * 100 AS i", "u * 100 AS u", "w")
+    assert {(r.i // 100, r.j // 100): r.dot for r in spectral._dots(far).collect()} == want
