@@ -24,17 +24,18 @@ def reads_in_order(rows: DataFrame, order: Column | None = None) -> DataFrame:
 CARRIED = ("q_start", "q_end", "strand", "t_start", "t_end")
 
 
-def merge(alignments: DataFrame, order: Column | None = None, min_length: int = MIN_MERGED, carried: tuple[str, ...] = CARRIED) -> DataFrame:
+def merge(alignments: DataFrame, order: Column | None = None, min_length: int | None = MIN_MERGED, carried: tuple[str, ...] = CARRIED) -> DataFrame:
     """One row per (read, contig): lengths added up, all else from the first row in order.
 
     ``first`` is that row's order, by which the rows of a read are listed. Merged lengths
-    under ``min_length`` are left out afterwards. ``carried`` names what is wanted of the first row.
+    under ``min_length`` are left out afterwards, none if it is None. ``carried`` names what is wanted of the first row.
     """
     order = F.col(ROW_ID) if order is None else order
     carried = [c for c in carried if c in alignments.columns]
     row = F.struct(order.alias("first"), *carried)
     grouped = alignments.groupBy("read", "contig").agg(F.sum("length").alias("length"), F.min(row).alias("r"))
-    return grouped.filter(F.col("length") >= min_length).select("read", "contig", *[f"r.{c}" for c in carried], "length", "r.first")
+    held = grouped if min_length is None else grouped.filter(F.col("length") >= min_length)
+    return held.select("read", "contig", *[f"r.{c}" for c in carried], "length", "r.first")
 
 
 def extract(placements: DataFrame, min_quality: int = MIN_QUALITY, min_query_end: int = MIN_QUERY_END, least: int = MIN_CONTACTS) -> DataFrame:

@@ -645,10 +645,17 @@ SELECT h.read, h.read || ':' || coalesce(chr(10) || body, '') AS value FROM h LE
 )
 def merged_text(spark, d):
     """The merged length stands for the query's end too: several first rows may share one. Reads of low quality only have no header."""
-    rows = merged(spark, d).withColumn("q_end", F.col("length")).withColumn("first", F.struct("first", "contig"))
-    reads = al.quality_filter(alignments(spark, d), 30).select("read").distinct()
-    out = interchange.merged_lines(rows.withColumn("read", F.col("read").cast("string")), reads.withColumn("read", F.col("read").cast("string")))
-    return out.select(F.col("read").cast("long").alias("read"), "value")
+    return merged_blocks(al.quality_filter(alignments(spark, d), 30)).select("read", "value")
+
+
+def merged_blocks(good: DataFrame) -> DataFrame:
+    """(read, seen, value): the block of every read of ``good``, made where its rows lie."""
+
+    def step(rows, together):
+        whole = al.merge(rows, min_length=None).withColumn("q_end", F.col("length")).withColumn("first", F.struct("first", "contig"))
+        return interchange.merged_blocks(whole, al.MIN_MERGED)
+
+    return hubs.gathered(good.select("read", "contig", "q_start", "q_end", "strand", "t_start", "t_end", "length", "row_id"), "read", step)
 
 
 @query(
@@ -850,9 +857,7 @@ def merged_file(spark, d):
     columns = [F.concat(F.lit("r"), F.col("read").cast("string")), F.lit("9"), "q_start", "q_end", "strand", "contig", "t_len", "t_start", "t_end", F.lit("1"), F.lit("2"), "mapq"]
     line = F.concat_ws("\t", *[F.col(c).cast("string") if isinstance(c, str) else c for c in columns])
     good = al.quality_filter(paf.read_alignments(spark, written(rows.select(line.alias("value"), "row_id", "read"), "lines", ["row_id", "read"])), 30)
-    good = materialize(good, "good")
-    merged_ = al.merge(good).withColumn("q_end", F.col("length")).withColumn("first", F.struct("first", "contig"))
-    lines = interchange.merged_lines(merged_, al.reads_in_order(good))
+    lines = merged_blocks(good)
     return numbered(lines, [F.asc("seen")], "place").select("place", "value")
 
 
@@ -882,7 +887,7 @@ def fasta_scan(spark, d):
 
 @query("fasta_lengths_text", f"WITH {SQL_RECORDS} SELECT '>doc_' || doc_id || chr(10) || length(seq) AS value FROM records")
 def fasta_lengths_text(spark, d):
-    return fasta.length_lines(fasta.records(fasta.read_fasta_chunks(spark, fasta_path(spark, d)))).select("value")
+    return fasta.length_lines(fasta.records(fasta.read_fasta_chunks(spark, fasta_path(spark, d), bases=False))).select("value")
 
 
 @query(

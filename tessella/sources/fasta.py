@@ -30,22 +30,23 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return parsed.withColumn("length", F.length("seq").cast("long"))
 
 
-def read_fasta_chunks(spark: SparkSession, path: str) -> DataFrame:
+def read_fasta_chunks(spark: SparkSession, path: str, bases: bool = True) -> DataFrame:
     """(row_id, name, header, at, bases): the lines of each record with their offsets in it, and an empty row per record.
 
     As ``read_fasta``, for records of any length; row_id is the record's. Offsets are running
     sums inside each input split; what a record has in the splits before is carried on, one
-    short row for each split.
+    short row for each split. Without ``bases`` rows have their number as ``n`` instead, and no text is sorted.
     """
     lines = scan_lines(spark, path).withColumn("value", F.regexp_replace("value", "\r", ""))
     opens = F.col("value").startswith(">")
     n = F.when(opens, 0).otherwise(F.length("value")).cast("long")
-    split = [F.col(f"{ROW_ID}.file").alias("file"), F.col(f"{ROW_ID}.at").alias("split")]
-    held = lines.select(ROW_ID, "value", *split, n.alias("n"), F.when(opens, F.struct(F.col(ROW_ID).alias("id"), "value")).alias("head"))
-    inside = Window.partitionBy("file", "split").orderBy(ROW_ID)
+    split, place = F.col(f"{ROW_ID}.at").alias("split"), F.col(f"{ROW_ID}.n").alias("place")
+    head = F.when(opens, F.struct(split, place, F.col("value").alias("text"))).alias("head")
+    held = lines.select(F.col(f"{ROW_ID}.file").alias("file"), split, place, n.alias("n"), head, *([F.when(~opens, F.col("value")).alias("line")] if bases else []))
+    inside = Window.partitionBy("file", "split").orderBy("place")
     held = held.withColumn("before", F.sum("n").over(inside) - F.col("n"))
     held = held.withColumn("own", F.last(F.when(F.col("head").isNotNull(), F.struct("head", "before")), True).over(inside))
-    per = held.groupBy("file", "split").agg(F.sum("n").alias("all"), F.max_by("own", ROW_ID).alias("last"))
+    per = held.groupBy("file", "split").agg(F.sum("n").alias("all"), F.max_by("own", "place").alias("last"))
     # One row per input split, file by file.
     earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("start", F.coalesce(F.sum("all").over(earlier), F.lit(0).cast("long")))
@@ -54,16 +55,16 @@ def read_fasta_chunks(spark: SparkSession, path: str) -> DataFrame:
     both = held.join(per, ["file", "split"])
     head = F.coalesce("own.head", "carried.head")
     at = F.when(F.col("own").isNotNull(), F.col("before") - F.col("own.before")).otherwise(F.col("start") + F.col("before") - F.col("carried.before"))
-    text = F.substr(head["value"], F.lit(2))
-    rows = both.filter(head.isNotNull()).select(
-        head["id"].alias(ROW_ID), F.regexp_extract(F.trim(text), r"^(\S*)", 1).alias("name"), text.alias("header"), at.alias("at"), F.when(F.col("head").isNull(), F.col("value")).otherwise("").alias("bases")
-    )
-    return rows
+    text = F.substr(head["text"], F.lit(2))
+    row_id = F.struct(F.col("file"), head["split"].alias("at"), head["place"].alias("n"))
+    own = F.coalesce("line", F.lit("")).alias("bases") if bases else F.col("n")
+    return both.filter(head.isNotNull()).select(row_id.alias(ROW_ID), F.regexp_extract(F.trim(text), r"^(\S*)", 1).alias("name"), text.alias("header"), at.alias("at"), own)
 
 
 def records(chunks: DataFrame) -> DataFrame:
     """(row_id, name, header, length) of the records in rows of ``read_fasta_chunks``."""
-    return chunks.groupBy(ROW_ID).agg(F.first("name").alias("name"), F.first("header").alias("header"), F.sum(F.length("bases").cast("long")).alias("length"))
+    n = F.col("n") if "n" in chunks.columns else F.length("bases").cast("long")
+    return chunks.groupBy(ROW_ID).agg(F.first("name").alias("name"), F.first("header").alias("header"), F.sum(n).alias("length"))
 
 
 def last_chunks(chunks: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ to give to ``write_lines``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.sequences import float_text, two_decimals
@@ -137,11 +137,26 @@ def merged_lines(merged: DataFrame, reads: DataFrame) -> DataFrame:
     ``reads`` are those of the good alignments, as of ``alignments.reads_in_order``; a read that
     has none is not written.
     """
+    rows = merged.groupBy("read").agg(_blocks(F.lit(True)))
+    return _under_reads(reads.join(rows, "read", "left"), reads.columns)
+
+
+def merged_blocks(merged: DataFrame, min_length: int) -> DataFrame:
+    """(read, seen, value) as of ``merged_lines``, from the merged rows of any length of all good alignments.
+
+    Rows of ``min_length`` or more are written; ``seen`` is the least ``first`` of a read, by which blocks are ordered.
+    """
+    return _under_reads(merged.groupBy("read").agg(_blocks(F.col("length") >= min_length), F.min("first").alias("seen")), ["read", "seen"])
+
+
+def _blocks(wanted: Column) -> Column:
     row = F.concat_ws(",", "contig", "q_start", "q_end", "strand", "t_start", "t_end", "length")
-    rows = merged.groupBy("read").agg(F.array_sort(F.collect_list(F.struct("first", row.alias("row")))).alias("rows"))
-    held = reads.join(rows, "read", "left")
+    return F.sort_array(F.collect_list(F.when(wanted, F.struct("first", row.alias("row"))))).alias("rows")
+
+
+def _under_reads(held: DataFrame, columns: list[str]) -> DataFrame:
     body = F.coalesce(F.transform("rows", lambda r: r["row"]), F.array().cast("array<string>"))
-    return held.select(*reads.columns, F.array_join(F.concat(F.array(F.concat("read", F.lit(":"))), body), "\n").alias("value"))
+    return held.select(*columns, F.array_join(F.concat(F.array(F.concat("read", F.lit(":"))), body), "\n").alias("value"))
 
 
 def extracted_lines(extracted: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from tessella.functions import sequences
 from tessella.operators import hubs, hypergraph, spectral
 from tessella.operators import alignments as al
 from tessella.plans import queries as q
+from tessella.sources import fasta
+from tessella.sources.text import scan_lines, under_headers
 from pyspark.sql import functions as F
 
 
@@ -61,3 +63,31 @@ def test_dots_as_matrices_and_as_rows(spark, monkeypatch):
     # Several tiles.
     far = arcs.selectExpr("i * 100 AS i", "u * 100 AS u", "w")
     assert {(r.i // 100, r.j // 100): r.dot for r in spectral._dots(far).collect()} == want
+
+
+def test_blocks_under_headers_are_not_shuffled(spark, sf_dir, tmp_path):
+    (tmp_path / "a.txt").write_text("x,1\nr1:\na,1\n\nb,2\nr2:\nr3:\n" + "c,3\n" * 50 + "r4:\nd,4\n")
+    (tmp_path / "b.txt").write_text("e,5\nr5:\nf,6\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("16", before):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            out = under_headers(scan_lines(spark, str(tmp_path)).filter("value <> ''"), F.col("value").endswith(":"))
+            got = sorted((r.value, r.header) for r in out.collect())
+            assert _plan(out).split("mapInArrow")[0].count("Exchange hashpartitioning") <= 2
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert got == sorted([("a,1", "r1:"), ("b,2", "r1:"), *[("c,3", "r3:")] * 50, ("d,4", "r4:"), ("e,5", "r4:"), ("f,6", "r5:")])
+        assert "Sort [file" not in _plan(out)
+
+
+def test_merged_blocks_take_one_shuffle(spark, sf_dir):
+    assert _plan(q.merged_text(spark, sf_dir)).count("Exchange hashpartitioning") == 1
+
+
+def test_lengths_without_text(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">x one\nACGT\nAC\n>y\n\n>z\n" + "ACGTA\n" * 30)
+    plain, short = (fasta.read_fasta_chunks(spark, str(tmp_path), bases=b) for b in (True, False))
+    assert "bases" not in short.columns
+    assert sorted(fasta.records(plain).collect()) == sorted(fasta.records(short).collect())
+    assert sorted((r.name, r.length) for r in fasta.records(short).collect()) == [("x", 6), ("y", 0), ("z", 150)]
