@@ -655,7 +655,8 @@ def merged_blocks(good: DataFrame) -> DataFrame:
         whole = al.merge(rows, min_length=None).withColumn("q_end", F.col("length")).withColumn("first", F.struct("first", "contig"))
         return interchange.merged_blocks(whole, al.MIN_MERGED)
 
-    return hubs.gathered(good.select("read", "contig", "q_start", "q_end", "strand", "t_start", "t_end", "length", "row_id"), "read", step)
+    # Written, as the sort that follows reads its rows twice, to find ranges and to deal them.
+    return materialize(hubs.gathered(good.select("read", "contig", "q_start", "q_end", "strand", "t_start", "t_end", "length", "row_id"), "read", step), "merged-blocks")
 
 
 @query(

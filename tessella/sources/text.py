@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -55,8 +56,11 @@ def _headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for end in ends:
             here = (file[begin].as_py(), at[begin].as_py())
             last, split = last if here == split else None, here
-            heads = pc.if_else(batch.column("opens")[begin:end], batch.column("value")[begin:end], pa.scalar(None, batch.column("value").type))
-            filled = pc.fill_null_forward(pa.concat_arrays([pa.array([last], heads.type), heads]))[1:]
+            opens = batch.column("opens")[begin:end].to_numpy(zero_copy_only=False)
+            # Places of the last headers; 0 is what the batch before left.
+            at_head = np.maximum.accumulate(np.where(opens, np.arange(1, end - begin + 1), 0))
+            values = batch.column("value")[begin:end]
+            filled = pa.concat_arrays([pa.array([last], values.type), values]).take(pa.array(at_head))
             last, begin = filled[-1].as_py(), end
             own.append(filled)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays(own)], names=[*batch.schema.names, "own"])

@@ -81,7 +81,8 @@ def test_blocks_under_headers_are_not_shuffled(spark, sf_dir, tmp_path):
         assert "Sort [file" not in _plan(out)
 
 
-def test_merged_blocks_take_one_shuffle(spark, sf_dir):
+def test_merged_blocks_take_one_shuffle(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(q, "materialize", lambda df, name: df)
     assert _plan(q.merged_text(spark, sf_dir)).count("Exchange hashpartitioning") == 1
 
 
