@@ -56,27 +56,39 @@ def blocks(chunks: DataFrame, block: int = WIDTH * BLOCK_LINES) -> DataFrame:
     return _joined(_cut(chunks, "name", F.length("bases"), _bases, block), "name")
 
 
-def assemble(pieces: DataFrame, chunks: DataFrame, block: int = WIDTH * BLOCK_LINES) -> DataFrame:
-    """(chain, block, bases) of chains from (chain, piece, contig, forward, gap) and the contigs' (name, at, bases).
+def laid(pieces: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(chain, nth, at, n, bases) of chains: the rows of contigs and, with null bases, the gaps, each with its place in the chain.
 
-    A piece begins where the pieces before it and their gaps end. Rows of contigs are joined by
-    name and stretch, turned where they lie and cut at the ends of blocks. A contig without a
-    sequence is an error.
+    ``pieces`` and ``chunks`` are as in ``assemble``. ``nth`` is the number of the piece, from 1 on. Where ``chunks``
+    are few enough for a broadcast the rows stay by chain.
     """
     held = pieces.join(lengths(chunks).withColumnRenamed("name", "contig"), "contig", "left")
     length = F.coalesce("length", F.raise_error(F.concat(F.lit("no sequence for contig "), "contig")).cast("long"))
     held = held.select("chain", "piece", "contig", "forward", F.col("gap").cast("long").alias("gap"), length.alias("length"))
-    placed = running(held, ["chain"], ["piece"], {"begin": F.col("gap") + F.col("length")})
-    placed = materialize(placed, "placed")
-    # Stretches of a large contig are told apart in the join's key.
-    stretch = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / CHUNK))).alias("stretch")
-    wanted = placed.select("chain", "forward", F.col("contig").alias("name"), (F.col("begin") + F.col("gap")).alias("begin"), "length", stretch)
-    rows = wanted.join(chunks.withColumn("stretch", F.floor(F.col("at") / CHUNK)), ["name", "stretch"])
-    at = F.when(F.col("forward"), F.col("at")).otherwise(F.col("length") - F.col("at") - F.length("bases"))
+    placed = running(held, ["chain"], ["piece"], {"begin": F.col("gap") + F.col("length")}, "nth")
+    # Stretches of a large contig are told apart in the join's key; the gap before it is a row without one, which meets nothing.
+    own = F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / CHUNK))
+    stretch = F.explode(F.when(F.col("gap") > 0, F.concat(F.array(F.lit(None).cast("long")), own)).otherwise(own)).alias("stretch")
+    wanted = placed.select("chain", "nth", "forward", F.col("contig").alias("name"), "begin", "gap", "length", stretch)
+    rows = wanted.join(chunks.withColumn("stretch", F.floor(F.col("at") / CHUNK)), ["name", "stretch"], "left")
+    empty = F.col("stretch").isNull()
+    n = F.length("bases")
+    at = F.when(F.col("forward"), F.col("at")).otherwise(F.col("length") - F.col("at") - n)
     bases = F.when(F.col("forward"), F.col("bases")).otherwise(reverse_complement(F.col("bases")))
-    rows = rows.select("chain", (F.col("begin") + at).alias("at"), bases.alias("bases"))
-    gaps = placed.filter("gap > 0").select("chain", F.col("begin").alias("at"), "gap")
-    cut = _cut(rows, "chain", F.length("bases"), _bases, block).unionByName(_cut(gaps, "chain", F.col("gap"), lambda _, n: F.repeat(F.lit("N"), n.cast("int")), block))
-    # Also a chain of nothing but empty contigs has its first block.
-    empty = placed.select("chain").distinct().select("chain", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("at"), F.lit("").alias("part"))
-    return _joined(cut.unionByName(empty), "chain")
+    return rows.filter(empty | F.col("bases").isNotNull()).select(
+        "chain", "nth", F.when(empty, F.col("begin")).otherwise(F.col("begin") + F.col("gap") + at).alias("at"), F.when(empty, F.col("gap")).otherwise(n).alias("n"), bases.alias("bases")
+    )
+
+
+def assemble(pieces: DataFrame, chunks: DataFrame, block: int = WIDTH * BLOCK_LINES) -> DataFrame:
+    """(chain, block, bases) of chains from (chain, piece, contig, forward, gap) and the contigs' (name, at, bases).
+
+    A piece begins where the pieces before it and their gaps end. Rows of contigs are joined by
+    name and stretch, turned where they lie and cut at the ends of blocks. A contig without a
+    sequence is an error. Every contig has a row, so a chain of nothing but empty ones has its first block.
+    """
+
+    def part(start: Column, n: Column) -> Column:
+        return F.coalesce(_bases(start, n), F.repeat(F.lit("N"), n.cast("int")))
+
+    return _joined(_cut(laid(pieces, chunks), "chain", F.col("n"), part, block), "chain")

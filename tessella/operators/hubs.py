@@ -32,19 +32,27 @@ def join_split(rows: DataFrame, side: DataFrame, key: str, hubs: DataFrame) -> D
     return held.unionByName(rows.join(few, key, "left_anti").join(side, key))
 
 
-def hub_keys(rows: DataFrame, key: str) -> DataFrame | None:
-    """(key) of the keys with over ``hub_limit`` rows, null being one of them; None if there is none.
+def large_groups(rows: DataFrame, keys: list[str], most: int) -> tuple[int, DataFrame | None]:
+    """The number of rows, and (keys, n) of the groups with over ``most`` rows, null being a key too; None if there surely is none.
 
-    Rows are counted by COUNTS hashes of the key first, and keys only under hashes that hold enough for a hub.
+    Rows are counted by COUNTS hashes of the keys first, and groups only under hashes that hold enough for one.
     """
-    hashed = F.pmod(F.xxhash64(key), F.lit(COUNTS))
+    hashed = F.pmod(F.xxhash64(*keys), F.lit(COUNTS))
     counts = rows.groupBy(hashed.alias("h")).agg(F.count("*").alias("n"))
     # COUNTS numbers at most.
-    total, full = counts.agg(F.sum("n"), F.collect_list(F.when(F.col("n") > HUB_ROWS, F.col("h")))).first()
+    total, full = counts.agg(F.sum("n"), F.collect_list(F.when(F.col("n") > most, F.col("h")))).first()
     if not full:
-        return None
+        return total or 0, None
     held = rows.withColumn("__h", hashed).join(F.broadcast(rows.sparkSession.createDataFrame([(h,) for h in full], "__h long")), "__h")
-    found = materialize(held.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > hub_limit(total)).select(key), "hubs")
+    return total, held.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > most)
+
+
+def hub_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """(key) of the keys with over ``hub_limit`` rows, null being one of them; None if there is none."""
+    total, large = large_groups(rows, [key], HUB_ROWS)
+    if large is None:
+        return None
+    found = materialize(large.filter(F.col("n") > hub_limit(total)).select(key), "hubs")
     return None if found.isEmpty() else found
 
 

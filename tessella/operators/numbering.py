@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.hubs import large_groups
 from tessella.plans.materialize import materialize
 
 
@@ -41,7 +42,7 @@ def running(df: DataFrame, group: list[str], order: list[str | Column], sums: di
     sums = sums or {}
     named = df.select("*", *[c.cast("long").alias(f"__{n}") for n, c in sums.items()])
     held = materialize(named, "grouped")
-    largest = held.groupBy(*group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    large = large_groups(held, group, GROUP_ROWS)[1]
     by = [F.asc(c) if isinstance(c, str) else c for c in order]
     before, none = (Window.unboundedPreceding, -1), F.lit(0).cast("long")
 
@@ -49,7 +50,7 @@ def running(df: DataFrame, group: list[str], order: list[str | Column], sums: di
         out = {n: F.coalesce(F.sum(f"__{n}").over(window.rowsBetween(*before)), none) for n in sums}
         return rows.withColumns(out | ({rank: F.row_number().over(window).cast("long")} if rank else {}))
 
-    if largest <= GROUP_ROWS:
+    if large is None or large.isEmpty():
         return counted(held, Window.partitionBy(*group).orderBy(*by)).drop(*[f"__{n}" for n in sums])
     dealt = held.repartitionByRange(*[F.asc(g) for g in group], *by).sortWithinPartitions(*group, *by)
     dealt = materialize(dealt.select("*", F.monotonically_increasing_id().alias("__id")), "dealt").withColumn("__part", F.shiftright("__id", 33))

@@ -130,9 +130,9 @@ def run(spark: SparkSession, paf_path: str, fasta_path: str, p: Parameters = Par
 
     weights = materialize(bins.contig_weights(pairs, members.select("contig", "number")), "weights")
     order = numbered(chains.select("partition", "chain_no").distinct(), [F.asc("partition"), F.asc("chain_no")], "no")
-    ends = chains.join(order, ["partition", "chain_no"]).select(F.col("no").alias("chain"), "pos", "endpoint")
+    ends = materialize(chains.join(order, ["partition", "chain_no"]).select(F.col("no").alias("chain"), "pos", "endpoint"), "chain_ends")
     rounded = weights.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), two_decimals(F.col("weight")).cast("double").alias("weight"))
-    pieces = scaffold.gaps(scaffold.pair_lookup(scaffold.oriented(ends), rounded), p.alpha, p.beta, p.max_gap, p.min_gap)
+    pieces = scaffold.gaps(scaffold.pair_lookup(scaffold.in_order(ends), rounded), p.alpha, p.beta, p.max_gap, p.min_gap)
     scaffolds = materialize(chunks.assemble(pieces, fasta.last_chunks(bases)).withColumnRenamed("chain", "no"), "scaffolds")
     return Stages(reads, merged, extracted, contigs, entries, vertices, edges, communities, members, pairs, links, chains, weights, scaffolds, seen)
 

@@ -7,14 +7,14 @@ stand in for sequence records, and customers for named contigs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import sequences as sq
 from tessella.operators import alignments as al
 from tessella.operators import bins, chunks, community, hubs, hypergraph, linking, scaffold, spectral
 from tessella.operators.components import connected_components
-from tessella.operators.numbering import numbered
+from tessella.operators.numbering import numbered, running
 from tessella.plans.materialize import materialize, new_path
 from tessella.sources import fasta, interchange, paf
 from tessella.sources.text import rejected, write_lines
@@ -609,24 +609,30 @@ gapped AS (SELECT p.*, CASE WHEN before IS NULL THEN 0 ELSE greatest(1, round_ev
 SELECT chain, count(*) AS n_contigs, string_agg(part, '' ORDER BY piece) AS seq FROM parts GROUP BY chain""",
 )
 def scaffold_assembly(spark, d):
-    from pyspark.sql import Window
-
     items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("chain"), F.col("l_suppkey").alias("number"), "l_linenumber", "l_returnflag", "l_quantity")
-    lines = items.groupBy("chain", "number").agg(F.min("l_linenumber").alias("line"), F.bool_and(F.col("l_returnflag") != "R").alias("forward"))
-    place = F.row_number().over(Window.partitionBy("chain").orderBy("line", "number")) - 1
-    # Two ends per supplier, in the order that its direction asks for.
-    ends = F.array(F.when(F.col("forward"), 1).otherwise(2), F.when(F.col("forward"), 2).otherwise(1))
-    steps = lines.withColumn("piece", place).select("chain", F.posexplode(ends).alias("k", "side"), "piece", "number")
-    name = F.concat(F.lit("s_contig_"), F.col("number").cast("string"))
-    chain_ends = steps.select("chain", (2 * F.col("piece") + F.col("k")).alias("pos"), F.concat_ws("_", name, F.col("side").cast("string")).alias("endpoint"))
-    own = items.filter("l_returnflag = 'A'").select("chain", F.col("number").alias("a"), "l_quantity")
-    other = own.select("chain", F.col("a").alias("b"), F.col("l_quantity").alias("qb"))
-    weights = own.join(other, "chain").filter("a < b").groupBy("a", "b").agg(F.max(F.col("l_quantity") + F.col("qb")).alias("weight"))
-    pieces = scaffold.gaps(scaffold.pair_lookup(scaffold.oriented(chain_ends), weights), 1.5, 2.8475)
+    turns = items.select("chain", "number", "l_linenumber", (F.col("l_returnflag") != "R").alias("ahead"))
+    own = items.filter("l_returnflag = 'A'").select("chain", "number", "l_quantity").repartition("chain")
+    one, other = (own.select("chain", F.col("number").alias(n), F.col("l_quantity").alias(f"q_{n}")) for n in ("a", "b"))
+    weights = one.join(other, "chain").filter("a < b").select("a", "b", (F.col("q_a") + F.col("q_b")).alias("weight"))
+    pieces = scaffold.gaps(scaffold.pair_lookup(hubs.gathered(turns, "chain", _supplier_pieces), weights), 1.5, 2.8475)
     seqs = table(spark, d, "supplier").select(F.concat(F.lit("s_contig_"), F.col("s_suppkey").cast("string")).alias("name"), F.upper("s_name").alias("seq"))
     return scaffold.assemble(pieces, seqs)
 
 
+def _supplier_pieces(turns, together):
+    """Pieces of orders as chains of their suppliers, of which each is two ends in the order that its direction asks for."""
+    lines = turns.groupBy("chain", "number").agg(F.min("l_linenumber").alias("line"), F.bool_and("ahead").alias("forward"))
+    if together:
+        lines = lines.withColumn("nth", F.row_number().over(Window.partitionBy("chain").orderBy("line", "number")))
+    else:
+        lines = running(lines, ["chain"], ["line", "number"], rank="nth")
+    ends = F.array(F.when(F.col("forward"), 1).otherwise(2), F.when(F.col("forward"), 2).otherwise(1))
+    steps = lines.select("chain", F.posexplode(ends).alias("k", "side"), "nth", "number")
+    name = F.concat(F.lit("s_contig_"), F.col("number").cast("string"))
+    chain_ends = steps.select("chain", (2 * (F.col("nth") - 1) + F.col("k")).alias("pos"), F.concat_ws("_", name, F.col("side").cast("string")).alias("endpoint"))
+    return scaffold.pieces_in_order(chain_ends, together)
+
+
 @query("unplaced_contigs", "SELECT p_name AS name, p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40)")
 def unplaced_contigs(spark, d):
     parts = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("name"), "p_name", "p_partkey")

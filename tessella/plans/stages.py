@@ -128,9 +128,9 @@ def assemble(
 ) -> dict:
     ends = materialize(interchange.read_chains(spark, chain_path), "ends")
     order = numbered(ends.select(F.col(ROW_ID)).distinct(), [F.asc(ROW_ID)], "no")
-    ends = ends.join(order, ROW_ID).select(F.col("no").alias("chain"), "pos", "endpoint")
+    ends = materialize(ends.join(order, ROW_ID).select(F.col("no").alias("chain"), "pos", "endpoint"), "chain_ends")
     weights = interchange.read_weights(spark, weight_path)
-    pieces = scaffold.gaps(scaffold.pair_lookup(scaffold.oriented(ends), weights), alpha, beta, max_gap, min_gap)
+    pieces = scaffold.gaps(scaffold.pair_lookup(scaffold.in_order(ends), weights), alpha, beta, max_gap, min_gap)
     bases = materialize(fasta.read_fasta_chunks(spark, contig_path), "bases")
     done, seen = observed(chunks.assemble(pieces, fasta.last_chunks(bases)), "scaffolds", bases=F.sum(F.length("bases").cast("long")), scaffolds=F.count(F.when(F.col("block") == 0, 1)))
     fasta.write_fasta(materialize(done.withColumnRenamed("chain", "no"), "scaffolds"), out)

@@ -1,9 +1,11 @@
 """How the work of queries grows: what is shuffled, and the ways for large groups."""
 
+import duckdb
 import numpy as np
+import pytest
 
 from tessella.functions import sequences
-from tessella.operators import hubs, hypergraph, spectral
+from tessella.operators import hubs, hypergraph, numbering, scaffold, spectral
 from tessella.operators import alignments as al
 from tessella.plans import queries as q
 from tessella.sources import fasta
@@ -92,3 +94,54 @@ def test_lengths_without_text(spark, tmp_path):
     assert "bases" not in short.columns
     assert sorted(fasta.records(plain).collect()) == sorted(fasta.records(short).collect())
     assert sorted((r.name, r.length) for r in fasta.records(short).collect()) == [("x", 6), ("y", 0), ("z", 150)]
+
+
+def test_chains_are_laid_out_with_few_shuffles(spark, sf_dir, monkeypatch):
+    for module in (scaffold, numbering):
+        monkeypatch.setattr(module, "materialize", lambda df, name: df)
+    # Two for the weights' pairs, which are one when run, one each for weights, line items, lookups and chains, and one for lengths of contigs.
+    assert _plan(q.scaffold_assembly(spark, sf_dir)).count("Exchange hashpartitioning") == 7
+
+
+def test_long_chains_change_nothing(spark, sf_dir, monkeypatch):
+    want = sorted(duckdb.sql(q.ORACLES["scaffold_assembly"].replace("lineitem", f"'{sf_dir}/lineitem.parquet'").replace("JOIN supplier", f"JOIN '{sf_dir}/supplier.parquet'")).fetchall())
+    monkeypatch.setattr(hubs, "HUB_ROWS", 4)
+    monkeypatch.setattr(hubs, "HUBS", 10**9)
+    monkeypatch.setattr(numbering, "GROUP_ROWS", 3)
+    assert sorted(map(tuple, q.scaffold_assembly(spark, sf_dir).collect())) == want
+
+
+def test_first_pieces_are_dealt_out(spark, monkeypatch):
+    rows = [(k, p, f"c_{k % 3 + p}") for k in range(60) for p in range(2 if k % 20 == 0 else 1)] + [(60, 2, "c_1")]
+    pieces = scaffold.in_order(spark.createDataFrame([(k, 2 * p + s - 1, f"{c}_{s}") for k, p, c in rows for s in (1, 2)], "chain long, pos long, endpoint string"))
+    # Numbers of chains and of contigs overlap, a contig has a weight with itself, and piece 2 of chain 60 has none before it.
+    weights = spark.createDataFrame([(a, b, float(a + b)) for a in range(4) for b in range(4)] + [(1, 0, 9.0), (1, 2, -4.0)], "a long, b long, weight double")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        held = scaffold.pair_lookup(pieces, weights)
+        got = held.select("*", F.spark_partition_id().alias("part")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(r.chain, r.w_before) for r in got if not r["first"]} == {(0, 9.0), (20, 5.0), (40, 3.0)}
+    first = [r for r in got if r["first"]]
+    assert len(first) == 61 and all(r.w_before is None for r in first) and len({r.part for r in first}) > 4
+
+
+@pytest.mark.parametrize("most", [2, 1_000_000])
+def test_pieces_in_order_with_hubs(spark, monkeypatch, most):
+    monkeypatch.setattr(hubs, "HUB_ROWS", most)
+    monkeypatch.setattr(hubs, "HUBS", 10**9)
+    ends = [(1, 0, "a_7_2"), (1, 1, "a_7_1"), (1, 2, "b_5_x_1"), (1, 3, "b_5_x_2"), (1, 6, "a_2_1"), (1, 7, "a_2_2"), (2, 0, "a_7_1"), (2, 1, "a_7_2")]
+    schema = "chain int, pos int, endpoint string"
+    got = scaffold.in_order(spark.createDataFrame(ends, schema)).select("chain", "piece", "contig", "forward", "number", "before").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[:2]) == [(1, 0, "a_7", False, 7, None), (1, 1, "b_5_x", True, 5, 7), (1, 3, "a_2", True, 2, None), (2, 0, "a_7", True, 7, None)]
+    for bad, text in (([0], "odd"), ([0, 1, 1], "odd"), ([1, 2, 3], "odd"), ([0, 1, 2], "odd"), ([1], "odd")):
+        with pytest.raises(Exception, match=text):
+            scaffold.in_order(spark.createDataFrame([(1, k, f"a_1_{k % 2 + 1}") for k in bad], schema)).collect()
+    for bad, text in (("b_1_2", "two contigs"), ("a_1_1", "no pair")):
+        with pytest.raises(Exception, match=text):
+            scaffold.in_order(spark.createDataFrame([(1, 0, "a_1_1"), (1, 1, bad)], schema)).collect()
