@@ -2,10 +2,11 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from tessella.functions import sequences
-from tessella.operators import hubs, hypergraph, numbering, scaffold, spectral
+from tessella.operators import community, hubs, hypergraph, numbering, scaffold, spectral
 from tessella.operators import alignments as al
 from tessella.plans import queries as q
 from tessella.sources import fasta
@@ -145,3 +146,42 @@ def test_pieces_in_order_with_hubs(spark, monkeypatch, most):
     for bad, text in (("b_1_2", "two contigs"), ("a_1_1", "no pair")):
         with pytest.raises(Exception, match=text):
             scaffold.in_order(spark.createDataFrame([(1, 0, "a_1_1"), (1, 1, bad)], schema)).collect()
+
+
+@pytest.mark.parametrize("settle", [2048, 100])
+def test_chains_of_moves_take_few_turns(spark, monkeypatch, settle):
+    monkeypatch.setattr(community, "SETTLE", settle, raising=False)
+    rng = np.random.default_rng(3)
+    edges = [(a, b, float(rng.integers(1, 9))) for b in range(300) for a in range(b) if rng.random() < 0.06]
+    frame, vertices = spark.createDataFrame(edges, "a int, b int, w double"), spark.createDataFrame([(v,) for v in range(301)], "vertex int")
+    turns, judged = [], community._judged
+    monkeypatch.setattr(community, "_judged", lambda *x: turns.append(1) or judged(*x))
+    found = {r.vertex: r.label for r in community.louvain(frame, vertices).collect()}
+    assert len(turns) < 24 and sorted(found) == [*range(301)]
+    # No community gains by joining another, and modularity is what a graph without any structure has at the least.
+    m, at = np.zeros((301, 301)), np.array([found[v] for v in range(301)])
+    for a, b, w in edges:
+        m[a, b] = m[b, a] = w
+    quality = (m * (at[:, None] == at) - np.outer(m.sum(0), m.sum(0)) * (at[:, None] == at) / m.sum()).sum() / m.sum()
+    assert abs(quality - community.modularity(frame, spark.createDataFrame([*found.items()], "vertex int, label int"))) < 1e-9
+    assert quality > 0.17
+    for c in set(at):
+        for d in set(at):
+            assert c == d or m[at == c][:, at == d].sum() <= m[at == c].sum() * m[at == d].sum() / m.sum() + 1e-6 * m.sum()
+
+
+def test_no_single_move_is_left(spark):
+    rng = np.random.default_rng(8)
+    m = np.triu(rng.integers(1, 9, (60, 60)) * (rng.random((60, 60)) < 0.2), 1).astype(float)
+    m, alone = m + m.T, np.arange(60)
+    k = m.sum(0)
+    rows = [(0, v, v, k[v], v) for v in alone] + [(2, None, v, k[v], 0) for v in alone]
+    rows += [(n, i, j, m[i, j], 0) for n in (1, 3) for i, j in np.argwhere(m)]
+    moved = community._settling(pd.DataFrame(rows, columns=["kind", "i", "j", "x", "line"]), k.sum(), 1.0)
+    at = alone.copy()
+    at[moved["v"].astype(int)] = moved["c"]
+    for v in alone:
+        into = np.array([m[v, at == c].sum() for c in alone])
+        gain = np.where(into > 0, into - k[v] * np.array([k[(at == c) & (alone != v)].sum() for c in alone]) / k.sum(), -np.inf)
+        stay = into[at[v]] - k[v] * k[(at == at[v]) & (alone != v)].sum() / k.sum()
+        assert gain.max() <= stay + 1e-6
