@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.hubs import hub_limit, join_split
-from tessella.operators.numbering import numbered
+from tessella.operators.numbering import numbered, running
 from tessella.operators.tiles import TILE, pairs_within
 from tessella.plans.materialize import materialize
 
@@ -81,12 +81,117 @@ def _dots(arcs: DataFrame) -> DataFrame:
     return out.groupBy("i", "j").agg(F.sum("dot").alias("dot"))
 
 
+#: Rows of a block at least and at most, blocks that are aimed at, and arcs of a block, or that a part sends.
+LEAST_ROWS, MOST_ROWS, BLOCKS, ARCS = 1024, 4096, 16, 8_000_000
+#: Part of all products from which matrices are multiplied as such and not by their entries.
+FULL = 1 / 300
+
+
+def _laid(part: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """Names and squares of the rows, by square, and of their entries row, column and weight, by column."""
+    rows = part.drop_duplicates("i").sort_values(["sq", "i"])
+    lengths = part["us"].map(len).to_numpy()
+    at = np.repeat(pd.Index(rows["i"]).get_indexer(part["i"]), lengths)
+    u = np.concatenate(part["us"].to_list()) + np.repeat(part["k"].to_numpy() * TILE, lengths)
+    order = np.lexsort((at, u))
+    return rows["i"].to_numpy(), rows["sq"].to_numpy(), at[order], u[order], np.concatenate(part["ws"].to_list())[order]
+
+
+def _multiplied(first: tuple[np.ndarray, ...], second: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The products of all rows of two blocks: TILE columns after TILE columns as matrices, and what is thin row by row."""
+    dots = np.zeros((len(first[0]), len(second[0])))
+    thin = []
+    for k in np.intersect1d(first[3] // TILE, second[3] // TILE):
+        cut = [[x[slice(*np.searchsorted(side[3], (k * TILE, (k + 1) * TILE)))] for x in side[2:]] for side in (first, second)]
+        counts = [np.bincount(u - k * TILE, minlength=TILE) for _, u, _ in cut]
+        if counts[0] @ counts[1] <= FULL * TILE * dots.size:
+            thin.append(cut[0])
+            continue
+        full = [np.zeros((len(side[0]), TILE)) for side in (first, second)]
+        for m, (at, u, w) in zip(full, cut, strict=True):
+            m[at, u - k * TILE] = w
+        dots += full[0] @ full[1].T
+    if thin:
+        at, u, w = (np.concatenate(x) for x in zip(*thin, strict=True))
+        order = np.argsort(at, kind="stable")
+        ends, begin, end = np.searchsorted(at[order], np.arange(len(dots) + 1)), np.searchsorted(second[3], u[order]), np.searchsorted(second[3], u[order], "right")
+        w, length = w[order], end - begin
+        for n in range(len(dots)):
+            here = slice(ends[n], ends[n + 1])
+            met = length[here]
+            place = np.repeat(begin[here] - np.cumsum(met) + met, met) + np.arange(met.sum())
+            dots[n] += np.bincount(second[2][place], np.repeat(w[here], met) * second[4][place], len(second[0]))
+    return dots
+
+
+def _best(dots: np.ndarray, first: tuple[np.ndarray, ...], second: tuple[np.ndarray, ...], neighbours: int) -> Iterator[pd.DataFrame]:
+    """(i, j, sq, sq_j, dot): for each row of ``first`` the nearest of ``second``, whose order settles ties."""
+    names, squares, others, theirs = first[0], first[1], second[0], second[1]
+    most = min(neighbours, len(others))
+    for begin in range(0, len(names), 256):
+        here = slice(begin, begin + 256)
+        far = (squares[here, None] + theirs - 2 * dots[here]).astype(np.float32)
+        far[names[here, None] == others] = np.inf
+        last = np.partition(far, most - 1, axis=1)[:, most - 1 : most]
+        less, same = far < last, far == last
+        i, j = np.nonzero(less | (same & (np.cumsum(same, axis=1, dtype=np.int32) <= most - less.sum(axis=1, keepdims=True))))
+        found = pd.DataFrame({"i": names[begin + i], "j": others[j], "sq": squares[begin + i], "sq_j": theirs[j], "dot": dots[begin + i, j]})
+        yield found[found["i"] != found["j"]]
+
+
+def _in_tiles(arcs: DataFrame, blocks: DataFrame, neighbours: int, tiles: int, parts: int) -> DataFrame:
+    """(i, j, sq, sq_j, dot): the nearest of each row in every block of rows that it shares neighbours with.
+
+    ``arcs`` (i, u, w) are of numbers without large gaps, ``blocks`` has (i, sq, at). Every two blocks with a common
+    neighbour among TILE ones are one task's: entries are sent once for each block, and of the products, which may be all
+    pairs, only the nearest are written. A task holds entries of two blocks and their products. Entries are sent from ``parts`` parts.
+    """
+    entry, k = F.struct((F.col("u") % TILE).cast("short").alias("u"), "w"), F.floor(F.col("u") / TILE).alias("k")
+    # A row for TILE vertices.
+    met = materialize(arcs.join(blocks, "i").groupBy(k).agg(F.collect_set("at").alias("blocks")), "blocks")
+    packed = arcs.repartition(parts, "i").groupBy("i", k).agg(F.collect_list(entry).alias("x"))
+    rows = packed.join(blocks, "i").select("at", "k", "i", "sq", F.col("x.u").alias("us"), F.col("x.w").alias("ws"))
+    sent = rows.join(met, "k").withColumn("other", F.explode("blocks"))
+    sent = sent.select(F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), (F.col("at") > F.col("other")).alias("second"), "k", "i", "sq", "us", "ws")
+
+    def tile(group: pd.DataFrame) -> pd.DataFrame:
+        first = _laid(group[~group["second"]])
+        if group["lo"].iloc[0] == group["hi"].iloc[0]:
+            return pd.concat(_best(_multiplied(first, first), first, first, neighbours))
+        second = _laid(group[group["second"]])
+        dots = _multiplied(first, second)
+        return pd.concat([*_best(dots, first, second, neighbours), *_best(dots.T, second, first, neighbours)])
+
+    return sent.repartition(min(tiles, 10_000), "lo", "hi").groupBy("lo", "hi").applyInPandas(tile, "i long, j long, sq double, sq_j double, dot double")
+
+
+def _met(arcs: DataFrame, squares: DataFrame, count: int, neighbours: int) -> DataFrame:
+    """(i, j, sq, sq_j, dot): of all rows with a common neighbour at least the nearest of each row.
+
+    ``arcs`` (i, u, w) and ``squares`` (i, sq) of ``count`` rows. With DENSE products or more for every two blocks of rows it goes by blocks.
+    """
+    products = arcs.groupBy("u").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    size = min(max(LEAST_ROWS, -(-count // BLOCKS)), MOST_ROWS)
+    degrees = arcs.groupBy("i").agg(F.count("*").alias("n")).withColumn("all", F.lit(0))
+    total = arcs.count()
+    most = -(-count // size) + total // ARCS
+    tiles = most * (most + 1) // 2
+    if products / 2 >= DENSE * tiles and tiles:
+        # Both numbers rise, so a block has neither more rows nor, but for its last row's, more arcs.
+        at = running(degrees, ["all"], ["i"], {"before": F.col("n")}).select("i", (F.floor(F.col("before") / ARCS) + F.floor(F.col("i") / size)).alias("at"))
+        return _in_tiles(arcs, materialize(squares.join(at, "i"), "at"), neighbours, tiles, max(1, min(total * most // ARCS, 10_000)))
+    met = materialize(_dots(arcs), "dots")
+    met = met.select("i", "j", "dot").unionByName(met.select(F.col("j").alias("i"), F.col("i").alias("j"), "dot"))
+    return met.join(squares.toDF("j", "sq_j"), "j").join(squares, "i").select("i", "j", "sq", "sq_j", "dot")
+
+
 def nearest(edges: DataFrame, vertices: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     """(v, u, rank): for each (vertex) the ``neighbours`` others whose rows of the adjacency are nearest.
 
     Edges (a, b, w) have weights of zero or more; null ends or weights match nothing. Distances
     are Euclidean, in single precision; ties go to the lesser norm, then to the lesser vertex.
-    Exact without all pairs: rows with a common neighbour meet there, by tiles. Of the others
+    Exact without all pairs: rows with a common neighbour meet there, by tiles; where these are most of all pairs,
+    blocks of rows meet and only the nearest of each row in each block are written. Of the others
     the distance is that of the norms alone, so those among the nearest are among the
     ``neighbours`` rows of least norm.
     """
@@ -103,10 +208,7 @@ def nearest(edges: DataFrame, vertices: DataFrame, neighbours: int = NEIGHBOURS)
     count = norms.count()
     every = norms.select(F.col("v").alias("u"), F.col("i").alias("at")).unionByName(every.select(F.col("name").alias("u"), (F.col("n") - 1 + count).alias("at")))
     met = arcs.join(norms.select("v", "i"), "v").join(every, "u").select("i", F.col("at").alias("u"), "w")
-    met = materialize(_dots(materialize(met, "placed")), "dots")
-    met = met.select("i", "j", "dot").unionByName(met.select(F.col("j").alias("i"), F.col("i").alias("j"), "dot"))
-    square_of = norms.select("i", "sq")
-    near = met.join(square_of.toDF("j", "sq_j"), "j").join(square_of, "i").select("i", "sq", "j", "sq_j", "dot")
+    near = _met(materialize(met, "placed"), norms.select("i", "sq"), count, neighbours).select("i", "sq", "j", "sq_j", "dot")
     if least:
         near = near.unionByName(norms.select("i", "sq", F.inline(offered)))
     # A pair that is offered and met has its product of rows from the latter.

@@ -185,3 +185,44 @@ def test_no_single_move_is_left(spark):
         gain = np.where(into > 0, into - k[v] * np.array([k[(at == c) & (alone != v)].sum() for c in alone]) / k.sum(), -np.inf)
         stay = into[at[v]] - k[v] * k[(at == at[v]) & (alone != v)].sum() / k.sum()
         assert gain.max() <= stay + 1e-6
+
+
+@pytest.mark.parametrize("full", [0, 1 / 300, 10])
+def test_products_of_blocks(monkeypatch, full):
+    monkeypatch.setattr(spectral, "FULL", full, raising=False)
+    rng = np.random.default_rng(4)
+    m = rng.integers(1, 5, (30, 3000)) * (rng.random((30, 3000)) < 0.1)
+    m[:, 1024:2048] = 0
+    sides = []
+    for at in (slice(0, 12), slice(12, 30)):
+        part = m[at].astype(float)
+        i, k = np.divmod(np.arange(len(part) * 3), 3)
+        cells = [np.flatnonzero(part[a, b * 1024 : b * 1024 + 1024]) for a, b in zip(i, k)]
+        rows = pd.DataFrame({"i": 100 - i, "k": k, "sq": (part[i] ** 2).sum(1), "us": cells, "ws": [part[a, b * 1024 + c] for a, b, c in zip(i, k, cells)]})
+        sides.append((part, spectral._laid(rows[rows["us"].map(len) > 0])))
+    for a, first in sides:
+        assert (np.diff(first[1]) >= 0).all()
+        for b, second in sides:
+            assert (spectral._multiplied(first, second) == a[100 - first[0]] @ b[100 - second[0]].T).all()
+
+
+def test_nearest_by_blocks_of_rows(spark, monkeypatch):
+    """All pairs have a common neighbour, but what is written are the nearest of each row and block; many rows are equal."""
+    for name, value in {"DENSE": 0, "LEAST_ROWS": 8, "MOST_ROWS": 8, "ARCS": 100}.items():
+        monkeypatch.setattr(spectral, name, value, raising=False)
+    rng = np.random.default_rng(2)
+    m = np.triu(rng.integers(1, 3, (48, 48)) * (rng.random((48, 48)) < 0.4), 1).astype(float)
+    m[40:, :] = m[:, 40:] = 0
+    m[:4, 40:44] = 1
+    m = m + m.T
+    edges = [(int(a), int(b), float(m[a, b])) for a, b in np.argwhere(np.triu(m))]
+    written, step = [], spectral.materialize
+    monkeypatch.setattr(spectral, "materialize", lambda df, name="step": written.append(name) or step(df, name))
+    got = spectral.nearest(spark.createDataFrame(edges, "a int, b int, w double"), spark.createDataFrame([(v,) for v in range(48)], "vertex int"), 5)
+    square = np.float32((m * m).sum(1)).astype(float)
+    want = set()
+    for v in range(48):
+        others = sorted((np.float32(square[v] + square[u] - 2 * m[v] @ m[u]), square[u], u) for u in range(48) if u != v)
+        want |= {(v, u, k + 1) for k, (_, _, u) in enumerate(others[:5])}
+    assert {tuple(r) for r in got.collect()} == want
+    assert "dots" not in written
