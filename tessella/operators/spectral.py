@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.hubs import hub_limit, join_split
@@ -23,10 +23,10 @@ from tessella.operators.tiles import TILE, pairs_within
 from tessella.plans.materialize import materialize
 
 CLUSTERS, NEIGHBOURS = 10, 50
-#: Vectors beyond those asked for, multiplications between two orthogonalisations, k-means runs.
-SPARE, DEGREE, STARTS = 4, 6, 5
-#: Residual of an eigenvector that counts as found, and orthogonalisations until an error is raised.
-RESIDUAL, ROUNDS = 1e-4, 200
+#: Vectors beyond those asked for, blocks of them that are kept, k-means runs.
+SPARE, KEPT, STARTS = 4, 24, 5
+#: Residual of an eigenvector that counts as found, the square of a length that counts as none, and multiplications until an error is raised.
+RESIDUAL, NONE, ROUNDS = 1e-4, 1e-10, 1000
 
 
 def _arcs(edges: DataFrame) -> DataFrame:
@@ -230,85 +230,91 @@ def affinity(near: DataFrame) -> DataFrame:
     return there.select("v", "u", (F.col("w") / F.sqrt(F.col("degree") * F.col("other"))).alias("s"), "degree")
 
 
-def _names(prefix: str, n: int) -> list[str]:
-    return [f"{prefix}{j}" for j in range(n)]
+def _stacked(batch: pd.Series) -> np.ndarray:
+    return np.stack(batch.to_list())
 
 
-def _times(s: DataFrame, hubs: DataFrame | None, block: DataFrame, width: int, scale: float, own: float, before: float) -> DataFrame:
-    """x becomes scale * S x + own * x + before * p, and p the former x, for ``block`` (v, x.., p..).
+def _inner(held: DataFrame, wide: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The inner products of the vectors ``b`` with those in ``y``, and of the latter, summed by part."""
 
-    ``s`` (v, u, s, one) has a row with one = 1 for every vertex beside those of the matrix, so the
-    block is read once. With hubs it is written first, as they take a way of their own.
-    """
-    there = (block if hubs is None else materialize(block, "block")).withColumnRenamed("v", "u")
-    met = s.join(there, "u") if hubs is None else join_split(s, there, "u", hubs)
-    into = F.col("s") * scale + F.col("one") * own
-    x = [F.sum(into * F.col(f"x{j}") + F.col("one") * F.col(f"p{j}") * before).alias(f"x{j}") for j in range(width)]
-    return met.groupBy("v").agg(*x, *[F.sum(F.col("one") * F.col(f"x{j}")).alias(f"p{j}") for j in range(width)])
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((wide + width, width))
+        for batch in batches:
+            y = _stacked(batch["y"])
+            sums += np.hstack([_stacked(batch["b"]), y]).T @ y
+        yield pd.DataFrame({"at": np.arange(sums.size), "x": sums.ravel()})
 
+    # A row for each pair of vectors, KEPT blocks of them and one more.
+    rows = held.select("b", "y").mapInPandas(part, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()
+    sums = np.array([r.x for r in rows]).reshape(wide + width, width)
+    return sums[:wide], sums[wide:]
 
-def _products(block: DataFrame, columns: list[str]) -> np.ndarray:
-    """The inner products of all columns, summed by part."""
+
+def _turned(held: DataFrame, kept: np.ndarray | None, off: np.ndarray, mix: np.ndarray) -> DataFrame:
+    """(v, b): the vectors ``b``, or ``kept`` mixtures of them, and after them ``mix`` of what ``y`` has beyond ``off`` of them."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros((len(columns), len(columns)))
         for batch in batches:
-            m = batch.to_numpy(dtype=float)
-            held += m.T @ m
-        yield pd.DataFrame({"at": np.arange(held.size), "x": held.ravel()})
-
-    # One row for each pair of columns.
-    rows = block.select(*columns).mapInPandas(part, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()
-    return np.array([r.x for r in rows]).reshape(len(columns), len(columns))
-
+            b = _stacked(batch["b"])
+            new = (_stacked(batch["y"]) - b @ off) @ mix
+            yield pd.DataFrame({"v": batch["v"], "b": list(np.hstack([b if kept is None else b @ kept, new]))})
 
-def _mixed(columns: list[str], weights: np.ndarray) -> Column:
-    return sum((F.col(c) * float(w) for c, w in zip(columns[1:], weights[1:], strict=True)), F.col(columns[0]) * float(weights[0]))
+    return held.mapInPandas(part, f"v {held.schema['v'].dataType.simpleString()}, b array<double>")
 
 
 def eigenvectors(s: DataFrame, wanted: int, seed: int = 42) -> tuple[DataFrame, np.ndarray, float]:
     """(v, x0, x1, ..), values and largest residual: the leading eigenvectors of a symmetric matrix (v, u, s) with values in -1..1.
 
-    Subspace iteration with Chebyshev filters: the block is multiplied by a polynomial of the matrix
-    that is small on the values of no interest, then the best vectors in its span are taken. The
-    vectors are of length one and orthogonal; with equal values any basis may come. Every round
-    of DEGREE multiplications is written, so a lost executor costs one of them; with hubs every
-    multiplication is. Raises RuntimeError if residuals stay over RESIDUAL for ROUNDS rounds.
+    Block Lanczos: a block of vectors is multiplied by the matrix, what the vectors so far say of the product is taken
+    out, and the rest is the next block; the best vectors in the span of all blocks are taken. After KEPT
+    blocks only the leading vectors so far go on, two blocks of them. The vectors are of length one and orthogonal; with equal values
+    any basis may come. Every multiplication is written, so a lost executor costs one of them. Raises
+    RuntimeError if residuals stay over RESIDUAL for ROUNDS multiplications.
     """
     s = materialize(s.select("v", "u", "s"), "matrix")
     per = materialize(s.groupBy("v").agg(F.count("*").alias("n")), "rows")
     count, total = per.agg(F.count("*"), F.sum("n")).first()
-    hubs = materialize(per.filter(F.col("n") + 1 > hub_limit((total or 0) + count)).select(F.col("v").alias("u")), "hubs")
+    hubs = materialize(per.filter(F.col("n") > hub_limit(total or 0)).select(F.col("v").alias("u")), "hubs")
     hubs = None if hubs.isEmpty() else hubs
-    one = per.select("v", F.col("v").alias("u"), F.lit(0.0).alias("s"), F.lit(1.0).alias("one"))
-    s = s.withColumn("one", F.lit(0.0)).unionByName(one)
     wanted = min(wanted, count)
     width = min(wanted + SPARE, count)
-    xs, ps = _names("x", width), _names("p", width)
-    draw = [(F.xxhash64("v", F.lit(j), F.lit(seed)) / float(2**63)).alias(f"x{j}") for j in range(width)]
-    block = materialize(per.select("v", *draw, *[F.lit(0.0).alias(p) for p in ps]), "block")
     if not width:
-        return block, np.zeros(0), 0.0
+        return per.select("v"), np.zeros(0), 0.0
+    draw = F.array(*[F.xxhash64("v", F.lit(j), F.lit(seed)) / float(2**63) for j in range(width)])
+    held = per.select("v", F.array().cast("array<double>").alias("b"), draw.alias("y"))
+    image, last, residual, block = np.zeros((0, 0)), 0, np.inf, width
     for _ in range(ROUNDS):
-        block = materialize(_times(s, hubs, block, width, 1.0, 0.0, 0.0), "block")
-        held = _products(block, ps + xs)
-        own, cross, image = held[:width, :width], held[:width, width:], held[width:, width:]
-        scale, turn = np.linalg.eigh(own)
-        basis = turn / np.sqrt(np.maximum(scale, scale[-1] * 1e-13))
-        values, inner = np.linalg.eigh(basis.T @ (cross + cross.T) @ basis / 2)
-        values, basis = values[::-1], (basis @ inner)[:, ::-1]
-        squares = np.diag(basis.T @ image @ basis) - 2 * values * np.diag(basis.T @ cross @ basis) + values**2 * np.diag(basis.T @ own @ basis)
-        residual = float(np.sqrt(np.maximum(squares[:wanted], 0)).max())
-        if residual <= RESIDUAL:
-            return block.select("v", *[_mixed(ps, basis[:, j]).alias(f"x{j}") for j in range(wanted)]), values[:wanted], residual
-        # From here to -1 values are damped.
-        cut = min(max(values[-1], 0.0), 0.999)
-        middle, half = (cut - 1) / 2, (cut + 1) / 2
-        first = [_mixed(xs + ps, np.concatenate([basis[:, j], -middle * basis[:, j]]) / half).alias(f"x{j}") for j in range(width)]
-        block = block.select("v", *first, *[_mixed(ps, basis[:, j]).alias(f"p{j}") for j in range(width)])
-        for _ in range(DEGREE - 1):
-            block = _times(s, hubs, block, width, 2 / half, -2 * middle / half, -1.0)
-    raise RuntimeError(f"residual {residual} after {ROUNDS} rounds")
+        off, own = _inner(held, len(image), width)
+        rest = own - off.T @ off
+        kept = None
+        if last:
+            # What the matrix makes of the vectors, in terms of them; that of the last block is new.
+            image[:, -last:], image[-last:, :] = off, off.T
+            values, turn = np.linalg.eigh((image + image.T) / 2)
+            values, turn = values[::-1], turn[:, ::-1]
+            outside = turn[-last:, :wanted]
+            residual = float(np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", outside, rest, outside), 0)).max())
+            if residual <= RESIDUAL:
+                # The span's basis may have lost some orthogonality.
+                mixed = materialize(_turned(held, turn[:, :wanted], off, np.zeros((width, 0))).select("v", F.array().cast("array<double>").alias("b"), F.col("b").alias("y")), "vectors")
+                scale, basis = np.linalg.eigh(_inner(mixed, 0, wanted)[1])
+                straight = _turned(mixed, None, np.zeros((0, wanted)), (basis / np.sqrt(scale)) @ basis.T)
+                return straight.select("v", *[F.col("b")[j].alias(f"x{j}") for j in range(wanted)]), values[:wanted], residual
+            if len(image) + last > KEPT * block:
+                kept = turn[:, : 2 * block]
+                image = np.diag(values[: 2 * block])
+        scale, basis = np.linalg.eigh(rest)
+        # Those drawn first have any length.
+        good = scale > (NONE if last else scale[-1] * 1e-13)
+        new = _turned(held, kept, off, basis[:, good] / np.sqrt(scale[good]))
+        before, last = len(image), int(good.sum())
+        image = np.pad(image, (0, last))
+        width_now = [F.col("b")[before + j].alias(f"x{j}") for j in range(last)]
+        there = new.select(F.col("v").alias("u"), *width_now)
+        met = s.join(there, "u") if hubs is None else join_split(s, materialize(there, "block"), "u", hubs)
+        y = met.groupBy("v").agg(F.array(*[F.sum(F.col("s") * F.col(f"x{j}")) for j in range(last)]).alias("y"))
+        held, width = materialize(new.join(y, "v"), "block"), last
+    raise RuntimeError(f"residual {residual} after {ROUNDS} multiplications")
 
 
 def spectral(edges: DataFrame, vertices: DataFrame, clusters: int = CLUSTERS, neighbours: int = NEIGHBOURS, seed: int = 42) -> DataFrame:

@@ -226,3 +226,23 @@ def test_nearest_by_blocks_of_rows(spark, monkeypatch):
         want |= {(v, u, k + 1) for k, (_, _, u) in enumerate(others[:5])}
     assert {tuple(r) for r in got.collect()} == want
     assert "dots" not in written
+
+
+@pytest.mark.parametrize("kept, most", [(24, 50), (6, 60)])
+def test_close_eigenvalues_take_few_multiplications(spark, monkeypatch, kept, most):
+    """The values of a random graph lie close together but for the first; with few blocks the leading vectors go on alone."""
+    monkeypatch.setattr(spectral, "KEPT", kept, raising=False)
+    rng = np.random.default_rng(6)
+    m = np.triu(rng.random((300, 300)) < 0.08, 1).astype(float)
+    m = m + m.T
+    m /= np.sqrt(np.outer(m.sum(0), m.sum(0)))
+    s = spark.createDataFrame([(int(a), int(b), float(m[a, b])) for a, b in np.argwhere(m)], "v int, u int, s double")
+    joins, join = [], type(s).join
+    monkeypatch.setattr(type(s), "join", lambda *x: joins.append(1) or join(*x))
+    vectors, values, residual = spectral.eigenvectors(s, 6)
+    x = np.array([[r[f"x{j}"] for j in range(6)] for r in vectors.orderBy("v").collect()])
+    assert np.abs(values - np.linalg.eigvalsh(m)[::-1][:6]).max() < 1e-6
+    assert np.abs(x.T @ x - np.eye(6)).max() < 1e-9
+    assert np.linalg.norm(m @ x - x * values, axis=0).max() <= 1.01 * spectral.RESIDUAL
+    # Two for a multiplication.
+    assert len(joins) < most
