@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessella.sources.text import ROW_ID, kept, scan_lines
 
 LEAST_FIELDS = 12
+#: What a line is stripped of at both ends, as by ``\\s`` of Java's expressions.
+BLANKS = " \t\n\x0b\f\r"
 
 
 #: Why a line is left out: fewer fields, or what should be an integer is none.
@@ -15,8 +17,9 @@ REASONS = ("fields", "integers")
 
 
 def _fields(spark: SparkSession, path: str) -> DataFrame:
-    trimmed = F.regexp_replace("value", r"^\s+|\s+$", "")
-    return scan_lines(spark, path).select(ROW_ID, "value", F.split(trimmed, "\t").alias("f"))
+    trimmed = F.btrim("value", F.lit(BLANKS))
+    # A row of its own for the fields, as a filter on them would else split the line anew for each mention.
+    return scan_lines(spark, path).select(ROW_ID, "value", F.explode(F.array(F.split(trimmed, "\t"))).alias("f"))
 
 
 def _int(k: int):

@@ -9,7 +9,7 @@ from tessella.functions import sequences
 from tessella.operators import community, hubs, hypergraph, numbering, scaffold, spectral
 from tessella.operators import alignments as al
 from tessella.plans import queries as q
-from tessella.sources import fasta
+from tessella.sources import fasta, paf
 from tessella.sources.text import scan_lines, under_headers
 from pyspark.sql import functions as F
 
@@ -246,3 +246,11 @@ def test_close_eigenvalues_take_few_multiplications(spark, monkeypatch, kept, mo
     assert np.linalg.norm(m @ x - x * values, axis=0).max() <= 1.01 * spectral.RESIDUAL
     # Two for a multiplication.
     assert len(joins) < most
+
+
+def test_lines_are_split_once(spark, tmp_path):
+    line = "r1\t9\t0\t100\t+\tc_1\t5\t0\t9\t1\t2\t60"
+    (tmp_path / "a.paf").write_text(f" \x0b{line} \x0c\r\n\n{line}\tx\n{line[:-3]}\n{line}x\n")
+    for rows, want in ((paf.read_alignments(spark, str(tmp_path)).filter("mapq >= 30"), 2), (paf.read_placements(spark, str(tmp_path)).filter("mapq >= 30"), 2)):
+        assert _plan(rows).count("split(") == 1
+        assert [r.read for r in rows.collect()] == ["r1"] * want
